@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("ingest", "bars", "features")
+FAMILIES = ("ingest", "bars", "features", "micro", "labels")
 
 
 def load() -> None:

@@ -154,7 +154,7 @@ def time_halo(
 def trailing_sums(
     df: DataFrame,
     keys,
-    specs: dict[str, tuple[Column, int]],
+    specs: dict[str, tuple],
     order=("us", "seq"),
     us: str = "us",
     width: int | None = None,
@@ -162,10 +162,12 @@ def trailing_sums(
     """Sums over the trailing ``[T - w, T]`` (rows up to the current one), by a sweep line.
 
     Every row arrives at its time and leaves just after ``time + w``; the running sum over arrivals
-    minus departures is the window sum, in one sort, for any number of windows at once.
+    minus departures is the window sum, in one sort, for any number of windows at once. A spec is
+    ``(value, w)`` or ``(value, w, anchor)``: with an anchor column (an earlier time) the row leaves
+    after ``anchor + w``, as a change between two ticks does when its older tick leaves.
     """
     keys = list(keys)
-    longest = max(w for _, w in specs.values())
+    longest = max(s[1] for s in specs.values())
     width = width or max(4 * longest, DAY)
     names = list(specs)
     carried = [c for c in df.columns if c not in keys]
@@ -175,7 +177,8 @@ def trailing_sums(
     arriving = F.col("_step") == -1
     at = F.when(arriving, F.col(us))
     for i, n in enumerate(names):
-        at = at.when(F.col("_step") == i, F.col(us) + specs[n][1])
+        since = F.coalesce(F.col(specs[n][2]), F.col(us)) if len(specs[n]) > 2 else F.col(us)
+        at = at.when(F.col("_step") == i, since + specs[n][1])
     rows = rows.select(
         *keys,
         "_tile",
