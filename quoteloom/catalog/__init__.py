@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("ingest", "bars", "features", "micro", "labels")
+FAMILIES = ("ingest", "bars", "features", "micro", "labels", "signals")
 
 
 def load() -> None:

@@ -46,6 +46,52 @@ def asof_backward(
     return scanned.filter("_left IS NOT NULL").select("_left.*", *[F.col(f"_found.{n}").alias(n) for n in columns])
 
 
+def asof_backward_many(left: DataFrame, rights: list[tuple[DataFrame, str, dict[str, str]]], keys, width: int = DAY) -> DataFrame:
+    """Several backward as-of lookups of the same left rows in one union and one scan.
+
+    Each right is ``(table, time column, {output: column})``; its row at the left time counts.
+    """
+    keys = list(keys)
+    payload = F.struct(*[F.col(c) for c in left.columns])
+    both = left.select(*keys, F.col("us").alias("_at"), F.lit(1).alias("_side"), payload.alias("_left"))
+    for i, (right, right_us, columns) in enumerate(rights):
+        found = F.struct(*[F.col(c).alias(n) for n, c in columns.items()]).alias(f"_right{i}")
+        rows = right.select(*keys, F.col(right_us).alias("_at"), F.lit(0).alias("_side"), found)
+        both = both.unionByName(rows, allowMissingColumns=True)
+    running = {f"_found{i}": ("last", F.col(f"_right{i}")) for i in range(len(rights))}
+    scanned = prefix_scan(both.withColumn("_tile", cell("_at", width)), keys, ["_at", "_side"], running)
+    picks = [F.col(f"_found{i}.{n}").alias(n) for i, (_, _, columns) in enumerate(rights) for n in columns]
+    return scanned.filter("_left IS NOT NULL").select("_left.*", *picks)
+
+
+def past_values(rows: DataFrame, specs: dict[str, tuple[str, int]], keys, order=("us",), width: int = DAY) -> DataFrame:
+    """Values at or before ``T - back`` for several ``name: (column, back)`` in one scan.
+
+    Instead of probing the past, every row is sent ``back`` into the future and meets T there.
+    """
+    keys, names = list(keys), list(specs)
+    carried = [c for c in rows.columns if c not in keys]
+    steps = F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))).alias("_step")
+    wide = rows.select("*", steps)
+    here = F.col("_step") == -1
+    at = F.when(here, F.col("us"))
+    for i, n in enumerate(names):
+        at = at.when(F.col("_step") == i, F.col("us") + specs[n][1])
+    rest = [c for c in order if c != "us"]
+    wide = wide.select(
+        *keys,
+        at.alias("_at"),
+        here.cast("int").alias("_here"),
+        *[F.col(c).alias(f"_o_{c}") for c in rest],
+        *[F.when(here, F.col(c)).alias(c) for c in carried],
+        *[F.when(F.col("_step") == i, F.col(specs[n][0])).alias(f"_v_{n}") for i, n in enumerate(names)],
+    )
+    wide = wide.withColumn("_tile", cell("_at", width))
+    scan_order = ["_at", "_here", *[f"_o_{c}" for c in rest]]
+    out = prefix_scan(wide, keys, scan_order, {n: ("last", F.col(f"_v_{n}")) for n in names})
+    return out.filter("_here = 1").select(*keys, *carried, *names)
+
+
 def asof_forward(
     left: DataFrame,
     right: DataFrame,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quoteloom.functions.timing import DAY, HOUR, MINUTE, SECOND, cell, cell_start
 from quoteloom.operators.bars import sample_first
-from quoteloom.operators.joins import asof_backward, range_join
+from quoteloom.operators.joins import past_values, range_join
 from quoteloom.operators.scans import (
     previous,
     time_halo,
@@ -102,12 +102,10 @@ def spread_context(obs: DataFrame, ticks: DataFrame, span: int) -> DataFrame:
     )
 
 
-def past_value(rows: DataFrame, x: str, back: int, name: str, source: DataFrame | None = None, keys=KEYS, width: int = DAY) -> DataFrame:
+def past_value(rows: DataFrame, x: str, back: int, name: str, keys=KEYS, width: int = DAY) -> DataFrame:
     """Value of ``x`` at or before ``T - back``."""
-    probe = rows.withColumn("_at_past", F.col("us") - back)
-    ties = ["seq"] if "seq" in rows.columns else []
-    out = asof_backward(probe, source if source is not None else rows, keys, {name: x}, "_at_past", right_order=ties, width=width)
-    return out.drop("_at_past")
+    order = ("us", "seq") if "seq" in rows.columns else ("us",)
+    return past_values(rows, {name: (x, back)}, keys, order, width)
 
 
 def past_return(rows: DataFrame, x: str, back: int, name: str, scale: float = 1.0, keys=KEYS) -> DataFrame:
@@ -260,19 +258,29 @@ def efficiency_persistence(sec: DataFrame, span: int, name: str, scale: float =
     return out.withColumns({f"efficiency_{name}": eff, f"persistence_{name}": per}).drop("_path", "_up", "_down", "_past")
 
 
-def causal_reference(
-    sec: DataFrame, x: str, span: int, q: float, name: str, every: int = MINUTE, least: int = 20, keys=KEYS
+def causal_references(
+    sec: DataFrame, stats: dict[str, tuple[str, float]], span: int, every: int = MINUTE, least: int = 20, keys=KEYS
 ) -> DataFrame:
-    """Quantile of ``x`` over the minute samples strictly before this minute's sample, constant within it."""
-    minutes = sample_first(sec.select(*keys, "us", x), every, keys, ("us",))
+    """Quantiles over the minute samples strictly before this minute's sample, constant within the minute.
+
+    ``stats`` maps a name to ``(column, quantile)``; fewer than ``least`` values give null.
+    """
+    used = list(dict.fromkeys(x for x, _ in stats.values()))
+    minutes = sample_first(sec.select(*keys, "us", *used), every, keys, ("us",))
     halo = time_halo(minutes, width=max(4 * span, DAY), back=span)
     w = Window.partitionBy(*keys, "_tile").orderBy("us").rangeBetween(-span, -1)
-    ref = halo.withColumns({"_n": F.count(x).over(w), name: F.percentile(x, F.lit(q)).over(w)}).filter("_core")
-    ref = ref.select(*keys, cell("us", every).alias("_m"), F.when(F.col("_n") >= least, F.col(name)).alias(name))
+    ref = halo.withColumns({n: F.when(F.count(x).over(w) >= least, F.percentile(x, F.lit(q)).over(w)) for n, (x, q) in stats.items()})
+    ref = ref.filter("_core").select(*keys, cell("us", every).alias("_m"), *stats)
     # one row per (symbol, minute) on the right
     return sec.withColumn("_m", cell("us", every)).join(ref, [*keys, "_m"], "left").drop("_m")
 
 
+def causal_reference(
+    sec: DataFrame, x: str, span: int, q: float, name: str, every: int = MINUTE, least: int = 20, keys=KEYS
+) -> DataFrame:
+    return causal_references(sec, {name: (x, q)}, span, every, least, keys)
+
+
 def causal_percentile(
     obs: DataFrame, sec: DataFrame, x: str, span: int, name: str, every: int = MINUTE, least: int = 20, keys=KEYS
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -47,9 +48,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df):
-    """Cut the lineage of ``df`` through a reliable checkpoint in the shared folder."""
+    """Write ``df`` once as Parquet in the shared folder and continue from the files.
+
+    Used where a plan refers to one intermediate table several times: the table is computed once, later
+    steps prune its columns, and a lost executor costs only its own tasks.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark)}/quoteloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
