@@ -47,7 +47,6 @@ CANDLES = """candles AS (
 
 LEDGER = """ledger AS (
   SELECT l_suppkey AS symbol, l_returnflag AS setup, epoch_us(l_shipdate) AS us,
-         CAST(l_shipdate AS DATE) AS day,
          l_extendedprice * (l_discount - 0.05) AS market_pnl, l_extendedprice * 0.0005 AS spread_cost,
          l_extendedprice * 0.0002 AS slippage_cost, l_extendedprice * l_tax * 0.01 AS commission,
          l_extendedprice * (l_discount - 0.05) - l_extendedprice * 0.0002

@@ -115,3 +115,47 @@ def weighted_corr(df: DataFrame, keys, a: str, b: str, w: str) -> DataFrame:
     vb = n * F.col("_sbb") - sb * sb
     rho = F.when((n >= 2) & (va > 0) & (vb > 0), (n * F.col("_sab") - sa * sb) / (F.sqrt(va) * F.sqrt(vb)))
     return sums.select(*keys, n.cast("long").alias("n"), rho.alias("rho"))
+
+
+def ordered_index(df: DataFrame, keys, x: str, tie: str, name: str = "rn") -> DataFrame:
+    """Row number per key in the order (x, tie), and the group size ``<name>_n``; both columns numeric.
+
+    Tiles are cut at approximate quantiles of ``x``. A value common enough to fill tiles shows up among
+    the cuts itself; its rows form their own run of tiles, cut by the tie column instead.
+    """
+    keys = list(keys)
+    k = _tiles_wanted(df)
+    at = F.array(*[F.lit((i + 1) / k) for i in range(k - 1)])
+    xv, tv = F.col(x).cast("double"), F.col(tie).cast("double")
+    rows = df.filter(F.col(x).isNotNull())
+    cuts = rows.groupBy(*keys).agg(
+        F.percentile_approx(xv, at, F.lit(10_000)).alias("_cx"),
+        F.percentile_approx(tv, at, F.lit(10_000)).alias("_ct"),
+        F.count(F.lit(1)).alias(f"{name}_n"),
+    )
+    both = rows.join(cuts, keys) if keys else rows.crossJoin(F.broadcast(cuts))  # one row without keys
+    place = F.size(F.filter("_cx", lambda c: c < xv)).cast("long")
+    common = F.array_contains("_cx", xv)
+    inner = F.when(common, F.size(F.filter("_ct", lambda c: c < tv)).cast("long")).otherwise(F.lit(0).cast("long"))
+    tile = (place * 2 + common.cast("long")) * (k + 1) + inner
+    tiled = both.withColumn("_tile", tile).drop("_cx", "_ct")
+    return prefix_scan(tiled, keys, [x, tie], {name: ("count", F.lit(1))}).drop("_tile")
+
+
+def ntile_of(rn: Column, n: Column, k: int) -> Column:
+    """Bin of a row number when ``n`` rows go into ``k`` bins and the first bins take the extra rows."""
+    q, r = F.floor(n / k), n % k
+    wide = r * (q + 1)
+    return F.when(rn <= wide, F.ceil(rn / (q + 1))).otherwise(r + F.ceil(F.try_divide(rn - wide, q))).cast("long")
+
+
+def equal_count_bins(df: DataFrame, keys, x: str, tie: str, k: int, name: str = "bin") -> DataFrame:
+    out = ordered_index(df, keys, x, tie, "_rn")
+    return out.withColumn(name, ntile_of(F.col("_rn"), F.col("_rn_n"), k)).drop("_rn", "_rn_n")
+
+
+def floor_bins(df: DataFrame, keys, x: str, tie: str, k: int, name: str = "bin") -> DataFrame:
+    """Bins ``floor(i * k / n)`` of the row position i from 0."""
+    out = ordered_index(df, keys, x, tie, "_rn")
+    value = F.floor((F.col("_rn") - 1) * k / F.col("_rn_n"))
+    return out.withColumn(name, F.least(value, F.lit(k - 1)).cast("long")).drop("_rn", "_rn_n")

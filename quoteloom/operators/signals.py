@@ -193,19 +193,23 @@ def setups_v1(m5: DataFrame, m15: DataFrame, fast_width: int, slow_width: int, m
     )
     band = c("prev_mean") - 2 * c("prev_dev")
     reversion = (c("regime") == "RANGE") & (c("prev_close") < band) & (c("close") > c("prev_close")) & (c("mean") > c("close"))
-    setup = F.when(breakout, "BREAKOUT_RETEST").when(pullback, "MOMENTUM_PULLBACK").when(reversion, "RANGE_MEAN_REVERSION")
-    rows = rows.withColumn("setup", setup).filter(c("setup").isNotNull())
-    is_b, is_p = c("setup") == "BREAKOUT_RETEST", c("setup") == "MOMENTUM_PULLBACK"
+    # the flags become plain columns behind one filter: stop, target and confidence then stay small
+    rows = rows.filter(breakout | pullback | reversion).withColumns({"_b": breakout, "_p": pullback, "_band": band})
+    is_b, is_p = c("_b"), c("_p")
     stop = (
         F.when(is_b, F.least(c("low"), level - c("atr") * 0.35))
         .when(is_p, c("low3") - c("atr") * 0.10)
         .otherwise(F.least("prev_low", "low") - c("atr") * 0.25)
     )
     target = F.when(is_b, c("close") + c("atr") * 2.0).when(is_p, c("close") + c("atr") * 1.5).otherwise(c("mean"))
-    stretch = F.abs(c("prev_close") - band) / F.greatest("atr", F.lit(1e-12)) / 10
+    stretch = F.abs(c("prev_close") - c("_band")) / F.greatest("atr", F.lit(1e-12)) / 10
     confidence = F.when(is_b, 0.75).when(is_p, 0.70).otherwise(F.least(F.lit(0.80), F.lit(0.55) + stretch))
-    rows = rows.withColumns({"stop": stop, "target": target, "confidence": confidence, "entry": c("close")})
-    return rows.filter("stop < entry").select("symbol", "signal_us", "setup", "regime", "entry", "stop", "target", "atr", "confidence")
+    setup = F.when(is_b, "BREAKOUT_RETEST").when(is_p, "MOMENTUM_PULLBACK").otherwise("RANGE_MEAN_REVERSION")
+    out = rows.select(
+        "symbol", "signal_us", setup.alias("setup"), "regime", c("close").alias("entry"), stop.alias("stop"),
+        target.alias("target"), "atr", confidence.alias("confidence"),
+    )
+    return out.filter("stop < entry")
 
 
 def setups_v2(
