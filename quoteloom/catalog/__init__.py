@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("ingest", "bars", "features", "micro", "labels", "signals", "ledger", "market")
+FAMILIES = ("ingest", "bars", "features", "micro", "labels", "signals", "ledger", "market", "evidence")
 
 
 def load() -> None:

@@ -194,7 +194,7 @@ def c10(spark, d):
 @register(
     "c11_size_candidates",
     """WITH o AS (SELECT o_orderkey, abs(o_totalprice) AS equity, o_totalprice / (1 + o_orderkey % 4) AS cash, 100.0 + o_orderkey % 50 AS entry, (100.0 + o_orderkey % 50) * (1 - (o_orderkey % 6) / 100.0) AS stop FROM orders),
-      r AS (SELECT *, (entry - stop) / entry + 0.002 + 0.001 AS rate FROM o), q AS (SELECT *, floor(CAST(CAST(least(equity * 0.2 / 100 / (entry * rate), cash / entry, 200) AS VARCHAR) AS DECIMAL(30,18)) / 0.01) * 0.01 AS qty FROM r),
+      r AS (SELECT *, (entry - stop) / entry + 0.002 + 0.001 AS rate FROM o), q AS (SELECT *, floor(CAST(CAST(least(equity * 0.2 / 100 / (entry * rate), cash / entry, 200) AS VARCHAR) AS DECIMAL(30,18)) * 100) * 0.01 AS qty FROM r),
       s AS (SELECT *, qty * entry AS notional, qty * entry * rate AS loss FROM q),
       t AS (SELECT *, CASE WHEN equity <= 0 OR cash <= 0 OR stop <= 0 OR stop >= entry THEN 'INVALID' WHEN qty < 0.5 OR notional < 100 THEN 'MINIMUM_ORDER_INCOMPATIBLE_WITH_RISK_BUDGET' WHEN loss / equity * 100 > 0.15 THEN 'MAXIMUM_RISK_EXCEEDED' ELSE 'ACCEPT' END AS reason FROM s)
     SELECT o_orderkey, reason, round(CASE WHEN reason IN ('INVALID', 'MINIMUM_ORDER_INCOMPATIBLE_WITH_RISK_BUDGET') THEN 0 ELSE qty END, 4) AS quantity, round(loss, 4) AS estimated_loss FROM t""",

@@ -17,6 +17,7 @@ from quoteloom.functions.draws import hash_number, hash_uniform
 from quoteloom.functions.timing import DAY, HOUR, cell
 from quoteloom.operators import ranks as R
 from quoteloom.operators.ledger import running_peaks
+from quoteloom.session import durable
 
 c = F.col
 
@@ -171,7 +172,7 @@ def binary_metrics(pred: DataFrame, p: str = "p", y: str = "y", keys=(), thresho
     ).withColumn("balanced_accuracy", (c("recall_positive") + c("recall_negative")) / 2)
     # precision at every distinct score, weighted by the recall it adds
     counts = pred.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_w"), F.sum(c(y).cast("long")).alias("_y"))
-    cum = R.cumulate(counts, keys, p, {"_cn": c("_w"), "_cy": c("_y")}, descending=True)
+    cum = R.cumulate(durable(counts), keys, p, {"_cn": c("_w"), "_cy": c("_y")}, descending=True)
     ap = cum.groupBy(*keys).agg((F.sum(c("_y") * c("_cy") / c("_cn")) / F.sum("_y")).alias("average_precision"))
     both = out.join(ap, keys) if keys else out.join(F.broadcast(ap))  # one row each without keys
     return both.drop("_tp", "_fp", "_fn", "_tn")
@@ -179,14 +180,12 @@ def binary_metrics(pred: DataFrame, p: str = "p", y: str = "y", keys=(), thresho
 
 def multiclass_metrics(pred: DataFrame, probabilities: dict[str, str], outcome: str) -> DataFrame:
     """Accuracy, log loss, Brier, class shares and the error of the probability sum."""
-    chosen = F.max_by
     names = list(probabilities)
     best = F.greatest(*[c(p) for p in probabilities.values()])
     guess = F.coalesce(*[F.when(c(probabilities[n]) == best, n) for n in names])
     truth = F.coalesce(*[F.when(c(outcome) == n, c(probabilities[n])) for n in names])
     brier = sum(((c(p) - (c(outcome) == n).cast("double")) * (c(p) - (c(outcome) == n).cast("double")) for n, p in probabilities.items()), F.lit(0.0))
     total = sum((c(p) for p in probabilities.values()), F.lit(0.0))
-    del chosen
     return pred.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg((guess == c(outcome)).cast("double")).alias("accuracy"),
@@ -301,7 +300,7 @@ def drift_numeric(long: DataFrame, keys) -> DataFrame:
     a, b = F.greatest(c("_r") / c("_nr"), F.lit(1e-6)), F.greatest(c("_t") / c("_nt"), F.lit(1e-6))
     psi = full.groupBy(*keys).agg(F.sum((b - a) * F.ln(b / a)).alias("psi"))
     # distance between the two distribution functions, over the union of their values
-    counts = long.groupBy(*keys, "x").agg(F.count_if(ref).alias("_r"), F.count_if(~ref).alias("_t"))
+    counts = durable(long.groupBy(*keys, "x").agg(F.count_if(ref).alias("_r"), F.count_if(~ref).alias("_t")))
     cum = R.cumulate(counts, keys, "x", {"_cr": c("_r"), "_ct": c("_t")})
     gaps = _next_value(cum, keys)
     gaps = gaps.join(stats.select(*keys, "_nr", "_nt"), keys)
@@ -447,9 +446,10 @@ def univariate_matrix(events: DataFrame, features, targets: dict[str, str], tie:
     """
     pairs = F.array(*[F.struct(F.lit(n).alias("target"), c(t).cast("double").alias("y")) for n, t in targets.items()])
     base = melt(events.withColumn("_t", F.explode(pairs)).select("*", "_t.target", "_t.y").drop("_t"), ["target", "y", "fold", "day", "session", tie], features)
-    long = base.filter(c("x").isNotNull() & c("y").isNotNull())
+    # every statistic below reads the long table, so it is written once
+    long = durable(base.filter(c("x").isNotNull() & c("y").isNotNull()))
     keys = ["feature", "target"]
-    effect = R.spearman_long(long, keys).withColumn("p_value", spearman_p_value())
+    effect = durable(R.spearman_long(long, keys).withColumn("p_value", spearman_p_value()))
     folds = R.spearman_long(long, [*keys, "fold"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("fold", "rho"))).alias("fold_effects"))
     limits = R.exact_quantiles(long, keys, "x", {"_p01": 0.01, "_p10": 0.10, "_p90": 0.90, "_p99": 0.99})
     ylim = R.exact_quantiles(long, keys, "y", {"_y01": 0.01, "_y99": 0.99})

@@ -2,7 +2,8 @@
 
 Equal values are counted first (combining before the shuffle), so a value that a third of the rows
 share costs one row. The distinct values are then cut into tiles at approximate quantiles, and cumulative counts
-cross the tiles as a carry: no key, however large, is sorted in one task.
+cross the tiles as a carry: no key, however large, is sorted in one task. The counted table is written
+once, because cut finding, scan and carry each read it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.operators.scans import prefix_scan
+from quoteloom.session import durable
 
 
 def _tiles_wanted(df: DataFrame) -> int:
@@ -23,7 +25,7 @@ def value_counts(df: DataFrame, keys, x: str, weight: Column | None = None) -> D
     keys = list(keys)
     weight = F.lit(1) if weight is None else weight
     counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum(weight).cast("long").alias("n"))
-    return cumulate(counts, keys, x, {"upto": F.col("n")})
+    return cumulate(durable(counts), keys, x, {"upto": F.col("n")})
 
 
 def cumulate(counts: DataFrame, keys, x: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
@@ -90,7 +92,7 @@ def spearman_long(long: DataFrame, keys, x: str = "x", y: str = "y") -> DataFram
     keys = list(keys)
     both = long.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     # joint counts first: repeated pairs shrink before either ranking and both joins
-    joint = both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("w"))
+    joint = durable(both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("w")))
     rx = value_counts(joint, keys, x, F.col("w"))
     rx = rx.select(*keys, x, average_rank(rx).alias("rx"))
     ry = value_counts(joint, keys, y, F.col("w"))
@@ -138,7 +140,7 @@ def ordered_index(df: DataFrame, keys, x: str, tie: str, name: str = "rn") -> Da
     common = F.array_contains("_cx", xv)
     inner = F.when(common, F.size(F.filter("_ct", lambda c: c < tv)).cast("long")).otherwise(F.lit(0).cast("long"))
     tile = (place * 2 + common.cast("long")) * (k + 1) + inner
-    tiled = both.withColumn("_tile", tile).drop("_cx", "_ct")
+    tiled = durable(both.withColumn("_tile", tile).drop("_cx", "_ct"))
     return prefix_scan(tiled, keys, [x, tie], {name: ("count", F.lit(1))}).drop("_tile")
 
 

@@ -10,6 +10,7 @@ from quoteloom.functions.timing import DAY, WEEK, cell
 from quoteloom.operators import features as X
 from quoteloom.operators.joins import asof_backward
 from quoteloom.operators.scans import block_window, core, prefix_scan, with_tile
+from quoteloom.session import durable
 
 c = F.col
 
@@ -175,6 +176,7 @@ def setups_v1(m5: DataFrame, m15: DataFrame, fast_width: int, slow_width: int, m
     regime = X.efficiency_regime(m15, tile=tile)
     rows = asof_regime(_fast_frame(m5, tile), regime, fast_width, slow_width, {"regime": "regime"}, tile)
     rows = rows.join(momentum, ["symbol", "us"]).filter((c("rn") > 25) & ~c("is_last") & c("regime").isNotNull() & c("up"))
+    rows = durable(rows)  # the wide conditions below then meet a plain scan, not a join they could be pushed into
     level = c("high20_before_prev")
     breakout = (
         (c("prev_close") > level)
@@ -229,7 +231,7 @@ def setups_v2(
     mid = trend(m15).withColumn("up", (c("fast") > c("slow")) & (c("close") > c("fast")))
     rows = asof_regime(_fast_frame(m5, tile), mid, widths[0], widths[1], {"m15_up": "up", "m15_rn": "rn"}, tile)
     rows = asof_regime(rows, slow, widths[0], widths[2], {"h1_up": "up", "h1_rn": "rn"}, tile)
-    rows = rows.filter((c("rn") > 25) & ~c("is_last") & (c("m15_rn") > 21) & (c("h1_rn") > 21))
+    rows = durable(rows.filter((c("rn") > 25) & ~c("is_last") & (c("m15_rn") > 21) & (c("h1_rn") > 21)))
     breakout = (c("close") > c("high20")) & (c("close") > c("open")) & (c("volume") >= c("vol_med") * 1.20)
     pullback = (
         (c("low") <= c("fast") * 1.0015) & (c("close") > c("fast")) & (c("close") > c("prev_close")) & (c("volume") >= c("vol_med") * 0.75)
