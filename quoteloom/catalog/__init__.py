@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("ingest", "bars", "features", "micro", "labels", "signals", "ledger", "market", "evidence")
+FAMILIES = ("ingest", "bars", "features", "micro", "labels", "signals", "ledger", "market", "evidence", "models", "streaming")
 
 
 def load() -> None:

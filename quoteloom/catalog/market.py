@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quoteloom.catalog.bars import MONDAY
 from quoteloom.catalog.registry import BOOKS, CANDLES, QUOTES, register, with_views
-from quoteloom.functions.output import round_doubles
+from quoteloom.functions.output import round_columns, round_doubles
 from quoteloom.functions.timing import WEEK
 from quoteloom.operators import market as C
 from quoteloom.sources.views import book_levels, candles, quotes, table
@@ -197,7 +197,7 @@ def c10(spark, d):
       r AS (SELECT *, (entry - stop) / entry + 0.002 + 0.001 AS rate FROM o), q AS (SELECT *, floor(CAST(CAST(least(equity * 0.2 / 100 / (entry * rate), cash / entry, 200) AS VARCHAR) AS DECIMAL(30,18)) * 100) * 0.01 AS qty FROM r),
       s AS (SELECT *, qty * entry AS notional, qty * entry * rate AS loss FROM q),
       t AS (SELECT *, CASE WHEN equity <= 0 OR cash <= 0 OR stop <= 0 OR stop >= entry THEN 'INVALID' WHEN qty < 0.5 OR notional < 100 THEN 'MINIMUM_ORDER_INCOMPATIBLE_WITH_RISK_BUDGET' WHEN loss / equity * 100 > 0.15 THEN 'MAXIMUM_RISK_EXCEEDED' ELSE 'ACCEPT' END AS reason FROM s)
-    SELECT o_orderkey, reason, round(CASE WHEN reason IN ('INVALID', 'MINIMUM_ORDER_INCOMPATIBLE_WITH_RISK_BUDGET') THEN 0 ELSE qty END, 4) AS quantity, round(loss, 4) AS estimated_loss FROM t""",
+    SELECT o_orderkey, reason, round(CASE WHEN reason IN ('INVALID', 'MINIMUM_ORDER_INCOMPATIBLE_WITH_RISK_BUDGET') THEN 0 ELSE qty END, 4) AS quantity, round(loss, 7) AS estimated_loss FROM t""",
 )
 def c11(spark, d):
     k = F.col("o_orderkey")
@@ -207,7 +207,8 @@ def c11(spark, d):
         ((F.lit(100.0) + k % 50) * (1 - (k % 6) / 100.0)).alias("stop"), F.lit(0.002).alias("fee"), F.lit(0.001).alias("slippage"),
         dec("0.01").alias("step"), F.lit(0.5).alias("min_qty"), F.lit(200.0).alias("max_qty"), F.lit(100.0).alias("min_notional"),
     )
-    return round_doubles(C.size_candidates(o, max_risk_pct=0.15).select("o_orderkey", "reason", "quantity", "estimated_loss"), 4)
+    out = C.size_candidates(o, max_risk_pct=0.15).select("o_orderkey", "reason", "quantity", "estimated_loss")
+    return round_columns(round_columns(out, "quantity", digits=4), "estimated_loss", digits=7)
 
 
 @register(

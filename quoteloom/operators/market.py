@@ -194,9 +194,8 @@ def flatten_symbol_rules(info: DataFrame, payload: str = "payload") -> DataFrame
 
 def to_step(x: Column, step: Column, up: bool = False) -> Column:
     """Round a decimal to a step, down or up; exact on decimals."""
-    # integral quotient first, so the rounding never sees a truncated division
-    whole = F.floor(F.try_divide(x, step)).cast("decimal(20,0)")
-    low = (whole * step).cast(DEC)
+    # the remainder of two decimals is exact; a decimal quotient would be rounded to few digits
+    low = (x - x % step).cast(DEC)
     return F.when(F.lit(up) & (low < x), (low + step).cast(DEC)).otherwise(low)
 
 
