@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quoteloom.catalog.features import RS_CTES, TILE, W, ema_cte, over, recursive, seeded_sql, strength
-from quoteloom.catalog.labels import FWD, HZ, OBS, POINT, TOL
+from quoteloom.catalog.labels import FWD, HZ, OBS, POINT, TOL, fwd
 from quoteloom.catalog.micro import CHANGES, SEC, pairs_sql, rng, seconds
 from quoteloom.catalog.registry import CANDLES, QUOTES, register, with_views
 from quoteloom.functions.output import round_doubles
@@ -496,6 +496,26 @@ def l11(spark, d):
     return round_doubles(weakest_forward_return(cross(spark, d), candles(spark, d), WEEK))
 
 
+EDGE_FWD = [fwd(f"e{i}", h, src="dec") for i, h in enumerate(SET.horizons)]
+
+
+@register(
+    "edge_validation",
+    with_views(*DEC, *EDGE_FWD)
+    + f""", nx AS (SELECT symbol, us, seq, lead(us) OVER (PARTITION BY symbol ORDER BY us, seq) AS nu FROM quotes),
+    u AS (SELECT dd.*, blockers = '' AS free, f2.fb AS fb2, f2.fa AS fa2, stop_points IS NOT NULL AND trigger <> 'NEUTRAL' AND nu <= dd.us + {SET.excursion} AND f0.fb IS NOT NULL AND f1.fb IS NOT NULL AND f2.fb IS NOT NULL AND f3.fb IS NOT NULL AND f4.fb IS NOT NULL AS ok
+      FROM dec dd JOIN nx USING (symbol, us, seq) """
+    + " ".join(f"JOIN fwd_e{i} f{i} USING (symbol, us, seq)" for i in range(5))
+    + f"""), r AS (SELECT *, CASE WHEN free AND ok THEN CASE WHEN trigger = 'BUY' THEN fb2 - ask ELSE bid - fa2 END / {POINT} END AS ret FROM u)
+    SELECT symbol, CASE WHEN NOT free THEN 'SIGNAL_BLOCKED' WHEN ok THEN 'COMPLETE' ELSE 'FUTURE_DATA_INCOMPLETE' END AS status, count(*) AS n, round(avg(ret), 6) AS after_spread, round(avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0 END), 6) AS accuracy FROM r GROUP BY ALL""",
+)
+def edge_validation(spark, d):
+    out = E.observations(quotes(spark, d), SET).groupBy("symbol", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("after_spread").alias("after_spread"), F.avg("accuracy").alias("accuracy")
+    )
+    return round_doubles(out)
+
+
 # -- flagship: hourly samples, executable returns by session
 @register(
     "edge_by_session",

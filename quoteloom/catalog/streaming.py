@@ -13,7 +13,7 @@ from quoteloom.catalog.micro import SEC
 from quoteloom.catalog.registry import QUOTES, register, with_views
 from quoteloom.catalog.signals import COOL, DET, EPI, FLAG_NAMES, FLAGS, flagged, recursive, scored
 from quoteloom.functions.output import round_doubles
-from quoteloom.functions.timing import DAY, WEEK
+from quoteloom.functions.timing import WEEK
 from quoteloom.operators import signals as G
 from quoteloom.session import checkpoint_dir
 from quoteloom.sources.views import candles, quotes, table
@@ -25,10 +25,9 @@ def scratch(spark) -> str:
 
 
 def landed(spark, df, order: str, files: int = 4):
-    """Landing folder of a few files in time order, read back as a stream one file per trigger."""
+    """Landing folder of a few files, read back as a stream in one trigger."""
     root = scratch(spark)
     df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(f"{root}/in")
-    # the file source reads by modification time; range partition order and file order agree by name
     return root, J.landing(spark, f"{root}/in", df.schema, files_per_trigger=files)
 
 
@@ -121,5 +120,3 @@ def st8(spark, d):
     J.repair_stream(stream, q.select("symbol"), HOUR, f"{root}/out", f"{root}/cp", 100)
     return spark.read.parquet(f"{root}/out").select("symbol", "start_us", "end_us")
 
-
-DAY_US = DAY

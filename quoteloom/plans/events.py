@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.functions.timing import DAY, HOUR, MINUTE, SECOND, day_text, iso_week
+from quoteloom.functions.timing import DAY, HOUR, SECOND, day_text, iso_week
 from quoteloom.operators import bars as B
 from quoteloom.operators import labels as L
 from quoteloom.operators import micro as M
@@ -90,5 +90,3 @@ def write_events(events: DataFrame, path: str) -> None:
     """One folder per day; range partitioning keeps a hot day in several files."""
     events.repartitionByRange("day", "us").write.mode("overwrite").partitionBy("day").option("compression", "zstd").parquet(path)
 
-
-MINUTE_US = MINUTE

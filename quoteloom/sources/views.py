@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.functions.timing import DAY
 from quoteloom.session import use_utc
 
 
@@ -111,5 +110,3 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("user_id"),
     )
 
-
-DAY_US = DAY
