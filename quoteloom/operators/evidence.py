@@ -17,6 +17,7 @@ from quoteloom.functions.draws import hash_number, hash_uniform
 from quoteloom.functions.timing import DAY, HOUR, cell
 from quoteloom.operators import ranks as R
 from quoteloom.operators.ledger import running_peaks
+from quoteloom.operators.scans import balanced_tile, previous
 from quoteloom.session import durable
 
 c = F.col
@@ -313,13 +314,7 @@ def drift_numeric(long: DataFrame, keys) -> DataFrame:
 
 def _next_value(rows: DataFrame, keys) -> DataFrame:
     """Next larger value per key, through the same value tiles (the order is reversed)."""
-    flipped = rows.withColumn("_neg", -c("x"))
-    k = R._tiles_wanted(rows)
-    cuts = F.array(*[F.lit((i + 1) / k) for i in range(k - 1)])
-    bounds = flipped.groupBy(*keys).agg(F.percentile_approx("_neg", cuts, F.lit(10_000)).alias("_cuts"))
-    tiled = flipped.join(bounds, list(keys)).withColumn("_tile", F.size(F.filter("_cuts", lambda e: e < c("_neg"))).cast("long")).drop("_cuts")
-    from quoteloom.operators.scans import previous
-
+    tiled = balanced_tile(rows.withColumn("_neg", -c("x")), keys, "_neg")
     return previous(tiled, keys, ["_neg"], {"_next": "x"}).drop("_tile", "_neg")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteloom.functions.timing import DAY, HOUR, cell
-from quoteloom.operators.scans import prefix_scan
+from quoteloom.operators.scans import balanced_tile, prefix_scan
 
 _UP = (Window.unboundedPreceding, Window.currentRow)
 
@@ -19,11 +19,12 @@ def asof_backward(
     left_us: str = "us",
     right_us: str = "us",
     right_order=(),
-    width: int = DAY,
+    width: int | None = DAY,
     inclusive: bool = True,
 ) -> DataFrame:
     """Each left row with the last right row at or before it (unbounded look-back).
 
+    Tiles are ``width`` wide, or balanced by row count when it is None.
     ``columns`` maps output names to right columns. Both sides meet in one union per tile; the last
     right row of earlier tiles arrives as a carry, so no task ever holds a whole series.
     """
@@ -40,7 +41,8 @@ def asof_backward(
         payload.alias("_left"),
     )
     rhs = right.select(*keys, F.col(right_us).alias("_at"), F.lit(0).alias("_side"), *ties, found.alias("_right"))
-    both = lhs.unionByName(rhs, allowMissingColumns=True).withColumn("_tile", cell("_at", width))
+    both = lhs.unionByName(rhs, allowMissingColumns=True)
+    both = balanced_tile(both, keys, "_at") if width is None else both.withColumn("_tile", cell("_at", width))
     order = ["_at", "_side", *[f"_t{i}" for i in range(len(right_order))]]
     scanned = prefix_scan(both, keys, order, {"_found": ("last", F.col("_right"))})
     return scanned.filter("_left IS NOT NULL").select("_left.*", *[F.col(f"_found.{n}").alias(n) for n in columns])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteloom.functions.timing import DAY, HOUR, cell, iso_week, month_text
+from quoteloom.operators.scans import balanced_tile
 
 c = F.col
 _UP = (Window.unboundedPreceding, Window.currentRow)
@@ -46,9 +47,9 @@ def _losses(net: str) -> Column:
     return F.when(c(net) < 0, 1).otherwise(0)
 
 
-def equity_curve(trades: DataFrame, order, capital: float, net: str = "net", tile_width: int = DAY) -> DataFrame:
-    """Equity, peak, drawdown and losing streak after every trade."""
-    rows = trades.withColumn("_tile", cell("us", tile_width))
+def equity_curve(trades: DataFrame, order, capital: float, net: str = "net", tile_width: int | None = DAY) -> DataFrame:
+    """Equity, peak, drawdown and losing streak after every trade; tiles of one width, or balanced if None."""
+    rows = balanced_tile(trades, []) if tile_width is None else trades.withColumn("_tile", cell("us", tile_width))
     series = {"_cum": (c(net), F.lit(True)), "_loss": (_losses(net), c(net) >= 0)}
     out = running_peaks(rows, [], order, series, "_tile")
     equity = F.lit(capital) + c("_cum")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.operators.scans import prefix_scan
+from quoteloom.operators.scans import balanced_tile, prefix_scan
 from quoteloom.session import durable
 
 
@@ -31,14 +31,8 @@ def value_counts(df: DataFrame, keys, x: str, weight: Column | None = None) -> D
 def cumulate(counts: DataFrame, keys, x: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
     """Running sums over the distinct values of ``x`` per key, through value tiles."""
     keys = list(keys)
-    k = _tiles_wanted(counts)
-    cuts = F.array(*[F.lit((i + 1) / k) for i in range(k - 1)])
-    numeric = dict(counts.dtypes)[x] != "string"
-    probe = F.col(x).cast("double") if numeric else F.xxhash64(x).cast("double")
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx(probe, cuts, F.lit(10_000)).alias("_cuts"))
-    joined = counts.join(bounds, keys, "left") if keys else counts.crossJoin(F.broadcast(bounds))
-    tile = F.size(F.filter("_cuts", lambda c: c < probe)).cast("long")
-    ordered = joined.withColumn("_tile", -tile if descending else tile).drop("_cuts")
+    tiled = balanced_tile(counts, keys, x, F.col(x).cast("double"))
+    ordered = tiled.withColumn("_tile", -F.col("_tile")) if descending else tiled
     if descending:
         ordered = ordered.withColumn("_rev", -F.col(x))
     order = ["_rev"] if descending else [x]

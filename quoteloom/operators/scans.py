@@ -28,6 +28,31 @@ def with_tile(df: DataFrame, us: str = "us", width: int = DAY, name: str = "_til
     return df.withColumn(name, cell(us, width))
 
 
+def balanced_tile(df: DataFrame, keys, x: str = "us", probe: Column | None = None, name: str = "_tile") -> DataFrame:
+    """Tiles cut at approximate quantiles of each series: a dense stretch gets more tiles.
+
+    One light pass finds the cuts (a short array per series); equal values always share a tile.
+    """
+    keys = list(keys)
+    k = max(8, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    at = F.array(*[F.lit((i + 1) / k) for i in range(k - 1)])
+    value = F.col(x) if probe is None else probe
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, at, F.lit(10_000)).alias("_cuts"))
+    both = df.join(cuts, keys) if keys else df.join(F.broadcast(cuts))  # one row without keys
+    return both.withColumn(name, F.size(F.filter("_cuts", lambda c: c < value)).cast("long")).drop("_cuts")
+
+
+def suggest_width(df: DataFrame, rows: int = 2_000_000, keys=("symbol",), us: str = "us", unit: int = 60_000_000) -> int:
+    """Tile width at which the densest stretch of any series holds about ``rows`` rows.
+
+    Counts per (series, unit) combine before the shuffle and reduce to one number. Pass the result as the
+    width of a scan when a single day of one series is too large for a task.
+    """
+    counts = df.groupBy(*keys, cell(us, unit).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    densest = counts.agg(F.max("_n")).first()[0] or 1
+    return max(unit, min(DAY, int(rows / densest) * unit))
+
+
 def _order_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 

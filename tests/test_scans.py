@@ -106,3 +106,15 @@ def test_exact_quantiles(spark):
     for k, g in pdf.groupby("k"):
         assert abs(got.loc[k, "m"] - np.quantile(g.x, 0.5)) < 1e-9
         assert abs(got.loc[k, "p"] - np.quantile(g.x, 0.95)) < 1e-9
+
+
+def test_balanced_tiles_and_width(rows, df):
+    tiled = S.balanced_tile(df, ["symbol"])
+    got = S.prefix_scan(tiled, ["symbol"], ["us", "seq"], {"s": ("sum", F.col("x"))}).toPandas().sort_values("seq")
+    assert np.allclose(got["s"], rows.groupby("symbol")["x"].cumsum())
+    sizes = tiled.groupBy("symbol", "_tile").count().toPandas()
+    assert sizes[sizes.symbol == "A"]["count"].max() < 0.3 * (rows.symbol == "A").sum()
+    back = J.asof_backward(df, df.filter("seq % 3 = 0"), ["symbol"], {"r": "seq"}, right_order=["seq"], width=None).toPandas()
+    fixed = J.asof_backward(df, df.filter("seq % 3 = 0"), ["symbol"], {"r": "seq"}, right_order=["seq"], width=64).toPandas()
+    assert back.sort_values("seq")["r"].fillna(-1).tolist() == fixed.sort_values("seq")["r"].fillna(-1).tolist()
+    assert S.suggest_width(df, rows=40, unit=100) <= 1000
