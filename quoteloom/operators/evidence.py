@@ -440,7 +440,8 @@ def univariate_matrix(events: DataFrame, features, targets: dict[str, str], tie:
     One long table keyed by (feature, target); every statistic is one keyed job over it. Needs fold, day, session.
     """
     pairs = F.array(*[F.struct(F.lit(n).alias("target"), c(t).cast("double").alias("y")) for n, t in targets.items()])
-    base = melt(events.withColumn("_t", F.explode(pairs)).select("*", "_t.target", "_t.y").drop("_t"), ["target", "y", "fold", "day", "session", tie], features)
+    slim = events.select("fold", "day", "session", tie, *[f for f in features if f != tie], F.explode(pairs).alias("_t"))
+    base = melt(slim.select("*", "_t.target", "_t.y").drop("_t"), ["target", "y", "fold", "day", "session", tie], features)
     # every statistic below reads the long table, so it is written once
     long = durable(base.filter(c("x").isNotNull() & c("y").isNotNull()))
     keys = ["feature", "target"]

@@ -50,7 +50,7 @@ def exact_quantiles(df: DataFrame, keys, x: str, qs: dict[str, float]) -> DataFr
     keys = list(keys)
     counted = value_counts(df, keys, x)
     total = counted.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    joined = counted.join(total, keys) if keys else counted.crossJoin(F.broadcast(total))
+    joined = counted.join(total, keys) if keys else counted.join(F.broadcast(total))  # one row without keys
     parts = []
     for name, q in qs.items():
         pos = F.lit(q) * (F.col("_total") - 1)
@@ -129,7 +129,7 @@ def ordered_index(df: DataFrame, keys, x: str, tie: str, name: str = "rn") -> Da
         F.percentile_approx(tv, at, F.lit(10_000)).alias("_ct"),
         F.count(F.lit(1)).alias(f"{name}_n"),
     )
-    both = rows.join(cuts, keys) if keys else rows.crossJoin(F.broadcast(cuts))  # one row without keys
+    both = rows.join(cuts, keys) if keys else rows.join(F.broadcast(cuts))  # one row without keys
     place = F.size(F.filter("_cx", lambda c: c < xv)).cast("long")
     common = F.array_contains("_cx", xv)
     inner = F.when(common, F.size(F.filter("_ct", lambda c: c < tv)).cast("long")).otherwise(F.lit(0).cast("long"))
