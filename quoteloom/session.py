@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,21 +41,54 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SCRATCH: dict[str, str] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the cluster's shared one, else a scratch folder (tests only)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for cut lineage that driver and executors share.
+
+    The setting ``spark.checkpoint.dir`` comes first, then a folder given to ``setCheckpointDir``. Only a session
+    in local mode, as in tests, may go without: it gets one scratch folder, removed when Python ends.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _SCRATCH[app], ignore_errors=True)
+    return _SCRATCH[app]
+
+
+def shared_path(spark: SparkSession, kind: str = "quoteloom") -> str:
+    """A new path in the shared folder."""
+    path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
 
 
 def durable(df):
     """Write ``df`` once as Parquet in the shared folder and continue from the files.
 
     Used where a plan refers to one intermediate table several times: the table is computed once, later
-    steps prune its columns, and a lost executor costs only its own tasks.
+    steps prune its columns, and a lost executor costs only its own tasks. ``release`` removes the files.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/quoteloom-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this process wrote to the shared folder; call it when no result that reads it is needed."""
+    keep = []
+    for owner, path in _WRITTEN:
+        if owner is spark:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        else:
+            keep.append((owner, path))
+    _WRITTEN[:] = keep
