@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import simhash
+from quoteloom.llm import lines, simhash, winnow
 from quoteloom.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,64 @@ def register(name: str, sql: str | None = None):
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register(
+    "op4_benchmark_decontamination",
+    r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+iw AS (
+  SELECT item_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark),
+items AS (SELECT item_id, w, least(len(w), 10) AS m FROM iw WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS g
+  FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM items) u),
+spans AS (
+  SELECT r, i, m, array_to_string(w[i : i + m - 1], ' ') AS g
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, (SELECT DISTINCT m FROM items) l WHERE len(w) >= m) u),
+met AS (SELECT s.r, s.i, s.m, x.item_id FROM spans s JOIN windows x ON s.g = x.g AND s.m = x.m),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + m)) AS p FROM met) q GROUP BY r),
+found AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM met WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
+""",
+)
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        winnow.digest("item_ids").alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@register(
+    "op8_line_window_dedup",
+    """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (
+  SELECT doc_id, text, i, array_to_string(l[i : i + 2], chr(10)) AS t
+  FROM (SELECT doc_id, text, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3) u),
+used AS (
+  SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, i) AS n
+  FROM w WHERE length(trim(replace(t, chr(10), ''), ' ')) > 0),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM used WHERE n > 1),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+kept AS (
+  SELECT x.doc_id, string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY x.i) AS text, count(*) AS n_lines, count(g.i) AS n_removed
+  FROM lines x LEFT JOIN gone g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(k.text, '')) END AS text_md5, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+)
+def op8_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", F.md5("text").alias("text_md5"), "n_lines", "n_removed")
