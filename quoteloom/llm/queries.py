@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import lines, simhash, winnow
+from quoteloom.llm import lines, mixing, shards, simhash, winnow
 from quoteloom.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,13 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register("op3_kd_tree_shards")
+def op3_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard(table(spark, sf_dir, "documents"), 40)
+    law, grown = F.lit("bytes"), F.lit(None).cast("int")
+    return placed.select("doc_id", "size", "text_crc32", law.alias("law"), F.col("shard").cast("int").alias("shard"), "slot", grown.alias("grown_shard"))
+
+
 @register(
     "op4_benchmark_decontamination",
     r"""
@@ -67,6 +74,13 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@register("op7_source_mixing")
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    names = ("size", "source_size", "target", "taken", "position")
+    return planned.orderBy("_position", "doc_id").select("doc_id", *[F.col(f"_{n}").alias(n) for n in names])
+
+
 @register(
     "op8_line_window_dedup",
     """

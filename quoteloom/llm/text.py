@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quoteloom.session import durable
+
 # White space as the contracts name it, and what separates letters-and-digits words.
 SPACES = r"[\x20\x09-\x0D]+"
 NOT_SPACES = r"[^\x20\x09-\x0D]+"
@@ -34,6 +37,20 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(seen, *parts).alias("_k1"), F.xxhash64(F.lit(7), *reversed(parts), seen).alias("_k2")]
 
 
+def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows numbered from 0 in a global order: numbered inside range partitions, plus the sizes of earlier ones."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = {f"_o{i}": c for i, c in enumerate(order)}
+    ranged = df.withColumns(keys).repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
+    ranged = durable(ranged)  # the borders of the ranges hold for both uses
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*keys)
+    numbered = ranged.withColumn("_rn", F.row_number().over(inside)).join(starts, "_part")
+    return numbered.withColumn(name, (F.col("_start") + F.col("_rn") - 1).cast("long")).drop("_part", "_rn", "_start", *keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal small hot inputs over all tasks before a step that multiplies rows."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
