@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import lines, mixing, shards, simhash, winnow
+from quoteloom.llm import lines, mixing, shards, simhash, urls, vptree, winnow
 from quoteloom.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@register("op5_url_templates")
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
+
+
 @register("op7_source_mixing")
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
@@ -103,3 +109,9 @@ FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 def op8_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", F.md5("text").alias("text_md5"), "n_lines", "n_removed")
+
+
+@register("op9_vantage_point_neighbours")
+def op9_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
