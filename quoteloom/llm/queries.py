@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import lines, mixing, shards, simhash, urls, vptree, winnow
+from quoteloom.llm import lines, mixing, records, shards, simhash, urls, vptree, winnow
 from quoteloom.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register("op2_binary_token_records")
+def op2_binary_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(spark, table(spark, sf_dir, "documents"), records.default_tokenizer())
+
+
 @register("op3_kd_tree_shards")
 def op3_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard(table(spark, sf_dir, "documents"), 40)

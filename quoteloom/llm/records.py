@@ -15,7 +15,7 @@ pieces; each distinct piece is encoded by the library once per task and remember
 The output folder must be a file system that ``pyarrow.fs`` can open by its URI (local or mounted paths, HDFS, S3, GCS).
 
 Nulls and edge cases: a null text is an empty one (its record holds the end id alone); rows without doc_id come first; rows
-that share a doc_id stand in the order of their token ids; repeated rows each have a record; an empty table writes no
+that share a doc_id stand in the order of a hash of their texts; repeated rows each have a record; an empty table writes no
 file; other columns are not read.
 """
 
@@ -24,13 +24,13 @@ from __future__ import annotations
 import os
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,6 +41,7 @@ from quoteloom.session import durable, shared_path
 END_ID = 2
 FILE_BYTES = 64 << 20
 _CACHE = 400_000
+_SLICE = 4 << 20
 _POLY = 0x82F63B78  # Castagnoli, reflected
 _MASK_ADD = 0xA282EAD8
 _LANE = 64  # 16-bit words per lane
@@ -129,34 +130,46 @@ def _crc() -> Crc32c:
 # --- tokenizing -------------------------------------------------------------------------------------------------------
 
 
-def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc_id, ids as packed bytes); the library sees each distinct piece once."""
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts with the end id behind; the library sees each distinct white-space piece once."""
 
-    tokenizer = Tokenizer.from_file(path)
-    width = _width(tokenizer.get_vocab_size(), end_id)
-    known: dict[str, list[int]] = {}
-    pieces = re.compile(r"\S+").findall
-    for batch in batches:
-        split = [pieces(t or "") for t in batch.column(1).to_pylist()]
-        if len(known) > _CACHE:
-            known.clear()
-        new = list(set(chain.from_iterable(split)).difference(known))
-        known.update(zip(new, (e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        packed = []
-        for words in split:
-            ids = np.fromiter(chain.from_iterable(map(known.__getitem__, words)), width)
-            packed.append(np.append(ids, width.type(end_id)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+    pieces = re.compile(r"[^\x20\x09-\x0D]+").findall
+
+    def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.end = np.array([end_id], _width(self.tokenizer.get_vocab_size(), end_id))
+        self.known: dict[str, list[int]] = {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [self.pieces(t or "") for t in texts]
+        if len(self.known) > _CACHE:
+            self.known.clear()
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            self.known.update(zip(some, (e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
+        ids = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), self.end.dtype) for words in split]
+        return [np.concatenate([i, self.end]).tobytes() for i in ids]
 
 
 def _width(vocabulary: int, end_id: int) -> np.dtype:
     return np.dtype("<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4")
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda it: _tokenize(it, tokenizer_path, end_id), "doc_id long, ids binary")
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose values in ``column`` hold about ``_SLICE`` bytes."""
+    sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    start = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > _SLICE:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 # --- writing ----------------------------------------------------------------------------------------------------------
@@ -183,32 +196,39 @@ def _frame(doc_ids: list[int | None], payloads: list[bytes]) -> tuple[list[bytes
     return framed, sizes
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, item: int, file_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Write a partition's records, in their order, to files of bounded size; yields the index."""
-    fs, root = _open(folder)
-    part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-    number, offset, out, name, temporary = 0, 0, None, "", ""
+def _publish(fs: pafs.FileSystem, temporary: str, target: str) -> None:
+    if fs.get_file_info(target).type != pafs.FileType.NotFound:  # an earlier attempt's, with the same bytes
+        fs.delete_file(target)
+    fs.move(temporary, target)
 
-    def close():
-        if out is not None:
-            out.close()
-            fs.move(temporary, f"{root}/{name}")
 
-    tokens_before = 0
-    for batch in batches:
-        framed, sizes = _frame(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Tokenize a partition and write its records, in their order, to files of bounded size; yields the index."""
+    fs, root = _open(folder)
+    encoder = Encoder(path, end_id)
+    part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+    number, offset, before, out, name, temporary = 0, 0, 0, None, "", ""
+    for batch in (piece for whole in batches for piece in _slices(whole, 1)):
+        ids = batch.column(0).to_pylist()
+        framed, sizes = _frame(ids, encoder.encode(batch.column(1).to_pylist()))
         rows = []
-        for doc, record, size in zip(batch.column(0).to_pylist(), framed, sizes.tolist(), strict=True):
-            if out is None or (offset and offset + len(record) > file_bytes):
-                close()
-                name, temporary, offset = f"part-{part:06d}-{number:04d}.rec", f"{root}/.part-{part:06d}-{number:04d}.{attempt}", 0
-                out, number = fs.open_output_stream(temporary), number + 1
+        for doc, record, size in zip(ids, framed, sizes.tolist(), strict=True):
+            if out is None or offset + len(record) > file_bytes:
+                if out is not None:
+                    out.close()
+                    _publish(fs, temporary, f"{root}/{name}")
+                name, offset = f"part-{part:06d}-{number:04d}.rec", 0
+                temporary, number = f"{root}/.{name}.{attempt}", number + 1
+                out = fs.open_output_stream(temporary)
             out.write(record)
-            n = (size - 10) // item
-            rows.append((part, name, offset, len(record), doc, n, tokens_before))
-            tokens_before, offset = tokens_before + n, offset + len(record)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _INDEX.types, strict=True)], schema=_INDEX) if rows else pa.RecordBatch.from_pylist([], _INDEX)
-    close()
+            n = (size - 10) // encoder.end.itemsize
+            rows.append((part, name, offset, len(record), doc, n, before))
+            before, offset = before + n, offset + len(record)
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _INDEX.types, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, schema=_INDEX)
+    if out is not None:
+        out.close()
+        _publish(fs, temporary, f"{root}/{name}")
 
 
 _INDEX = pa.schema(
@@ -221,17 +241,14 @@ def write_records(
     docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES
 ) -> tuple[str, DataFrame]:
     """Write the corpus; returns the folder and the index, whose ``start`` counts the ids of all documents before."""
-    from tokenizers import Tokenizer
-
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "records")
     fs, root = _open(folder)
     fs.create_dir(root)
-    item = _width(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id).itemsize
-    ids = durable(tokenize(docs, tokenizer_path, end_id))  # tokenized once; sampling the ranges reads doc_id alone
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(n, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
-    index = durable(ordered.mapInArrow(lambda it: _write(it, folder, item, file_bytes), _INDEX_SQL))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
+    ordered = rows.repartitionByRange(n, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
+    index = durable(ordered.mapInArrow(lambda it: _write(it, folder, tokenizer_path, end_id, file_bytes), _INDEX_SQL))
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = totals.select("part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
@@ -243,27 +260,23 @@ def write_records(
 
 def _decode(batches: Iterator[pa.RecordBatch], folder: str, item: int) -> Iterator[pa.RecordBatch]:
     fs, root = _open(folder)
-    open_files: dict[str, pa.NativeFile] = {}
-    names = ["file", "offset", "length", "start"]
+    handles: dict[str, pa.NativeFile] = {}
     for batch in batches:
-        place = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
-        raw, out = [], {k: [] for k in ("doc_id", "start", "ids")}
-        for name, offset, length, start in zip(*place, strict=True):
-            if name not in open_files:
-                if len(open_files) >= 64:
-                    open_files.pop(next(iter(open_files))).close()
-                open_files[name] = fs.open_input_file(f"{root}/{name}")
-            raw.append(open_files[name].read_at(length, offset))
-            out["start"].append(start)
-        _check(raw)
-        for r in raw:
-            none, doc = np.frombuffer(r, "<u2", 1, 12)[0], np.frombuffer(r, "<i8", 1, 14)[0]
-            out["doc_id"].append(None if none else int(doc))
-            out["ids"].append(np.frombuffer(r[22:-4], f"<u{item}").astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["ids"], pa.binary())], ["doc_id", "start", "ids"]
-        )
-    for f in open_files.values():
+        for at in range(0, batch.num_rows, 1000):
+            place = batch.slice(at, 1000).to_pydict()
+            raw = []
+            for name, offset, length in zip(place["file"], place["offset"], place["length"], strict=True):
+                if name not in handles:
+                    if len(handles) >= 64:
+                        handles.pop(next(iter(handles))).close()
+                    handles[name] = fs.open_input_file(f"{root}/{name}")
+                raw.append(handles[name].read_at(length, offset))
+            _check(raw)
+            docs = [None if r[12:14] != b"\0\0" else int.from_bytes(r[14:22], "little", signed=True) for r in raw]
+            ids = [np.frombuffer(r[22:-4], f"<u{item}").astype("<u4").tobytes() for r in raw]
+            columns = [pa.array(docs, pa.int64()), pa.array(place["start"], pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "ids"])
+    for f in handles.values():
         f.close()
 
 
@@ -305,6 +318,3 @@ def default_tokenizer() -> str:
 
     return os.fspath(public_tokenizers.path("word_bpe_49k.json"))
 
-
-def crc32_of(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
