@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import lines, mixing, records, shards, simhash, urls, vptree, winnow
+from quoteloom.llm import lines, mixing, records, shards, simhash, trie, urls, vptree, winnow
 from quoteloom.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ def op8_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@register("op10_trie_scores")
+def op10_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return trie.score(docs, trie.held_out(docs["doc_id"]))
