@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import lines, mixing, records, shards, simhash, trie, urls, vptree, winnow
+from quoteloom.llm import langid, lines, mixing, records, shards, simhash, trie, urls, vptree, winnow
 from quoteloom.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,17 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
 
 
+@register("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.of_documents(table(spark, sf_dir, "documents"))
+
+
+@register("page_language")
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where markup and addresses speak too."""
+    return langid.of_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @register("op7_source_mixing")
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
