@@ -132,10 +132,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4
     roots = durable(components(links(firsts.select("fp"), radius, bucket)))
     groups = firsts.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
     members = roots.join(groups, "root").withColumnRenamed("node", "fp")
-    of = firsts.join(members, "fp", "left").select(
-        "fp",
-        F.coalesce("root", "fp").alias("root"),
-        F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
+    # written, so that the join below reads one exchange a side: adaptive execution then splits a fingerprint of many rows
+    of = durable(
+        firsts.join(members, "fp", "left").select(
+            "fp",
+            F.coalesce("root", "fp").alias("root"),
+            F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
+        )
     )
     return narrow.join(of, "fp")
 
