@@ -31,7 +31,7 @@ from quoteloom.session import durable
 WEIGHTS = (5.0, 2.0, 1.0)
 TILTS = (0.5, 0.0, -0.5)  # heavy sources grow over training, light ones fade
 SHARE, CAP = 1.5, 2
-TILE_ROWS = 50_000
+TILE_ROWS = 10_000
 
 
 def word_count(text: Column) -> Column:
