@@ -2,8 +2,9 @@
 
 A sorted sequence of n numbers below u keeps the lower l = log2(u / n) bits of each number packed, and the upper bits in
 unary: number j with upper part h sets bit h + j, so the zeros end the groups of equal upper parts. The position of every
-eighth zero (for searches) or one (for reading by position) is kept as well; from there the place is found by looking at
-one machine word, rarely more.
+eighth zero (for searches) or one (for reading by position) is kept as well; from there the place is found by looking at a
+few machine words. Where the next seven stand far away, as in the dense stretch of a very common context, their
+positions are written out.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 
 _ONE = np.uint64(1)
 _SAMPLE = 8
+_FAR = 256  # bits between kept places beyond which the places between are written out
 
 
 def save(path: str, arrays: dict[str, np.ndarray], meta: dict) -> None:
@@ -61,7 +63,10 @@ def encode(name: str, values: np.ndarray, universe: int, by_position: bool = Fal
     bits = np.zeros(n + groups + 64, np.uint8)
     bits[top + np.arange(n)] = 1
     upper = np.packbits(bits, bitorder="little")
-    kept = np.nonzero(bits[: n + groups] == by_position)[0][::_SAMPLE]
+    places = np.nonzero(bits[: n + groups] == by_position)[0]
+    kept = places[::_SAMPLE]
+    far = np.nonzero(np.diff(kept, append=n + groups) > _FAR)[0]
+    between = np.minimum(far[:, None] * _SAMPLE + np.arange(_SAMPLE), max(len(places) - 1, 0))
     packed = np.zeros(0, np.uint8)
     if low and n:
         part = v & np.uint64((1 << low) - 1)
@@ -72,18 +77,29 @@ def encode(name: str, values: np.ndarray, universe: int, by_position: bool = Fal
             out.append(np.packbits(planes.reshape(-1), bitorder="little"))
         packed = np.concatenate(out)
     place = np.uint32 if n + groups < 1 << 32 else np.uint64
-    return {f"{name}.low": packed, f"{name}.up": upper, f"{name}.kept": kept.astype(place)}, {"n": n, "l": low, "u": int(universe)}
+    return {f"{name}.low": packed, f"{name}.up": upper,
+        f"{name}.kept": kept.astype(place),
+        f"{name}.far": far.astype(np.int64), f"{name}.between": places[between].astype(place).reshape(-1)}, {"n": n, "l": low, "u": int(universe)}
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str, meta: dict):
         self.n, self.l, self.u = meta["n"], meta["l"], meta["u"]
         self.low, self.up, self.kept = _words(arrays[f"{name}.low+"]), _words(arrays[f"{name}.up+"]), arrays[f"{name}.kept"]
+        self.far, self.between = arrays[f"{name}.far"], arrays[f"{name}.between"]
 
     def _select(self, q: np.ndarray, flip: bool) -> np.ndarray:
         """Position of one number q among the upper bits; with ``flip`` of zero number q."""
-        at, left = self.kept[q // _SAMPLE].astype(np.int64), q % _SAMPLE
-        out, todo = at.copy(), np.nonzero(left)[0]
+        block, left = q // _SAMPLE, q % _SAMPLE
+        at = self.kept[block].astype(np.int64)
+        out = at.copy()
+        todo = np.nonzero(left)[0]
+        if len(self.far):
+            k = np.minimum(np.searchsorted(self.far, block[todo]), len(self.far) - 1)
+            written = self.far[k] == block[todo]
+            some = todo[written]
+            out[some] = self.between[k[written] * _SAMPLE + left[some]]
+            todo = todo[~written]
         at, left = at[todo] + 1, left[todo]
         while len(todo):
             shift = at & 7
@@ -93,10 +109,7 @@ class EliasFano:
             done = have >= left
             y, r = x[done], left[done]
             for i in range(1, _SAMPLE):
-                more = r > i
-                if not more.any():
-                    break
-                y = np.where(more, y & (y - _ONE), y)
+                y = np.where(r > i, y & (y - _ONE), y)
             out[todo[done]] = at[done] + np.bitwise_count((y & (~y + _ONE)) - _ONE)
             rest = ~done
             todo, at, left = todo[rest], at[rest] + 64 - shift[rest], left[rest] - have[rest]
@@ -109,32 +122,42 @@ class EliasFano:
         return (self.low[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.l) - 1)
 
     def group(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index range [a, b) of the numbers whose upper part is h."""
-        end = self._select(h, True)
-        before = np.where(h > 0, self._select(np.maximum(h - 1, 0), True) - (h - 1), 0)
-        return before, end - h
+        """Index range [a, b) of the numbers whose upper part is h: the ones between two zeros."""
+        zero = np.where(h > 0, self._select(np.maximum(h - 1, 0), True), -1)
+        at = zero + 1
+        shift = at & 7
+        x = ~self.up[at >> 3] >> shift.astype(np.uint64)  # the next zero is mostly in the word behind
+        ones = np.bitwise_count((x & (~x + _ONE)) - _ONE).astype(np.int64)
+        long = np.nonzero(x == 0)[0]
+        if len(long):
+            ones[long] = self._select(h[long], True) - at[long]
+        begin = at - h
+        return begin, begin + ones
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """Index of the first number that equals ``value``, or -1; by successor search inside its group."""
+        """Index of a number that equals ``value``, or -1; by successor search inside its group."""
         value = value.astype(np.int64)
         out = np.full(len(value), -1, np.int64)
         if not self.n:
             return out
         want = value.astype(np.uint64) & np.uint64((1 << self.l) - 1)
         a, b = self.group(value >> self.l)
-        end = b.copy()
-        open_ = np.nonzero(a < b)[0]
-        lo, hi, w = a[open_], b[open_], want[open_]
-        while len(open_):  # least index whose lower part is not below the wanted one
+        who = np.nonzero(a < b)[0]
+        lo, hi, want = a[who], b[who], want[who]
+        low = self._lows(lo)  # most groups hold a number or two
+        same = low == want
+        out[who[same]] = lo[same]
+        more = (low < want) & (hi - lo > 1)
+        who, lo, hi, want = who[more], lo[more] + 1, hi[more], want[more]
+        while len(who):
             mid = (lo + hi) >> 1
-            under = self._lows(mid) < w
+            low = self._lows(mid)
+            same = low == want
+            out[who[same]] = mid[same]
+            under = low < want
             lo, hi = np.where(under, mid + 1, lo), np.where(under, hi, mid)
-            a[open_] = lo
-            stay = lo < hi
-            open_, lo, hi, w = open_[stay], lo[stay], hi[stay], w[stay]
-        inside = np.nonzero(a < end)[0]
-        same = inside[self._lows(a[inside]) == want[inside]]
-        out[same] = a[same]
+            more = ~same & (lo < hi)
+            who, lo, hi, want = who[more], lo[more], hi[more], want[more]
         return out
 
     def get(self, j: np.ndarray) -> np.ndarray:

@@ -30,12 +30,12 @@ from __future__ import annotations
 import itertools
 import json
 import os
-from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -65,27 +65,41 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(word numbers, the distinct words, words per text) of a binary column; only A-Z and ASCII white space count."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.view(pa.binary()).to_pylist()
+    numbers = coded.indices.to_numpy()
+    lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    if b"" in words:  # stands where a text begins or ends with white space
+        blank = numbers == words.index(b"")
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        lengths = lengths - np.bincount(owner[blank], minlength=len(lengths))
+        numbers = numbers[~blank]
+    return numbers, words, lengths
+
+
 # --- vocabulary -------------------------------------------------------------------------------------------------------
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: Counter = Counter()
-    ends = 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush():
-        h = np.append(_hashes(list(words)), _END)
-        n = np.append(np.fromiter(words.values(), np.int64, len(words)), ends)
+        h, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        held.clear()
+        h, which = np.unique(h, return_inverse=True)
+        n = np.bincount(which, weights=n, minlength=len(h)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
-    for batch in batches:
-        for text in batch.column(0):
-            words.update((text.as_py() or b"").lower().split())
-            ends += 1
-            if len(words) > _KNOWN:
-                yield flush()
-                words.clear()
-                ends = 0
-    if ends:
+    for batch in (piece for whole in batches for piece in _slices(whole, 0)):
+        numbers, words, lengths = _split(batch.column(0))
+        n = np.bincount(numbers, minlength=len(words))
+        held.append((np.append(_hashes(words), _END), np.append(n, len(lengths))))
+        if sum(len(x[0]) for x in held) > 2 * _KNOWN:
+            yield flush()
+    if held:
         yield flush()
 
 
@@ -153,31 +167,34 @@ class Reader:
         end = self.words.find(np.array([_END]))
         n, upto = self.words.take(end)
         self.ids, self.n, self.upto = [end], [n], [upto]  # entry 0 is the end of a document
+        self.place, self.after = [np.full(1, -2)], [np.zeros(1, np.int64)]  # what a scorer finds out about contexts
 
-    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(entries, ends): one end before the first document, then each document's words and its end; and where the ends are."""
         if len(self.known) > _KNOWN:
             self.forget()
-        split = [(t or b"").lower().split() for t in texts]
-        new = list(set(itertools.chain.from_iterable(split)).difference(self.known))
+        numbers, words, lengths = _split(texts)
+        new = list(set(words).difference(self.known))
         if new:
             first = sum(map(len, self.ids))
             self.known.update(zip(new, range(first, first + len(new)), strict=True))
             ids = self.words.find(_hashes(new))
             n, upto = self.words.take(ids)
             self.ids.append(ids), self.n.append(n), self.upto.append(upto)
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
+            self.place.append(np.full(len(new), -2)), self.after.append(np.zeros(len(new), np.int64))
         ends = np.cumsum(lengths + 1)
         entries = np.zeros(int(ends[-1]) + 1, np.int64)
         inner = np.ones(len(entries), bool)
         inner[0], inner[ends] = False, False
-        entries[inner] = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(lengths.sum()))
+        entries[inner] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[numbers]
         return entries, ends
 
-    def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        for name in ("ids", "n", "upto"):
-            setattr(self, name, [np.concatenate(getattr(self, name))])
-        return self.ids[0], self.n[0], self.upto[0]
+    def columns(self) -> tuple[np.ndarray, ...]:
+        """Per entry: id, count, count of all words before, place as a context (-2: not looked up), words after it."""
+        for name in ("ids", "n", "upto", "place", "after"):
+            if len(getattr(self, name)) > 1:
+                setattr(self, name, [np.concatenate(getattr(self, name))])
+        return self.ids[0], self.n[0], self.upto[0], self.place[0], self.after[0]
 
 
 def _shard_of(n: np.ndarray, upto: np.ndarray, next_upto: np.ndarray, tokens: int, per_shard: int) -> np.ndarray:
@@ -242,7 +259,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch], root: str, lines: list[list[
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
     for batch in (piece for whole in batches for piece in _slices(whole, 0)):
-        entries, ends = reader.read(batch.column(0).to_pylist())
+        entries, ends = reader.read(batch.column(0))
         ids = reader.columns()[0][entries]
         third = np.append(ids[2:], -1)
         third[ends[:-1] - 1] = -1  # nothing follows (word, end)
@@ -363,76 +380,90 @@ class Scorer:
             self.shards[s] = Shard(path) if os.path.exists(path) else None
         return self.shards[s]
 
-    def _after(self, shard: Shard, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Context number in the shard (-1: absent) and distinct words after it in the whole corpus."""
-        c = shard.context.find(word)
-        there = np.maximum(c, 0)
-        local = np.where(c >= 0, shard.pointer2.get(there + 1) - shard.pointer2.get(there), 0)
-        k = np.minimum(np.searchsorted(self.wide, word), len(self.wide) - 1)
-        return c, np.where(self.wide[k] == word, self.wide_after[k], local)
-
-    def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    def _contexts(self, entries: np.ndarray) -> None:
+        """Fill in place and after of the words among ``entries`` that are new as contexts.
+
+        A word whose pairs lie in one shard is looked up there once; one whose pairs are spread (``wide``) has its number
+        of next words in the model and a place in each of its shards (-1 here).
+        """
+        ids, n, upto, place, after = self.reader.columns()
+        new = np.unique(entries[(place[entries] == -2) & (ids[entries] >= 0)])
+        if not len(new):
+            return
+        place[new] = -1
+        if not len(self.wide):
+            return
+        k = np.minimum(np.searchsorted(self.wide, ids[new]), len(self.wide) - 1)
+        wide = self.wide[k] == ids[new]
+        after[new[wide]] = self.wide_after[k[wide]]
+        home = new[~wide]
+        shard = _shard_of(n[home], upto[home], np.zeros(len(home)), self.reader.words.tokens, self.model.per_shard)
+        # a word's pairs may all lie in the second of two shards that its stretch touches; then it is wide
+        for number, who in _grouped(shard):
+            s = self.shard(number)
+            if s is not None:
+                c = s.context.find(ids[home[who]])
+                there = np.nonzero(c >= 0)[0]
+                c, to = c[there], home[who][there]
+                place[to] = c
+                after[to] = s.pointer2.get(c + 1) - s.pointer2.get(c)
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score, score."""
         entries, ends = self.reader.read(texts)
-        ids, n, upto = (c[entries] for c in self.reader.columns())
-        words = self.reader.words
+        self._contexts(entries[:-1])
+        columns = self.reader.columns()
+        words, discount = self.reader.words, self.model.discount
+        ids, n, upto = (c[entries] for c in columns[:3])
         begins = np.concatenate([[0], ends[:-1]])  # of each document's first token, when the leading end is dropped
-        c = n[1:]
-        p1 = (c + 1) / (words.tokens + words.size + 1)
-        base = np.log10(p1)
-        p = p1.copy()
+        p1 = (n[1:] + 1) / (words.tokens + words.size + 1)
+        p2, p3, back3 = np.zeros(len(p1)), np.zeros(len(p1)), np.ones(len(p1))
+        after = columns[4][entries[:-1]]
+        back2 = np.where(after > 0, discount * after / np.maximum(n[:-1], 1), 1.0)
+        pair = np.nonzero((after > 0) & (ids[1:] >= 0))[0]  # token i follows entry i
+        shard = _shard_of(n[pair], upto[pair], upto[pair + 1], max(words.tokens, 1), self.model.per_shard)
         v = words.size
-        pair = np.nonzero((ids[:-1] >= 0))[0] if words.tokens else np.zeros(0, np.int64)  # token i follows entry i
-        known = ids[1:][pair] >= 0
-        shard = np.where(known, _shard_of(n[:-1][pair], upto[:-1][pair], np.where(known, upto[1:][pair], 0), max(words.tokens, 1), self.model.per_shard), -1)
-        # a known word before an unknown one: any shard with that context tells how many words follow it
-        shard = np.where(known, shard, _shard_of(n[:-1][pair], upto[:-1][pair], np.zeros(len(pair)), max(words.tokens, 1), self.model.per_shard))
-        p3 = np.zeros(len(p1))
-        back3 = np.ones(len(p1))
-        back2 = np.ones(len(p1))
-        p2 = np.zeros(len(p1))
-        order = np.argsort(shard, kind="stable")
-        cuts = [*np.nonzero(np.diff(shard[order], prepend=-1))[0], len(order)]
-        for lo, hi in itertools.pairwise(cuts):
-            some = order[lo:hi]
-            at = pair[some]
-            s = self.shard(int(shard[some[0]]))
+        for number, some in _grouped(shard):
+            s = self.shard(number)
             if s is None:
-                self._absent(ids[at], n[at], at, back2)
                 continue
-            context, after = self._after(s, ids[at])
-            back2[at] = np.where(after > 0, self.model.discount * after / np.maximum(n[at], 1), 1.0)
-            look = np.nonzero((context >= 0) & (ids[at + 1] >= 0))[0]
-            found = s.word2.find(context[look] * v + ids[at[look] + 1])
-            hit = look[found >= 0]
-            found = found[found >= 0]
-            p2[at[hit]] = _VALUE[s.arrays["p2"][found]]
+            at = pair[some]
+            context = columns[3][entries[at]]
+            spread = np.nonzero(context < 0)[0]
+            if len(spread):
+                names, which = np.unique(ids[at[spread]], return_inverse=True)
+                context[spread] = s.context.find(names)[which]
+                at, context = at[context >= 0], context[context >= 0]
+            found = s.word2.find(context * v + ids[at + 1])
+            at, found = at[found >= 0], found[found >= 0]
+            p2[at] = _VALUE[s.arrays["p2"][found]]
             # the pair is the context of the token behind it, unless it ends its document
-            go = entries[at[hit] + 1] != 0
-            longer, follow = found[go], at[hit][go] + 1
+            go = entries[at + 1] != 0
+            longer, follow = found[go], at[go] + 1
             back3[follow] = _VALUE[s.arrays["back3"][longer]]
             ok = ids[follow + 1] >= 0
             longer, follow = longer[ok], follow[ok]
             third = s.word3.find(longer * v + ids[follow + 1])
             p3[follow[third >= 0]] = _VALUE[s.arrays["p3"][third[third >= 0]]]
-        p = p3 + back3 * (p2 + back2 * p1)
-        log = np.log10(np.minimum(p, 1.0))
+        log = np.log10(np.minimum(p3 + back3 * (p2 + back2 * p1), 1.0))
         tokens = np.diff(np.append(begins, len(p1)))
-        return tokens, np.add.reduceat((c > 0).astype(np.int64), begins), np.add.reduceat(base, begins), np.add.reduceat(log, begins)
+        known = np.add.reduceat((n[1:] > 0).astype(np.int64), begins)
+        return tokens, known, np.add.reduceat(np.log10(p1), begins), np.add.reduceat(log, begins)
+
 
-    def _absent(self, word: np.ndarray, n: np.ndarray, at: np.ndarray, back2: np.ndarray) -> None:
-        """No gram fell into this shard; its contexts may still be wide ones of the shards around."""
-        if len(self.wide):
-            k = np.minimum(np.searchsorted(self.wide, word), len(self.wide) - 1)
-            same = self.wide[k] == word
-            back2[at[same]] = self.model.discount * self.wide_after[k[same]] / np.maximum(n[same], 1)
+def _grouped(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number with the positions that hold it, in order."""
+    order = np.argsort(numbers, kind="stable")
+    cuts = [*np.nonzero(np.diff(numbers[order], prepend=-1))[0], len(order)]
+    for lo, hi in itertools.pairwise(cuts):
+        yield int(numbers[order[lo]]), order[lo:hi]
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     tokens = scorer.reader.words.tokens
     for batch in (piece for whole in batches for piece in _slices(whole, 2)):
-        n, known, base, score = scorer.score(batch.column(2).to_pylist())
+        n, known, base, score = scorer.score(batch.column(2))
         total = pa.array(np.full(batch.num_rows, tokens, np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(n), pa.array(known), total, pa.array(base), pa.array(score)],
