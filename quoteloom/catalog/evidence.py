@@ -111,13 +111,13 @@ def draws_sql(seed: int, reps: int) -> str:
     "v6_block_bootstrap",
     pv()
     + f""", b AS (SELECT day, count(*) AS n, sum(pnl) AS s, sum(y) AS sy, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS nd FROM predictions GROUP BY day),
-    dr AS (SELECT i AS slot, rep, {draws_sql(7, 500)} AS pick FROM b, range(500) t(rep)),
+    dr AS (SELECT i AS slot, rep, {draws_sql(7, 2000)} AS pick FROM b, range(2000) t(rep)),
     e AS (SELECT rep, sum(s) / sum(n) AS m, sum(sy) / sum(n) AS my FROM dr JOIN b ON b.i = dr.pick GROUP BY rep)
     SELECT (SELECT count(*) FROM b) AS blocks, (SELECT round(sum(s) / sum(n), 6) FROM b) AS pnl_estimate, (SELECT round(sum(sy) / sum(n), 6) FROM b) AS y_estimate,
       round(quantile_cont(m, 0.025), 6) AS pnl_lower, round(quantile_cont(m, 0.975), 6) AS pnl_upper, round(quantile_cont(my, 0.025), 6) AS y_lower, round(quantile_cont(my, 0.975), 6) AS y_upper FROM e""",
 )
 def v6(spark, d):
-    return round_doubles(V.block_bootstrap(predictions(spark, d), "day", ["pnl", "y"], (), 500, 7))
+    return round_doubles(V.block_bootstrap(predictions(spark, d), "day", ["pnl", "y"], (), 2000, 7))
 
 
 EPISODES = recursive(QUOTES, SEC, EPI) + """, ep AS (SELECT m.symbol, st AS start_us, arg_min(direction, us) FILTER (act <> 0) AS direction, arg_min(score, us) FILTER (act <> 0) AS first_score, max(score) FILTER (act <> 0) AS peak_score,
@@ -292,12 +292,12 @@ def v20(spark, d):
     "v21_ranking_curve",
     pv(SCOPES)
     + f""", r AS (SELECT *, row_number() OVER (PARTITION BY scope, scope_side ORDER BY p DESC, event_id) AS rn, count(*) OVER (PARTITION BY scope, scope_side) AS t, avg(pnl) OVER (PARTITION BY scope, scope_side) AS un FROM sc),
-    f AS (SELECT *, unnest([0.1, 0.05, 0.01]) AS fraction FROM r)
+    f AS (SELECT *, unnest([0.1, 0.05, 0.02, 0.01, 0.005, 0.0025, 0.001]) AS fraction FROM r)
     SELECT scope, scope_side, CAST(fraction AS DOUBLE) AS fraction, count(*) AS n, round(avg(pnl), 6) AS expectancy, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END), 6) AS win_rate, count(DISTINCT us // {DAY}) AS active_days, round(any_value(un), 6) AS unconditional,
       round(avg(pnl) - any_value(un), 6) AS uplift FROM f WHERE rn <= greatest(1, ceil(round(fraction * t, 9))) GROUP BY ALL""",
 )
 def v21(spark, d):
-    return round_doubles(V.ranking_curve(predictions(spark, d), "p", "pnl", [0.1, 0.05, 0.01], "event_id"))
+    return round_doubles(V.ranking_curve(predictions(spark, d), "p", "pnl", V.TOP_FRACTIONS, "event_id"))
 
 
 DRIFT = """st AS (SELECT comparison, feature, avg(CASE WHEN role = 'ref' THEN x END) AS rm, avg(CASE WHEN role = 'tgt' THEN x END) AS tm, var_pop(CASE WHEN role = 'ref' THEN x END) AS vr, var_pop(CASE WHEN role = 'tgt' THEN x END) AS vt,
@@ -390,12 +390,12 @@ def v27(spark, d):
     "v28_within_block_spearman_ci",
     pv(LONG)
     + f""", r AS ({rho_sql('lg', 'feature, day')}), k AS (SELECT feature, day, corr(rx, ry) AS rho, row_number() OVER (PARTITION BY feature ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY feature) AS nd FROM r GROUP BY feature, day),
-    dr AS (SELECT feature, i AS slot, rep, {draws_sql(1, 200)} AS pick FROM k, range(200) t(rep)), e AS (SELECT dr.feature, rep, avg(rho) AS m FROM dr JOIN k ON k.feature = dr.feature AND k.i = dr.pick GROUP BY ALL),
+    dr AS (SELECT feature, i AS slot, rep, {draws_sql(1, 500)} AS pick FROM k, range(500) t(rep)), e AS (SELECT dr.feature, rep, avg(rho) AS m FROM dr JOIN k ON k.feature = dr.feature AND k.i = dr.pick GROUP BY ALL),
     q AS (SELECT feature, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM e GROUP BY feature), z AS (SELECT feature, avg(rho) AS est, count(*) AS blocks FROM k GROUP BY feature)
     SELECT feature, round(est, 6) AS rho_estimate, blocks, round(lo, 6) AS rho_lower, round(hi, 6) AS rho_upper FROM z JOIN q USING (feature)""",
 )
 def v28(spark, d):
-    return round_doubles(V.within_block_spearman_ci(long(spark, d), ["feature"], "day", 200))
+    return round_doubles(V.within_block_spearman_ci(long(spark, d), ["feature"], "day", 500))
 
 
 @register(
@@ -468,16 +468,34 @@ def v33(spark, d):
     return round_doubles(V.early_day_hypothesis(rows, "value", "target"))
 
 
+V34_FEATURES = ["a", "b", "c", "d", "e"]
+V34_PAIRS = [(x, y) for i, x in enumerate(V34_FEATURES) for y in V34_FEATURES[i + 1 :]]
+V34_SQL = f"""WITH e0 AS (SELECT value AS a, value * 2 + user_id * 0.01 AS b, user_id AS c, user_id * 3 + value * 0.1 AS d, event_id % 97 AS e, event_id FROM events),
+    lg AS ({" UNION ALL ".join(f"SELECT '{x}{y}' AS pair, '{x}' AS feature_a, '{y}' AS feature_b, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM e0" for x, y in V34_PAIRS)}),
+    rk AS ({rho_sql('lg', 'pair')}), pr AS (SELECT pair, feature_a, feature_b, corr(rx, ry) AS rho FROM rk GROUP BY ALL)"""
+
+
+@register("v34_redundancy_pairs", V34_SQL + " SELECT feature_a, feature_b, round(rho, 6) AS spearman FROM pr")
+def v34_pairs(spark, d):
+    return round_doubles(V.redundancy_pairs(v34_rows(spark, d), V34_FEATURES).select("feature_a", "feature_b", "spearman"))
+
+
 @register(
     "v34_redundancy_filter",
-    """WITH e AS (SELECT value AS a, value * 2 + user_id * 0.01 AS b, user_id AS c, user_id * 3 + value * 0.1 AS d, event_id % 97 AS e FROM events),
-    r AS (SELECT abs(corr(a, b)) AS ab, abs(corr(a, c)) AS ac, abs(corr(a, d)) AS ad, abs(corr(a, e)) AS ae, abs(corr(b, c)) AS bc, abs(corr(c, d)) AS cd, abs(corr(c, e)) AS ce, abs(corr(b, d)) AS bd FROM e)
-    SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS feature, unnest([0, 1, 2, 3, 4]) AS priority, unnest([true, ab < 0.9, ac < 0.9 AND (ab >= 0.9 OR bc < 0.9), ad < 0.9 AND NOT (cd >= 0.9) AND (ab >= 0.9 OR bd < 0.9), ae < 0.9 AND ce < 0.9]) AS kept FROM r""",
+    V34_SQL
+    + """, w AS (SELECT max(CASE WHEN pair = 'ab' THEN abs(rho) END) AS ab, max(CASE WHEN pair = 'ac' THEN abs(rho) END) AS ac, max(CASE WHEN pair = 'ad' THEN abs(rho) END) AS ad, max(CASE WHEN pair = 'ae' THEN abs(rho) END) AS ae,
+      max(CASE WHEN pair = 'bc' THEN abs(rho) END) AS bc, max(CASE WHEN pair = 'bd' THEN abs(rho) END) AS bd, max(CASE WHEN pair = 'be' THEN abs(rho) END) AS be, max(CASE WHEN pair = 'cd' THEN abs(rho) END) AS cd, max(CASE WHEN pair = 'ce' THEN abs(rho) END) AS ce, max(CASE WHEN pair = 'de' THEN abs(rho) END) AS de FROM pr),
+    kb AS (SELECT *, ab < 0.9 AS b FROM w), kc AS (SELECT *, ac < 0.9 AND NOT (b AND bc >= 0.9) AS c FROM kb), kd AS (SELECT *, ad < 0.9 AND NOT (b AND bd >= 0.9) AND NOT (c AND cd >= 0.9) AS d FROM kc),
+    ke AS (SELECT *, ae < 0.9 AND NOT (b AND be >= 0.9) AND NOT (c AND ce >= 0.9) AND NOT (d AND de >= 0.9) AS e FROM kd)
+    SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS feature, unnest([0, 1, 2, 3, 4]) AS priority, unnest([true, b, c, d, e]) AS kept FROM ke""",
 )
 def v34(spark, d):
+    return V.redundancy_filter(v34_rows(spark, d), V34_FEATURES).select("feature", "priority", "kept")
+
+
+def v34_rows(spark, d):
     v, u = F.col("value"), F.col("user_id")
-    rows = predictions(spark, d).select(v.alias("a"), (v * 2 + u * 0.01).alias("b"), u.alias("c"), (u * 3 + v * 0.1).alias("d"), (F.col("event_id") % 97).alias("e"))
-    return V.redundancy_filter(rows, ["a", "b", "c", "d", "e"])
+    return predictions(spark, d).select(v.alias("a"), (v * 2 + u * 0.01).alias("b"), u.alias("c"), (u * 3 + v * 0.1).alias("d"), (F.col("event_id") % 97).alias("e"))
 
 
 @register(

@@ -226,10 +226,10 @@ def f14(spark, d):
     return round_doubles(X.core(b).select("symbol", "us", "mean", "std", "median"))
 
 
-RS_STEPS, RS_DAY = (1, 2, 4, 8), 26
+RS_STEPS, RS_DAY, RS_LEAST = (1, 2, 4, 8), 26, 40
 RS_SQL = f"""rs AS (SELECT t.symbol, t.us, t.rn, t.close, e.e AS atr, e.e / t.close * 100 AS atr_pct, t.volume, t.trades, t.open
     FROM tr t JOIN e27 e USING (symbol, rn)),
-  rs1 AS (SELECT *, abs(close - lag(close) {W}) AS step FROM rs),
+  rs1 AS (SELECT *, abs(close - lag(close) {W}) AS step, count(*) OVER (PARTITION BY symbol) AS bars FROM rs),
   rs2 AS (SELECT *, close / lag(close, 1) {W} - 1 AS return_15m, close / lag(close, 2) {W} - 1 AS return_30m,
     close / lag(close, 4) {W} - 1 AS return_1h, close / lag(close, 8) {W} - 1 AS return_4h,
     close / lag(close, {RS_DAY}) {W} - 1 AS return_24h,
@@ -241,7 +241,7 @@ RS_SQL = f"""rs AS (SELECT t.symbol, t.us, t.rn, t.close, e.e AS atr, e.e / t.cl
     CASE WHEN tm > 0 THEN trades / tm ELSE 0 END AS activity_relative,
     len(list_filter(hist, lambda v: v <= atr_pct)) / {float(RS_DAY)} AS atr_percentile,
     CASE WHEN path > 0 THEN abs(close - far) / path ELSE 0 END AS trend_efficiency, atr_pct * 2 AS expected_move_pct
-  FROM rs2 WHERE rn > {RS_DAY})"""
+  FROM rs2 WHERE rn > {RS_DAY} AND rn < bars AND bars >= {RS_LEAST})"""
 RS_COLS = (
     "atr", "return_15m", "return_30m", "return_1h", "return_4h", "return_24h", "volume_relative",
     "activity_relative", "atr_percentile", "trend_efficiency", "expected_move_pct",
@@ -250,7 +250,7 @@ RS_CTES = (CANDLES, TR, ema_cte("e27", "tr", "tr", 27), RS_SQL)
 
 
 def strength(spark, d):
-    return X.relative_strength(candles(spark, d), steps=RS_STEPS, day=RS_DAY, tile=TILE)
+    return X.closed_strength(candles(spark, d), least=RS_LEAST, steps=RS_STEPS, day=RS_DAY, tile=TILE)
 
 
 @register(

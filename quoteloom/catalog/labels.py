@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from quoteloom.catalog.registry import CANDLES, QUOTES, register, with_views
@@ -58,12 +60,12 @@ def l2(spark, d):
 @register(
     "l3_mfe_mae",
     with_views(QUOTES, OBS)
-    + f"""SELECT o.symbol, o.us, o.seq, round(greatest(max(q.bid) - o.ask, 0) / {POINT}, 6) AS mfe_long, round(greatest(o.ask - min(q.bid), 0) / {POINT}, 6) AS mae_long,
-      round(greatest(o.bid - min(q.ask), 0) / {POINT}, 6) AS mfe_short, round(greatest(max(q.ask) - o.bid, 0) / {POINT}, 6) AS mae_short
-    FROM obs o JOIN quotes q ON q.symbol = o.symbol AND q.us > o.us AND q.us <= o.us + {12 * HOUR} GROUP BY o.symbol, o.us, o.seq, o.ask, o.bid""",
+    + f"""SELECT o.symbol, o.us, o.seq, CASE WHEN count(q.us) > 0 THEN round(greatest(max(q.bid) - o.ask, 0) / {POINT}, 6) END AS mfe_long, CASE WHEN count(q.us) > 0 THEN round(greatest(o.ask - min(q.bid), 0) / {POINT}, 6) END AS mae_long,
+      CASE WHEN count(q.us) > 0 THEN round(greatest(o.bid - min(q.ask), 0) / {POINT}, 6) END AS mfe_short, CASE WHEN count(q.us) > 0 THEN round(greatest(max(q.ask) - o.bid, 0) / {POINT}, 6) END AS mae_short
+    FROM obs o LEFT JOIN quotes q ON q.symbol = o.symbol AND q.us > o.us AND q.us <= o.us + {12 * HOUR} GROUP BY o.symbol, o.us, o.seq, o.ask, o.bid""",
 )
 def l3(spark, d):
-    out = L.mfe_mae(sampled(spark, d), quotes(spark, d), 12 * HOUR, POINT).filter("mfe_long IS NOT NULL")
+    out = L.mfe_mae(sampled(spark, d), quotes(spark, d), 12 * HOUR, POINT)
     return round_doubles(out.select("symbol", "us", "seq", "mfe_long", "mae_long", "mfe_short", "mae_short"))
 
 
@@ -145,7 +147,8 @@ def l6(spark, d):
     return round_doubles(out.select("symbol", "us", "seq", *cols))
 
 
-SETTINGS = (L.Barrier("B01", 0.75, 1.25, 12 * HOUR, 1.5), L.Barrier("B02", 1.0, 2.0, 24 * HOUR, 2.0))
+# the published settings, their timeouts stretched to the sparse test stream
+SETTINGS = tuple(replace(b, timeout=b.timeout * 240) for b in L.BARRIER_SETTINGS)
 COSTED = f"""costed AS (SELECT *, 200 + volume AS atr_points, spread / {POINT} AS cost_optimistic, spread / {POINT} + 2 + 0.04 * mid / ({POINT} * 10) AS cost_base,
    spread / {POINT} + 4 + 0.08 * mid / ({POINT} * 10) AS cost_stress FROM obs)"""
 
@@ -163,8 +166,8 @@ def barrier_sql(s: L.Barrier) -> str:
 
 @register(
     "l7_triple_barrier",
-    with_views(QUOTES, OBS, COSTED, barrier_sql(SETTINGS[0]), barrier_sql(SETTINGS[1]))
-    + f""", tt AS (SELECT *, us + tmo - eu <= {TOL} AND eu > us AS complete FROM (SELECT * FROM t_B01 UNION ALL SELECT * FROM t_B02)),
+    with_views(QUOTES, OBS, COSTED, *map(barrier_sql, SETTINGS))
+    + f""", tt AS (SELECT *, us + tmo - eu <= {TOL} AND eu > us AS complete FROM ({' UNION ALL '.join(f"SELECT * FROM t_{b.id}" for b in SETTINGS)})),
     sd AS (SELECT *, unnest(['BUY', 'SELL']) AS side FROM tt),
     p AS (SELECT s.symbol, s.us, s.seq, s.setting, s.side, q.us AS qu, q.bid AS qb, q.ask AS qa,
        CASE WHEN side = 'BUY' THEN (q.bid - s.ask) / {POINT} ELSE (s.bid - q.ask) / {POINT} END AS pnl,

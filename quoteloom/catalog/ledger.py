@@ -89,13 +89,13 @@ def p5(spark, d):
 @register(
     "p6_concentration",
     with_views(LEDGER)
-    + """, s AS (SELECT symbol, sum(net) AS n, max(net) AS m FROM ledger WHERE net > -1000 GROUP BY symbol), t AS (SELECT sum(n) AS total, arg_max(symbol, n) AS ls, max(n) AS ln, max(m) AS lm FROM s)
+    + """, s AS (SELECT symbol, sum(net) AS n, max(net) AS m FROM ledger GROUP BY symbol), t AS (SELECT sum(n) AS total, arg_max(symbol, n) AS ls, max(n) AS ln, max(m) AS lm FROM s)
     SELECT round(total, 2) AS total, CASE WHEN total > 0 THEN ls END AS largest_symbol, round(CASE WHEN total > 0 THEN ln / total ELSE 0 END, 6) AS largest_symbol_share,
       round(CASE WHEN total > 0 THEN lm / total ELSE 0 END, 6) AS largest_trade_share, round(CASE WHEN total > 0 THEN total - ln ELSE total END, 2) AS without_largest_symbol,
       round(CASE WHEN total > 0 THEN total - lm ELSE total END, 2) AS without_largest_trade FROM t""",
 )
 def p6(spark, d):
-    out = P.concentration(ledger(spark, d).filter("net > -1000"))
+    out = P.concentration(ledger(spark, d))
     return round_columns(round_columns(out, "largest_symbol_share", "largest_trade_share"), "total", "without_largest_symbol", "without_largest_trade", digits=2)
 
 

@@ -87,7 +87,7 @@ def m6(spark, d):
 
 @register("m7_boosted_oof")
 def m7(spark, d):
-    out = M.oof_predictions(modelled(spark, d), ["user_id", "pred_mfe"], "market", START, END, CUTS[2:], SPAN, "boosted_regressor")
+    out = M.oof_predictions(modelled(spark, d), FEATURES, "market", START, END, CUTS, SPAN, "boosted_regressor")
     return round_doubles(out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("mean_prediction"), F.avg("market").alias("mean_actual")), 4)
 
 
@@ -137,7 +137,7 @@ def m10(spark, d):
 def m11(spark, d):
     rows = oof(spark, d).withColumn("target", F.col("pred") + F.col("market") * 0.2)
     beta = M.ridge(rows, ["pred", "pred_mfe", "past_return"], "target", 1.0)
-    return round_doubles(M.group_importance(rows, {"model": ["pred"], "context": ["pred_mfe", "past_return"]}, beta, "target", "event_id", 2))
+    return round_doubles(M.group_importance(rows, {"model": ["pred"], "context": ["pred_mfe", "past_return"]}, beta, "target", "event_id", 3))
 
 
 @register("m13_coefficients")

@@ -113,8 +113,9 @@ SCORED = (
         CASE WHEN stx THEN 'M15_STRUCTURE_' || CASE WHEN market_bias = 'BUY' THEN 'HH_HL' ELSE 'LH_LL' END END,
         CASE WHEN br THEN 'M5_BREAKOUT_RETEST_' || CASE WHEN market_bias = 'BUY' THEN 'BULLISH' ELSE 'BEARISH' END END,
         CASE WHEN bal THEN 'VOLATILITY_BALANCED' WHEN m1_atr > 0 THEN 'VOLATILITY_EXTREME_OR_COMPRESSED' END, CASE WHEN sp THEN 'SPREAD_ACCEPTABLE' END, 'SESSION_AND_NEWS_CLEAR'],
-        lambda x: x IS NOT NULL), ',') AS reasons FROM flags),
+        lambda x: x IS NOT NULL), ',') AS good FROM flags),
     total AS (SELECT *, score_m15 + score_m5 + score_m1 + score_tick + score_structure + score_volatility + score_spread + score_context AS score,
+      good || CASE WHEN score_m15 + score_m5 + score_m1 + score_tick + score_structure + score_volatility + score_spread + score_context < 90 THEN ',SCORE_BELOW_CANDIDATE_THRESHOLD' ELSE '' END AS reasons,
       array_to_string(list_filter([CASE WHEN m15_available < 14 OR m5_available < 20 OR m1_available < 15 THEN 'FEATURE_WARMUP_INCOMPLETE' END,
         CASE WHEN m15_available < 14 THEN 'INSUFFICIENT_M15_HISTORY' END, CASE WHEN m5_available < 20 THEN 'INSUFFICIENT_M5_HISTORY' END,
         CASE WHEN m1_available < 15 THEN 'INSUFFICIENT_M1_HISTORY' END, CASE WHEN visible_ticks < 3 THEN 'INSUFFICIENT_TICK_HISTORY' END,

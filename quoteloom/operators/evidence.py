@@ -10,6 +10,8 @@ from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -265,6 +267,10 @@ def rank_correlations(pred: DataFrame, x: str, y: str) -> DataFrame:
     return rho.join(day_rho, ["scope", "scope_side"]).join(kendall, ["scope", "scope_side"])
 
 
+# fixed values: the published shares of best-ranked rows
+TOP_FRACTIONS = [0.10, 0.05, 0.02, 0.01, 0.005, 0.0025, 0.001]
+
+
 def ranking_curve(pred: DataFrame, score: str, pnl: str, fractions, tie: str) -> DataFrame:
     """Result of the top fractions by score in each scope against the unconditional mean."""
     rows = scoped(pred).withColumn("_neg", -c(score))
@@ -509,26 +515,69 @@ def early_day_hypothesis(events: DataFrame, feature: str, target: str, after: in
     return R.spearman_long(days.withColumn("k", F.lit("ALL")), ["k"]).drop("k")
 
 
-def redundancy_filter(df: DataFrame, features: list[str], threshold: float = 0.9) -> DataFrame:
-    """Ordered greedy removal of features correlated with a kept one, and the correlations behind it.
+def redundancy_pairs(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
+    """``feature_a, feature_b, spearman, mutual_information`` of every pair, in the order given.
 
-    Every pair is one product sum of the same aggregation, so the data is read once; the greedy pass then
-    folds the small pair table (features squared) in priority order.
+    Each feature is ranked and binned once, in one long table keyed by feature; the pairs then are one Gram pass over
+    the rank vectors and one count of bin pairs, which combines before its shuffle. Pairs with a feature that
+    has missing values are ranked on their common rows, one by one.
     """
+    rows = durable(df.select(*[c(f).cast("double").alias(f) for f in features], F.monotonically_increasing_id().alias("_id")))
+    good = {f: F.when(F.isnan(f) | (F.abs(f) == float("inf")), None).otherwise(c(f)) for f in features}
+    rows = rows.withColumns(good)
+    holes = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c(f).isNull().cast("long")).alias(f) for f in features]).first()  # a number per feature
+    whole = [f for f in features if not holes[f]] if holes["_n"] >= 3 else []
     pairs = list(combinations(features, 2))
-    sums = df.agg(*[F.corr(c(a).cast("double"), c(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    items = F.array(*[F.struct(F.lit(features.index(a)).alias("i"), F.lit(features.index(b)).alias("j"), F.abs(f"c{k}").alias("r")) for k, (a, b) in enumerate(pairs)])
-    one = sums.select(items.alias("_p"))
-    empty = F.array().cast("array<int>")
-    kept = F.aggregate(
-        F.sequence(F.lit(0), F.lit(len(features) - 1)), empty,
-        lambda acc, f: F.when(
-            F.exists("_p", lambda p: (p["j"] == f) & (p["r"] >= threshold) & F.array_contains(acc, p["i"])), acc
-        ).otherwise(F.concat(acc, F.array(f))),
-    )
-    names = F.array(*[F.lit(f) for f in features])
-    rows = one.withColumn("_k", kept).select("_k", F.posexplode(names).alias("priority", "feature"))
-    return rows.select("feature", "priority", F.array_contains("_k", c("priority")).alias("kept"))
+    names = {f"{i}": p for i, p in enumerate(pairs)}
+    rho: dict[tuple[str, str], float | None] = {}
+    parts = []
+    if len(whole) > 1:
+        long = durable(melt(rows, ["_id"], whole))
+        counted = R.value_counts(long, ["feature"], "x")
+        ranked = long.join(counted.select("feature", "x", R.average_rank(counted).alias("_r")), ["feature", "x"])
+        wide = ranked.groupBy("_id").agg(*[F.max(F.when(c("feature") == f, c("_r"))).alias(f) for f in whole])
+        matrix = Correlation.corr(wide.select(array_to_vector(F.array(*whole)).alias("v")), "v").first()[0].toArray()  # features squared
+        for i, a in enumerate(whole):
+            for j, b in enumerate(whole[:i]):
+                rho[b, a] = float(matrix[i, j]) if np.isfinite(matrix[i, j]) else None
+        binned = R.floor_bins(long, ["feature"], "x", "_id", bins, "_b")
+        boxes = binned.groupBy("_id").agg(*[F.max(F.when(c("feature") == f, c("_b"))).alias(f) for f in whole])
+        cells = F.array(*[F.struct(F.lit(k).alias("pair"), c(a).alias("x"), c(b).alias("y")) for k, (a, b) in names.items() if a in whole and b in whole])
+        parts.append(boxes.select(F.explode(cells).alias("_p")).groupBy("_p.pair", "_p.x", "_p.y").agg(F.count(F.lit(1)).alias("_n")))
+    rest = {k: p for k, p in names.items() if p not in rho}
+    if rest:
+        for r in R.spearman(rows, rest).collect():  # a number per pair
+            rho[names[r["pair"]]] = r["rho"]
+        items = F.array(*[F.struct(F.lit(k).alias("pair"), c(a).alias("x"), c(b).alias("y")) for k, (a, b) in rest.items()])
+        both = rows.select("_id", F.explode(items).alias("_p")).select("_id", "_p.*").filter("x IS NOT NULL AND y IS NOT NULL")
+        for axis in ("x", "y"):
+            both = R.floor_bins(both, ["pair"], axis, "_id", bins, f"_b{axis}")
+        parts.append(both.groupBy("pair", c("_bx").alias("x"), c("_by").alias("y")).agg(F.count(F.lit(1)).alias("_n")))
+    cells = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # at most bins * bins cells per pair
+    bx, by, al = (Window.partitionBy("pair", *extra) for extra in (["x"], ["y"], []))
+    sums = cells.withColumns({"_nx": F.sum("_n").over(bx), "_ny": F.sum("_n").over(by), "_t": F.sum("_n").over(al)})
+    mi = sums.groupBy("pair").agg(F.sum(c("_n") / c("_t") * F.ln(c("_n") * c("_t") / (c("_nx") * c("_ny")))).alias("_mi"), F.max("_t").alias("_t"))
+    known = df.sparkSession.createDataFrame([(k, i, a, b, rho.get((a, b))) for i, (k, (a, b)) in enumerate(names.items())], "pair string, _i int, feature_a string, feature_b string, spearman double")
+    enough = (c("_t") >= bins) & c("spearman").isNotNull()
+    return known.join(mi, "pair", "left").select("_i", "feature_a", "feature_b", "spearman", F.when(enough, c("_mi")).alias("mutual_information"))
+
+
+def redundancy_filter(df: DataFrame, features: list[str], threshold: float = 0.9) -> DataFrame:
+    """Ordered greedy removal of features whose rank correlation with a kept one reaches the threshold.
+
+    ``feature, priority, kept, representative, spearman``; the last two name the first kept feature that removed it. The
+    greedy pass reads the small pair table (features squared) on the driver.
+    """
+    rho = {(r["feature_a"], r["feature_b"]): r["spearman"] for r in redundancy_pairs(df, features).collect()}
+    kept: list[str] = []
+    out = []
+    for i, f in enumerate(features):
+        near = next(((k, rho[k, f]) for k in kept if rho[k, f] is not None and abs(rho[k, f]) >= threshold), (None, None))
+        if near[0] is None:
+            kept.append(f)
+        out.append((f, i, near[0] is None, *near))
+    return df.sparkSession.createDataFrame(out, "feature string, priority int, kept boolean, representative string, spearman double")
 
 
 # -- economics of predictions ----------------------------------------------------------------------

@@ -246,7 +246,6 @@ def relative_strength(
     *,
     steps: tuple[int, int, int, int] = (3, 6, 12, 48),
     day: int = 288,
-    ahead_flag: str | None = None,
 ) -> DataFrame:
     """Returns over several horizons, activity against the previous day's median, ATR percentile,
     path efficiency and expected move. The first ``day`` bars of a symbol give no row."""
@@ -289,6 +288,14 @@ def relative_strength(
     return df.filter(F.col("rn") > day).drop("_step", "_path", "_far", "_hist")
 
 
+def closed_strength(df: DataFrame, keys=KEYS, least: int = 300, **settings) -> DataFrame:
+    """``relative_strength`` without the last bar of each series, which is still forming, and without series of
+    fewer than ``least`` bars."""
+    ends = df.groupBy(*keys).agg(F.max("us").alias("_last"), F.count(F.lit(1)).alias("_bars"))
+    rows = relative_strength(df, keys=keys, **settings).join(ends, list(keys))
+    return rows.filter((F.col("us") < F.col("_last")) & (F.col("_bars") >= least)).drop("_last", "_bars")
+
+
 def warmup_flags(df: DataFrame, required: int, available: str = "available") -> DataFrame:
     """Whether enough bars exist for the features of this frame."""
     return df.withColumns({"warm": F.col(available) >= required, "required": F.lit(required)})

@@ -95,7 +95,7 @@ def prep_scale_onehot(numeric: list[str], categorical: list[str]) -> Pipeline:
     """Standard scaling and one-hot coding, unknown categories kept apart; fit on train rows only."""
     index = [StringIndexer(inputCol=x, outputCol=f"{x}_i", handleInvalid="keep") for x in categorical]
     hot = [OneHotEncoder(inputCols=[f"{x}_i" for x in categorical], outputCols=[f"{x}_h" for x in categorical])] if categorical else []
-    join = VectorAssembler(inputCols=numeric, outputCol="_num", handleInvalid="skip")
+    join = VectorAssembler(inputCols=numeric, outputCol="_num", handleInvalid="error")
     scale = StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True, withStd=True)
     final = VectorAssembler(inputCols=["_scaled", *[f"{x}_h" for x in categorical]], outputCol="features")
     return Pipeline(stages=[*index, *hot, join, scale, final])
@@ -138,7 +138,7 @@ class RobustPrep:
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(df)
 
 
 # -- estimators ------------------------------------------------------------------------------------
@@ -202,7 +202,7 @@ def coefficients(beta: dict[str, float], spark, top: int = 20) -> DataFrame:
 
 
 # -- predictions -----------------------------------------------------------------------------------
-def oof_predictions(df: DataFrame, features: list[str], label: str, start_us: int, end_us: int, cuts, label_span: int, model: str = "logistic") -> DataFrame:
+def oof_predictions(df: DataFrame, features: list[str], label: str, start_us: int, end_us: int, cuts, label_span: int, model: str = "logistic", rounds: int = 50) -> DataFrame:
     """Fit per fold on purged train rows, keep only the out-of-fold rows with all their columns."""
     rows = durable(fold_rows(df, start_us, end_us, cuts, label_span))
     parts = []
@@ -215,7 +215,7 @@ def oof_predictions(df: DataFrame, features: list[str], label: str, start_us: in
             scored = linear_score(v, ridge(t, z, label), "prediction")
         else:
             t, v = assembled(t, z), assembled(v, z)
-            fitted = (logistic(train.count(), label) if model == "logistic" else boosted(label, model == "boosted", 10)).fit(t)
+            fitted = (logistic(train.count(), label) if model == "logistic" else boosted(label, model == "boosted", rounds)).fit(t)
             scored = fitted.transform(v)
             if model in ("logistic", "boosted"):
                 scored = scored.withColumn("prediction", vector_to_array("probability")[1])

@@ -109,7 +109,7 @@ def weighted_corr(df: DataFrame, keys, a: str, b: str, w: str) -> DataFrame:
     n, sa, sb = F.col("_n"), F.col("_sa"), F.col("_sb")
     va = n * F.col("_saa") - sa * sa
     vb = n * F.col("_sbb") - sb * sb
-    rho = F.when((n >= 2) & (va > 0) & (vb > 0), (n * F.col("_sab") - sa * sb) / (F.sqrt(va) * F.sqrt(vb)))
+    rho = F.when((n >= 3) & (va > 0) & (vb > 0), (n * F.col("_sab") - sa * sb) / (F.sqrt(va) * F.sqrt(vb)))
     return sums.select(*keys, n.cast("long").alias("n"), rho.alias("rho"))
 
 

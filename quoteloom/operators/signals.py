@@ -15,6 +15,10 @@ from quoteloom.session import durable
 c = F.col
 
 
+# fixed value: the score from which a signal may be a candidate
+CANDIDATE_SCORE = 90
+
+
 # -- explainable score -----------------------------------------------------------------------------
 def _sign_name(x: Column, neutral: str = "NEUTRAL") -> Column:
     return F.when(x > 0, "BUY").when(x < 0, "SELL").otherwise(neutral)
@@ -60,6 +64,7 @@ def score(df: DataFrame, max_age: float, max_spread: float, session_ok: bool = T
     def pts(flag: Column, n: int) -> Column:
         return F.when(flag, n).otherwise(0)
 
+    # fixed values: points of each component
     parts = {
         "score_m15": F.when(trend, 15).when(c("m15_regime") == "RANGE", 5).otherwise(0),
         "score_m5": pts(m5_trend, 8) + pts(m5_mom, 7),
@@ -70,7 +75,6 @@ def score(df: DataFrame, max_age: float, max_spread: float, session_ok: bool = T
         "score_spread": F.when(spread_ok, 6 + pts(tight, 4)).otherwise(0),
         "score_context": F.lit((2 if session_ok else 0) + (3 if news_ok else 0)),
     }
-    out = df.withColumns(parts)
     total = sum((c(n) for n in list(parts)[1:]), c("score_m15"))
     reasons = F.array_compact(
         F.array(
@@ -86,9 +90,10 @@ def score(df: DataFrame, max_age: float, max_spread: float, session_ok: bool = T
             F.when(balanced, "VOLATILITY_BALANCED").when(c("m1_atr") > 0, "VOLATILITY_EXTREME_OR_COMPRESSED"),
             F.when(spread_ok, "SPREAD_ACCEPTABLE"),
             F.lit("SESSION_AND_NEWS_CLEAR") if session_ok and news_ok else F.lit(None).cast("string"),
+            F.when(total < CANDIDATE_SCORE, "SCORE_BELOW_CANDIDATE_THRESHOLD"),
         )
     )
-    return out.withColumns({"score": total, "reasons": reasons})
+    return df.withColumns(parts).withColumns({"score": total, "reasons": reasons})
 
 
 # fixed values: bars a frame needs before its features count
@@ -129,7 +134,7 @@ def blockers(df: DataFrame, max_age: float, max_spread: float | None, session: b
 def decide(df: DataFrame, point: float) -> DataFrame:
     """Tier, side or WAIT, and the proposed stop and target in points."""
     tier = F.when(c("score") < 80, "WAIT").when(c("score") < 90, "WATCH").when(c("score") < 95, "CANDIDATE").otherwise("PREMIUM_CANDIDATE")
-    free = (F.size("blockers") == 0) & (c("score") >= 90)
+    free = (F.size("blockers") == 0) & (c("score") >= CANDIDATE_SCORE)
     stop = F.when(c("m1_atr") > 0, F.greatest(F.lit(1), F.ceil(F.round(c("m1_atr") / point * 1.20, 9))))
     out = df.withColumns({"tier": tier, "side": F.when(free, c("trigger")).otherwise("WAIT"), "stop_points": stop})
     target = F.greatest(c("stop_points") + 1, F.ceil(c("stop_points") * 1.5))

@@ -18,7 +18,7 @@ from quoteloom.session import durable
 
 COOLDOWNS = {
     # fixed values: pause in seconds between two kept events of one scheme
-    "VOLATILITY_EVENT": 60, "BREAKOUT_EVENT": 60, "ACCELERATION_EVENT": 30, "COMPRESSION_RELEASE_EVENT": 120,
+    "VOLATILITY_EVENT": 180, "BREAKOUT_EVENT": 300, "ACCELERATION_EVENT": 120, "COMPRESSION_RELEASE_EVENT": 600,
 }
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quoteloom.functions.timing import DAY, MINUTE, cell, day_text
 
@@ -124,39 +123,18 @@ def write_bars(df: DataFrame, path: str, replace: bool = True, period: str = "da
     overwrite_days(rows, path, parts)
 
 
-def append_unique(df: DataFrame, path: str, keys, order: str) -> None:
-    """First row per key of the batch, minus the keys already stored, appended."""
-    fresh = first_wins(df, list(keys), F.col(order))
+def append_unique(df: DataFrame, path: str, keys, order: str) -> dict[str, int]:
+    """First row per key of the batch, minus the keys already stored, appended; says how many were written and repeated."""
+    came, wrote = Observation(), Observation()
+    fresh = first_wins(df.observe(came, F.count(F.lit(1)).alias("n")), list(keys), F.col(order))
     if exists(df.sparkSession, path):
         stored = df.sparkSession.read.parquet(path).select(*keys)
         fresh = fresh.join(stored, list(keys), "left_anti")
-    fresh.write.mode("append").option("compression", "zstd").parquet(path)
+    fresh.observe(wrote, F.count(F.lit(1)).alias("n")).write.mode("append").option("compression", "zstd").parquet(path)
+    return {"written": wrote.get["n"], "duplicates": came.get["n"] - wrote.get["n"]}
 
 
 # -- raw payloads --------------------------------------------------------------------------------
-PAYLOAD_SCHEMA = T.StructType(
-    [
-        T.StructField("e", T.StringType()),
-        T.StructField("s", T.StringType()),
-        T.StructField("u", T.LongType()),
-        T.StructField("b", T.StringType()),
-        T.StructField("B", T.StringType()),
-        T.StructField("a", T.StringType()),
-        T.StructField("A", T.StringType()),
-        T.StructField("T", T.LongType()),
-        T.StructField("p", T.StringType()),
-        T.StructField("q", T.StringType()),
-        T.StructField("m", T.BooleanType()),
-        T.StructField(
-            "k",
-            T.StructType(
-                [T.StructField(n, T.LongType()) for n in ("t", "T", "n")]
-                + [T.StructField(n, T.StringType()) for n in "iohlcvqVQ"]
-                + [T.StructField("x", T.BooleanType())]
-            ),
-        ),
-    ]
-)
 PRICE = "decimal(38,18)"
 
 

@@ -85,6 +85,13 @@ def brute_events(pdf: pd.DataFrame, scale: float):
     return out
 
 
+def test_published_cooldowns():
+    """The published pauses in seconds, as numbers: the brute force below takes them from the library."""
+    from quoteloom.plans.events import COOLDOWNS
+
+    assert COOLDOWNS == {"VOLATILITY_EVENT": 180, "BREAKOUT_EVENT": 300, "ACCELERATION_EVENT": 120, "COMPRESSION_RELEASE_EVENT": 600}
+
+
 def test_event_detection(spark, ticks):
     s = EventSettings(scale=0.01)
     df = spark.createDataFrame(ticks).withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid")})
