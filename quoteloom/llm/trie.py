@@ -35,7 +35,6 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -43,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.llm import eliasfano
-from quoteloom.llm.records import _slices
+from quoteloom.llm.batches import slices, split
 from quoteloom.session import durable, shared_path
 
 DISCOUNT = 0.75
@@ -65,21 +64,6 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
-def _split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(word numbers, the distinct words, words per text) of a binary column; only A-Z and ASCII white space count."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))
-    coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.view(pa.binary()).to_pylist()
-    numbers = coded.indices.to_numpy()
-    lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
-    if b"" in words:  # stands where a text begins or ends with white space
-        blank = numbers == words.index(b"")
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        lengths = lengths - np.bincount(owner[blank], minlength=len(lengths))
-        numbers = numbers[~blank]
-    return numbers, words, lengths
-
-
 # --- vocabulary -------------------------------------------------------------------------------------------------------
 
 
@@ -93,8 +77,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.bincount(which, weights=n, minlength=len(h)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
-    for batch in (piece for whole in batches for piece in _slices(whole, 0)):
-        numbers, words, lengths = _split(batch.column(0))
+    for batch in (piece for whole in batches for piece in slices(whole, 0)):
+        numbers, words, lengths = split(batch.column(0), lower=True)
+        words = words.to_pylist()
         n = np.bincount(numbers, minlength=len(words))
         held.append((np.append(_hashes(words), _END), np.append(n, len(lengths))))
         if sum(len(x[0]) for x in held) > 2 * _KNOWN:
@@ -173,7 +158,8 @@ class Reader:
         """(entries, ends): one end before the first document, then each document's words and its end; and where the ends are."""
         if len(self.known) > _KNOWN:
             self.forget()
-        numbers, words, lengths = _split(texts)
+        numbers, words, lengths = split(texts, lower=True)
+        words = words.to_pylist()
         new = list(set(words).difference(self.known))
         if new:
             first = sum(map(len, self.ids))
@@ -258,7 +244,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch], root: str, lines: list[list[
             names.append(int(s))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
-    for batch in (piece for whole in batches for piece in _slices(whole, 0)):
+    for batch in (piece for whole in batches for piece in slices(whole, 0)):
         entries, ends = reader.read(batch.column(0))
         ids = reader.columns()[0][entries]
         third = np.append(ids[2:], -1)
@@ -462,7 +448,7 @@ def _grouped(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     tokens = scorer.reader.words.tokens
-    for batch in (piece for whole in batches for piece in _slices(whole, 2)):
+    for batch in (piece for whole in batches for piece in slices(whole, 2)):
         n, known, base, score = scorer.score(batch.column(2))
         total = pa.array(np.full(batch.num_rows, tokens, np.int64))
         yield pa.RecordBatch.from_arrays(
