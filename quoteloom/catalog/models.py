@@ -136,8 +136,8 @@ def m10(spark, d):
 @register("m11_group_importance")
 def m11(spark, d):
     rows = oof(spark, d).withColumn("target", F.col("pred") + F.col("market") * 0.2)
-    beta = M.ridge(rows, ["pred", "pred_mfe", "past_return"], "target", 1.0)
-    return round_doubles(M.group_importance(rows, {"model": ["pred"], "context": ["pred_mfe", "past_return"]}, beta, "target", "event_id", 3))
+    groups = {"model": ["pred"], "context": ["pred_mfe", "past_return"]}
+    return round_doubles(M.group_importance(rows.filter("fold < 3"), rows.filter("fold >= 3"), groups, "target", "event_id"))
 
 
 @register("m13_coefficients")

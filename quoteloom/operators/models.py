@@ -251,21 +251,25 @@ def permuted(df: DataFrame, columns: list[str], ident: str, seed: int) -> DataFr
     return base.drop(*columns, "_rn_n").join(dealt, "_rn").drop("_rn")
 
 
-def group_importance(df: DataFrame, groups: dict[str, list[str]], beta: dict[str, float], label: str, ident: str, repeats: int = 3) -> DataFrame:
-    """Loss of rank correlation of a linear model when a feature group is permuted, and when it is left out."""
+def group_importance(train: DataFrame, valid: DataFrame, groups: dict[str, list[str]], label: str, ident: str, alpha: float = 1.0, repeats: int = 3) -> DataFrame:
+    """Loss of rank correlation on held-out rows: of a ridge model whose feature group is permuted there, and of a model
+    fitted again without the group."""
     def rho(rows: DataFrame, name: str, kind: str, repeat: int) -> DataFrame:
         r = R.spearman(rows, {"p": ("prediction", label)})
         return r.select(F.lit(name).alias("feature_group"), F.lit(kind).alias("kind"), F.lit(repeat).alias("repeat"), "rho")
 
-    parts = [rho(linear_score(df, beta), "ALL", "BASE", 0)]
-    for g, columns in groups.items():
+    columns = [x for g in groups.values() for x in g]
+    beta = ridge(train, columns, label, alpha)
+    parts = [rho(linear_score(valid, beta), "ALL", "BASE", 0)]
+    for g, own in groups.items():
         for k in range(repeats):
-            parts.append(rho(linear_score(permuted(df, columns, ident, k + 1), beta), g, "PERMUTED", k))
-        parts.append(rho(linear_score(df, {f: (0.0 if f in columns else b) for f, b in beta.items()}), g, "ABLATED", 0))
+            parts.append(rho(linear_score(permuted(valid, own, ident, k + 1), beta), g, "PERMUTED", k))
+        rest = [x for x in columns if x not in own]
+        parts.append(rho(linear_score(valid, ridge(train, rest, label, alpha)), g, "ABLATED", 0))
     table = durable(reduce(DataFrame.unionByName, parts))
     base = table.filter("kind = 'BASE'").select(c("rho").alias("_base"))  # one row
     means = table.filter("kind <> 'BASE'").groupBy("feature_group", "kind").agg(F.avg("rho").alias("rho"))
-    return means.join(F.broadcast(base)).select("feature_group", "kind", "rho", (c("_base") - F.coalesce("rho", F.lit(0.0))).alias("importance"))
+    return means.crossJoin(F.broadcast(base)).select("feature_group", "kind", "rho", (c("_base") - F.coalesce("rho", F.lit(0.0))).alias("importance"))
 
 
 def model_diagnostics(oof: DataFrame, p: str, y: str, pnl: str, tie: str, keys=("fold",)) -> DataFrame:

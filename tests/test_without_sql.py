@@ -121,14 +121,6 @@ def test_streamed_decisions_equal_batch(spark, sf):
     assert cross(spark, sf).count() > 0
 
 
-def test_repair_pages_equal_batch(spark, sf):
-    got = QUERIES["st8_repair_stream"](spark, sf).toPandas()
-    q = quotes(spark, sf)
-    lo, hi = q.agg(F.min("us"), F.max("us")).first()
-    want = B.fetch_pages(B.missing_times(q, q, lo // HOUR * HOUR, hi // HOUR * HOUR + HOUR, HOUR), HOUR, 100).toPandas()
-    assert sorted(map(tuple, got[["symbol", "start_us", "end_us"]].values.tolist())) == sorted(map(tuple, want[["symbol", "start_us", "end_us"]].values.tolist()))
-
-
 def test_ridge_matches_closed_form(spark, sf):
     cols = ["pred", "pred_mfe", "past_return"]
     pdf = oof(spark, sf).toPandas()
