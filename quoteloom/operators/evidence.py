@@ -19,7 +19,7 @@ from quoteloom.functions.draws import hash_number, hash_uniform
 from quoteloom.functions.timing import DAY, HOUR, cell
 from quoteloom.operators import ranks as R
 from quoteloom.operators.ledger import running_peaks
-from quoteloom.operators.scans import balanced_tile, previous
+from quoteloom.operators.scans import balanced_tile, prefix_scan, previous
 from quoteloom.session import durable
 
 c = F.col
@@ -394,16 +394,14 @@ def within_block_spearman_ci(long: DataFrame, keys, block: str, replications: in
     return _resample(blocks, keys, ["rho"], replications, seed)
 
 
-def benjamini_hochberg(tests: DataFrame, p: str, order, q: str = "q") -> DataFrame:
-    """False-discovery q-values; nulls stay null. A table of tests: features times horizons times targets."""
-    good = c(p).isNotNull()
-    part = F.when(good, 0).otherwise(1)
-    m = F.count(F.when(good, 1)).over(Window.partitionBy(part))
-    up = Window.partitionBy(part).orderBy(p, *order)
-    down = Window.partitionBy(part).orderBy(c("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = tests.withColumns({"_r": F.row_number().over(up), "_m": m})
-    value = F.least(F.min(c(p) * c("_m") / c("_r")).over(down), F.lit(1.0))
-    return rows.withColumn(q, F.when(good, value)).drop("_r", "_m")
+def benjamini_hochberg(tests: DataFrame, p: str, order, q: str = "q", tile: int = 50_000) -> DataFrame:
+    """False-discovery q-values; nulls stay null. Ranks and the running minimum from the largest p down go tile by tile."""
+    good = R.global_index(tests.filter(c(p).isNotNull()), [c(p), *[c(o) if isinstance(o, str) else o for o in order]], "_r")
+    total = tests.agg(F.count(p).alias("_m"))  # one row
+    rows = good.crossJoin(F.broadcast(total)).withColumns({"_down": -c("_r"), "_tile": -F.floor(c("_r") / tile).cast("long")})
+    value = F.least(c(p) * c("_m") / c("_r"), F.lit(1.0))
+    found = prefix_scan(rows, [], ["_down"], {q: ("min", value)}).drop("_r", "_m", "_down", "_tile")
+    return found.unionByName(tests.filter(c(p).isNull()).withColumn(q, F.lit(None).cast("double")))
 
 
 def spearman_p_value(rho: str = "rho", n: str = "n") -> Column:

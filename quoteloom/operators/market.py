@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteloom.operators.bars import rollup_closed
-from quoteloom.operators.ranks import exact_quantiles
+from quoteloom.operators.ranks import exact_quantiles, global_index
 from quoteloom.operators.scans import previous, with_tile
 
 c = F.col
@@ -288,8 +288,7 @@ def rank_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def global_rank(rows: DataFrame, order) -> DataFrame:
-    """Rank over a table of listed pairs: one row per exchange symbol, some thousands."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return global_index(rows, order, "rank").withColumn("rank", c("rank").cast("int"))
 
 
 # fixed values: order of the categories

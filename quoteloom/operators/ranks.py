@@ -8,7 +8,7 @@ once, because cut finding, scan and carry each read it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteloom.operators.scans import balanced_tile, prefix_scan
@@ -138,6 +138,19 @@ def ordered_index(df: DataFrame, keys, x: str, tie: str, name: str = "rn") -> Da
     return prefix_scan(tiled, keys, [x, tie], {name: ("count", F.lit(1))}).drop("_tile")
 
 
+def global_index(df: DataFrame, order, name: str = "rn") -> DataFrame:
+    """Row number from 1 over a whole table in any order: numbers inside range partitions plus the sizes of earlier ones."""
+    sort = list(order)
+    part = df.repartitionByRange(_tiles_wanted(df), *sort).withColumn("_part", F.spark_partition_id())
+    part = durable(part)  # the borders of the ranges hold for both uses
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    counts = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*sort)
+    rows = part.withColumn("_at", F.row_number().over(inside)).join(starts, "_part")
+    return rows.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
 def ntile_of(rn: Column, n: Column, k: int) -> Column:
     """Bin of a row number when ``n`` rows go into ``k`` bins and the first bins take the extra rows."""
     q, r = F.floor(n / k), n % k

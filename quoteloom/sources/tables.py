@@ -141,12 +141,12 @@ PRICE = "decimal(38,18)"
 def normalize_events(raw: DataFrame, payload: str = "payload", received: str = "us") -> DataFrame:
     """Raw JSON messages to one typed row each, by kind: candle, trade, book, or a reject with its reason.
 
-    Keys differ only in case (``b``/``B``), so the session must parse JSON case sensitively; the paths
-    are therefore extracted one by one.
+    Keys differ only in case (``b``/``B``); a message is parsed once to a variant, whose keys are case sensitive.
     """
+    raw = raw.withColumn("_v", F.try_parse_json(F.col(payload)))
 
     def text(path: str) -> Column:
-        return F.get_json_object(F.col(payload), f"$.{path}")
+        return F.try_variant_get("_v", f"$.{path}", "string")
 
     def price(path: str) -> Column:
         return text(path).try_cast(PRICE)
@@ -186,7 +186,7 @@ def normalize_events(raw: DataFrame, payload: str = "payload", received: str = "
         .when((F.col("kind") == "candle") & ~F.col("interval").isin(*CANDLE_INTERVALS), "BAD_INTERVAL")
         .when((F.col("kind") == "candle") & (F.col("open").isNull() | F.col("close").isNull()), "BAD_NUMBER")
     )
-    return typed.withColumn("reject", reject)
+    return typed.withColumn("reject", reject).drop("_v")
 
 
 def archive_raw(raw: DataFrame, payload: str = "payload") -> DataFrame:
