@@ -467,7 +467,7 @@ def g19(spark, d):
 
 @register("g20_event_dataset")
 def g20(spark, d):
-    s = EventSettings(unit=HOUR // 60, scale=0.01, horizons={"60": 60, "300": 300, "900": 900}, tolerance=240, sample=360)
+    s = EventSettings(unit=HOUR // 60, scale=0.01, tolerance=240, sample=360)
     out = event_dataset(quotes(spark, d), s, 1000.0)
     return round_doubles(out.withColumn("schemes", F.array_join("schemes", "|")))
 

@@ -189,21 +189,23 @@ def trailing_sums(
     Every row arrives at its time and leaves just after ``time + w``; the running sum over arrivals
     minus departures is the window sum, in one sort, for any number of windows at once. A spec is
     ``(value, w)`` or ``(value, w, anchor)``: with an anchor column (an earlier time) the row leaves
-    after ``anchor + w``, as a change between two ticks does when its older tick leaves.
+    after ``anchor + w``, as a change between two ticks does when its older tick leaves. Outputs with the same
+    window and anchor share one departure.
     """
     keys = list(keys)
+    departures = list(dict.fromkeys((s[1], s[2] if len(s) > 2 else us) for s in specs.values()))
+    leaves = {n: departures.index((s[1], s[2] if len(s) > 2 else us)) for n, s in specs.items()}
     longest = max(s[1] for s in specs.values())
     width = width or max(4 * longest, DAY)
     names = list(specs)
     carried = [c for c in df.columns if c not in keys]
     halo = time_halo(df.withColumns({f"_v_{n}": specs[n][0].cast("double") for n in names}), us, width, longest)
-    steps = F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))).alias("_step")
+    steps = F.explode(F.sequence(F.lit(-1), F.lit(len(departures) - 1))).alias("_step")
     rows = halo.select("*", steps)
     arriving = F.col("_step") == -1
     at = F.when(arriving, F.col(us))
-    for i, n in enumerate(names):
-        since = F.coalesce(F.col(specs[n][2]), F.col(us)) if len(specs[n]) > 2 else F.col(us)
-        at = at.when(F.col("_step") == i, since + specs[n][1])
+    for i, (span, anchor) in enumerate(departures):
+        at = at.when(F.col("_step") == i, F.coalesce(F.col(anchor), F.col(us)) + span)
     rows = rows.select(
         *keys,
         "_tile",
@@ -212,8 +214,8 @@ def trailing_sums(
         *[F.when(arriving, F.col(c)).alias(c) for c in carried],
         (arriving & F.col("_core")).alias("_keep"),
         *[
-            F.when(arriving, F.col(f"_v_{n}")).when(F.col("_step") == i, -F.col(f"_v_{n}")).alias(f"_d_{n}")
-            for i, n in enumerate(names)
+            F.when(arriving, F.col(f"_v_{n}")).when(F.col("_step") == leaves[n], -F.col(f"_v_{n}")).alias(f"_d_{n}")
+            for n in names
         ],
     )
     rest = [c for c in order if c != us]

@@ -16,6 +16,9 @@ from quoteloom.operators.joins import past_values
 from quoteloom.operators.scans import trailing_sums
 from quoteloom.session import durable
 
+# fixed values: context windows and label horizons in seconds
+WINDOWS = (300, 900, 1800, 3600, 14400)
+HORIZONS = (30, 60, 180, 300, 600, 900)
 COOLDOWNS = {
     # fixed values: pause in seconds between two kept events of one scheme
     "VOLATILITY_EVENT": 180, "BREAKOUT_EVENT": 300, "ACCELERATION_EVENT": 120, "COMPRESSION_RELEASE_EVENT": 600,
@@ -28,7 +31,7 @@ class EventSettings:
 
     unit: int = SECOND
     scale: float = 0.00001
-    horizons: dict = field(default_factory=lambda: {"60": 60, "300": 300, "900": 900})
+    horizons: dict = field(default_factory=lambda: {str(h): h for h in HORIZONS})
     tolerance: int = 2
     cooldowns: dict = field(default_factory=lambda: dict(COOLDOWNS))
     sample: int = 60
@@ -40,27 +43,33 @@ def second_context(ticks: DataFrame, s: EventSettings) -> DataFrame:
     u = s.unit
     # second bars are referred to by several scans: compute them from the ticks once
     sec = M.second_changes(durable(B.second_bars(ticks, u)), s.scale)
-    specs = {f"_sq_{n}": (F.col("delta") * F.col("delta"), n * u) for n in (60, 300, 900)}
-    specs |= {f"_path_{n}": (F.abs("delta"), n * u) for n in (300, 900)}
+    specs = {f"_sq_{n}": (F.col("delta") * F.col("delta"), n * u) for n in (60, *WINDOWS)}
+    specs |= {f"_path_{n}": (F.abs("delta"), n * u) for n in WINDOWS}
+    specs |= {f"_up_{n}": (F.when(F.col("delta") > 0, 1.0), n * u) for n in WINDOWS}
+    specs |= {f"_down_{n}": (F.when(F.col("delta") < 0, 1.0), n * u) for n in WINDOWS}
     specs["_rate"] = (F.col("ticks"), 5 * u)
     sec = trailing_sums(sec, ["symbol"], specs, order=("us",))
-    sec = sec.withColumns({f"rv_{n}": F.sqrt(F.greatest(f"_sq_{n}", F.lit(0.0))) for n in (60, 300, 900)})
+    sec = sec.withColumns({f"rv_{n}": F.sqrt(F.greatest(f"_sq_{n}", F.lit(0.0))) for n in (60, *WINDOWS)})
     # ticks of the current second after its first one are not known yet
     sec = sec.withColumn("rate_5", F.col("_rate") - F.col("ticks") + 1)
-    for n in (60, 300, 900):
+    for n in (60, *WINDOWS):
         sec = M.rolling_extreme(sec, n * u, str(n))
         sec = sec.withColumn(f"range_{n}", (F.col(f"high_{n}") - F.col(f"low_{n}")) / s.scale)
     sec = M.rolling_extreme(sec, 900 * u, "p", exclude_current=True)
     sec = sec.withColumnsRenamed({"high_p": "prior_high", "low_p": "prior_low"})
-    past = {f"past_{back}": ("mid", back * u) for back in (5, 60, 900, 1800, 14400)}
+    past = {f"past_{back}": ("mid", back * u) for back in (5, 60, *WINDOWS)}
     sec = past_values(sec, past | {"previous_range": ("range_300", 60 * u)}, ["symbol"])
     sec = sec.withColumns({f"return_{n}": (F.col("mid") - F.col(f"past_{n}")) / s.scale for n in (5, 60)})
     stats = {"range_median": ("range_300", 0.5), "range_p20": ("range_300", 0.2), "rate5_median": ("rate_5", 0.5)}
     sec = M.causal_references(sec, stats, 14400 * u, s.sample * u, s.least)
-    moved = F.abs(F.col("mid") - F.col("past_900")) / s.scale
-    efficiency = F.when(F.col("past_900").isNotNull() & (F.col("_path_900") > 1e-9), F.try_divide(moved, F.col("_path_900"))).otherwise(0.0)
-    scratch = [c for c in sec.columns if c.startswith(("_sq_", "_path_", "_rate", "high_", "low_"))]
-    return sec.withColumn("efficiency_900", efficiency).drop(*scratch)
+    for n in WINDOWS:
+        moved = F.abs(F.col("mid") - F.col(f"past_{n}")) / s.scale
+        known = F.col(f"past_{n}").isNotNull() & (F.col(f"_path_{n}") > 1e-9)
+        up, down = F.coalesce(f"_up_{n}", F.lit(0.0)), F.coalesce(f"_down_{n}", F.lit(0.0))
+        one_sided = F.when(up + down > 0.5, F.try_divide(F.abs(up - down), up + down)).otherwise(0.0)
+        sec = sec.withColumns({f"efficiency_{n}": F.when(known, F.try_divide(moved, F.col(f"_path_{n}"))).otherwise(0.0), f"persistence_{n}": one_sided})
+    scratch = [c for c in sec.columns if c.startswith(("_sq_", "_path_", "_up_", "_down_", "_rate", "high_", "low_"))]
+    return sec.drop(*scratch)
 
 
 def event_rows(sec: DataFrame, s: EventSettings) -> DataFrame:
