@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -82,13 +83,19 @@ def durable(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove what this process wrote to the shared folder; call it when no result that reads it is needed."""
-    keep = []
-    for owner, path in _WRITTEN:
-        if owner is spark:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        else:
-            keep.append((owner, path))
-    _WRITTEN[:] = keep
+@contextmanager
+def recorded():
+    """Collects what is written to the shared folder inside the block, for ``release``."""
+    paths: list[str] = []
+    start = len(_WRITTEN)
+    yield paths
+    paths.extend(path for _, path in _WRITTEN[start:])
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove ``paths``, or all that this session wrote to the shared folder; call it when no result that reads them is needed."""
+    gone = set(paths) if paths is not None else {path for owner, path in _WRITTEN if owner is spark}
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN[:] = [(owner, path) for owner, path in _WRITTEN if path not in gone]
