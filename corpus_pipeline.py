@@ -1,34 +1,59 @@
-"""The training-data pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The training-data pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+A stage's intermediate tables are needed until its result is written; the next stage removes them as it starts.
+"""
 
 from __future__ import annotations
 
+import uuid
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quoteloom.llm import langid, mixing, records, simhash, winnow
 from quoteloom.llm.text import table
-from quoteloom.session import shared_path
+from quoteloom.session import checkpoint_dir, recorded, release
+
+_LEFT: list[str] = []
+
+
+def _stage(fn):
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _LEFT)
+        with recorded() as made:
+            out = fn(spark, docs, sf_dir)
+        _LEFT[:] = made
+        return out
+
+    return run_stage
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known stay."""
     return langid.keep_accepted(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.keep_one(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return winnow.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources meet their target weights; documents come in training order, once per pass that takes them."""
     return mixing.mix(docs)
 
 
+@_stage
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in binary records; returns what the files hold: doc_id, start, n_tokens, ids_crc32."""
     return records.round_trip(spark, docs, records.default_tokenizer())
@@ -47,9 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = shared_path(spark, f"pipeline-{name}")
+        path = f"{checkpoint_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            release(spark, [before])
+        docs, before = spark.read.parquet(path), path
     return docs
