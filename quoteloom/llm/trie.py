@@ -47,7 +47,7 @@ from quoteloom.session import durable, shared_path
 
 DISCOUNT = 0.75
 STEP = 0.03
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_500_000
 _CHUNK = 2_000_000  # tokens whose grams a task counts at a time
 _KNOWN = 500_000  # words a task remembers
 _END = np.array([xxhash.xxh64_intdigest(b"")], np.uint64).view(np.int64)[0]  # no word is empty
