@@ -21,6 +21,7 @@ file; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -142,6 +143,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = _width(self.tokenizer.get_vocab_size(), end_id)
         self.end_id = end_id
+        self.letters = letters_alone(self.tokenizer)
         self.forget()
 
     def forget(self) -> None:
@@ -152,9 +154,16 @@ class Encoder:
         if len(self.known) > _CACHE:
             self.forget()
         new = [p for p in pieces if p not in self.known]
-        found, lengths = [self.ids], []
-        for at in range(0, len(new), 10_000):
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False)]
+        short = [p for p in new if p.isascii() and p.isalpha()] if self.letters else []
+        rest = [p for p in new if not (p.isascii() and p.isalpha())] if self.letters else new
+        new, found, lengths = short + rest, [self.ids], []
+        tokenize = self.tokenizer.model.tokenize
+        for at in range(0, len(short), 10_000):
+            lists = [[t.id for t in tokenize(p.lower())] for p in short[at : at + 10_000]]
+            lengths += map(len, lists)
+            found.append(np.fromiter(chain.from_iterable(lists), self.kind))
+        for at in range(0, len(rest), 10_000):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(rest[at : at + 10_000], add_special_tokens=False)]
             lengths += map(len, lists)
             found.append(np.fromiter(chain.from_iterable(lists), self.kind))
         if new:
@@ -180,6 +189,28 @@ class Encoder:
         return [data[a * item : b * item] for a, b in pairwise(cuts.tolist())]
 
 
+def letters_alone(tokenizer) -> bool:
+    """Whether a piece of ASCII letters reaches the tokenizer's model as it is, but for lower case.
+
+    So it is where the steps before the model are composition, white space, lower case, a split that keeps runs of
+    letters whole, and bytes as characters; such pieces go to the library's model without the steps before it.
+    """
+    setup = json.loads(tokenizer.to_str())
+    before, cut = setup["normalizer"] or {}, setup["pre_tokenizer"] or {}
+    kinds = [n["type"] for n in before.get("normalizers", [])]
+    first, *others = cut.get("pretokenizers") or [{}]
+    return (
+        kinds == ["NFC", "Replace", "Lowercase"]
+        and before["normalizers"][1]["pattern"] == {"Regex": "\\s+"}
+        and first.get("type") == "Split"
+        and first["pattern"] == {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+        and (first["behavior"], first["invert"]) == ("Removed", True)
+        and [(o["type"], o["add_prefix_space"], o["use_regex"]) for o in others] == [("ByteLevel", False, False)]
+        and setup["post_processor"] is None
+        and not any(t["content"].isalpha() for t in setup["added_tokens"])
+    )
+
+
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 

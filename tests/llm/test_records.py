@@ -67,6 +67,14 @@ def test_edge_cases_and_small_files(spark, tmp_path):
     assert records.read_records(one, folder, 2).count() == 1
 
 
+def test_letters_take_the_short_way_to_the_same_ids():
+    tokenizer = Tokenizer.from_file(PATH)
+    assert records.letters_alone(tokenizer)
+    words = ["a", "I", "THE", "Thntblereof", "x" * 300, "onthshansh", "zq", "s", "ll"]
+    short = [[t.id for t in tokenizer.model.tokenize(w.lower())] for w in words]
+    assert short == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_null_ids_come_first(spark):
     docs = spark.createDataFrame([(2, "b"), (None, "a"), (None, None)], "doc_id long, text string")
     got = records.round_trip(spark, docs, PATH).orderBy("start").collect()
