@@ -3,7 +3,8 @@
 Four kinds of evidence are multiplied per language:
 
 * text: a naive Bayes model over hashed letter trigrams of the UTF-8 bytes. It is fitted on a sample of labelled rows
-  of about ``SAMPLE_ROWS`` (a documented bound; the sample is chosen by hash). Neighbouring trigrams are no independent
+  of about ``SAMPLE_ROWS`` (a documented bound; the sample is chosen by hash). A share ``FLOOR`` of each language's mass is
+  spread over all buckets, so an unseen trigram costs the same in every language. Neighbouring trigrams are no independent
   witnesses, so a long text counts as ``EFFECTIVE`` of them at its average;
 * the declared language of the markup and the address suffix: how often each value goes with texts that speak a
   language, add-one smoothed, from grouped counts over all rows;
@@ -13,7 +14,11 @@ Four kinds of evidence are multiplied per language:
 Counts of a host that holds a third of all rows combine before their shuffle; the tables of evidence have one row per
 host, declared value or suffix and are broadcast only when the optimizer finds them small.
 
-A row is rejected when it has no letters or when its best language stays below ``MIN_POSTERIOR``.
+Beside the languages stands an unknown one, of prior ``UNKNOWN``, whose trigrams are all equally likely; where the model
+explains its own labelled rows worse than that (each scored without its own counts; ``CALIBRATE`` of them may be worse),
+their likelihood takes its place. What it wins gives no evidence about hosts, declarations and suffixes.
+
+A row is rejected when it has no letters, when the unknown language wins or when its best language stays below ``MIN_POSTERIOR``.
 
 Nulls and edge cases: a null or letterless text gives no text evidence and is rejected, whatever else is declared; missing
 declarations, suffixes and hosts give no evidence of their kind (a null host shares one prior); ties go to the
@@ -41,6 +46,9 @@ BUCKETS = 1 << 14
 EFFECTIVE = 60.0
 PRIOR = 20.0
 MIN_POSTERIOR = 0.5
+FLOOR = 0.2
+UNKNOWN = 0.01
+CALIBRATE = 0.01
 _SLICE = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint8)  # everything but letters becomes a blank
@@ -53,6 +61,7 @@ _FOLD[128:] = np.arange(128, 256)
 class TextModel:
     languages: list[str]
     table: np.ndarray  # log likelihood of each bucket, one row per language
+    unknown: float = -math.log(BUCKETS)  # log likelihood of a letter in no language
 
 
 def _buckets(data: bytes) -> np.ndarray:
@@ -79,6 +88,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(counts[used])], ["lang", "bucket", "n"])
 
 
+def _log_table(counts: np.ndarray) -> np.ndarray:
+    return np.log((1 - FLOOR) * counts / np.maximum(counts.sum(axis=-1, keepdims=True), 1) + FLOOR / BUCKETS)
+
+
+def _without_own(batches: Iterator[pa.RecordBatch], languages: list[str], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Log likelihood per letter of each labelled text in its language without the text's own counts."""
+    for batch in batches:
+        out = []
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.zeros(BUCKETS, np.int64)
+            for some in _blocks(text or b""):
+                own += np.bincount(some, minlength=BUCKETS)
+            if own.any():
+                out.append(float((own * _log_table(counts[languages.index(lang)] - own)).sum() / own.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["average"])
+
+
 def fit(labelled: DataFrame, label: str = "lang", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> TextModel:
     """The text model of a sample of the labelled rows; its table is languages x ``BUCKETS``, whatever the input's size."""
     rows = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
@@ -87,12 +113,16 @@ def fit(labelled: DataFrame, label: str = "lang", text: str = "text", sample_row
     rate = min(1.0, sample_rows / max(total, 1))
     chosen = F.shiftrightunsigned(keys[0], 32) < int(rate * (1 << 32))
     sample = rows.filter(chosen).select(F.col(label).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"))
-    counts = sample.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    languages = sorted({r.lang for r in counts})
-    table = np.ones((len(languages), BUCKETS))
-    for r in counts:
-        table[languages.index(r.lang), r.bucket] += r.n
-    return TextModel(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
+    sample = durable(sample)
+    found = sample.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    languages = sorted({r.lang for r in found})
+    place, counts = {x: i for i, x in enumerate(languages)}, np.zeros((len(languages), BUCKETS), np.int64)
+    for r in found:
+        counts[place[r.lang], r.bucket] = r.n
+    scored = sample.filter(F.col("lang").isin(languages)).mapInArrow(lambda it: _without_own(it, languages, counts), "average double")
+    worst = scored.agg(F.percentile_approx("average", CALIBRATE, 10_000)).first()[0] if languages else None
+    unknown = min(-math.log(BUCKETS), worst) if worst is not None else -math.log(BUCKETS)
+    return TextModel(languages, _log_table(counts).astype(np.float32), unknown)
 
 
 def text_evidence(text: Column, model: TextModel) -> Column:
@@ -168,10 +198,13 @@ def identify(
     narrow = durable(narrow)
     letters = F.get("_text", F.lit(0))
     loud = F.slice("_text", 2, size)
-    narrow = narrow.withColumn("_said", F.when(letters > 0, F.array_position(loud, F.array_max(loud)) - 1))
+    scale = F.when(letters > 0, F.least(F.lit(1.0), F.lit(EFFECTIVE) / letters)).otherwise(0.0)
+    # share of the best language by the text alone against the unknown one
+    doubt = (letters * model.unknown - F.array_max(loud)) * scale + math.log(UNKNOWN / (1 - UNKNOWN))
+    narrow = narrow.withColumn("_known", 1.0 / (1.0 + F.exp(doubt)))
+    narrow = narrow.withColumn("_said", F.when((letters > 0) & (F.col("_known") >= 0.5), F.array_position(loud, F.array_max(loud)) - 1))
     tables = evidence_tables(narrow, size)
     fused = narrow.join(tables["host"], "_host", "left").join(tables["declared"], "_declared", "left").join(tables["suffix"], "_suffix", "left")
-    scale = F.when(letters > 0, F.least(F.lit(1.0), F.lit(EFFECTIVE) / letters)).otherwise(0.0)
 
     def log_of(column: str, i: int, other: float) -> Column:
         return F.ln(F.coalesce(F.get(column, F.lit(i)), F.lit(other)))
@@ -183,8 +216,8 @@ def identify(
     fused = fused.withColumn("_w", F.array(*weights)).withColumn("_top", F.array_max("_w"))
     mass = F.aggregate("_w", F.lit(0.0), lambda a, w: a + F.exp(w - F.col("_top")))
     best = F.get(F.array(*[F.lit(x) for x in model.languages]), (F.array_position("_w", F.col("_top")) - 1).cast("int"))
-    found = fused.withColumns({"_best": best, "_mass": 1.0 / mass})
-    ok = (letters > 0) & (F.col("_mass") >= min_posterior)
+    found = fused.withColumns({"_best": best, "_mass": F.col("_known") / mass})
+    ok = (letters > 0) & (F.col("_known") >= 0.5) & (F.col("_mass") >= min_posterior)
     return found.select(*keep, F.when(ok, F.col("_best")).alias("predicted"), F.col("_mass").alias("posterior"), ok.alias("accepted"))
 
 
