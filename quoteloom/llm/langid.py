@@ -2,8 +2,9 @@
 
 Four kinds of evidence are multiplied per language:
 
-* text: a naive Bayes model over hashed letter trigrams of the UTF-8 bytes. It is fitted on a sample of labelled rows
-  of about ``SAMPLE_ROWS`` (a documented bound; the sample is chosen by hash). A share ``FLOOR`` of each language's mass is
+* text: a naive Bayes model over hashed letter trigrams of the UTF-8 bytes. It is fitted on a sample of about
+  ``SAMPLE_ROWS`` different labelled texts per language (a documented bound; chosen by hash), all of them where there are
+  fewer, so that every labelled language is known and copies count once. A share ``FLOOR`` of each language's mass is
   spread over all buckets, so an unseen trigram costs the same in every language. Neighbouring trigrams are no independent
   witnesses, so a long text counts as ``EFFECTIVE`` of them at its average;
 * the declared language of the markup and the address suffix: how often each value goes with texts that speak a
@@ -88,6 +89,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(counts[used])], ["lang", "bucket", "n"])
 
 
+def _choose(batches: Iterator[pa.RecordBatch], bounds: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Texts whose hash is below the bound of their language, each once per task."""
+    seen: set[tuple] = set()  # a language's sample at most
+    for batch in batches:
+        langs, firsts, seconds, places = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
+        keep = []
+        for i, key in enumerate(zip(langs, firsts, seconds, strict=True)):
+            if places[i] < bounds[key[0]] and key not in seen:
+                seen.add(key)
+                keep.append(i)
+        if keep:
+            yield batch.select([0, 1, 2, 3]).take(pa.array(keep))
+
+
 def _log_table(counts: np.ndarray) -> np.ndarray:
     return np.log((1 - FLOOR) * counts / np.maximum(counts.sum(axis=-1, keepdims=True), 1) + FLOOR / BUCKETS)
 
@@ -106,14 +121,13 @@ def _without_own(batches: Iterator[pa.RecordBatch], languages: list[str], counts
 
 
 def fit(labelled: DataFrame, label: str = "lang", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """The text model of a sample of the labelled rows; its table is languages x ``BUCKETS``, whatever the input's size."""
+    """The text model of about ``sample_rows`` texts per language; its table is languages x ``BUCKETS``, whatever the input's size."""
     rows = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    total = rows.count()
-    keys = row_key(label, text)
-    rate = min(1.0, sample_rows / max(total, 1))
-    chosen = F.shiftrightunsigned(keys[0], 32) < int(rate * (1 << 32))
-    sample = rows.filter(chosen).select(F.col(label).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"))
-    sample = durable(sample)
+    keyed = rows.select(F.col(label).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"), *row_key(label, text))
+    totals = keyed.groupBy("lang").agg(F.approx_count_distinct("_k1", 0.02).alias("n")).collect()  # a row per language
+    bounds = {r.lang: min(1 << 32, (sample_rows << 32) // max(r.n, 1)) for r in totals}
+    mine = keyed.withColumn("_at", F.shiftrightunsigned("_k1", 32)).mapInArrow(lambda it: _choose(it, bounds), "lang string, text binary, _k1 long, _k2 long")
+    sample = durable(mine.dropDuplicates(["lang", "_k1", "_k2"]).select("lang", "text"))
     found = sample.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in found})
     place, counts = {x: i for i, x in enumerate(languages)}, np.zeros((len(languages), BUCKETS), np.int64)

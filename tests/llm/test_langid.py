@@ -39,3 +39,19 @@ def test_unexplained_texts_say_nothing_about_their_host(spark, sf):
     few = langid.identify(rest.union(spark.createDataFrame([("de", "h")], odd.schema)), model, ["text", "host"], F.col("text"), host=F.col("host"))
     one = lambda t: t.filter("host = 'h' AND text = 'de'").first().posterior
     assert one(got) == pytest.approx(one(few))
+
+
+def test_every_labelled_language_is_fitted_and_copies_count_once(spark):
+    """A language of five texts among 3,000, and a text that makes up a third of all rows."""
+    rng = random.Random(7)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(20))
+    hot = "zzzz " * 50
+    rows = [("aa", text("abcdefg")) for _ in range(2000)] + [("bb", text("hijklmn")) for _ in range(5)] + [("aa", hot)] * 1000
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    model = langid.fit(docs, sample_rows=100)
+    assert model.languages == ["aa", "bb"]
+    whole = langid.fit(docs, sample_rows=10**6)
+    once = langid.fit(docs.distinct(), sample_rows=10**6)
+    assert (whole.table == once.table).all() and whole.unknown == pytest.approx(once.unknown)
+    rare = spark.createDataFrame([(text("hijklmn"),) for _ in range(50)], "text string")
+    assert {r.predicted for r in langid.identify(rare, model, [], F.col("text")).collect()} == {"bb"}
