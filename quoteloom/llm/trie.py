@@ -10,7 +10,7 @@ Training, all counts over all training documents:
 3. Each shard's task merges its grams and writes one file: a trie whose levels are Elias-Fano sequences. The entry of word w
    below context c is stored as c * V + w, so looking a successor up relative to its context is one search in the
    sequence; pointers to the next level are a monotone sequence as well. Probabilities and back-off weights are
-   8-bit numbers on a logarithmic scale (``STEP`` decades apart).
+   16-bit numbers on a logarithmic scale (``STEP`` decades apart), down to 1e-300, far below 1 / any count.
 
 Scoring memory-maps the files in the shared folder; a batch of documents looks up all its grams shard by shard. The score
 is interpolated absolute discounting: p(w | h) = max(c(hw) - D, 0) / c(h) + D t(h) / c(h) p(w | shorter h), t(h) the
@@ -259,11 +259,14 @@ def _count_grams(batches: Iterator[pa.RecordBatch], root: str, lines: list[list[
 # --- the trie of a shard ----------------------------------------------------------------------------------------------
 
 
+_LEAST = 300.0  # decades; a count would have to pass 1e299
+
+
 def _code(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(-np.log10(np.maximum(p, 1e-300)) / STEP), 0, 255).astype(np.uint8)
+    return np.clip(np.round(-np.log10(np.maximum(p, 10.0**-_LEAST)) / STEP), 0, round(_LEAST / STEP)).astype(np.uint16)
 
 
-_VALUE = 10.0 ** (-STEP * np.arange(256))
+_VALUE = 10.0 ** (-STEP * np.arange(round(_LEAST / STEP) + 1))
 
 
 def _build(key, table: pa.Table, root: str, lines: list[list[int]], discount: float) -> pa.Table:

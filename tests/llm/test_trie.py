@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,43 @@ def test_no_training_rows_and_no_rows(spark):
     got = trie.score(docs, F.lit(True)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
     assert trie.score(docs.limit(0), trie.held_out(F.col("doc_id"))).count() == 0
+
+
+def test_rare_words_after_a_very_frequent_one(tmp_path):
+    """A context of 3e8 occurrences, against probabilities that are not rounded: a word once after it, a pair once, a back-off weight."""
+    texts = pa.array([b"the rare", b"the of rare", b"the of often"])
+    names = [b"the", b"of", b"rare", b"often"]
+    hashes = np.append(trie._hashes(names), trie._END)
+    order = np.argsort(hashes)
+    count = dict(zip([*names, None], [300_000_000, 200_000_000, 1_000, 5_000, 1_000_000], strict=True))
+    n = np.array([count[w] for w in [*names, None]])[order]
+    eliasfano.save(f"{tmp_path}/words-000000", {"h": hashes[order], "n": n, "upto": np.cumsum(n) - n}, {})
+    ids = {w: int(np.nonzero(order == i)[0][0]) for i, w in enumerate([*names, None])}
+    the, of, rare, often = names
+    c2 = {(the, rare): 1, (the, of): 150_000_000, (of, rare): 1, (of, often): 1, (rare, None): 2, (often, None): 1}
+    c3 = {(the, of, rare): 1, (the, rare, None): 1, (of, rare, None): 1, (of, often, None): 1}
+    pairs = sorted(c2, key=lambda p: [ids[w] for w in p])
+    triples = sorted(c3, key=lambda t: [ids[w] for w in t])
+    column = lambda values: np.array(values, np.uint32)
+    blob = trie._pack([
+        trie._gaps(column([ids[a] for a, _ in pairs])), column([ids[b] for _, b in pairs]), column([c2[p] for p in pairs]),
+        trie._gaps(column([pairs.index(t[:2]) for t in triples])), column([ids[t[2]] for t in triples]), column([c3[t] for t in triples]),
+    ])
+    lines = [[0, int(hashes[order][0]), len(n), int(n.sum())]]
+    edges = trie._build((pa.scalar(0),), pa.table({"blob": pa.array([blob], pa.binary())}), str(tmp_path), lines, trie.DISCOUNT)
+    wide = dict(zip(edges["word"].to_pylist(), edges["after"].to_pylist(), strict=True))
+    got = trie.Scorer(trie.Model(str(tmp_path), lines, 1 << 40, wide, trie.DISCOUNT)).score(texts)[3]
+
+    t1, t2, d = Counter(a for a, _ in c2), Counter(t[:2] for t in c3), trie.DISCOUNT
+    for g, words in zip(got, ([the, rare], [the, of, rare], [the, of, often]), strict=True):
+        want, seq = 0.0, [None, *words, None]
+        for i in range(1, len(seq)):
+            a, w = seq[i - 1 : i + 1]
+            p = (count[w] + 1) / (int(n.sum()) + len(n) + 1)
+            if t1[a]:
+                p = max(c2.get((a, w), 0) - d, 0) / count[a] + d * t1[a] / count[a] * p
+            if i > 1 and (seq[i - 2], a) in c2:
+                h = (seq[i - 2], a)
+                p = max(c3.get((*h, w), 0) - d, 0) / c2[h] + d * t2[h] / c2[h] * p
+            want += math.log10(p)
+        assert g == pytest.approx(want, abs=trie.STEP * (len(seq) - 1))
