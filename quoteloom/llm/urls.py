@@ -1,8 +1,8 @@
 """Operator 5: URL filter with a path-template tree per host, in DataFrame functions only.
 
 1. Addresses are parsed to host and path; rules (host and path prefix) decide what they fit, the longest first.
-2. Path segments become template segments. A segment's context is its host, its depth and the shape of what stands
-   before it. In its context a value stays literal if it is not a number or code by its look and carries at least
+2. Path segments become template segments, depth by depth. A segment's context is its host and the template of what
+   stands before it, so values below a ``*`` are pooled. In its context a value stays literal if it is not a number or code by its look and carries at least
    ``literal_share`` of the context's rows; every other value is variable and becomes ``*``.
 3. Labels (here: the verdicts of rules) are counted per template. Below one host and parent the branches that
    stand next to each other in their share of blocked labels are merged while a two-proportion test tells no
@@ -11,7 +11,8 @@
    its host's, and that by the whole table's, exceeds ``reject_above``.
 
 The tree is kept as rows (host, depth, prefix) of counts. A host that holds a third of all rows is a handful of such
-rows after the map-side half of the aggregation; a literal needs its share of a context, so a parent has at
+rows after the map-side half of the aggregation; a context whose paths all go on alike is finished at once, so
+there are as many rounds as depths at which paths of one context still part; a literal needs its share of a context, so a parent has at
 most ``1 / literal_share`` literal branches and the merging window is bounded.
 
 Nulls and edge cases: a null address, or one without ``://``, has an empty host and path, no rule, and the verdict of that
@@ -58,32 +59,35 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return rule, verdict
 
 
-def _contexts(segments: Column, host: Column) -> Column:
-    """Per segment: depth, hash of the host and of the shapes before it, and the value (null: variable by its look)."""
-    shape = F.transform(segments, lambda s: F.when(s.rlike(_CODE), F.lit("*")).otherwise(s))
-    step = F.aggregate(
-        shape,
-        F.struct(F.xxhash64(host).alias("h"), F.array().cast("array<long>").alias("all")),
-        lambda acc, s: F.struct(F.xxhash64(acc["h"], s).alias("h"), F.array_append(acc["all"], acc["h"]).alias("all")),
-    )
-    return F.zip_with(step["all"], shape, lambda c, s: F.struct(c.alias("context"), F.when(s != "*", s).alias("value")))
-
-
 def templates(pages: DataFrame, literal_share: float = LITERAL_SHARE) -> DataFrame:
     """Distinct ``host, path`` with their number of rows and the array ``template`` of their segments."""
-    paths = durable(pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")))
-    segments = F.array_remove(F.split("path", "/"), "")
-    named = paths.withColumn("_seg", segments).withColumn("_at", _contexts(F.col("_seg"), F.col("host")))
-    flat = named.select("n", F.explode("_at").alias("_a")).groupBy("_a.context", "_a.value").agg(F.sum("n").alias("n"))
-    flat = durable(flat)
-    wholes = flat.groupBy("context").agg(F.sum("n").alias("whole"))
-    literal = flat.filter("value IS NOT NULL").join(wholes, "context").filter(F.col("n") >= F.lit(literal_share) * F.col("whole")).select("context", "value")
-    # only values seen in other places than a literal one turn variable: look the pairs up, then rebuild each path
-    looked = named.select("host", "path", "n", F.posexplode_outer("_at").alias("_i", "_a")).select("host", "path", "n", "_i", "_a.*")
-    joined = looked.join(literal.withColumn("_literal", F.lit(True)), ["context", "value"], "left")
-    parts = F.array_sort(F.collect_list(F.struct("_i", F.when(F.col("_literal"), F.col("value")).otherwise("*").alias("s"))))
-    whole = joined.groupBy("host", "path").agg(F.first("n").alias("n"), parts.alias("_parts"))
-    return whole.select("host", "path", "n", F.transform(F.filter("_parts", lambda p: p["_i"].isNotNull()), lambda p: p["s"]).alias("template"))
+    paths = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    rest = F.transform(F.array_remove(F.split("path", "/"), ""), lambda s: F.when(s.rlike(_CODE), F.lit("*")).otherwise(s))
+    live = paths.select("host", "path", "n", F.array().cast("array<string>").alias("template"), rest.alias("rest"), F.xxhash64("host").alias("context"))
+    live, done = durable(live), None
+    while True:
+        ended = live.filter(F.size("rest") == 0).select("host", "path", "n", "template")
+        done = ended if done is None else done.unionByName(ended)
+        open_ = live.filter(F.size("rest") > 0)
+        if open_.isEmpty():
+            return done
+        tails = F.xxhash64("rest")
+        flat = open_.groupBy("context", F.get("rest", F.lit(0)).alias("value")).agg(F.sum("n").alias("n"), F.min(tails).alias("lo"), F.max(tails).alias("hi"))
+        flat = durable(flat)
+        wholes = flat.groupBy("context").agg(F.sum("n").alias("whole"), (F.min("lo") == F.max("hi")).alias("_alone"))
+        literal = (F.col("value") != "*") & (F.col("n") >= F.lit(literal_share) * F.col("whole"))
+        kept = flat.join(wholes, "context").filter(literal | F.col("_alone")).select("context", "value", "_alone")
+        joined = open_.withColumn("value", F.get("rest", F.lit(0))).join(kept, ["context", "value"], "left")
+        segment = F.when(F.col("_alone").isNotNull(), F.col("value")).otherwise("*")
+        alone = F.coalesce("_alone", F.lit(False))
+        live = durable(
+            joined.select(
+                "host", "path", "n",
+                F.when(alone, F.concat("template", "rest")).otherwise(F.array_append("template", segment)).alias("template"),
+                F.when(alone, F.array().cast("array<string>")).otherwise(F.slice("rest", 2, F.size("rest"))).alias("rest"),
+                F.xxhash64("context", segment).alias("context"),
+            )
+        )
 
 
 def purity(labelled: DataFrame, prior: float = PRIOR, same: float = SAME) -> DataFrame:
