@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import langid, lines, mixing, records, shards, simhash, trie, urls, vptree, winnow
+from quoteloom.llm import langid, lines, merkle, mixing, records, shards, simhash, trie, urls, vptree, winnow
 from quoteloom.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,52 @@ def op9_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return trie.score(docs, trie.held_out(docs["doc_id"]))
+
+
+@register(
+    "op12_merkle_manifest",
+    r"""
+WITH RECURSIVE
+enc AS (SELECT doc_id, lang, n_chars, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+          || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+        coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail, CAST(doc_id AS VARCHAR) AS id FROM documents),
+bits AS (SELECT *, list_transform(range(0, 8 * length(id)), lambda j: (ascii(id[j // 8 + 1]) >> (j % 8)) & 1) AS b FROM enc),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) AS crc FROM bits),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(length(CAST(n_chars + t AS VARCHAR)) || ':' || (n_chars + t), '-') || tail) AS claim
+  FROM (SELECT *, CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END AS t FROM crc) q),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i FROM leaves),
+low AS (
+  SELECT coalesce('=' || lang, '-') AS k, 0 AS level, i, leaf AS d FROM placed
+  UNION ALL
+  SELECT k, level + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM low) q
+  WHERE n > 1 GROUP BY k, level, i // 2),
+subs AS (SELECT k, d, row_number() OVER (ORDER BY CASE WHEN k = '-' THEN 0 ELSE 1 END, encode(k)) - 1 AS i, level AS height FROM
+  (SELECT *, max(level) OVER (PARTITION BY k) AS top FROM low) q WHERE level = top),
+high AS (
+  SELECT 0 AS level, i, d FROM subs
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM high) q
+  WHERE n > 1 GROUP BY level, i // 2),
+roots AS (SELECT d AS root, level AS top FROM high ORDER BY level DESC LIMIT 1),
+fold AS (
+  SELECT coalesce('=' || p.lang, '-') AS k, p.i AS place, 0 AS step, CASE WHEN s.height = 0 THEN s.i ELSE p.i END AS i, p.claim AS d, '' AS proof, s.height, s.i AS top_i, s.d AS subroot, r.top, r.root
+  FROM placed p JOIN subs s ON s.k = coalesce('=' || p.lang, '-'), roots r
+  UNION ALL
+  SELECT f.k, f.place, f.step + 1, CASE WHEN f.step + 1 = f.height THEN f.top_i ELSE f.i // 2 END,
+         sha256(CASE WHEN f.i % 2 = 1 THEN coalesce(a.d, b.d, '') ELSE '' END || f.d || CASE WHEN f.i % 2 = 0 THEN coalesce(a.d, b.d, '') ELSE '' END),
+         f.proof || coalesce(a.d, b.d, ''), f.height, f.top_i, f.subroot, f.top, f.root
+  FROM fold f
+  LEFT JOIN low a ON f.step < f.height AND a.k = f.k AND a.level = f.step AND a.i = xor(f.i, 1)
+  LEFT JOIN high b ON f.step >= f.height AND b.level = f.step - f.height AND b.i = xor(f.i, 1)
+  WHERE f.step < f.height + f.top)
+SELECT p.doc_id, p.leaf, f.subroot, f.root, sha256(f.proof) AS proof_sha256, f.d AS folded_root, f.d = f.root AS verified
+FROM placed p JOIN fold f ON f.k = coalesce('=' || p.lang, '-') AND f.place = p.i AND f.step = f.height + f.top
+""",
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered={"n_chars": F.when(chosen, F.col("n_chars") + 1)})
+    proof = F.sha2(F.array_join("proof", "").cast("binary"), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
