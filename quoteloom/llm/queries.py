@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import langid, lines, merkle, mixing, records, shards, simhash, trie, urls, vptree, winnow
+from quoteloom.llm import langid, lines, merkle, mixing, perplexity, records, shards, simhash, trie, urls, vptree, winnow, zonemaps
 from quoteloom.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +139,13 @@ def op10_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.score(docs, trie.held_out(docs["doc_id"]))
 
 
+@register("op11_kneser_ney_bands")
+def op11_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = perplexity.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower", "upper")
+    return found.select("doc_id", *[F.col(f"_quality.{n}").alias(n) for n in names])
+
+
 @register(
     "op12_merkle_manifest",
     r"""
@@ -186,3 +193,43 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.manifest(table(spark, sf_dir, "documents"), tampered={"n_chars": F.when(chosen, F.col("n_chars") + 1)})
     proof = F.sha2(F.array_join("proof", "").cast("binary"), 256)
     return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _cluster_sql(rounds: int = zonemaps.ROUNDS) -> str:
+    """Plain rounds: every vector against every centroid."""
+    tables = [
+        """
+v AS (
+  SELECT vec_id, x, row_number() OVER () AS r FROM (
+    SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64) q),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS k, x AS c FROM v
+  QUALIFY k < 16)"""
+    ]
+    nearest = """
+a{i} AS (
+  SELECT r, k, d FROM (
+    SELECT r, k, CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{i}) q
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)"""
+    means = """
+m{i} AS (
+  SELECT k, list(m ORDER BY j) AS c FROM (
+    SELECT k, j, (sum(x[j]) - ((sum(x[j]) % count(*) + count(*)) % count(*))) // count(*) AS m
+    FROM a{i} JOIN v USING (r), (SELECT unnest(range(1, 65)) AS j) u GROUP BY k, j) q GROUP BY k),
+c{n} AS (SELECT k, CAST(coalesce(m{i}.c, c{i}.c) AS BIGINT[]) AS c FROM c{i} LEFT JOIN m{i} USING (k))"""
+    for i in range(rounds):
+        tables += [nearest.format(i=i), means.format(i=i, n=i + 1)]
+    tables.append(nearest.format(i=rounds))
+    return "WITH" + ",".join(tables) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (k)
+"""
+
+
+@register("op13_zone_map_clusters", _cluster_sql())
+def op13_zone_map_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = zonemaps.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join("centroid", ",").cast("binary"), 256)
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
