@@ -11,12 +11,12 @@ import pyarrow.compute as pc
 SLICE = 4 << 20
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose values in ``column`` hold about ``SLICE`` bytes."""
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose values in ``column`` hold about ``size`` bytes."""
     sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     start = held = 0
     for i, n in enumerate(sizes.tolist()):
-        if held and held + n > SLICE:
+        if held and held + n > size:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n

@@ -57,6 +57,8 @@ DISCOUNTS = (0.5, 1.0, 1.5)
 LEAST_DISCOUNT = 0.05
 MIN_WORDS, MAX_REPEATED = 50, 50  # fixed values: words, percent
 SYMBOLS = b"#*$%&|<>"  # fixed value
+_MERGE, _KNOWN = 200_000, 600_000  # grams between merges, and those a task remembers
+_PIECE = 1 << 20  # bytes of text whose grams a task sorts at a time
 START, END, OTHER = "\x02", "\x03", "�"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -111,22 +113,32 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _stir(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
 
 
-def gram_hashes(points: np.ndarray, seeds: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 1 .. order the hash of the gram of n characters that ends at each place with enough places before it.
+def gram_hashes(points: np.ndarray, seeds: np.ndarray, order: int) -> np.ndarray:
+    """The hash of the gram of ``order`` characters that begins at each place with enough places behind it.
 
-    Entry n - 1 is aligned with ``points[n - 1:]``; ``seeds`` is the language's number at each place.
+    A gram is read backwards, so that one more character makes the next longer gram; ``seeds`` is the language's number at each place.
     """
-    out, letters = [], points.astype(np.uint64)
     h = np.zeros(len(points) + 1, np.uint64)
     for n in range(1, order + 1):
-        # the gram is read backwards, so that one more character makes the next longer gram
-        h = _stir(h[1:] * _MIX + letters[: len(letters) - n + 1] + np.uint64(1))
-        out.append(_stir(h ^ seeds[n - 1 :]))
-    return out
+        h = h[1:] * _MIX
+        h += points[: len(points) - n + 1]
+        h += np.uint64(1)
+        h = _stir(h)
+    return _stir(h ^ seeds[: len(h)])
+
+
+def hashes_of(windows: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The same for grams given as rows of characters; one without characters is the language itself."""
+    h = np.zeros(len(windows), np.uint64)
+    for n in range(windows.shape[1] - 1, -1, -1):
+        h = _stir(h * _MIX + windows[:, n] + np.uint64(1))
+    return _stir(h ^ seeds)
 
 
 def language_seed(name: str | None) -> int:
@@ -143,30 +155,79 @@ def _seeds(langs: pa.Array) -> np.ndarray:
 
 
 def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order that sorts h, where each distinct value begins in it)."""
-    order = np.argsort(h)
-    ranked = h[order]
+    """(order that sorts h, where each distinct value begins in it).
+
+    Upper bits and places are sorted as one number, which is several times faster than sorting places by values; where two
+    values share their upper bits, the plain way is taken.
+    """
+    bits = np.uint64(max(1, (len(h) - 1).bit_length()))
+    packed = np.sort(h >> bits << bits | np.arange(len(h), dtype=np.uint64))
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ranked, upper = h[order], packed >> bits
     new = np.ones(len(h), bool)
     new[1:] = ranked[1:] != ranked[:-1]
+    if (new[1:] & (upper[1:] == upper[:-1])).any():
+        order = np.argsort(h, kind="stable")
+        ranked = h[order]
+        new[1:] = ranked[1:] != ranked[:-1]
     return order, np.nonzero(new)[0]
 
 
-def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """``lang, gram, n`` of the highest order, each once per few megabytes of text."""
-    for batch in (piece for whole in batches for piece in slices(whole, 1)):
-        points, begins = characters(_lowered(batch.column(1)), order)
+class _Counter:
+    """Counts of grams of many slices: sorted hashes, counts, languages and characters, merged when they have doubled."""
+
+    def __init__(self, order: int):
+        self.order, self.names, self.place = order, [], {}
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.merged = self.rows = 0
+
+    def add(self, langs: pa.Array, texts: pa.Array) -> None:
+        points, begins = characters(_lowered(texts), self.order)
         owner = _owners(begins)
-        h = gram_hashes(points, _seeds(batch.column(0))[owner], order)[-1]
-        inside = owner[order - 1 :] == owner[: len(owner) - order + 1]
-        where, h = np.nonzero(inside)[0], h[inside]
-        if not len(h):
-            continue
+        inside = np.nonzero(owner[self.order - 1 :] == owner[: len(owner) - self.order + 1])[0]
+        if not len(inside):
+            return
+        h = gram_hashes(points, _seeds(langs)[owner], self.order)[inside]
+        by, begin = _runs(h)
+        at = inside[by[begin]]
+        lang = np.array([self._number(x) for x in langs.to_pylist()], np.int32)[owner[at]]
+        self.held.append((h[by[begin]], np.diff(np.append(begin, len(h))), lang, np.lib.stride_tricks.sliding_window_view(points, self.order)[at]))
+        self.rows += len(at)
+        if self.rows > 2 * self.merged + _MERGE:
+            self._merge()
+
+    def _number(self, lang: str | None) -> int:
+        if lang not in self.place:
+            self.place[lang] = len(self.names)
+            self.names.append(lang)
+        return self.place[lang]
+
+    def _merge(self) -> None:
+        h, n, lang, grams = (np.concatenate([x[i] for x in self.held]) for i in range(4))
         by, begin = _runs(h)
-        n = np.diff(np.append(begin, len(h)))
-        at = where[by[begin]]
-        text = np.lib.stride_tricks.sliding_window_view(points, order)[at].astype("<u4").tobytes().decode("utf-32-le")
-        grams = [text[i : i + order] for i in range(0, len(text), order)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[at])), pa.array(grams, pa.string()), pa.array(n)], ["lang", "gram", "n"])
+        at = by[begin]
+        self.held = [(h[at], np.add.reduceat(n[by], begin), lang[at], grams[at])]
+        self.merged = self.rows = len(at)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._merge()
+            _, n, lang, grams = self.held[0]
+            text = grams.astype("<u4").tobytes().decode("utf-32-le")
+            parts = pa.array([text[i : i + self.order] for i in range(0, len(text), self.order)], pa.string())
+            names = pa.array(self.names, pa.string()).take(pa.array(lang))
+            yield pa.RecordBatch.from_arrays([names, parts, pa.array(n)], ["lang", "gram", "n"])
+        self.__init__(self.order)
+
+
+def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """``lang, gram, n`` of the highest order, combined as far as a bounded table in the task allows."""
+    counter = _Counter(order)
+    for batch in (piece for whole in batches for piece in slices(whole, 1, _PIECE)):
+        counter.add(batch.column(0), batch.column(1))
+        if counter.merged > _KNOWN:
+            yield from counter.flush()
+    yield from counter.flush()
 
 
 _ROW = ["lang", "gram"]
@@ -252,11 +313,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(len(sizes), np.uint64)
         for n in np.unique(sizes).tolist():
             who = np.nonzero(sizes == n)[0]
-            if not n:
-                out[who] = _stir(seeds[who])
-                continue
             points = np.frombuffer("".join(grams.take(pa.array(who)).to_pylist()).encode("utf-32-le"), np.uint32)
-            out[who] = gram_hashes(points, np.repeat(seeds[who], n), n)[-1][::n]
+            out[who] = hashes_of(points.reshape(-1, n).astype(np.uint64), seeds[who])
         logs = [pa.array(np.log10(batch.column(i).to_numpy()).astype(np.float32)) for i in (2, 3)]
         yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), *logs], ["h", "p", "back"])
 
@@ -346,21 +404,20 @@ def score_texts(arrays: Arrays, langs: pa.Array, texts: pa.Array) -> tuple[np.nd
     points, begins = characters(_lowered(texts), order)
     owner = _owners(begins)
     seeds = _seeds(langs)
-    hashes = gram_hashes(points, seeds[owner], order)
     inside = np.nonzero(owner[order - 1 :] == owner[: len(owner) - order + 1])[0]
-    longest = hashes[-1][inside]
+    longest = gram_hashes(points, seeds[owner], order)[inside]
     by, begin = _runs(longest)
     at = inside[by[begin]]  # a place where each distinct gram begins
+    grams, own = np.lib.stride_tricks.sliding_window_view(points, order)[at].astype(np.uint64), seeds[owner[at]]
     log, open_ = np.zeros(len(at)), np.arange(len(at))
     for n in range(order, 0, -1):
-        end = at[open_] + order - 1
-        found, p, _ = arrays.find(hashes[n - 1][end - n + 1])
+        found, p, _ = arrays.find(hashes_of(grams[open_, order - n :], own[open_]))
         log[open_[found]] += p[found]
-        open_, end = open_[~found], end[~found]
-        if n > 1 and len(open_):  # back off: the context of n - 1 characters before the end
-            log[open_] += arrays.find(hashes[n - 2][end - 1 - (n - 2)])[2]
+        open_ = open_[~found]
+        if n > 1 and len(open_):  # back off: the characters before the last one
+            log[open_] += arrays.find(hashes_of(grams[open_, order - n : -1], own[open_]))[2]
     if len(open_):  # an unknown character of the language
-        _, p, back = arrays.find(_stir(seeds[owner[at[open_]]]))
+        _, p, back = arrays.find(_stir(own[open_]))
         log[open_] += p + back
     each = np.empty(len(longest))
     each[by] = np.repeat(log, np.diff(np.append(begin, len(longest))))
@@ -410,7 +467,8 @@ def _repeated(words: np.ndarray, lengths: np.ndarray, distinct: int) -> np.ndarr
         _, pair = np.unique(words[:-1] * distinct + words[1:], return_inverse=True)
         _, triple = np.unique(pair[:-1] * distinct + words[2:], return_inverse=True)
         inside = np.nonzero(text[2:] == text[:-2])[0]
-        by, begin = _runs((text[inside] * (int(triple.max()) + 1) + triple[inside]).astype(np.uint64))
+        window = (text[inside] * (int(triple.max()) + 1) + triple[inside]).astype(np.uint64)
+        by, begin = _runs(window * _MIX)  # an odd factor tells as many apart and spreads them
         size = np.diff(np.append(begin, len(inside)))
         at = inside[by[np.repeat(size > 1, size)]]
         for k in range(3):
@@ -431,7 +489,7 @@ def _examined(model: Model):
         arrays = Arrays(model)
         for langs, texts in batches:
             out = []
-            for piece in slices(pa.RecordBatch.from_arrays([langs, texts], ["lang", "text"]), 1):
+            for piece in slices(pa.RecordBatch.from_arrays([langs, texts], ["lang", "text"]), 1, _PIECE):
                 log, n = score_texts(arrays, piece.column(0), piece.column(1))
                 counts = base_counts(piece.column(1)) | {"log10_p": log, "n_chars_scored": n}
                 out.append(pa.StructArray.from_arrays([pa.array(counts[c], type=_STRUCT.field(c).type) for c in _NAMES], fields=list(_STRUCT)))

@@ -106,6 +106,14 @@ def test_probabilities_add_up_and_unknown_characters_have_some(spark):
             assert r.p + rest + unknown == pytest.approx(1)
 
 
+def test_runs_of_equal_hashes():
+    rng = np.random.default_rng(1)
+    for h in (rng.integers(0, 9, 200).astype(np.uint64), rng.integers(0, 40, 300).astype(np.uint64) << np.uint64(50), np.array([5], np.uint64), np.zeros(0, np.uint64)):
+        order, begin = perplexity._runs(h)
+        assert sorted(order.tolist()) == list(range(len(h))) and h[order].tolist() == sorted(h.tolist())
+        assert h[order][begin].tolist() == sorted(set(h.tolist()))
+
+
 def plain_counts(text):
     text = text or ""
     words = [w for w in re.split(SPACES, text) if w]
