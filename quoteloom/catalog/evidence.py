@@ -276,13 +276,29 @@ SCOPES = """sp AS (SELECT *, unnest([{'a': 'FOLD_' || fold, 'b': side}, {'a': 'F
   sc AS (SELECT * EXCLUDE s, s.a AS scope, s.b AS scope_side FROM sp)"""
 
 
+def tau_sql(src: str, keys: str, x: str, y: str) -> str:
+    """Tau-b by listing all pairs of (value pair, count) per key."""
+    return f"""SELECT a.* EXCLUDE ({x}, {y}, w), sum(a.w * b.w * sign(a.{x} - b.{x}) * sign(a.{y} - b.{y})) / (sqrt(sum(a.w * b.w * abs(sign(a.{x} - b.{x})))) * sqrt(sum(a.w * b.w * abs(sign(a.{y} - b.{y}))))) AS tau
+    FROM {src} a JOIN {src} b USING ({keys}) GROUP BY ALL HAVING sum(a.w * b.w * abs(sign(a.{x} - b.{x}))) > 0 AND sum(a.w * b.w * abs(sign(a.{y} - b.{y}))) > 0"""
+
+
 @register(
     "v20_rank_correlations",
     pv(SCOPES)
-    + f""", r AS ({rho_sql('sc', 'scope, scope_side', 'p', 'pnl')}), dd AS (SELECT scope, scope_side, us // {DAY} AS dy, avg(p) AS p, avg(pnl) AS pnl FROM sc GROUP BY ALL), rd AS ({rho_sql('dd', 'scope, scope_side', 'p', 'pnl')}),
-    kt AS (SELECT a.scope, a.scope_side, sum(sign(a.p - b.p) * sign(a.pnl - b.pnl)) / sqrt(sum(abs(sign(a.p - b.p))) * sum(abs(sign(a.pnl - b.pnl)))) AS tau FROM dd a JOIN dd b USING (scope, scope_side) GROUP BY ALL),
-    x AS (SELECT scope, scope_side, count(*) AS n, corr(rx, ry) AS rho FROM r GROUP BY ALL), z AS (SELECT scope, scope_side, count(*) AS days, corr(rx, ry) AS dr FROM rd GROUP BY ALL)
-    SELECT scope, scope_side, n, round(rho, 6) AS rho, round(dr, 6) AS day_rho, days, round(tau, 6) AS day_tau FROM x JOIN z USING (scope, scope_side) JOIN kt USING (scope, scope_side)""",
+    + f""", r AS ({rho_sql('sc', 'scope, scope_side', 'p', 'pnl')}), dd AS (SELECT scope, scope_side, us // {DAY} AS dy, avg(p) AS p, avg(pnl) AS pnl FROM sc GROUP BY ALL),
+    x AS (SELECT scope, scope_side, count(*) AS n, corr(rx, ry) AS rho FROM r GROUP BY ALL),
+    jt AS (SELECT scope, scope_side, p, pnl, CAST(count(*) AS DOUBLE) AS w FROM sc GROUP BY ALL), ta AS ({tau_sql('jt', 'scope, scope_side', 'p', 'pnl')}),
+    di AS (SELECT *, row_number() OVER (PARTITION BY scope, scope_side ORDER BY dy) - 1 AS i, count(*) OVER (PARTITION BY scope, scope_side) AS nd FROM dd),
+    dr AS (SELECT scope, scope_side, i AS slot, rep, {draws_sql(7, 2000)} AS pick FROM di, range(2000) t(rep)),
+    bs AS (SELECT scope, scope_side, rep, p, pnl, CAST(count(*) AS DOUBLE) AS w FROM dr JOIN di USING (scope, scope_side) WHERE di.i = dr.pick GROUP BY ALL
+      UNION ALL SELECT scope, scope_side, -1, p, pnl, CAST(count(*) AS DOUBLE) FROM di GROUP BY ALL),
+    bt AS ({tau_sql('bs', 'scope, scope_side, rep', 'p', 'pnl')}),
+    be AS (SELECT scope, scope_side, rep, p, pnl FROM bs, range(100) u(k) WHERE k < w), br AS ({rho_sql('be', 'scope, scope_side, rep', 'p', 'pnl')}),
+    bc AS (SELECT scope, scope_side, rep, corr(rx, ry) AS rho FROM br GROUP BY ALL), z AS (SELECT scope, scope_side, count(*) AS days FROM dd GROUP BY ALL),
+    ci AS (SELECT scope, scope_side, max(CASE WHEN rep = -1 THEN rho END) AS dr, max(CASE WHEN rep = -1 THEN tau END) AS dt, quantile_cont(CASE WHEN rep >= 0 THEN rho END, 0.025) AS rl, quantile_cont(CASE WHEN rep >= 0 THEN rho END, 0.975) AS ru,
+      quantile_cont(CASE WHEN rep >= 0 THEN tau END, 0.025) AS tl, quantile_cont(CASE WHEN rep >= 0 THEN tau END, 0.975) AS tu FROM bc JOIN bt USING (scope, scope_side, rep) GROUP BY ALL)
+    SELECT scope, scope_side, n, round(rho, 6) AS rho, round(tau, 6) AS tau, days, round(dr, 6) AS day_rho, round(rl, 6) AS day_rho_lower, round(ru, 6) AS day_rho_upper, round(dt, 6) AS day_tau, round(tl, 6) AS day_tau_lower,
+      round(tu, 6) AS day_tau_upper FROM x JOIN ta USING (scope, scope_side) JOIN z USING (scope, scope_side) JOIN ci USING (scope, scope_side)""",
 )
 def v20(spark, d):
     return round_doubles(V.rank_correlations(predictions(spark, d), "p", "pnl"))
@@ -470,7 +486,7 @@ def v33(spark, d):
 
 V34_FEATURES = ["a", "b", "c", "d", "e"]
 V34_PAIRS = [(x, y) for i, x in enumerate(V34_FEATURES) for y in V34_FEATURES[i + 1 :]]
-V34_SQL = f"""WITH e0 AS (SELECT value AS a, value * 2 + user_id * 0.01 AS b, user_id AS c, user_id * 3 + value * 0.1 AS d, event_id % 97 AS e, event_id FROM events),
+V34_SQL = f"""WITH e0 AS (SELECT value AS a, value * 2 + user_id * CAST(0.01 AS DOUBLE) AS b, user_id AS c, user_id * 3 + value * CAST(0.1 AS DOUBLE) AS d, event_id % 97 AS e, event_id FROM events),
     lg AS ({" UNION ALL ".join(f"SELECT '{x}{y}' AS pair, '{x}' AS feature_a, '{y}' AS feature_b, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM e0" for x, y in V34_PAIRS)}),
     rk AS ({rho_sql('lg', 'pair')}), pr AS (SELECT pair, feature_a, feature_b, corr(rx, ry) AS rho FROM rk GROUP BY ALL)"""
 

@@ -92,7 +92,7 @@ def sided(spark, d):
     SELECT *, CASE WHEN target_us IS NOT NULL AND (stop_us IS NULL OR target_us < stop_us) THEN 'TARGET_FIRST' WHEN stop_us IS NOT NULL THEN 'STOP_FIRST' ELSE 'NEITHER' END AS touch FROM h""",
 )
 def l4(spark, d):
-    out = L.first_touch(sided(spark, d), quotes(spark, d), 24 * HOUR, "side", "stop", "target", POINT, 2 * HOUR)
+    out = L.first_touch(sided(spark, d), quotes(spark, d), 24 * HOUR, "side", "stop", "target", POINT)
     return out.select("symbol", "us", "seq", "target_us", "stop_us", "touch")
 
 
@@ -188,7 +188,7 @@ def barrier_sql(s: L.Barrier) -> str:
       CASE WHEN complete THEN round((tu - us) / 1e6, 6) END AS seconds_to_target, CASE WHEN complete THEN round((su - us) / 1e6, 6) END AS seconds_to_stop FROM y""",
 )
 def l7(spark, d):
-    return round_doubles(L.triple_barrier(costed(spark, d), quotes(spark, d), SETTINGS, TOL, POINT, 2 * HOUR))
+    return round_doubles(L.triple_barrier(costed(spark, d), quotes(spark, d), SETTINGS, TOL, POINT))
 
 
 EV = ("long_return", "short_return", "mfe_long", "mae_long", "mfe_short", "mae_short")
@@ -256,7 +256,7 @@ def l12(spark, d):
     entries = c.select("symbol", "us", F.col("open").alias("entry"))
     sig = c.filter("close > open").select("symbol", (F.col("us") + WEEK).alias("us")).join(entries, ["symbol", "us"])
     sig = sig.withColumns({"stop": F.col("entry") * 0.6, "target": F.col("entry") * 1.8, "half_spread": F.lit(0.001)})
-    out = L.signal_bar_outcomes(sig, c, 4 * WEEK, 4 * WEEK, WEEK)
+    out = L.signal_bar_outcomes(sig, c, 4 * WEEK, 4 * WEEK)
     return round_doubles(out.select("symbol", "us", "reason", "exit_us", "exit_price"))
 
 

@@ -12,6 +12,28 @@ from quoteloom.functions.timing import DAY, HOUR
 from quoteloom.operators import models as M
 from quoteloom.sources.views import predictions
 
+
+def ridge_ctes(name: str, src: str, columns: list[str], label: str, alpha: float, key: str) -> str:
+    """CTEs that end in ``<name>`` with ``key, b0`` (intercept) ``, b1, ...``: the normal equations, solved one pivot after the other."""
+    x = ["1", *columns]
+    n = len(x)
+    pairs = [(i, j) for i in range(n) for j in range(n)]
+    cells = [f"sum(CAST({x[i]} AS DOUBLE) * {x[j]}) + {alpha if i == j and i else 0} AS a{i}_{j}" for i, j in pairs]
+    cells += [f"sum(CAST({x[i]} AS DOUBLE) * {label}) AS a{i}_{n}" for i in range(n)]
+    ctes = [f"{name}_s0 AS (SELECT {key}, {', '.join(cells)} FROM {src} GROUP BY {key})"]
+    for k in range(n):
+        step = [
+            (f"a{k}_{j} / a{k}_{k}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k}") + f" AS a{i}_{j}" for i in range(n) for j in range(n + 1)
+        ]
+        ctes.append(f"{name}_s{k + 1} AS (SELECT {key}, {', '.join(step)} FROM {name}_s{k})")
+    betas = ", ".join(f"a{i}_{n} AS b{i}" for i in range(n))
+    return ",\n".join([*ctes, f"{name} AS (SELECT {key}, {betas} FROM {name}_s{n})"])
+
+
+def ridge_score(columns: list[str], table: str) -> str:
+    return f"{table}.b0 + " + " + ".join(f"{c} * {table}.b{i + 1}" for i, c in enumerate(columns))
+
+
 CUTS = M.FOLD_CUTS["three"]
 B = M.boundaries(START, END, CUTS)
 SPAN = 6 * HOUR
@@ -101,7 +123,29 @@ def m8(spark, d):
     return round_doubles(M.coefficients(M.ridge(oof(spark, d), ["pred_mfe"], "market", 10.0), spark))
 
 
-@register("m8_ridge_oof")
+def folds_sql(features: list[str]) -> str:
+    """CTE ``zed``: rows of the three folds with role and prepared features ``z1, ...``."""
+    bounds = f"b AS (SELECT unnest([1, 2, 3]) AS k, unnest([{B[0]}, {B[1]}, {B[2]}]) AS lo, unnest([{B[1]}, {B[2]}, {B[3]}]) AS hi)"
+    rows = f"""fr AS (SELECT oof.* EXCLUDE (fold), k AS fold, CASE WHEN us >= lo THEN 'validation' ELSE 'train' END AS role FROM oof, b
+      WHERE us < hi AND (us >= lo OR us + {SPAN} <= lo))"""
+    cuts = ", ".join(f"quantile_cont(CAST({f} AS DOUBLE), 0.005) AS l{i}, quantile_cont(CAST({f} AS DOUBLE), 0.995) AS u{i}" for i, f in enumerate(features, 1))
+    inside = [f"least(greatest({f}, l{i}), u{i})" for i, f in enumerate(features, 1)]
+    scale = ", ".join(f"avg({x}) AS m{i}, stddev_pop({x}) AS s{i}" for i, x in enumerate(inside, 1))
+    z = ", ".join(f"CASE WHEN s{i} >= 1e-8 THEN least(greatest(({x} - m{i}) / s{i}, -10), 10) ELSE 0 END AS z{i}" for i, x in enumerate(inside, 1))
+    return f"""{bounds}, {rows}, q AS (SELECT fold, {cuts} FROM fr WHERE role = 'train' GROUP BY fold),
+    m AS (SELECT fold, {scale} FROM fr JOIN q USING (fold) WHERE role = 'train' GROUP BY fold), zed AS (SELECT fr.*, {z} FROM fr JOIN q USING (fold) JOIN m USING (fold)),
+    tr AS (SELECT * FROM zed WHERE role = 'train')"""
+
+
+Z = [f"z{i + 1}" for i in range(len(FEATURES))]
+
+
+@register(
+    "m8_ridge_oof",
+    pv(OOF, folds_sql(FEATURES), ridge_ctes("beta", "tr", Z, "market", 1.0, "fold"))
+    + f"""SELECT zed.fold, count(*) AS n, round(avg({ridge_score(Z, 'beta')}), 6) AS mean_prediction, round(avg(market), 6) AS mean_actual
+    FROM zed JOIN beta USING (fold) WHERE role = 'validation' GROUP BY zed.fold""",
+)
 def m8o(spark, d):
     out = M.oof_predictions(modelled(spark, d), FEATURES, "market", START, END, CUTS, SPAN, "ridge")
     return round_doubles(out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("mean_prediction"), F.avg("market").alias("mean_actual")))
@@ -133,16 +177,85 @@ def m10(spark, d):
     return round_doubles(M.safety_buffer(oof(spark, d), "pred", "market", ["side"]))
 
 
-@register("m11_group_importance")
+M11 = {"model": ["pred"], "context": ["pred_mfe", "past_return"]}
+M11_X = [x for g in M11.values() for x in g]
+M11_REST = {g: [x for x in M11_X if x not in own] for g, own in M11.items()}
+
+
+def m11_own(group: str) -> str:
+    return "CAST(0 AS DOUBLE) + " + " + ".join(f"{x} * f.b{M11_X.index(x) + 1}" for x in M11[group])
+
+
+M11_SQL = pv(
+    OOF,
+    "mm AS (SELECT *, 1 AS k, pred + market * 0.2 AS target FROM oof)",
+    "mt AS (SELECT * FROM mm WHERE fold < 3)",
+    ridge_ctes("f", "mt", M11_X, "target", 1.0, "k"),
+    *[ridge_ctes(f"w_{g}", "mt", rest, "target", 1.0, "k") for g, rest in M11_REST.items()],
+    f"""held AS (SELECT mm.event_id, target AS y, {ridge_score(M11_X, 'f')} AS a, {", ".join(f"{m11_own(g)} AS o_{g}, {ridge_score(rest, f'w_{g}')} AS w_{g}" for g, rest in M11_REST.items())},
+      row_number() OVER (ORDER BY mm.event_id) AS rn FROM mm JOIN f USING (k) {" ".join(f"JOIN w_{g} USING (k)" for g in M11)} WHERE fold >= 3)""",
+    "dl AS ("
+    + " UNION ALL ".join(
+        f"""SELECT '{g}' AS g, {r} AS r, o_{g} AS x, row_number() OVER (ORDER BY CAST(('0x' || substring(md5('{r + 1}:' || CAST(event_id AS VARCHAR)), 1, 7)) AS BIGINT) / 268435456.0, event_id) AS rn FROM held"""
+        for g in M11
+        for r in range(3)
+    )
+    + ")",
+    """va AS (SELECT 'ALL' AS feature_group, 'BASE' AS kind, 0 AS repeat, round(a, 6) AS x, y FROM held"""
+    + "".join(f" UNION ALL SELECT '{g}', 'ABLATED', 0, round(w_{g}, 6), y FROM held" for g in M11)
+    + "".join(f" UNION ALL SELECT g, 'PERMUTED', r, round(a - o_{g} + dl.x, 6), y FROM held JOIN dl USING (rn) WHERE g = '{g}'" for g in M11)
+    + ")",
+    f"rr AS ({rho_sql('va', 'feature_group, kind, repeat')})",
+    "rc AS (SELECT feature_group, kind, repeat, coalesce(corr(rx, ry), 0) AS rho FROM rr GROUP BY ALL)",
+)
+
+
+@register(
+    "m11_group_importance",
+    M11_SQL
+    + """SELECT feature_group, kind, round(avg(rho), 6) AS rho, round(avg((SELECT rho FROM rc WHERE kind = 'BASE') - rho), 6) AS importance
+    FROM rc WHERE kind <> 'BASE' GROUP BY feature_group, kind""",
+)
 def m11(spark, d):
     rows = oof(spark, d).withColumn("target", F.col("pred") + F.col("market") * 0.2)
-    groups = {"model": ["pred"], "context": ["pred_mfe", "past_return"]}
-    return round_doubles(M.group_importance(rows.filter("fold < 3"), rows.filter("fold >= 3"), groups, "target", "event_id"))
+    cut = rows.withColumn("role", F.when(F.col("fold") < 3, "train").otherwise("validation")).withColumn("fold", F.lit(1))
+    return round_doubles(M.group_importance(cut, M11, "target", "event_id"))
 
 
-@register("m13_coefficients")
+M13 = ["pred", "pred_mfe", "past_return", "past_run"]
+
+
+@register(
+    "m13_coefficients",
+    pv(OOF, "ko AS (SELECT *, 1 AS k FROM oof)", ridge_ctes("f", "ko", M13, "market", 1.0, "k"))
+    + f"SELECT unnest({M13}) AS feature, round(unnest([b1, b2, b3, b4]), 6) AS coefficient FROM f",
+)
 def m13(spark, d):
-    return round_doubles(M.coefficients(M.ridge(oof(spark, d), ["pred", "pred_mfe", "past_return", "past_run"], "market", 1.0), spark))
+    return round_doubles(M.coefficients(M.ridge(oof(spark, d), M13, "market", 1.0), spark))
+
+
+def quality(out, score):
+    """How far the predictions of each fold are from what happened, on a coarse grid for models that fit by iteration."""
+    return round_doubles(out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score")), 3)
+
+
+@register("m6_multinomial_oof")
+def m6m(spark, d):
+    """Three outcomes; the score is the probability given to what happened."""
+    rows = modelled(spark, d).withColumn("label", F.when(F.col("value") > 66, 0.0).when(F.col("value") > 33, 1.0).otherwise(2.0))
+    out = M.oof_predictions(rows, FEATURES, "label", START, END, CUTS, SPAN, "multinomial", M.EVENT_STUDY, classes=3)
+    return quality(out, F.element_at("probabilities", F.col("label").cast("int") + 1))
+
+
+@register("m7_boosted_classifier_oof")
+def m7c(spark, d):
+    out = M.oof_predictions(modelled(spark, d), FEATURES, "label", START, END, CUTS, SPAN, "boosted", M.EVENT_STUDY)
+    return quality(out, F.when(F.col("label") == 1, F.col("prediction")).otherwise(1 - F.col("prediction")))
+
+
+@register("m8_elastic_net_oof")
+def m8n(spark, d):
+    return quality(M.oof_predictions(modelled(spark, d), FEATURES, "market", START, END, CUTS, SPAN, "elastic_net"), F.col("prediction"))
 
 
 @register(

@@ -18,7 +18,7 @@ from quoteloom.sources.views import candles, quotes, table
 
 SET = E.EdgeSettings(
     every=HOUR, frames=(HOUR, 3 * HOUR, 6 * HOUR), rates=(2 * HOUR, 10 * HOUR, 30 * HOUR), window=12 * HOUR,
-    horizons=(2 * HOUR, 4 * HOUR, 6 * HOUR, 12 * HOUR, 24 * HOUR), excursion=6 * HOUR, touch=24 * HOUR, grid=2 * HOUR,
+    horizons=(2 * HOUR, 4 * HOUR, 6 * HOUR, 12 * HOUR, 24 * HOUR), excursion=6 * HOUR, touch=24 * HOUR,
     tolerance=TOL, point=POINT, max_spread=8.0, contract=1000.0,
 )
 

@@ -6,6 +6,7 @@ so a grid costs one shuffle of partial sums. Ranks and quantiles come from ``ran
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations, product
 
 import numpy as np
@@ -246,25 +247,60 @@ def quantile_distribution(pred: DataFrame, x: str, keys, thresholds) -> DataFram
     return q.join(above, list(keys))
 
 
-def rank_correlations(pred: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman of all rows per scope, and Spearman and Kendall tau-b of the UTC day means.
+def _weighted_ranks(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Average ranks of the values ``v`` when each occurs ``m[r]`` times, for every resampling r."""
+    _, code = np.unique(v, return_inverse=True)
+    sizes = np.zeros((len(m), code.max() + 1))
+    np.add.at(sizes.T, code, m.T)
+    return (np.cumsum(sizes, axis=1) - (sizes - 1) / 2)[:, code]
 
-    Day means are bounded by the calendar, so their pairwise statistic is a small in-task computation.
+
+def _resampled_correlations(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spearman and Kendall tau-b of the rows drawn ``m[r]`` times; NaN where a drawn column is constant."""
+    n = m.sum(axis=1)
+    a, b = _weighted_ranks(x, m), _weighted_ranks(y, m)
+    sa, sb = (m * a).sum(axis=1), (m * b).sum(axis=1)
+    va, vb = n * (m * a * a).sum(axis=1) - sa * sa, n * (m * b * b).sum(axis=1) - sb * sb
+    dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    fx, fy = ((m @ np.abs(dx)) * m).sum(axis=1), ((m @ np.abs(dy)) * m).sum(axis=1)
+    usable = (n >= 3) & (fx > 0) & (fy > 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rho = (n * (m * a * b).sum(axis=1) - sa * sb) / (np.sqrt(va) * np.sqrt(vb))
+        tau = ((m @ (dx * dy)) * m).sum(axis=1) / np.sqrt(fx * fy)
+    return np.where(usable, rho, np.nan), np.where(usable, tau, np.nan)
+
+
+def rank_correlations(pred: DataFrame, x: str, y: str, replications: int = 2000, seed: int = 7) -> DataFrame:
+    """Spearman and Kendall tau-b of all rows per scope, and both of the UTC day means with intervals by drawing days anew.
+
+    Days are bounded by the calendar: a scope's day means and their resamplings are small arrays of one task. The draws are those of
+    ``block_bootstrap``: slot s of replication r takes day md5(seed:r:s) of the days in order.
     """
-    rows = scoped(pred).select("scope", "scope_side", "us", c(x).cast("double").alias("x"), c(y).cast("double").alias("y"))
-    rho = R.spearman_long(rows, ["scope", "scope_side"])
-    days = rows.groupBy("scope", "scope_side", cell("us", DAY).alias("day")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("w"))
-    day_rho = R.spearman_long(days, ["scope", "scope_side"]).select("scope", "scope_side", c("rho").alias("day_rho"), c("n").alias("days"))
-
-    def tau(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        sa, sb = np.sign(a[:, None] - a[None, :]), np.sign(b[:, None] - b[None, :])
-        base = np.sqrt(float((sa != 0).sum()) * float((sb != 0).sum()))
-        value = float((sa * sb).sum()) / base if base > 0 else None
-        return pd.DataFrame({"scope": pdf["scope"].iloc[:1], "scope_side": pdf["scope_side"].iloc[:1], "day_tau": [value]})
-
-    kendall = days.groupBy("scope", "scope_side").applyInPandas(tau, "scope string, scope_side string, day_tau double")
-    return rho.join(day_rho, ["scope", "scope_side"]).join(kendall, ["scope", "scope_side"])
+    by = ["scope", "scope_side"]
+    rows = durable(scoped(pred).select(*by, "us", c(x).cast("double").alias("x"), c(y).cast("double").alias("y")))
+    rho = R.spearman_long(rows, by)
+    tau = R.kendall_long(rows, by).select(*by, "tau")
+    days = rows.groupBy(*by, cell("us", DAY).alias("day")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    names = [f"day_{k}{e}" for k in ("rho", "tau") for e in ("", "_lower", "_upper")]
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["x", "y"]).sort_values("day")
+        if not len(pdf):
+            return pd.DataFrame(columns=[*by, "days", *names])
+        out: dict = {k: pdf[k].iloc[:1].tolist() for k in by}
+        v, w, d = pdf["x"].to_numpy(), pdf["y"].to_numpy(), len(pdf)
+        drawn = [[int(hashlib.md5(f"{seed}:{r}:{s}".encode()).hexdigest()[:7], 16) % d for s in range(d)] for r in range(replications)]
+        m = np.stack([np.bincount(r, minlength=d) for r in drawn]).astype(float) if drawn else np.zeros((0, d))
+        for k, point, values in zip(("rho", "tau"), _resampled_correlations(v, w, np.ones((1, d))), _resampled_correlations(v, w, m), strict=True):
+            values = values[~np.isnan(values)]
+            low, high = np.quantile(values, [0.025, 0.975]) if len(values) else (np.nan, np.nan)
+            out |= {f"day_{k}": [point[0]], f"day_{k}_lower": [low], f"day_{k}_upper": [high]}
+        return pd.DataFrame(out | {"days": [d]})
+
+    schema = "scope string, scope_side string, days long, " + ", ".join(f"{n} double" for n in names)
+    means = days.groupBy(*by).applyInPandas(lambda pdf: summary(pdf)[[*by, "days", *names]], schema)
+    means = means.select(*by, "days", *[F.nanvl(n, F.lit(None)).alias(n) for n in names])
+    return rho.join(tau, by).join(means, by)
 
 
 # fixed values: the published shares of best-ranked rows

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from quoteloom.functions.timing import WEEK
 from quoteloom.operators.joins import asof_backward
-from quoteloom.operators.scans import block_window, core, row_blocks, with_tile
+from quoteloom.operators.paths import TrailingQuantile, TrailingRank, along_path
+from quoteloom.operators.scans import affine_carry, block_window, core, row_blocks, row_index, with_tile
+from quoteloom.session import durable
 
 KEYS = ("symbol",)
 VISIBLE = 63  # closed bars an observation can see
 BLOCK = 512
+RANK_ROWS = 65_536  # rows of a tile whose windows are ranked together
 
 
 def blocks(bars: DataFrame, back: int, keys=KEYS, tile: int = 4 * WEEK, ahead: int = 0) -> DataFrame:
@@ -43,31 +46,52 @@ def per_series(back):
     return wrap
 
 
-def ema_depth(span: int) -> int:
-    """Rows after which the weight of older data is below 2**-60: blocks need no more history."""
-    q = 1 - 2 / (span + 1)
-    return 1 if q == 0 else math.ceil(60 * math.log(2) / -math.log(q)) + 1
-
-
 def _position(w) -> Column:
     return F.row_number().over(w) - 1
 
 
-@per_series(lambda x, span, name: ema_depth(span))
-def ema_full(df: DataFrame, w, x: str, span: int, name: str) -> DataFrame:
-    """Exponential average over the whole history, seeded by the first value.
+def ema_columns(df: DataFrame, averages: dict[str, tuple[str, int]], keys=KEYS, tile: int = 4 * WEEK, block: int = BLOCK, fan: int = 1024) -> DataFrame:
+    """Exponential averages over the whole history, seeded by the first value, for several ``name: (column, span)`` in one scan.
 
-    ``e_t = q**t * (x_0 + a * sum(x_i / q**i))`` turns the recurrence into one running sum per block.
+    A row maps the average before it to ``q * e + a * x``. Inside a block of rows the maps are summed with weights
+    ``q**(t - i)``; a block as a whole is again such a map, and ``affine_carry`` composes the blocks before it. Nothing is cut off:
+    a weight only vanishes where it falls below the least double.
     """
-    a = 2 / (span + 1)
-    q = 1 - a
-    if q == 0:
-        return df.withColumn(name, F.col(x))
-    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("_j", _position(w))
-    weight = F.when(F.col("_j") == 0, F.lit(1.0)).otherwise(F.lit(a))
-    df = df.withColumn("_wx", weight * F.col(x) * F.pow(F.lit(q), -F.col("_j")))
-    return df.withColumn(name, F.pow(F.lit(q), F.col("_j")) * F.sum("_wx").over(up)).drop("_j", "_wx")
+    keys = list(keys)
+    q = {n: 1 - 2 / (span + 1) for n, (_, span) in averages.items()}
+    plain = {n: F.col(x) for n, (x, _) in averages.items() if q[n] == 0}
+    scanned = [n for n in averages if q[n] != 0]
+    if not scanned:
+        return df.withColumns(plain)
+    # inside a block the inverse weights must stay in range
+    block = max(1, min([block, *[int(200 * math.log(10) / -math.log(q[n])) for n in scanned]]))
+    given = {"rn", "_tile"} & set(df.columns)
+    ranked = df if "rn" in given else row_index(with_tile(df, width=tile), keys, ["us"])
+    ranked = ranked.withColumn("_b", F.floor((F.col("rn") - 1) / block).cast("long"))
+    j = F.col("rn") - 1 - F.col("_b") * block
+    up = Window.partitionBy(*keys, "_b").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {}
+    for n in scanned:
+        weight = F.when(F.col("rn") == 1, F.lit(1.0)).otherwise(F.lit(1 - q[n]))
+        inner = F.sum(weight * F.col(averages[n][0]) * F.pow(F.lit(q[n]), -j)).over(up)
+        sums[f"_l_{n}"] = F.pow(F.lit(q[n]), j) * inner
+    rows = durable(ranked.withColumns(sums | plain))
+    last = F.max(F.struct("rn", *[f"_l_{n}" for n in scanned])).alias("_last")
+    ends = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), last)
+    count = (rows.agg(F.max("_b")).first()[0] or 0) + 1
+    maps = [m for n in scanned for m in (F.pow(F.lit(q[n]), F.col("_n")).alias(f"_a_{n}"), F.coalesce(F.col(f"_last._l_{n}"), F.lit(0.0)).alias(f"_b_{n}"))]
+    if count > 1:
+        carried = affine_carry(ends.select(*keys, "_b", *maps), keys, "_b", scanned, count, fan)
+        rows = rows.join(carried, [*keys, "_b"])
+        rows = rows.withColumns({n: F.coalesce(F.col(f"_l_{n}"), F.lit(0.0)) + F.pow(F.lit(q[n]), j + 1) * F.col(f"_in_{n}") for n in scanned})
+    else:
+        rows = rows.withColumns({n: F.col(f"_l_{n}") for n in scanned})
+    return rows.drop("_b", *[f"_l_{n}" for n in scanned], *[f"_in_{n}" for n in scanned], *({"rn", "_tile"} - given))
+
+
+def ema_full(df: DataFrame, x: str, span: int, name: str, keys=KEYS, tile: int = 4 * WEEK) -> DataFrame:
+    """Exponential average over the whole history, seeded by the first value."""
+    return ema_columns(df, {name: (x, span)}, keys, tile)
 
 
 @per_series(lambda x, period, name, depth=VISIBLE: depth)
@@ -117,10 +141,9 @@ def atr_sma(df: DataFrame, w, period: int = 14, name: str = "atr") -> DataFrame:
     return df.withColumn(name, F.avg("_tr").over(w.rowsBetween(-(period - 1), 0))).drop("_tr")
 
 
-@per_series(lambda period=14, name="atr": ema_depth(2 * period - 1) + 1)
-def atr_ema(df: DataFrame, w, period: int = 14, name: str = "atr") -> DataFrame:
-    """True range smoothed by an average of span ``2 * period - 1``."""
-    return ema_full(true_range(df, name="_tr"), "_tr", 2 * period - 1, name).drop("_tr")
+def atr_ema(df: DataFrame, period: int = 14, name: str = "atr", keys=KEYS, tile: int = 4 * WEEK) -> DataFrame:
+    """True range smoothed over the whole history by an average of span ``2 * period - 1``."""
+    return ema_full(true_range(df, "_tr", keys=keys, tile=tile), "_tr", 2 * period - 1, name, keys, tile).drop("_tr")
 
 
 def range_regime(df: DataFrame, atr: str = "atr") -> DataFrame:
@@ -210,10 +233,14 @@ def trend_range_regime(df: DataFrame, slope: str = "ema_slope", atr: str = "atr"
     return df.withColumn("regime", F.when(trend, "TREND").otherwise("RANGE"))
 
 
-@per_series(ema_depth(21) + 15)
-def efficiency_regime(df: DataFrame, w, name: str = "regime") -> DataFrame:
+def efficiency_regime(df: DataFrame, name: str = "regime", keys=KEYS, tile: int = 4 * WEEK) -> DataFrame:
     """Up, down, range or unknown: 12-bar path efficiency, gap of two averages and their direction."""
-    df = ema_full(ema_full(df, "close", 9, "_fast"), "close", 21, "_slow")
+    averages = ema_columns(df, {"_fast": ("close", 9), "_slow": ("close", 21)}, keys, tile)
+    return _efficiency_regime(averages, name, keys=keys, tile=tile)
+
+
+@per_series(15)
+def _efficiency_regime(df: DataFrame, w, name: str) -> DataFrame:
     df = df.withColumn("_step", F.abs(F.col("close") - F.lag("close").over(w)))
     df = df.withColumns(
         {
@@ -239,27 +266,29 @@ def rolling(df: DataFrame, w, x: str, n: int, stat: str, name: str) -> DataFrame
     return df.withColumn(name, F.when(F.col("rn") >= n, fn.over(frame)))
 
 
-@per_series(lambda **k: 2 * 0 + ema_depth(27) + k.get("day", 288) + 2)
-def relative_strength(
-    df: DataFrame,
-    w,
-    *,
-    steps: tuple[int, int, int, int] = (3, 6, 12, 48),
-    day: int = 288,
-) -> DataFrame:
+def relative_strength(df: DataFrame, steps: tuple[int, int, int, int] = (3, 6, 12, 48), day: int = 288, keys=KEYS, tile: int = 4 * WEEK) -> DataFrame:
     """Returns over several horizons, activity against the previous day's median, ATR percentile,
     path efficiency and expected move. The first ``day`` bars of a symbol give no row."""
-    df = atr_ema(df)
-    df = df.withColumns({"atr_pct": F.col("atr") / F.col("close") * 100})
-    past = w.rowsBetween(-day, -1)
+    df = row_index(with_tile(atr_ema(df, keys=keys, tile=tile), width=tile), list(keys), ["us"]).drop("_tile")
+    df = df.withColumn("atr_pct", F.col("atr") / F.col("close") * 100)
+    # the row number is the time here: the window is the last ``day`` bars
+    past = [
+        TrailingQuantile("_volume", "volume", 0.5, day),
+        TrailingQuantile("_trades", "trades", 0.5, day),
+        TrailingRank("_atr", "atr_pct", "atr_pct", day),
+    ]
+    df = along_path(df, df, keys, past, us="rn", order=("rn",), width=max(RANK_ROWS, day), back=day)
+    return core(_relative_strength(blocks(df, day + 2, keys, tile), block_window(keys), steps, day)).drop("rn")
+
+
+def _relative_strength(df: DataFrame, w, steps: tuple[int, int, int, int], day: int) -> DataFrame:
     df = df.withColumn("_step", F.abs(F.col("close") - F.lag("close").over(w)))
 
     def ret(k: int) -> Column:
         return F.col("close") / F.lag("close", k).over(w) - 1
 
     def relative(x: str) -> Column:
-        med = F.percentile(x, F.lit(0.5)).over(past)
-        return F.when(med > 0, F.try_divide(F.col(x), med)).otherwise(0.0)
+        return F.when(F.col(f"_{x}") > 0, F.try_divide(F.col(x), F.col(f"_{x}"))).otherwise(0.0)
 
     far = F.lag("close", steps[3]).over(w)
     df = df.withColumns(
@@ -273,19 +302,18 @@ def relative_strength(
             "activity_relative": relative("trades"),
             "_path": F.sum("_step").over(w.rowsBetween(-(steps[3] - 1), 0)),
             "_far": far,
-            "_hist": F.collect_list("atr_pct").over(past),
             "expected_move_pct": F.col("atr_pct") * 2,
         }
     )
     df = df.withColumns(
         {
-            "atr_percentile": F.size(F.filter("_hist", lambda v: v <= F.col("atr_pct"))) / F.lit(float(day)),
+            "atr_percentile": (F.col("_atr_below") + F.col("_atr_equal")) / F.lit(float(day)),
             "trend_efficiency": F.when(
                 F.col("_path") > 0, F.try_divide(F.abs(F.col("close") - F.col("_far")), F.col("_path"))
             ).otherwise(0.0),
         }
     )
-    return df.filter(F.col("rn") > day).drop("_step", "_path", "_far", "_hist")
+    return df.filter(F.col("rn") > day).drop("_step", "_path", "_far", "_volume", "_trades", "_atr_count", "_atr_below", "_atr_equal")
 
 
 def closed_strength(df: DataFrame, keys=KEYS, least: int = 300, **settings) -> DataFrame:

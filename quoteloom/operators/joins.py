@@ -1,4 +1,4 @@
-"""As-of joins, bounded range joins and first-passage search."""
+"""As-of joins and bounded range joins."""
 
 from __future__ import annotations
 
@@ -172,86 +172,3 @@ def range_join(
         on = on & (F.col(k) == F.col(f"_r_{k}"))
     hit = lhs.join(rhs, on & (F.col("_r_us") >= F.col("_from")) & (F.col("_r_us") <= F.col("_to")))
     return hit.drop("_cell", "_r_cell", *[f"_r_{k}" for k in keys])
-
-
-def first_passage(
-    obs: DataFrame,
-    path: DataFrame,
-    keys,
-    obs_key,
-    span: int | Column,
-    barriers: dict[str, tuple[str, str, str]],
-    grid: int,
-    us: str = "us",
-    tie: str = "seq",
-    carry=(),
-) -> DataFrame:
-    """First path row in ``(T, T + span]`` that reaches each barrier of the observation.
-
-    ``barriers`` maps a name to ``(path column, ">=" or "<=", level column of the observation)``; adds
-    ``<name>_us``, ``<name>_seq`` and ``<name>_<c>`` for the path columns in ``carry``. A null level is
-    never reached; ``span`` may be a column of the observation. The search is coarse to fine: the path is first folded to grid
-    cells (min and max), each observation looks at its ``span / grid + 2`` cells, and only the first
-    cell that can hold a hit, plus the two border cells, are opened. The fan-out per observation is
-    thus fixed by the grid and does not grow with the density of the path.
-    """
-    keys, obs_key = list(keys), list(obs_key)
-    used = sorted({c for c, _, _ in barriers.values()})
-    obs = obs.withColumn("_span", span if isinstance(span, Column) else F.lit(span).cast("long"))
-    bars = (
-        path.withColumn("_cell", cell(us, grid))
-        .groupBy(*keys, "_cell")
-        .agg(
-            *[F.max(c).alias(f"_max_{c}") for c in used],
-            *[F.min(c).alias(f"_min_{c}") for c in used],
-        )
-    )
-    head, tail = cell(us, grid), cell(F.col(us) + F.col("_span"), grid)
-    levels = sorted({lv for _, _, lv in barriers.values()})
-    slim = obs.select(*dict.fromkeys([*keys, *obs_key, us, "_span", *levels]))
-    wide = slim.withColumns({"_head": head, "_last": tail})
-    wide = wide.withColumn("_cell", F.explode(F.sequence("_head", "_last")))
-    looked = wide.join(bars, [*keys, "_cell"], "inner")
-    border = (F.col("_cell") == F.col("_head")) | (F.col("_cell") == F.col("_last"))
-
-    def reaches(c: str, op: str, level: str, prefix: bool) -> Column:
-        value = F.col((("_max_" if op == ">=" else "_min_") + c) if prefix else f"_p_{c}")
-        return value >= F.col(level) if op == ">=" else value <= F.col(level)
-
-    flags = {n: reaches(c, op, lv, True) for n, (c, op, lv) in barriers.items()}
-    ident = list(dict.fromkeys([*keys, *obs_key, us]))
-    cells = looked.groupBy(*ident, "_span", *[lv for lv in levels if lv not in ident]).agg(
-        *[F.min(F.when(f & ~border, F.col("_cell"))).alias(f"_c_{n}") for n, f in flags.items()],
-        F.min(F.when(border, F.col("_cell"))).alias("_c_head"),
-        F.max(F.when(border, F.col("_cell"))).alias("_c_tail"),
-    )
-    opened = cells.withColumn(
-        "_cell",
-        F.explode(
-            F.array_distinct(
-                F.array_compact(F.array(*[F.col(f"_c_{n}") for n in flags], F.col("_c_head"), F.col("_c_tail")))
-            )
-        ),
-    )
-    ticks = path.select(
-        *keys,
-        cell(us, grid).alias("_cell"),
-        F.col(us).alias("_p_us"),
-        F.col(tie).alias("_p_seq"),
-        *[F.col(c).alias(f"_p_{c}") for c in sorted({*used, *carry})],
-    )
-    pairs = opened.join(ticks, [*keys, "_cell"], "inner")
-    pairs = pairs.filter((F.col("_p_us") > F.col(us)) & (F.col("_p_us") <= F.col(us) + F.col("_span")))
-    hits = pairs.groupBy(*ident).agg(
-        *[
-            F.min(F.when(reaches(c, op, lv, False), F.struct("_p_us", "_p_seq", *[f"_p_{k}" for k in carry]))).alias(f"_h_{n}")
-            for n, (c, op, lv) in barriers.items()
-        ]
-    )
-    found = hits.select(
-        *ident,
-        *[F.col(f"_h_{n}._p_us").alias(f"{n}_us") for n in barriers],
-        *[F.col(f"_h_{n}._p_seq").alias(f"{n}_seq") for n in barriers],
-        *[F.col(f"_h_{n}._p_{k}").alias(f"{n}_{k}") for n in barriers for k in carry],
-    )
-    return obs.drop("_span").join(found, ident, "left")

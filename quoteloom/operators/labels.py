@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.functions.timing import DAY
-from quoteloom.operators.joins import asof_backward, asof_forward, first_passage
+from quoteloom.operators.joins import asof_forward
+from quoteloom.operators.paths import Extreme, Neighbour, Touch, along_path
 from quoteloom.operators.scans import forward_extreme
 
 KEYS = ("symbol",)
@@ -90,11 +90,12 @@ def barrier_levels(df: DataFrame, side: str, stop: str, target: str, point: floa
 BARRIERS = {"lt": ("bid", ">=", "_lt"), "ls": ("bid", "<=", "_ls"), "st": ("ask", "<=", "_st"), "ss": ("ask", ">=", "_ss")}
 
 
-def first_touch(
-    obs: DataFrame, ticks: DataFrame, span, side: str, stop: str, target: str, point: float, grid: int, ident=IDENT, carry=()
-) -> DataFrame:
-    """Which barrier is touched first; adds ``touch`` and the touching times (one tick cannot touch both)."""
-    hit = first_passage(barrier_levels(obs, side, stop, target, point), ticks, KEYS, ident, span, BARRIERS, grid, carry=carry)
+def _touches(end: str, carry) -> list[Touch]:
+    return [Touch(n, c, op, level, end, ("us", "seq", *carry)) for n, (c, op, level) in BARRIERS.items()]
+
+
+def _touched(hit: DataFrame, carry) -> DataFrame:
+    """``touch``, ``target_us``, ``stop_us`` and what was carried, from the passages of the four barriers."""
     cols = {"target_us": F.coalesce("lt_us", "st_us"), "stop_us": F.coalesce("ls_us", "ss_us")}
     cols |= {"_tseq": F.coalesce("lt_seq", "st_seq"), "_sseq": F.coalesce("ls_seq", "ss_seq")}
     for c in carry:
@@ -107,6 +108,12 @@ def first_touch(
     return out.withColumn("touch", touch).drop(*scratch, "_lt", "_ls", "_st", "_ss", "_tseq", "_sseq")
 
 
+def first_touch(obs: DataFrame, ticks: DataFrame, span: int, side: str, stop: str, target: str, point: float, carry=(), width: int | None = None) -> DataFrame:
+    """Which barrier is touched first in ``(T, T + span]``; adds ``touch`` and the touching times (one tick cannot touch both)."""
+    levels = barrier_levels(obs, side, stop, target, point).withColumn("_end", F.col("us") + span)
+    return _touched(along_path(levels, ticks, KEYS, _touches("_end", carry), span, width=width), carry).drop("_end")
+
+
 def cost_ladder(
     df: DataFrame, mid_return: str, executable: str, slippage: float, commission: float, point: float, contract: float, lots: float
 ) -> DataFrame:
@@ -128,20 +135,24 @@ def cost_ladder(
     )
 
 
-def horizon_labels(obs: DataFrame, ticks: DataFrame, horizons: dict[str, int], tolerance: int, point: float) -> DataFrame:
-    """Returns and path extremes up to each horizon tick, for both sides and for the mid.
+def horizon_labels(obs: DataFrame, ticks: DataFrame, horizons: dict[str, int], tolerance: int, point: float, width: int | None = None) -> DataFrame:
+    """Returns and path extremes up to each horizon tick, for both sides and for the mid; all horizons from one pass over the ticks.
 
     The path ends at the horizon tick, so its quote joins the extremes of the open window before T + h.
     """
     path = ticks.withColumn("mid", (F.col("bid") + F.col("ask")) / 2) if "mid" not in ticks.columns else ticks
-    out = executable_quotes(obs, ticks, horizons, tolerance)
-    extremes = EXTREMES | {"_max_mid": ("max", "mid"), "_min_mid": ("min", "mid")}
-    for n, w in horizons.items():
-        out = forward_extreme(out, path, KEYS, w, extremes, inclusive_end=False)
-        fb, fa = F.col(f"future_bid_{n}"), F.col(f"future_ask_{n}")
+    questions: list = []
+    for n in horizons:
+        questions.append(Neighbour(f"_due_{n}", {f"_bid_{n}": "bid", f"_ask_{n}": "ask"}, tolerance))
+        questions += [Extreme(f"_{kind}_{c}_{n}", kind, c, f"_due_{n}", inclusive=False) for kind in ("max", "min") for c in ("bid", "ask", "mid")]
+    timed = obs.withColumns({f"_due_{n}": F.col("us") + w for n, w in horizons.items()})
+    out = along_path(timed, path, KEYS, questions, max(horizons.values()) + tolerance, width=width)
+    for n in horizons:
+        fb, fa = F.col(f"_bid_{n}"), F.col(f"_ask_{n}")
         fm = (fb + fa) / 2
-        top = {"bid": F.greatest("_max_bid", fb), "ask": F.greatest("_max_ask", fa), "mid": F.greatest("_max_mid", fm)}
-        low = {"bid": F.least("_min_bid", fb), "ask": F.least("_min_ask", fa), "mid": F.least("_min_mid", fm)}
+        ends = {"bid": fb, "ask": fa, "mid": fm}
+        top = {c: F.greatest(F.col(f"_max_{c}_{n}"), v) for c, v in ends.items()}
+        low = {c: F.least(F.col(f"_min_{c}_{n}"), v) for c, v in ends.items()}
         ok = fb.isNotNull()
         up, down = _floor0((top["mid"] - F.col("mid")) / point), _floor0((F.col("mid") - low["mid"]) / point)
         market = (fm - F.col("mid")) / point
@@ -160,13 +171,7 @@ def horizon_labels(obs: DataFrame, ticks: DataFrame, horizons: dict[str, int], t
             "direction_long": F.when(market > 0, 1).otherwise(0),
         }
         out = out.withColumns({f"{k}_{n}": F.when(ok, v) for k, v in labels.items()})
-        out = out.drop(*extremes, f"future_bid_{n}", f"future_ask_{n}")
-    return out
-
-
-def executable_quotes(obs: DataFrame, ticks: DataFrame, horizons: dict[str, int], tolerance: int) -> DataFrame:
-    long = forward_asof(obs, ticks, horizons, tolerance)
-    return _wide(long, obs.columns, horizons, {"future_bid": F.col("future_bid"), "future_ask": F.col("future_ask")})
+    return out.drop(*[f"_due_{n}" for n in horizons], *[c for q in questions for c in q.answers()])
 
 
 @dataclass(frozen=True)
@@ -190,33 +195,39 @@ BARRIER_SETTINGS = (
 
 
 def triple_barrier(
-    obs: DataFrame, ticks: DataFrame, settings, tolerance: int, point: float, grid: int, atr: str = "atr_points"
+    obs: DataFrame, ticks: DataFrame, settings, tolerance: int, point: float, atr: str = "atr_points", width: int | None = None
 ) -> DataFrame:
     """TARGET, STOP or NEITHER per setting and side, with exit returns under three cost scenarios.
 
     Needs ``cost_optimistic``, ``cost_base``, ``cost_stress`` in points. One row per observation,
-    setting and side; incomplete when no tick lies within the tolerance before the timeout.
+    setting and side; incomplete when no tick lies within the tolerance before the timeout. One pass over the
+    ticks answers all settings and sides.
     """
-    parts = []
-    for s in settings:
-        o = asof_backward(
-            obs.withColumn("_due", F.col("us") + s.timeout), ticks, KEYS, {"_end_us": "us", "_end_bid": "bid", "_end_ask": "ask"}, "_due", right_order=["seq"]
-        )
-        o = forward_extreme(o, ticks, KEYS, s.timeout, EXTREMES)
-        o = o.withColumns(
-            {
-                "setting": F.lit(s.id),
-                "_timeout": F.lit(s.timeout).cast("long"),
-                "target_points": F.greatest(F.col(atr) * s.target_atr, F.col("cost_base") * s.target_to_cost),
-                "stop_points": F.greatest(F.col(atr) * s.stop_atr, F.lit(1.0)),
-            }
+    grid = [
+        F.struct(
+            F.lit(s.id).alias("setting"),
+            F.lit(side).alias("side"),
+            (F.col("us") + s.timeout).alias("due"),
+            F.greatest(F.col(atr) * s.target_atr, F.col("cost_base") * s.target_to_cost).alias("target"),
+            F.greatest(F.col(atr) * s.stop_atr, F.lit(1.0)).alias("stop"),
         )
-        parts.append(o.withColumn("side", F.explode(F.array(F.lit("BUY"), F.lit("SELL")))))
-    both = reduce(DataFrame.unionByName, parts)
-    complete = F.coalesce((F.col("_end_us") > F.col("us")) & (F.col("_due") - F.col("_end_us") <= tolerance), F.lit(False))
-    both = both.withColumn("complete", complete)
-    ident = (*IDENT, "setting", "side")
-    hit = first_touch(both, ticks, F.col("_timeout"), "side", "stop_points", "target_points", point, grid, ident, carry=("bid", "ask"))
+        for s in settings
+        for side in ("BUY", "SELL")
+    ]
+    used = [*IDENT, "bid", "ask", "mid", "cost_optimistic", "cost_base", "cost_stress"]
+    both = obs.select(*used, F.explode(F.array(*grid)).alias("_g"))
+    both = both.select(
+        *used, F.col("_g.setting").alias("setting"), F.col("_g.side").alias("side"), F.col("_g.due").alias("_due"),
+        F.col("_g.target").alias("target_points"), F.col("_g.stop").alias("stop_points"),
+    )
+    questions = [
+        Neighbour("_due", {"_end_us": "us", "_end_bid": "bid", "_end_ask": "ask"}, tolerance, ahead=False, times=("_end_us",)),
+        *[Extreme(n, kind, c, "_due") for n, (kind, c) in EXTREMES.items()],
+        *_touches("_due", ("bid", "ask")),
+    ]
+    levels = barrier_levels(both, "side", "stop_points", "target_points", point)
+    hit = _touched(along_path(levels, ticks, KEYS, questions, max(s.timeout for s in settings), width=width), ("bid", "ask"))
+    hit = hit.withColumn("complete", F.coalesce(F.col("_end_us") > F.col("us"), F.lit(False)))
     buy, c = F.col("side") == "BUY", F.col("complete")
 
     def exit_quote(q: str) -> Column:
@@ -296,19 +307,21 @@ def weakest_forward_return(ranked: DataFrame, bars: DataFrame, ahead: int) -> Da
     return both.select("symbol", "us", (-(F.col("_later") / F.col("_now") - 1) * 100).alias("short_return_pct"))
 
 
-def signal_bar_outcomes(signals: DataFrame, bars: DataFrame, timeout: int, longest: int, grid: int) -> DataFrame:
+def signal_bar_outcomes(signals: DataFrame, bars: DataFrame, timeout: int, longest: int, width: int | None = None) -> DataFrame:
     """Every signal on its own against candles: stop before target within a bar, else exit at the close of
     the first bar at or after the timeout. ``half_spread`` (a fraction) lowers the touch prices.
 
     Signals carry symbol, us (entry bar), entry, stop, target, half_spread.
     """
     touch = 1 - F.col("half_spread")
-    sig = signals.withColumns({"_stop": F.col("stop") / touch, "_target": F.col("target") / touch, "_due": F.col("us") + timeout})
-    ended = asof_forward(sig, bars, KEYS, {"timeout_us": "us", "timeout_close": "close"}, longest, left_us="_due", width=max(4 * longest, DAY))
-    probe = ended.withColumns({"_entry": F.col("us"), "us": F.col("us") - 1})
-    span = F.coalesce(F.col("timeout_us"), F.col("_due") + longest) - F.col("us")
-    rows = bars.withColumn("seq", F.lit(0))
-    hit = first_passage(probe, rows, KEYS, ["us"], span, {"stop": ("low", "<=", "_stop"), "target": ("high", ">=", "_target")}, grid)
+    sig = signals.withColumns({"_stop": F.col("stop") / touch, "_target": F.col("target") / touch, "_due": F.col("us") + timeout, "_entry": F.col("us")})
+    sig = sig.withColumns({"_last": F.col("_due") + longest, "us": F.col("us") - 1})  # the entry bar is on the path
+    questions = [
+        Neighbour("_due", {"timeout_us": "us", "timeout_close": "close"}, longest, times=("timeout_us",)),
+        Touch("stop", "low", "<=", "_stop", "timeout_us", ("us",), otherwise="_last"),
+        Touch("target", "high", ">=", "_target", "timeout_us", ("us",), otherwise="_last"),
+    ]
+    hit = along_path(sig, bars, KEYS, questions, timeout + longest + 1, order=("us",), width=width)
     stopped = F.col("stop_us").isNotNull() & (F.col("target_us").isNull() | (F.col("stop_us") <= F.col("target_us")))
     reason = F.when(stopped, "STOP").when(F.col("target_us").isNotNull(), "TARGET").when(F.col("timeout_us").isNotNull(), "TIMEOUT").otherwise("OPEN")
     out = hit.withColumn("us", F.col("_entry")).withColumn("reason", reason)
@@ -318,7 +331,7 @@ def signal_bar_outcomes(signals: DataFrame, bars: DataFrame, timeout: int, longe
             "exit_price": F.when(stopped, F.col("stop")).when(F.col("reason") == "TARGET", F.col("target")).otherwise(F.col("timeout_close")),
         }
     )
-    return out.drop("_stop", "_target", "_due", "_entry", "stop_us", "stop_seq", "target_us", "target_seq", "timeout_us", "timeout_close")
+    return out.drop("_stop", "_target", "_due", "_last", "_entry", "stop_us", "target_us", "timeout_us", "timeout_close")
 
 
 def trade_cost_decomposition(fills: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quoteloom.functions.timing import DAY, HOUR, MINUTE, SECOND, cell, cell_start
 from quoteloom.operators.bars import sample_first
 from quoteloom.operators.joins import past_values, range_join
+from quoteloom.operators.paths import TrailingQuantile, TrailingRank, along_path
+from quoteloom.operators.sliding import Runs, SerialMoments
 from quoteloom.operators.scans import (
     previous,
     time_halo,
@@ -91,9 +93,8 @@ def price_acceleration(ticks: DataFrame, span: int, keys=KEYS) -> DataFrame:
 
 def spread_context(obs: DataFrame, ticks: DataFrame, span: int) -> DataFrame:
     """Current spread against the median of the trailing window, at sampled rows."""
-    seen = range_join(obs, ticks, KEYS, F.col("us") - span, F.col("us"), {"_s": "spread", "_q": "seq"}, width=span)
-    own = (F.col("_r_us") < F.col("us")) | (F.col("_q") <= F.col("seq"))
-    med = seen.filter(own).groupBy(*OBS).agg(F.first("spread").alias("spread"), F.percentile("_s", F.lit(0.5)).alias("median_spread"))
+    slim = obs.select(*OBS, "spread")
+    med = along_path(slim, ticks, KEYS, [TrailingQuantile("median_spread", "spread", 0.5, span, own=True)], back=span)
     return med.withColumns(
         {
             "spread_delta": F.col("spread") - F.col("median_spread"),
@@ -128,45 +129,9 @@ def recent_range_position(rows: DataFrame, span: int, side: str | None = None, a
     return out.withColumns(cols).drop("_hi", "_lo")
 
 
-def _window_rows(obs: DataFrame, ticks: DataFrame, span: int, columns: dict[str, str]) -> DataFrame:
-    """Rows of the trailing window of each sampled observation, the observation's own row last."""
-    slim = obs.select(*OBS)
-    seen = range_join(slim, ticks, KEYS, F.col("us") - span, F.col("us"), columns | {"_q": "seq"}, width=span)
-    return seen.filter((F.col("_r_us") < F.col("us")) | (F.col("_q") <= F.col("seq")))
-
-
 def run_lengths(obs: DataFrame, ticks: DataFrame, span: int) -> DataFrame:
     """Runs of equal direction in the trailing window: mean, longest, current signed, transition shares."""
-    rows = _window_rows(obs, ticks, span, {"_m": "mid"})
-    w = Window.partitionBy(*OBS).orderBy("_r_us", "_q")
-    moves = rows.withColumn("_sign", F.signum(F.col("_m") - F.lag("_m").over(w))).filter("_sign <> 0")
-    starts = moves.withColumn("_new", F.when(F.col("_sign") == F.lag("_sign").over(w), 0).otherwise(1))
-    tagged = starts.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = tagged.groupBy(*OBS, "_run").agg(F.count(F.lit(1)).alias("_len"), F.first("_sign").alias("_sign"))
-    last = F.max(F.struct("_run", F.col("_sign").alias("s"), F.col("_len").alias("n")))
-    up, down = F.col("_sign") > 0, F.col("_sign") < 0
-    agg = runs.groupBy(*OBS).agg(
-        F.avg("_len").alias("run_mean"),
-        F.max("_len").cast("double").alias("run_max"),
-        last.alias("_last"),
-        *[
-            F.coalesce(F.sum(F.when(c, F.col("_len") + extra)), F.lit(0)).alias(n)
-            for n, c, extra in (("_uu", up, -1), ("_dd", down, -1), ("_un", up, 0), ("_dn", down, 0))
-        ],
-    )
-    signed = F.col("_last.s") * F.col("_last.n")
-    origins_up = F.col("_un") - F.when(F.col("_last.s") > 0, 1).otherwise(0)
-    origins_down = F.col("_dn") - F.when(F.col("_last.s") < 0, 1).otherwise(0)
-    found = agg.select(
-        *OBS,
-        "run_mean",
-        "run_max",
-        signed.alias("run_current"),
-        (F.col("_uu") / F.greatest(origins_up, F.lit(1))).alias("up_up"),
-        (F.col("_dd") / F.greatest(origins_down, F.lit(1))).alias("down_down"),
-    )
-    out = obs.select(*OBS).join(found, list(OBS), "left")
-    return out.fillna(0.0, ["run_mean", "run_max", "run_current", "up_up", "down_down"])
+    return along_path(obs.select(*OBS), ticks, KEYS, [Runs("mid", span)], back=span)
 
 
 def interarrival(ticks: DataFrame, short: int, long: int, keys=KEYS) -> DataFrame:
@@ -285,16 +250,10 @@ def causal_percentile(
     obs: DataFrame, sec: DataFrame, x: str, span: int, name: str, every: int = MINUTE, least: int = 20, keys=KEYS
 ) -> DataFrame:
     """Mid-rank percentile of the current ``x`` among the minute samples of the last ``span``, before T."""
-    minutes = sample_first(sec.select(*keys, "us", x), every, keys, ("us",)).withColumnRenamed(x, "_x")
-    ident = [*keys, "us"]
-    slim = obs.select(*ident, F.col(x).alias("_now"))
-    seen = range_join(slim, minutes, keys, F.col("us") - span, F.col("us") - 1, {"_ref": "_x"}, width=span)
-    stats = seen.groupBy(*ident).agg(
-        F.count("_ref").alias("_n"),
-        F.sum(F.when(F.col("_ref") < F.col("_now"), 1.0).when(F.col("_ref") == F.col("_now"), 0.5).otherwise(0.0)).alias("_r"),
-    )
-    pct = stats.select(*ident, F.when(F.col("_n") >= least, F.try_divide(F.col("_r"), F.col("_n"))).alias(name))
-    return obs.join(pct, ident, "left")
+    minutes = sample_first(sec.select(*keys, "us", x), every, keys, ("us",))
+    ranked = along_path(obs, minutes, keys, [TrailingRank("_r", x, x, span)], us="us", order=("us",), back=span)
+    share = F.try_divide(F.col("_r_below") + 0.5 * F.col("_r_equal"), F.col("_r_count"))
+    return ranked.withColumn(name, F.when(F.col("_r_count") >= least, share)).drop("_r_count", "_r_below", "_r_equal")
 
 
 def failed_breakouts(obs: DataFrame, sec: DataFrame, span: int, prior: int) -> DataFrame:
@@ -363,23 +322,10 @@ def opening_ranges(sec: DataFrame, scale: float = 1.0, opening: int = 7 * HOUR,
 def autocorr_varratio(obs: DataFrame, sec: DataFrame, span: int, group: int = 5) -> DataFrame:
     """Lag-one autocorrelation and variance ratio of ``group``-row sums of the deltas in the window."""
     ident = ["symbol", "us"]
-    seen = range_join(obs.select(*ident), sec, KEYS, F.col("us") - span, F.col("us"), {"_d": "delta"}, width=span)
-    w = Window.partitionBy(*ident).orderBy("_r_us")
-    rows = seen.withColumns({"_p": F.lag("_d").over(w), "_i": F.floor((F.row_number().over(w) - 1) / group)})
-    sums = rows.groupBy(*ident, "_i").agg(
-        F.sum("_d").alias("_g"),
-        F.count("_d").alias("_c"),
-        F.sum(F.col("_d") * F.col("_d")).alias("_dd"),
-        F.sum(F.when(F.col("_p").isNotNull(), F.col("_d"))).alias("_y"),
-        F.sum("_p").alias("_x"),
-        F.sum(F.col("_p") * F.col("_p")).alias("_xx"),
-        F.sum(F.when(F.col("_p").isNotNull(), F.col("_d") * F.col("_d"))).alias("_yy"),
-        F.sum(F.col("_p") * F.col("_d")).alias("_xy"),
-    )
-    total = sums.groupBy(*ident).agg(
-        F.sum("_c").alias("n"), F.sum("_g").alias("s"), F.sum("_dd").alias("ss"), F.count(F.lit(1)).alias("k"),
-        F.var_pop("_g").alias("vg"), *[F.sum(c).alias(c[1:]) for c in ("_x", "_y", "_xx", "_yy", "_xy")],
-    )
+    sums = along_path(obs.select(*ident), sec, KEYS, [SerialMoments("delta", span, group)], order=("us",), back=span)
+    total = sums.filter("_n > 0").withColumnsRenamed({f"_{c}": c for c in ("n", "s", "ss", "x", "xx", "y", "yy", "xy")})
+    total = total.withColumn("k", F.ceil(F.col("n") / group))
+    total = total.withColumn("vg", F.col("_gg") / F.col("k") - (F.col("s") / F.col("k")) * (F.col("s") / F.col("k")))
     m = F.col("n") - 1
     vx, vy = m * F.col("xx") - F.col("x") * F.col("x"), m * F.col("yy") - F.col("y") * F.col("y")
     eps = F.lit(1e-12)

@@ -103,37 +103,45 @@ def prep_scale_onehot(numeric: list[str], categorical: list[str]) -> Pipeline:
 
 @dataclass
 class RobustPrep:
-    """Median imputation, clipping at two quantiles, scaling, near-constant removal, clipping at ten."""
+    """Median imputation, clipping at two quantiles, scaling, near-constant removal, clipping at ten; parameters per fold."""
 
-    parameters: dict[str, tuple[float, float, float, float, float]]
+    parameters: dict[int, dict[str, tuple[float, float, float, float, float]]]
 
     @classmethod
-    def table(cls, train: DataFrame, features: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
-        """Parameters per feature, from exact quantiles of the long table."""
-        long = durable(melt(train, [], features))
-        med = R.exact_quantiles(long, ["feature"], "x", {"median": 0.5})
-        filled = long.join(F.broadcast(med), "feature").withColumn("x", F.coalesce("x", "median"))  # one row per feature
-        q = R.exact_quantiles(filled, ["feature"], "x", {"lower": low, "upper": high})
-        clipped = filled.join(F.broadcast(q), "feature").withColumn("x", F.least(F.greatest("x", "lower"), c("upper")))
-        return clipped.groupBy("feature").agg(
+    def table(cls, train: DataFrame, features: list[str], low: float = 0.005, high: float = 0.995, keys=()) -> DataFrame:
+        """Parameters per key and feature, from exact quantiles of the long table; all keys in one job."""
+        by = [*keys, "feature"]
+        long = durable(melt(train, keys, features))
+        med = R.exact_quantiles(long, by, "x", {"median": 0.5})
+        filled = durable(long.join(F.broadcast(med), by).withColumn("x", F.coalesce("x", "median")))  # one row per key and feature
+        q = R.exact_quantiles(filled, by, "x", {"lower": low, "upper": high})
+        clipped = filled.join(F.broadcast(q), by).withColumn("x", F.least(F.greatest("x", "lower"), c("upper")))
+        return clipped.groupBy(*by).agg(
             F.first("median").alias("median"), F.first("lower").alias("lower"), F.first("upper").alias("upper"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale")
         )
 
     @classmethod
-    def fit(cls, train: DataFrame, features: list[str]) -> RobustPrep:
-        rows = cls.table(train, features).collect()  # one row per feature
-        return cls({r["feature"]: (r["median"], r["lower"], r["upper"], r["mean"], r["scale"]) for r in rows})
-
-    @property
-    def active(self) -> list[str]:
-        return sorted(f for f, p in self.parameters.items() if p[4] is not None and p[4] >= 1e-8)
-
-    def transform(self, df: DataFrame) -> DataFrame:
+    def fit(cls, train: DataFrame, features: list[str], fold: str = "fold") -> RobustPrep:
+        found: dict[int, dict] = {}
+        for r in cls.table(train, features, keys=[fold]).collect():  # one row per fold and feature
+            found.setdefault(r[fold], {})[r["feature"]] = (r["median"], r["lower"], r["upper"], r["mean"], r["scale"])
+        return cls(found)
+
+    def active(self, fold: int) -> list[str]:
+        """Features that vary in the train rows of a fold."""
+        return sorted(f for f, p in self.parameters.get(fold, {}).items() if p[4] is not None and p[4] >= 1e-8)
+
+    def transform(self, df: DataFrame, features: list[str], fold: str = "fold") -> DataFrame:
+        """Adds ``z_<feature>`` by the parameters of each row's fold; 0 where the feature does not vary there."""
         out = {}
-        for f in self.active:
-            med, lo, hi, mean, scale = self.parameters[f]
-            x = F.least(F.greatest(F.coalesce(c(f).cast("double"), F.lit(med)), F.lit(lo)), F.lit(hi))
-            out[f"z_{f}"] = F.least(F.greatest((x - mean) / scale, F.lit(-10.0)), F.lit(10.0))
+        for f in features:
+            x, z = c(f).cast("double"), F.lit(0.0)
+            for k in sorted(self.parameters):
+                if f in self.active(k):
+                    med, lo, hi, mean, scale = self.parameters[k][f]
+                    inside = F.least(F.greatest(F.coalesce(x, F.lit(med)), F.lit(lo)), F.lit(hi))
+                    z = F.when(c(fold) == k, F.least(F.greatest((inside - mean) / scale, F.lit(-10.0)), F.lit(10.0))).otherwise(z)
+            out[f"z_{f}"] = z
         return df.withColumns(out)
 
 
@@ -158,33 +166,72 @@ def elastic_net(label: str, alpha: float, l1: float) -> LinearRegression:
     return LinearRegression(labelCol=label, regParam=alpha, elasticNetParam=l1, standardization=False)
 
 
-def gram(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Sums of products of all column pairs (with an intercept and the label), one partial table per task."""
+def gram(df: DataFrame, columns: list[str], label: str, key: str | None = None) -> DataFrame:
+    """Sums of products of all column pairs (with an intercept and the label) per value of ``key``, one partial table per task and value."""
     names = [*columns, label]
     p = len(names) + 1
 
     def partial(batches):
-        total = np.zeros((p, p))
+        totals: dict = {}
         for pdf in batches:
-            x = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=float)])
-            total += x.T @ x
+            for k, part in pdf.groupby("_key"):
+                x = np.column_stack([np.ones(len(part)), part[names].to_numpy(dtype=float)])
+                totals[k] = totals.get(k, 0) + x.T @ x
         i, j = np.indices((p, p))
-        yield pd.DataFrame({"i": i.ravel().astype("int32"), "j": j.ravel().astype("int32"), "v": total.ravel()})
+        for k, total in totals.items():
+            yield pd.DataFrame({"_key": k, "i": i.ravel().astype("int32"), "j": j.ravel().astype("int32"), "v": total.ravel()})
+
+    rows = df.select((c(key) if key else F.lit(0)).cast("int").alias("_key"), *[c(x).cast("double").alias(x) for x in names]).dropna()
+    return rows.mapInPandas(partial, "_key int, i int, j int, v double").groupBy("_key", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def gram_matrices(df: DataFrame, columns: list[str], label: str, key: str | None = None) -> dict[int, np.ndarray]:
+    """The Gram table per key as matrices (intercept first, label last); keys x p squared numbers leave Spark."""
+    size = len(columns) + 2
+    out: dict[int, np.ndarray] = {}
+    for r in gram(df, columns, label, key).collect():
+        out.setdefault(r["_key"], np.zeros((size, size)))[r["i"], r["j"]] = r["v"]
+    return out
+
+
+def sweep(a: np.ndarray, k: int) -> np.ndarray:
+    """The sweep operator on row and column ``k``: it takes a column into the regression, and out again when applied twice."""
+    d = a[k, k]
+    out = a - np.outer(a[:, k], a[k]) / d
+    out[k], out[:, k] = a[k] / d, -a[:, k] / d
+    out[k, k] = 1 / d
+    return out
 
-    rows = df.select(*[c(x).cast("double").alias(x) for x in names]).dropna()
-    return rows.mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+def ridge_models(g: np.ndarray, columns: list[str], alpha: float, without: dict[str, list[str]] | None = None) -> dict[str, dict[str, float]]:
+    """Coefficients of the full ridge model ("") and of those without each group of columns, all from one Gram matrix.
+
+    The intercept is not penalised. A column without variance and penalty stays out, with coefficient 0.
+    """
+    names = ["intercept", *columns]
+    a = g + np.diag([0.0, *[alpha] * len(columns), 0.0])
+    usable = {k for k in range(len(names)) if a[k, k] > 1e-12}
+    swept: set[int] = set()
+    for k in sorted(usable):
+        if a[k, k] > 1e-9 * max(g[k, k], 1e-300):  # not a combination of the columns before it
+            a, swept = sweep(a, k), swept | {k}
+
+    def read(m: np.ndarray, inside: set[int]) -> dict[str, float]:
+        return {n: float(m[k, -1]) if k in inside else 0.0 for k, n in enumerate(names)}
+
+    out = {"": read(a, swept)}
+    for group, gone in (without or {}).items():
+        m, inside = a, swept
+        for k in (names.index(x) for x in gone):
+            if k in inside:
+                m, inside = sweep(m, k), inside - {k}
+        out[group] = read(m, inside)
+    return out
 
 
 def ridge(df: DataFrame, columns: list[str], label: str, alpha: float = 1.0) -> dict[str, float]:
-    """Ridge coefficients (the intercept is not penalised) from the Gram table; only p squared numbers leave Spark."""
-    cells = gram(df, columns, label).collect()
-    p = len(columns) + 1
-    g = np.zeros((p + 1, p + 1))
-    for r in cells:
-        g[r["i"], r["j"]] = r["v"]
-    a = g[:p, :p] + alpha * np.diag([0.0] + [1.0] * (p - 1))
-    beta = np.linalg.solve(a, g[:p, p])
-    return dict(zip(["intercept", *columns], beta.tolist(), strict=True))
+    """Ridge coefficients from the Gram table."""
+    return ridge_models(gram_matrices(df, columns, label)[0], columns, alpha)[""]
 
 
 def linear_score(df: DataFrame, beta: dict[str, float], name: str = "prediction") -> DataFrame:
@@ -202,24 +249,84 @@ def coefficients(beta: dict[str, float], spark, top: int = 20) -> DataFrame:
 
 
 # -- predictions -----------------------------------------------------------------------------------
-def oof_predictions(df: DataFrame, features: list[str], label: str, start_us: int, end_us: int, cuts, label_span: int, model: str = "logistic", rounds: int = 50) -> DataFrame:
-    """Fit per fold on purged train rows, keep only the out-of-fold rows with all their columns."""
-    rows = durable(fold_rows(df, start_us, end_us, cuts, label_span))
+def prepared_folds(df: DataFrame, features: list[str], start_us: int, end_us: int, cuts, label_span: int) -> tuple[DataFrame, RobustPrep]:
+    """Purged train and validation rows of all folds with ``z_<feature>`` prepared on each fold's train rows, written once."""
+    rows = durable(fold_rows(df, start_us, end_us, cuts, label_span).filter("role <> 'purged'"))
+    prep = RobustPrep.fit(rows.filter("role = 'train'"), features)
+    return durable(prep.transform(rows, features)), prep
+
+
+def by_fold(betas: dict[int, dict[str, float]], columns: list[str], fold: str = "fold"):
+    """Linear score of each row by the coefficients of its fold; columns that are 0 in a fold cost nothing there."""
+    score = F.lit(None).cast("double")
+    for k, beta in sorted(betas.items()):
+        total = F.lit(beta.get("intercept", 0.0))
+        for x in columns:
+            if beta.get(x):
+                total = total + c(x) * beta[x]
+        score = F.when(c(fold) == k, total).otherwise(score)
+    return score
+
+
+@dataclass(frozen=True)
+class ModelSettings:
+    """Penalties and sizes; the defaults are the three-outcome study's, ``EVENT_STUDY`` has those of the event study."""
+
+    strength: float = 1.0  # inverse penalty of the logistic models
+    alpha: float = 1.0  # penalty of ridge
+    net_alpha: float = 0.001  # and of the elastic net
+    net_share: float = 0.5
+    rounds: int = 50
+    depth: int = 3
+    rate: float = 0.08
+
+
+# fixed values: the published parameters of the event study
+EVENT_STUDY = ModelSettings(strength=0.1, alpha=10.0, rounds=75, rate=0.05)
+MODELS = ("ridge", "elastic_net", "logistic", "multinomial", "boosted", "boosted_regressor")
+
+
+def oof_predictions(
+    df: DataFrame, features: list[str], label: str, start_us: int, end_us: int, cuts, label_span: int, model: str = "logistic", settings: ModelSettings = ModelSettings(), classes: int = 2
+) -> DataFrame:
+    """Fit per fold on purged train rows, keep only the out-of-fold rows with all their columns and ``prediction``.
+
+    Folds are prepared in one job. Ridge takes all folds from one Gram table; of the other models each fold's predictions are
+    written before the next is fitted, so no result holds a fitted model. Boosted trees see the unscaled features, as
+    published; ``multinomial`` adds ``probabilities``, and its prediction is the likeliest class.
+    """
+    if model not in MODELS:
+        raise ValueError(f"model must be one of {MODELS}")
+    rows, prep = prepared_folds(df, features, start_us, end_us, cuts, label_span)
+    z = [f"z_{f}" for f in features]
+    train, valid = rows.filter("role = 'train'"), rows.filter("role = 'validation'")
+    if model == "ridge":
+        matrices = gram_matrices(train, z, label, "fold")
+        betas = {k: ridge_models(g, z, settings.alpha)[""] for k, g in matrices.items()}
+        return valid.withColumn("prediction", by_fold(betas, z)).drop("role", "validation_us", *z)
+    counts = {r["fold"]: r["n"] for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per fold
     parts = []
-    for k in range(1, len(cuts)):
-        train, valid = rows.filter((c("fold") == k) & (c("role") == "train")), rows.filter((c("fold") == k) & (c("role") == "validation"))
-        prep = RobustPrep.fit(train, features)
-        z = [f"z_{f}" for f in prep.active]
-        t, v = prep.transform(train), prep.transform(valid)
-        if model == "ridge":
-            scored = linear_score(v, ridge(t, z, label), "prediction")
-        else:
-            t, v = assembled(t, z), assembled(v, z)
-            fitted = (logistic(train.count(), label) if model == "logistic" else boosted(label, model == "boosted", rounds)).fit(t)
-            scored = fitted.transform(v)
-            if model in ("logistic", "boosted"):
-                scored = scored.withColumn("prediction", vector_to_array("probability")[1])
-        parts.append(scored.drop("features", "rawPrediction", "probability", "role", "validation_us", *z))
+    for k in sorted(counts):
+        used = prep.active(k)
+        columns = used if model.startswith("boosted") else [f"z_{f}" for f in used]
+        fill = {f: prep.parameters[k][f][0] for f in used}
+        t, v = (assembled(x.filter(c("fold") == k).fillna(fill), columns) for x in (train, valid))
+        estimator = {
+            "logistic": lambda n=counts[k]: logistic(n, label, settings.strength),
+            "multinomial": lambda n=counts[k]: logistic(n, label, settings.strength, max(classes, 3)),
+            "elastic_net": lambda: elastic_net(label, settings.net_alpha, settings.net_share),
+            "boosted": lambda: boosted(label, True, settings.rounds, settings.depth, settings.rate),
+            "boosted_regressor": lambda: boosted(label, False, settings.rounds, settings.depth, settings.rate),
+        }[model]()
+        scored = estimator.fit(t).transform(v)
+        if model in ("logistic", "boosted"):
+            scored = scored.withColumn("prediction", vector_to_array("probability")[1])
+        elif model == "multinomial":
+            scored = scored.withColumn("probabilities", vector_to_array("probability"))
+        parts.append(durable(scored.drop("features", "rawPrediction", "probability", "role", "validation_us", *z)))
+    if not parts:
+        empty = valid.drop("role", "validation_us", *z).withColumn("prediction", F.lit(None).cast("double"))
+        return empty.withColumn("probabilities", F.array().cast("array<double>")) if model == "multinomial" else empty
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -243,33 +350,44 @@ def safety_buffer(pred: DataFrame, predicted: str, actual: str, keys=(), z: floa
     )
 
 
-def permuted(df: DataFrame, columns: list[str], ident: str, seed: int) -> DataFrame:
-    """The columns of one group re-dealt over the rows by a hash order, as a join of two row numbers."""
-    base = durable(R.ordered_index(df, [], ident, ident, "_rn"))
-    deal = base.select(hash_uniform(seed, c(ident)).alias("_u"), ident, *columns)
-    dealt = R.ordered_index(deal, [], "_u", ident, "_rn").select("_rn", *columns)
-    return base.drop(*columns, "_rn_n").join(dealt, "_rn").drop("_rn")
+def dealt_again(rows: DataFrame, keys, groups: dict[str, str], ident: str, repeats: int) -> DataFrame:
+    """``keys, ident, group, repeat, dealt``: the column of each group dealt anew over the rows of a key, ``repeats`` times, by hash orders."""
+    keys = list(keys)
+    base = durable(R.ordered_index(rows.select(*keys, ident, *groups.values()), keys, ident, ident, "_rn").drop("_rn_n"))
+    variants = [F.struct(F.lit(g).alias("group"), F.lit(k).alias("repeat"), hash_uniform(k + 1, c(ident)).alias("u"), c(x).alias("x")) for g, x in groups.items() for k in range(repeats)]
+    deals = base.select(*keys, ident, F.explode(F.array(*variants)).alias("_v")).select(*keys, ident, "_v.*")
+    dealt = R.ordered_index(deals, [*keys, "group", "repeat"], "u", ident, "_rn").select(*keys, "group", "repeat", "_rn", c("x").alias("dealt"))
+    return base.select(*keys, ident, "_rn").join(dealt, [*keys, "_rn"]).drop("_rn")
 
 
-def group_importance(train: DataFrame, valid: DataFrame, groups: dict[str, list[str]], label: str, ident: str, alpha: float = 1.0, repeats: int = 3) -> DataFrame:
-    """Loss of rank correlation on held-out rows: of a ridge model whose feature group is permuted there, and of a model
-    fitted again without the group."""
-    def rho(rows: DataFrame, name: str, kind: str, repeat: int) -> DataFrame:
-        r = R.spearman(rows, {"p": ("prediction", label)})
-        return r.select(F.lit(name).alias("feature_group"), F.lit(kind).alias("kind"), F.lit(repeat).alias("repeat"), "rho")
+def group_importance(rows: DataFrame, groups: dict[str, list[str]], label: str, ident: str, alpha: float = 1.0, repeats: int = 3) -> DataFrame:
+    """Loss of rank correlation on held-out rows of ridge models: with a feature group dealt anew there, and fitted without the group.
 
+    ``rows`` hold ``fold``, ``role`` (train or validation) and the prepared columns. All folds, groups and repeats share one Gram table
+    (ablations are swept out of it), one dealing of partial scores and one ranking. The result averages folds and repeats.
+    """
     columns = [x for g in groups.values() for x in g]
-    beta = ridge(train, columns, label, alpha)
-    parts = [rho(linear_score(valid, beta), "ALL", "BASE", 0)]
-    for g, own in groups.items():
-        for k in range(repeats):
-            parts.append(rho(linear_score(permuted(valid, own, ident, k + 1), beta), g, "PERMUTED", k))
-        rest = [x for x in columns if x not in own]
-        parts.append(rho(linear_score(valid, ridge(train, rest, label, alpha)), g, "ABLATED", 0))
-    table = durable(reduce(DataFrame.unionByName, parts))
-    base = table.filter("kind = 'BASE'").select(c("rho").alias("_base"))  # one row
-    means = table.filter("kind <> 'BASE'").groupBy("feature_group", "kind").agg(F.avg("rho").alias("rho"))
-    return means.crossJoin(F.broadcast(base)).select("feature_group", "kind", "rho", (c("_base") - F.coalesce("rho", F.lit(0.0))).alias("importance"))
+    train, valid = rows.filter("role = 'train'"), rows.filter("role = 'validation'")
+    models = {k: ridge_models(g, columns, alpha, groups) for k, g in gram_matrices(train, columns, label, "fold").items()}
+    full = {k: m[""] for k, m in models.items()}
+    scores = {f"_without_{g}": by_fold({k: m[g] for k, m in models.items()}, columns) for g in groups}
+    shares = {f"_of_{g}": by_fold({k: {x: m[x] for x in own} for k, m in full.items()}, own) for g, own in groups.items()}
+    held = durable(valid.select("fold", c(ident).alias("_id"), c(label).cast("double").alias("y"), by_fold(full, columns).alias("_all"), *[e.alias(n) for n, e in {**scores, **shares}.items()]))
+    fixed = [F.struct(F.lit("ALL").alias("feature_group"), F.lit("BASE").alias("kind"), F.lit(0).alias("repeat"), c("_all").alias("x"))]
+    fixed += [F.struct(F.lit(g).alias("feature_group"), F.lit("ABLATED").alias("kind"), F.lit(0).alias("repeat"), c(f"_without_{g}").alias("x")) for g in groups]
+    plain = held.select("fold", "y", F.explode(F.array(*fixed)).alias("_v")).select("fold", "y", "_v.*")
+    dealt = dealt_again(held, ["fold"], {g: f"_of_{g}" for g in groups}, "_id", repeats).join(held, ["fold", "_id"])
+    own = F.lit(0.0)
+    for g in groups:
+        own = F.when(c("group") == g, c(f"_of_{g}")).otherwise(own)
+    moved = dealt.select("fold", "y", c("group").alias("feature_group"), F.lit("PERMUTED").alias("kind"), "repeat", (c("_all") - own + c("dealt")).alias("x"))
+    # scores are compared to six decimals, so that float dust splits no ties
+    compared = plain.unionByName(moved).withColumn("x", F.round("x", 6))
+    ranked = R.spearman_long(compared, ["fold", "feature_group", "kind", "repeat"])
+    per_fold = durable(ranked.select("fold", "feature_group", "kind", F.coalesce("rho", F.lit(0.0)).alias("rho")))
+    base = per_fold.filter("kind = 'BASE'").select("fold", c("rho").alias("_base"))
+    both = per_fold.filter("kind <> 'BASE'").join(base, "fold")
+    return both.groupBy("feature_group", "kind").agg(F.avg("rho").alias("rho"), F.avg(c("_base") - c("rho")).alias("importance"))
 
 
 def model_diagnostics(oof: DataFrame, p: str, y: str, pnl: str, tie: str, keys=("fold",)) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteloom.functions.timing import DAY, cell
+from quoteloom.session import durable
 
 _UP = (Window.unboundedPreceding, Window.currentRow)
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -136,6 +137,50 @@ def previous(df: DataFrame, keys, order, columns: dict[str, str], tile: str = "_
     )
 
 
+def composed_before(maps: DataFrame, keys, index: str, columns: Sequence[str], identity: Sequence, compose, count: int, fan: int = 1024) -> DataFrame:
+    """The composition of all earlier rows of each row, for any associative operation on the values of ``columns``.
+
+    ``compose(earlier, later)`` takes and gives lists of columns. Prefixes are found by doubling: after step k a row holds the composition of
+    the 2^k rows that end at it. ``count`` bounds the rows per series; beyond ``fan`` of them the series is cut into groups
+    whose compositions are scanned in the same way first. ``columns`` are replaced by what comes before the row.
+    """
+    keys, group, columns = list(keys), f"_{index}", list(columns)
+    rows = maps.withColumn(group, F.floor(F.col(index) / fan).cast("long"))
+    w = Window.partitionBy(*keys, group).orderBy(index)
+
+    def lagged(step: int) -> list[Column]:
+        return [F.coalesce(F.lag(c, step).over(w), F.lit(i)) for c, i in zip(columns, identity, strict=True)]
+
+    step = 1
+    while step < min(count, fan):
+        longer = compose(lagged(step), [F.col(c) for c in columns])
+        rows = rows.withColumns(dict(zip(columns, longer, strict=True)))
+        step *= 2
+    rows = durable(rows) if count > fan else rows  # the groups' compositions read it too
+    out = rows.withColumns(dict(zip(columns, lagged(1), strict=True)))
+    if count > fan:
+        totals = rows.groupBy(*keys, group).agg(*[F.max_by(c, index).alias(c) for c in columns])
+        before = composed_before(totals, keys, group, columns, identity, compose, -(-count // fan) + 1, fan)
+        out = out.join(before.withColumnsRenamed({c: f"_g{c}" for c in columns}), [*keys, group])
+        both = compose([F.col(f"_g{c}") for c in columns], [F.col(c) for c in columns])
+        out = out.withColumns(dict(zip(columns, both, strict=True))).drop(*[f"_g{c}" for c in columns])
+    return out.drop(group)
+
+
+def affine_carry(maps: DataFrame, keys, index: str, names: Sequence[str], count: int, fan: int = 1024) -> DataFrame:
+    """What enters each row of ``index`` when all earlier maps ``x -> _a_<name> * x + _b_<name>`` are applied to 0: ``_in_<name>``."""
+    columns = [c for n in names for c in (f"_a_{n}", f"_b_{n}")]
+
+    def compose(earlier: list[Column], later: list[Column]) -> list[Column]:
+        out: list[Column] = []
+        for i in range(0, len(later), 2):
+            out += [later[i] * earlier[i], later[i] * earlier[i + 1] + later[i + 1]]
+        return out
+
+    before = composed_before(maps, keys, index, columns, [1.0, 0.0] * len(names), compose, count, fan)
+    return before.withColumnsRenamed({f"_b_{n}": f"_in_{n}" for n in names}).drop(*[f"_a_{n}" for n in names])
+
+
 def row_blocks(
     df: DataFrame,
     keys,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quoteloom.functions.timing import DAY, WEEK, cell
 from quoteloom.operators import features as X
 from quoteloom.operators.joins import asof_backward
-from quoteloom.operators.scans import block_window, core, prefix_scan, with_tile
+from quoteloom.operators.scans import block_window, composed_before, core, prefix_scan, row_index, with_tile
 from quoteloom.session import durable
 
 c = F.col
@@ -150,10 +150,9 @@ def asof_regime(fast: DataFrame, slow: DataFrame, fast_width: int, slow_width: i
 
 
 def _fast_frame(m5: DataFrame, tile: int) -> DataFrame:
-    back = X.ema_depth(27) + 24
-    b = X.blocks(m5, back, tile=tile, ahead=1)
+    averages = {"fast": ("close", 9), "slow": ("close", 21), "atr": ("_tr", 27)}
+    b = X.blocks(X.ema_columns(X.true_range(m5, "_tr", tile=tile), averages, tile=tile).drop("_tr"), 24, tile=tile, ahead=1)
     w = block_window(["symbol"])
-    b = X.atr_ema(X.ema_full(X.ema_full(b, "close", 9, "fast"), "close", 21, "slow"))
     b = X.rolling(X.rolling(X.rolling(b, "volume", 20, "median", "vol_med"), "close", 20, "mean", "mean"), "close", 20, "std", "dev")
     b = b.withColumns(
         {
@@ -228,8 +227,7 @@ def setups_v2(
     Every examined bar gives a row: a signal, or the first reason it was rejected.
     """
     def trend(df: DataFrame) -> DataFrame:
-        b = X.blocks(df, X.ema_depth(21) + 4, tile=tile)
-        b = X.ema_full(X.ema_full(b, "close", 9, "fast"), "close", 21, "slow")
+        b = X.blocks(X.ema_columns(df, {"fast": ("close", 9), "slow": ("close", 21)}, tile=tile), 4, tile=tile)
         return core(b.withColumn("fast3", F.lag("fast", 3).over(block_window(["symbol"]))))
 
     slow = trend(h1).withColumn("up", (c("fast") > c("slow")) & (c("fast") > c("fast3")) & (c("close") > c("slow")))
@@ -341,56 +339,61 @@ def _advance(state: int, ok: bool, side: int, below: bool, rearm: bool) -> int:
     return _AR + below
 
 
-def episodes(scored: DataFrame, on: int = 90, rearm: int = 85, tile: int = DAY) -> DataFrame:
+# what a row can be to the machine: activating long or short, below the lower level, between, or above and not activating
+_CLASSES = {
+    (True, 1, False, False): 0, (True, -1, False, False): 1, (False, 0, True, True): 2, (False, 0, True, False): 3, (False, 0, False, False): 4,
+}
+
+
+def _packed(ok: bool, side: int, below: bool, rearm: bool) -> int:
+    """Where each of the seven states leads, three bits a state."""
+    return sum(_advance(s, ok, side, below, rearm) << 3 * s for s in range(7))
+
+
+_STAY = sum(s << 3 * s for s in range(7))
+
+
+def _led(packed: Column, state: Column) -> Column:
+    """The state to which a packed map leads ``state``."""
+    return F.call_function("shiftright", packed, (3 * state).cast("int")).bitwiseAND(F.lit(7))
+
+
+def _composed(earlier: list, later: list) -> list:
+    first, then = earlier[0], later[0]
+    total = F.lit(0).cast("long")
+    for s in range(7):
+        middle = F.shiftright(first, 3 * s).bitwiseAND(F.lit(7))
+        total = total + F.shiftleft(_led(then, middle), 3 * s)
+    return [total]
+
+
+def episodes(scored: DataFrame, on: int = 90, rearm: int = 85, tile: int = DAY, fan: int = 1024) -> DataFrame:
     """Hysteresis episodes of a score: start on an upward crossing when armed and unblocked, end on score,
     blocker or direction, re-arm below the lower level; an episode open at the range start is censored.
 
-    Needs symbol, us, score, direction (1, -1, 0) and blocked. The machine has seven states, so a tile is
-    summarised by where each state leads: tiles run in parallel, the small table of summaries gives every
-    tile its entry state, and a second pass over the tiles writes the states. A tile is one (symbol, day)
-    of at most one row per second.
+    Needs symbol, us, score, direction (1, -1, 0) and blocked; ``rearm`` is at most ``on``. The machine has seven states, and a row is one of five maps between
+    them. Each of these maps changes nothing when applied twice, so only rows whose class differs from the one before
+    matter; there the maps, packed into one number, are composed by doubling inside groups of rows.
     """
+    if rearm > on:
+        raise ValueError("the score that re-arms is not above the one that activates")
     ok = ~c("blocked") & (c("direction") != 0) & (c("score") >= on)
-    coded = scored.withColumns({"_ok": ok, "_below": c("score") < on, "_rearm": c("score") < rearm})
-    coded = with_tile(coded, width=tile)
-    kind = dict(scored.dtypes)["symbol"]
-    slim = coded.select("symbol", "_tile", "us", "direction", "_ok", "_below", "_rearm")
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        ends = list(range(7))
-        for side, good, below, low in zip(pdf["direction"], pdf["_ok"], pdf["_below"], pdf["_rearm"], strict=True):
-            ends = [_advance(s, good, side, below, low) for s in ends]
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "_tile": [pdf["_tile"].iloc[0]], "_map": [ends]})
-
-    maps = slim.groupBy("symbol", "_tile").applyInPandas(summarise, f"symbol {kind}, _tile bigint, _map array<int>")
-    per_symbol = maps.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_tile", "_map"))).alias("_maps"))
-    zero = F.struct(F.lit(_UNINIT).alias("s"), F.array().cast("array<struct<_tile:bigint,_entry:int>>").alias("out"))
-    chain = F.aggregate(
-        "_maps",
-        zero,
-        lambda acc, m: F.struct(
-            F.element_at(m["_map"], acc["s"] + 1).alias("s"),
-            F.concat(acc["out"], F.array(F.struct(m["_tile"].alias("_tile"), acc["s"].alias("_entry")))).alias("out"),
-        ),
-    )
-    entries = per_symbol.select("symbol", F.explode(chain["out"]).alias("e")).select("symbol", "e.*")
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        state, out = int(pdf["_entry"].iloc[0]), []
-        for side, good, below, low in zip(pdf["direction"], pdf["_ok"], pdf["_below"], pdf["_rearm"], strict=True):
-            before, state = state, _advance(state, good, side, below, low)
-            out.append((before, state))
-        pdf["_before"], pdf["_state"] = [b for b, _ in out], [s for _, s in out]
-        return pdf[["symbol", "us", "_before", "_state"]]
-
-    labelled = (
-        slim.join(entries, ["symbol", "_tile"])
-        .groupBy("symbol", "_tile")
-        .applyInPandas(label, f"symbol {kind}, us bigint, _before int, _state int")
+    kind = (
+        F.when(ok & (c("direction") > 0), 0).when(ok, 1).when(c("score") < rearm, 2).when(c("score") < on, 3).otherwise(4)
     )
-    rows = coded.drop("_ok", "_below", "_rearm").join(labelled, ["symbol", "us"])
+    rows = prefix_scan(with_tile(scored.withColumn("_class", kind), width=tile), ["symbol"], ["us"], {"_was": ("last", c("_class"))}, exclusive=True)
+    rows = durable(rows.withColumn("_turn", ~c("_class").eqNullSafe(c("_was"))).drop("_was"))
+    turns = durable(row_index(rows.filter("_turn").select("symbol", "us", "_tile", "_class"), ["symbol"], ["us"]).drop("_tile"))
+    count = (turns.agg(F.max("rn")).first()[0] or 0) + 1
+    packed = F.lit(None).cast("long")
+    for key, code in _CLASSES.items():
+        packed = F.when(c("_class") == code, F.lit(_packed(*key)).cast("long")).otherwise(packed)
+    maps = turns.withColumn("_map", packed).withColumn("_own", c("_map"))
+    reached = composed_before(maps, ["symbol"], "rn", ["_map"], [_STAY], _composed, count, fan)
+    entry = _led(c("_map"), F.lit(_UNINIT)).cast("int")
+    reached = reached.withColumn("_entry", entry).select("symbol", "us", "_entry", _led(c("_own"), c("_entry")).cast("int").alias("_reached"))
+    rows = prefix_scan(rows.join(reached, ["symbol", "us"], "left"), ["symbol"], ["us"], {"_state": ("last", c("_reached"))})
+    rows = rows.withColumn("_before", F.when(c("_turn"), c("_entry")).otherwise(c("_state")))
     active, was = c("_state") >= _LONG, c("_before") >= _LONG
     start = F.when(active & ~was, c("us"))
     rows = prefix_scan(rows, ["symbol"], ["us"], {"_start": ("last", start)})

@@ -29,7 +29,6 @@ class EdgeSettings:
     horizons: tuple[int, ...] = (5 * SECOND, 10 * SECOND, 30 * SECOND, 60 * SECOND, 180 * SECOND)
     excursion: int = 30 * SECOND
     touch: int = 180 * SECOND
-    grid: int = 15 * SECOND
     tolerance: int = 2 * SECOND
     point: float = 0.00001
     max_spread: float = 2.0
@@ -102,7 +101,7 @@ def observations(ticks: DataFrame, s: EdgeSettings) -> DataFrame:
     buy = F.col("trigger") == "BUY"
     rows = L.executable_returns(rows, ticks, horizons, s.tolerance, s.point)
     rows = L.mfe_mae(rows, ticks, s.excursion, s.point)
-    rows = L.first_touch(durable(rows), ticks, s.touch, "trigger", "stop_points", "target_points", s.point, s.grid)
+    rows = L.first_touch(durable(rows), ticks, s.touch, "trigger", "stop_points", "target_points", s.point)
     complete = F.col("mfe_long").isNotNull() & F.col("stop_points").isNotNull() & (F.col("trigger") != "NEUTRAL")
     for n in horizons:
         complete = complete & F.col(f"long_{n}").isNotNull()

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quoteloom.operators import features as X
 from quoteloom.operators import joins as J
 from quoteloom.operators import ranks as R
 from quoteloom.operators import scans as S
@@ -66,18 +67,6 @@ def test_trailing_sums(rows, df):
         assert got.loc[r.seq, "b"] == len(past[past.us >= r.us - 400])
 
 
-@pytest.mark.parametrize("grid", [17, 90])
-def test_first_passage(rows, df, grid):
-    span = 333
-    obs = df.withColumns({"up": F.col("bid") + 0.3, "down": F.col("bid") - 0.3})
-    got = J.first_passage(obs, df, ["symbol"], ["us", "seq"], span, {"t": ("bid", ">=", "up"), "s": ("bid", "<=", "down")}, grid).toPandas().set_index("seq")
-    for r in rows.itertuples():
-        w = rows[(rows.symbol == r.symbol) & (rows.us > r.us) & (rows.us <= r.us + span)]
-        hit = w[w.bid >= r.bid + 0.3]
-        value = got.loc[r.seq, "t_seq"]
-        assert (pd.isna(value) and hit.empty) or value == hit.seq.iloc[0]
-
-
 def test_asof_both_ways(rows, df):
     right = df.filter("seq % 3 = 0")
     back = J.asof_backward(df, right, ["symbol"], {"r": "seq"}, right_order=["seq"], width=64).toPandas().set_index("seq")
@@ -118,3 +107,15 @@ def test_balanced_tiles_and_width(rows, df):
     fixed = J.asof_backward(df, df.filter("seq % 3 = 0"), ["symbol"], {"r": "seq"}, right_order=["seq"], width=64).toPandas()
     assert back.sort_values("seq")["r"].fillna(-1).tolist() == fixed.sort_values("seq")["r"].fillna(-1).tolist()
     assert S.suggest_width(df, rows=40, unit=100) <= 1000
+
+
+@pytest.mark.parametrize(("block", "fan"), [(4, 16), (7, 1024), (512, 1024)])
+def test_averages_count_the_whole_history(spark, rows, block, fan):
+    """Also after the values fall by thirty orders of magnitude, where what went before still outweighs all that follows."""
+    pdf = rows.assign(us=rows.seq * 10, x=np.where(rows.seq < 100, 1e30, 1.0 + rows.seq % 7), y=rows.bid)
+    got = X.ema_columns(spark.createDataFrame(pdf).repartition(3), {"e9": ("x", 9), "e21": ("y", 21), "e1": ("y", 1), "e200": ("x", 200)}, tile=700, block=block, fan=fan)
+    assert set(got.columns) == {*pdf.columns, "e9", "e21", "e1", "e200"}
+    got = got.toPandas().sort_values("seq")
+    for name, c, span in (("e9", "x", 9), ("e21", "y", 21), ("e1", "y", 1), ("e200", "x", 200)):
+        want = pdf.groupby("symbol")[c].transform(lambda v, s=span: v.ewm(span=s, adjust=False).mean())
+        assert np.allclose(got[name].to_numpy(), want.to_numpy(), rtol=1e-9, atol=0)

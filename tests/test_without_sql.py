@@ -141,13 +141,48 @@ def test_out_of_fold_rows_are_the_validation_rows(spark, sf):
     assert out["prediction"].between(0, 1).all()
 
 
-def test_permutation_keeps_values_and_breaks_order(spark, sf):
-    base = oof(spark, sf).select("event_id", "pred", "market")
-    dealt = M.permuted(base, ["pred"], "event_id", 1).toPandas().sort_values("event_id")
-    plain = base.toPandas().sort_values("event_id")
-    assert sorted(dealt["pred"]) == sorted(plain["pred"])
-    assert (dealt["pred"].to_numpy() != plain["pred"].to_numpy()).mean() > 0.5
-    assert (dealt["market"].to_numpy() == plain["market"].to_numpy()).all()
+def test_dealing_keeps_values_and_breaks_order(spark, sf):
+    base = oof(spark, sf).select("event_id", "side", "pred")
+    dealt = M.dealt_again(base, ["side"], {"a": "pred"}, "event_id", 2).toPandas()
+    plain = base.toPandas()
+    assert len(dealt) == 2 * len(plain)
+    for (side, _), part in dealt.merge(plain, on=["event_id", "side"]).groupby(["side", "repeat"]):
+        assert sorted(part["dealt"]) == sorted(plain[plain.side == side]["pred"])
+        assert (part["dealt"] != part["pred"]).mean() > 0.5
+
+
+def test_sweeping_takes_columns_in_and_out():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 5))
+    x[:, 4] = 0.0
+    y = x @ np.arange(5) + rng.normal(size=80)
+    full = np.column_stack([np.ones(80), x, y])
+    names = list("abcde")
+    got = M.ridge_models(full.T @ full, names, 2.0, {"g": ["b", "d"], "h": ["a"]})
+    for group, gone in (("", ""), ("g", "bd"), ("h", "a")):
+        use = [i for i, n in enumerate(names) if n not in gone]
+        d = np.column_stack([np.ones(80), x[:, use]])
+        beta = np.linalg.solve(d.T @ d + 2.0 * np.diag([0.0, *[1.0] * len(use)]), d.T @ y)
+        want = dict(zip(["intercept", *[names[i] for i in use]], beta, strict=True))
+        assert got[group] == pytest.approx({n: want.get(n, 0.0) for n in ["intercept", *names]})
+
+
+@pytest.mark.parametrize("model", ["ridge", "elastic_net", "multinomial", "boosted", "boosted_regressor"])
+def test_models_learn_from_the_past(spark, model):
+    """A label that follows one feature is predicted out of fold, with one feature constant and one partly missing."""
+    rng = np.random.default_rng(3)
+    n = 900
+    x = rng.normal(size=n)
+    label = np.where(x > 0.4, 2.0, np.where(x > -0.4, 1.0, 0.0)) if model == "multinomial" else ((x > 0) * 1.0 if model == "boosted" else 3 * x + 1)
+    pdf = pd.DataFrame({"event_id": np.arange(n), "us": np.arange(n) * 1000, "x": x, "flat": 1.0, "part": np.where(np.arange(n) % 3, rng.normal(size=n), np.nan), "label": label})
+    rows = spark.createDataFrame(pdf).withColumn("part", F.nanvl("part", F.lit(None)))
+    settings = M.ModelSettings(rounds=5, rate=0.5)
+    out = M.oof_predictions(rows, ["x", "flat", "part"], "label", 0, n * 1000, M.FOLD_CUTS["three"], 5000, model, settings, classes=3).toPandas()
+    assert sorted(out["event_id"]) == list(range(630, 900)) and "z_x" not in out
+    hit = (out["prediction"].round() == out["label"]).mean() if model in ("multinomial", "boosted") else np.corrcoef(out["prediction"], out["label"])[0, 1]
+    assert hit > 0.85
+    if model == "multinomial":
+        assert np.allclose([sum(p) for p in out["probabilities"]], 1)
 
 
 def test_one_hot_keeps_unknown_categories(spark):
