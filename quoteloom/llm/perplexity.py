@@ -314,7 +314,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n in np.unique(sizes).tolist():
             who = np.nonzero(sizes == n)[0]
             points = np.frombuffer("".join(grams.take(pa.array(who)).to_pylist()).encode("utf-32-le"), np.uint32)
-            out[who] = hashes_of(points.reshape(-1, n).astype(np.uint64), seeds[who])
+            out[who] = hashes_of(points.reshape(len(who), n).astype(np.uint64), seeds[who])
         logs = [pa.array(np.log10(batch.column(i).to_numpy()).astype(np.float32)) for i in (2, 3)]
         yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), *logs], ["h", "p", "back"])
 
