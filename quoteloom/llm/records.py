@@ -130,7 +130,7 @@ def _crc() -> Crc32c:
 
 
 class Encoder:
-    """Ids of texts with the end id behind; the library sees each distinct white-space piece once.
+    """Ids of texts with the end id behind; the library sees each distinct white-space piece once, where its setup lets pieces stand for texts.
 
     Pieces live as long as the Python worker, so its next tasks find them: ids of all pieces in one array, and where each
     begins.
@@ -144,6 +144,7 @@ class Encoder:
         self.kind = _width(self.tokenizer.get_vocab_size(), end_id)
         self.end_id = end_id
         self.letters = letters_alone(self.tokenizer)
+        self.apart = self.letters or pieces_apart(self.tokenizer)
         self.forget()
 
     def forget(self) -> None:
@@ -171,7 +172,16 @@ class Encoder:
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
             self.ids = np.concatenate(found)
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 1000):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False):
+                out.append(np.array([*e.ids, self.end_id], self.kind).tobytes())
+        return out
+
     def encode(self, texts: pa.Array) -> list[bytes]:
+        if not self.apart:
+            return self._whole(texts.fill_null("").to_pylist())
         numbers, words, lengths = split(texts, lower=False)
         words = words.to_pylist()
         self._learn(words)
@@ -211,6 +221,21 @@ def letters_alone(tokenizer) -> bool:
     )
 
 
+def pieces_apart(tokenizer) -> bool:
+    """Whether the ids of a text are those of its white-space pieces one after the other.
+
+    So it is where white space only separates: the first split drops it, and what comes before works on single characters.
+    Tokenizers that keep blanks in their tokens are given whole texts.
+    """
+    setup = json.loads(tokenizer.to_str())
+    before, cut = setup["normalizer"], setup["pre_tokenizer"] or {}
+    steps = [] if before is None else before.get("normalizers", [before])
+    plain = all(n["type"] in ("NFC", "NFD", "Lowercase", "StripAccents", "BertNormalizer") for n in steps)
+    first = (cut.get("pretokenizers") or [cut])[0]
+    drops = first.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+    return plain and drops and setup["post_processor"] is None and not any(any(c.isspace() for c in t["content"]) for t in setup["added_tokens"])
+
+
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 

@@ -3,9 +3,10 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from quoteloom.llm import records
 from quoteloom.llm.queries import QUERIES
@@ -99,3 +100,31 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert records.round_trip(spark, docs, PATH).count() == 0
     assert F is not None
+
+
+def byte_level(path):
+    """A fixed small vocabulary whose tokens hold blanks."""
+    vocab = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    merges = [("t", "h"), ("Ġ", "c"), ("th", "e"), ("Ġ", "Ġ")]
+    vocab |= {a + b: len(vocab) + i for i, (a, b) in enumerate(merges)}
+    made = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(path)
+    return made
+
+
+def separated(path):
+    made = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    made.save(path)
+    return made
+
+
+@pytest.mark.parametrize(("make", "apart"), [(byte_level, False), (separated, True)])
+def test_other_tokenizers_give_the_ids_of_whole_texts(tmp_path, make, apart):
+    path = str(tmp_path / "tokenizer.json")
+    made, coder = make(path), records.Encoder(path, 2)
+    assert coder.apart == apart and records.Encoder(PATH, 2).apart
+    texts = ["the cat  sat", "", None, " a b ", "b\n\na c", "thé  cät"]
+    got = [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(pa.array(texts))]
+    assert got == [[*made.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
