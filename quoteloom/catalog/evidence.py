@@ -352,17 +352,47 @@ def v23(spark, d):
     return round_doubles(V.drift_categorical(rows, ["side"]))
 
 
+SHIFTS = [(1, 2), (2, 3), (3, 4)]
+SHIFT_FEATURES = ["value", "user_id", "p", "pnl"]
+SHIFT_SQL = f"""fc AS (SELECT *, unnest([{", ".join(f"{{'c': 'FOLD_{a}_VS_FOLD_{b}', 'r': CASE fold WHEN {a} THEN 'ref' WHEN {b} THEN 'tgt' END}}" for a, b in SHIFTS)},
+    {{'c': 'DEVELOPMENT_VS_CHECK', 'r': CASE WHEN fold < 4 THEN 'ref' WHEN fold = 4 THEN 'tgt' END}}]) AS m FROM predictions)"""
+
+
 @register(
     "v24_regime_shift",
     pv(
-        """fc AS (SELECT unnest([{'c': 'FOLD_1_VS_FOLD_2', 'r': CASE fold WHEN 1 THEN 'ref' WHEN 2 THEN 'tgt' END}, {'c': 'FOLD_2_VS_FOLD_3', 'r': CASE fold WHEN 2 THEN 'ref' WHEN 3 THEN 'tgt' END}]) AS m, value, user_id FROM predictions),
-        dl AS (SELECT m.c AS comparison, m.r AS role, 'value' AS feature, CAST(value AS DOUBLE) AS x FROM fc WHERE m.r IS NOT NULL UNION ALL SELECT m.c, m.r, 'user_id', CAST(user_id AS DOUBLE) FROM fc WHERE m.r IS NOT NULL)""",
+        SHIFT_SQL,
+        "dl AS (" + " UNION ALL ".join(f"SELECT m.c AS comparison, m.r AS role, '{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM fc WHERE m.r IS NOT NULL" for f in SHIFT_FEATURES) + ")",
         DRIFT,
     )
     + DRIFT_OUT,
 )
 def v24(spark, d):
-    return round_doubles(V.regime_shift(predictions(spark, d), ["value", "user_id"], [(1, 2), (2, 3)]))
+    return round_doubles(V.regime_shift(predictions(spark, d), SHIFT_FEATURES, SHIFTS, check=4))
+
+
+@register(
+    "v24_categorical_shift",
+    pv(
+        SHIFT_SQL,
+        "dl AS (" + " UNION ALL ".join(f"SELECT m.c AS comparison, m.r AS role, '{f}' AS feature, {f} AS v FROM fc WHERE m.r IS NOT NULL" for f in ("symbol", "side")) + ")",
+        "f AS (SELECT comparison, feature, v, count(CASE WHEN role = 'ref' THEN 1 END) AS r, count(CASE WHEN role = 'tgt' THEN 1 END) AS t FROM dl GROUP BY ALL)",
+        "n AS (SELECT *, sum(r) OVER (PARTITION BY comparison, feature) AS nr, sum(t) OVER (PARTITION BY comparison, feature) AS nt FROM f)",
+    )
+    + """SELECT comparison, feature, count(*) AS categories, round(sum((greatest(t / nt, 1e-6) - greatest(r / nr, 1e-6)) * ln(greatest(t / nt, 1e-6) / greatest(r / nr, 1e-6))), 6) AS psi
+    FROM n GROUP BY comparison, feature""",
+)
+def v24_categorical(spark, d):
+    return round_doubles(V.categorical_shift(predictions(spark, d), ["symbol", "side"], SHIFTS, check=4))
+
+
+@register(
+    "v24_fold_means",
+    pv("l AS (" + " UNION ALL ".join(f"SELECT fold, '{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM predictions" for f in SHIFT_FEATURES) + ")")
+    + "SELECT fold, feature, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation FROM l GROUP BY fold, feature",
+)
+def v24_means(spark, d):
+    return round_doubles(V.fold_means(predictions(spark, d), SHIFT_FEATURES))
 
 
 @register(
@@ -434,16 +464,52 @@ FAMILIES = {"user_id": "context", "p": "model", "past_return": "context", "pred_
 
 
 def matrix(spark, d):
-    rows = oof(spark, d).withColumnsRenamed({"prob": "p"}).withColumn("strength", F.abs("market"))
-    return V.univariate_matrix(rows, FEATURES, {"DIRECTION": "market", "QUALITY": "strength"}, "event_id", FAMILIES)
+    rows = oof(spark, d).withColumnsRenamed({"prob": "p"}).withColumns(
+        {
+            "strength": F.abs("market"), "market_b": F.col("market") * (F.col("event_id") % 3), "strength_b": F.col("movement"),
+            "volatility_regime": F.when(F.col("value") < 33, "LOW").when(F.col("value") < 66, "MEDIUM").otherwise("HIGH"),
+            "trend_regime": F.when(F.col("user_id") % 2 == 0, "TREND").otherwise("RANGE"),
+        }
+    )
+    targets = {("DIRECTION", "a"): "market", ("QUALITY", "a"): "strength", ("DIRECTION", "b"): "market_b", ("QUALITY", "b"): "strength_b"}
+    return V.univariate_matrix(rows, FEATURES, targets, "event_id", FAMILIES)
 
 
 @register("v30_univariate_matrix")
 def v30(spark, d):
-    out = matrix(spark, d).select("feature", "target", "n", "rho", "p_value", "q", "mutual_information", "bin_rho", "largest_session_share", "winsorized", "rho_lower", "rho_upper", "same_sign_folds", "status")
+    out = matrix(spark, d).select(
+        "feature", "family", "target", "horizon", "n", "rho", "p_value", "q", "mutual_information", "bin_rho", "largest_session_share", "winsorized", "rho_lower", "rho_upper",
+        "week_lower", "week_upper", "freeze_effect", "same_sign_folds", "status", F.size("regime_effects").alias("regimes"), F.size("bins").alias("bins"),
+    )
     return round_doubles(out)
 
 
+MX = """mx AS (SELECT *, abs(market) AS strength, market * (event_id % 3) AS market_b, movement AS strength_b, CASE WHEN value < 33 THEN 'LOW' WHEN value < 66 THEN 'MEDIUM' ELSE 'HIGH' END AS vr,
+    CASE WHEN user_id % 2 = 0 THEN 'TREND' ELSE 'RANGE' END AS tr FROM oof WHERE fold > 0),
+  fl AS (SELECT *, unnest([{'n': 'user_id', 'x': CAST(user_id AS DOUBLE)}, {'n': 'p', 'x': CAST(prob AS DOUBLE)}, {'n': 'past_return', 'x': CAST(past_return AS DOUBLE)}, {'n': 'pred_mfe', 'x': CAST(pred_mfe AS DOUBLE)}]) AS f FROM mx),
+  tl AS (SELECT *, unnest([{'n': 'DIRECTION', 'h': 'a', 'y': CAST(market AS DOUBLE)}, {'n': 'QUALITY', 'h': 'a', 'y': CAST(strength AS DOUBLE)}, {'n': 'DIRECTION', 'h': 'b', 'y': CAST(market_b AS DOUBLE)},
+    {'n': 'QUALITY', 'h': 'b', 'y': CAST(strength_b AS DOUBLE)}]) AS t FROM fl),
+  ml AS (SELECT fold, vr, tr, f.n AS feature, f.x AS x, t.n AS target, t.h AS horizon, t.y AS y FROM tl)"""
+
+
+@register(
+    "v30_matrix_effects",
+    pv(OOF, MX)
+    + f""", sc AS (SELECT feature, target, horizon, 'ALL' AS scope, x, y FROM ml UNION ALL SELECT feature, target, horizon, 'FOLD_' || fold, x, y FROM ml UNION ALL SELECT feature, target, horizon, 'volatility_regime_' || vr, x, y FROM ml
+      UNION ALL SELECT feature, target, horizon, 'trend_regime_' || tr, x, y FROM ml), rk AS ({rho_sql('sc', 'feature, target, horizon, scope')})
+    SELECT feature, target, horizon, scope, round(corr(rx, ry), 6) AS rho FROM rk GROUP BY ALL""",
+)
+def v30_effects(spark, d):
+    """The matrix's effects over all rows, by fold and by regime."""
+    m = matrix(spark, d)
+    scopes = F.concat(
+        F.array(F.struct(F.lit("ALL").alias("scope"), F.col("rho"))),
+        F.transform("fold_effects", lambda f: F.struct(F.concat(F.lit("FOLD_"), f["fold"].cast("string")).alias("scope"), f["rho"].alias("rho"))),
+        F.transform("regime_effects", lambda f: F.struct(F.concat_ws("_", f["kind"], f["regime"]).alias("scope"), f["rho"].alias("rho"))),
+    )
+    return round_doubles(m.select("feature", "target", "horizon", F.explode(scopes).alias("_s")).select("feature", "target", "horizon", "_s.*"))
+
+
 @register(
     "v31_sampling_summary",
     pv()
@@ -594,17 +660,28 @@ def v40(spark, d):
     return round_doubles(V.edge_stages(oof(spark, d)))
 
 
+GATE_RATIOS = [1.0, 1.5, 2.0, 3.0]
+GATE_HORIZONS = {"h30": 0.25, "h60": 0.5, "h180": 1.0, "h300": 1.25, "h600": 1.5, "h900": 2.0}  # how far each horizon's outcomes reach
+
+
 @register(
     "v41_gate_grid",
     pv(OOF)
-    + """, s AS (SELECT *, unnest(list_filter(['ALL', CASE WHEN fold < 4 THEN 'COMPARISON' ELSE 'CHECK' END], lambda x: x IS NOT NULL)) AS scope FROM oof), g AS (SELECT *, unnest([{'n': 'BASE', 'c': base_cost}, {'n': 'SPREAD', 'c': spread}]) AS z FROM s),
-    h AS (SELECT *, unnest([1.0, 1.5, 3.0]) AS ratio FROM g), k AS (SELECT scope, z.n AS scenario, ratio, z.c AS cost, CASE WHEN prob >= 0.5 AND greatest(dir_prob, 1 - dir_prob) >= 0.55 AND CASE WHEN dir_prob >= 0.5 THEN pred ELSE -pred END > z.c AND pred_mfe / z.c > ratio
+    + f""", ho AS (SELECT o.* EXCLUDE (long_exec, short_exec, pred, pred_mfe), h.n AS horizon, long_exec * h.k AS long_exec, short_exec * h.k AS short_exec, pred * h.k AS pred, pred_mfe * h.k AS pred_mfe, base_cost * 2 AS stress_cost
+      FROM (SELECT *, unnest([{", ".join(f"{{'n': '{n}', 'k': CAST({k} AS DOUBLE)}}" for n, k in GATE_HORIZONS.items())}]) AS h FROM oof) o),
+    s AS (SELECT *, unnest(list_filter(['ALL', CASE WHEN fold < 4 THEN 'COMPARISON' ELSE 'CHECK' END], lambda x: x IS NOT NULL)) AS scope FROM ho),
+    g AS (SELECT *, unnest([{{'n': 'BASE', 'c': base_cost}}, {{'n': 'SPREAD', 'c': spread}}, {{'n': 'STRESS', 'c': stress_cost}}]) AS z FROM s),
+    h AS (SELECT *, unnest({GATE_RATIOS}) AS ratio FROM g), k AS (SELECT horizon, scope, z.n AS scenario, ratio, z.c AS cost, CASE WHEN prob >= 0.5 AND greatest(dir_prob, 1 - dir_prob) >= 0.55 AND CASE WHEN dir_prob >= 0.5 THEN pred ELSE -pred END > z.c AND pred_mfe / z.c > ratio
       THEN CASE WHEN dir_prob >= 0.5 THEN long_exec ELSE short_exec END END AS v FROM h)
-    SELECT scope, scenario, CAST(ratio AS DOUBLE) AS ratio, count(v) AS candidates, round(avg(v), 6) AS executable, round(avg(v - cost), 6) AS net, round(avg(CASE WHEN v IS NOT NULL THEN CASE WHEN v - cost > 0 THEN 1.0 ELSE 0 END END), 6) AS profitable FROM k GROUP BY ALL""",
+    SELECT horizon, scope, scenario, CAST(ratio AS DOUBLE) AS ratio, count(v) AS candidates, round(avg(v), 6) AS executable, round(avg(v - cost), 6) AS net, round(avg(CASE WHEN v IS NOT NULL THEN CASE WHEN v - cost > 0 THEN 1.0 ELSE 0 END END), 6) AS profitable FROM k GROUP BY ALL""",
 )
 def v41(spark, d):
     scopes = {"ALL": F.lit(True), "COMPARISON": F.col("fold") < 4, "CHECK": F.col("fold") >= 4}
-    return round_doubles(V.gate_grid(oof(spark, d), {"BASE": "base_cost", "SPREAD": "spread"}, [1.0, 1.5, 3.0], scopes))
+    reach = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in GATE_HORIZONS.items()]))
+    rows = oof(spark, d).withColumn("_h", reach).withColumns({"horizon": F.col("_h.n"), "stress_cost": F.col("base_cost") * 2})
+    rows = rows.withColumns({x: F.col(x) * F.col("_h.k") for x in ("long_exec", "short_exec", "pred", "pred_mfe")}).drop("_h")
+    costs = {"BASE": "base_cost", "SPREAD": "spread", "STRESS": "stress_cost"}
+    return round_doubles(V.gate_grid(rows, costs, GATE_RATIOS, scopes, ["horizon"]))
 
 
 META = "mt AS (SELECT *, prob AS p_long, prob_b AS p_short, 20 + user_id % 10 AS target, 10.0 AS stop, base_cost - spread AS extra FROM oof)"

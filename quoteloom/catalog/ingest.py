@@ -99,7 +99,7 @@ def s5(spark, d):
     S.write_bars(bars, path, replace=True, period="year")
     revised = bars.filter(F.col("us") >= 841_795_200_000_000).withColumn("close", F.col("close") * 2)
     S.write_bars(revised, path, replace=False, period="year")
-    return spark.read.parquet(path).groupBy("symbol").agg(
+    return S.read_store(spark, path).groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), R6(F.sum("close")).alias("close_sum")
     )
 
@@ -114,7 +114,7 @@ def s6(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", "user_id")
     S.append_unique(e, path, ["event_type", "user_id"], "event_id")
     S.append_unique(e, path, ["event_type", "user_id"], "event_id")
-    return spark.read.parquet(path).groupBy("event_type").agg(
+    return S.read_store(spark, path).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("first_ids")
     )
 
@@ -237,12 +237,11 @@ def s11(spark, d):
     GROUP BY 1, 2""",
 )
 def s12(spark, d):
-    q = quotes(spark, d)
-    chunks = S.day_chunks(spark, START, END)
-    done = q.filter(F.col("us") < START + 10 * DAY).groupBy(cell("us", DAY).alias("c")).agg(F.count(F.lit(1)).alias("accepted"))
-    manifest = done.select((F.col("c") * DAY).alias("start_us"), ((F.col("c") + 1) * DAY).alias("end_us"), "accepted")
-    _, status = S.ingest_days(chunks, manifest, q)
-    return status.select("start_us", "status", "accepted")
+    q, path = quotes(spark, d), scratch(spark, "days")
+    S.load_days(S.day_chunks(spark, START, START + 10 * DAY), q, path)
+    status = S.load_days(S.day_chunks(spark, START, END), q, path)
+    stored = S.read_store(spark, path).groupBy(cell("us", DAY).alias("_day")).agg(F.count(F.lit(1)).alias("accepted"))
+    return status.drop("accepted").join(stored, cell("start_us", DAY) == F.col("_day"), "left").select("start_us", "status", F.coalesce("accepted", F.lit(0)).alias("accepted"))
 
 
 @register(

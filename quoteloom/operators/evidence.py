@@ -371,22 +371,35 @@ def drift_categorical(long: DataFrame, keys) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("categories"), F.sum((b - a) * F.ln(b / a)).alias("psi"))
 
 
-def comparisons(df: DataFrame, folds: list[tuple[int, int]], fold: str = "fold") -> DataFrame:
-    """Each row once per comparison it takes part in, as reference or target."""
+def comparisons(df: DataFrame, folds: list[tuple[int, int]], fold: str = "fold", check: int | None = None) -> DataFrame:
+    """Each row once per comparison it takes part in, as reference or target; ``check`` sets that fold against all before it."""
     parts = []
-    for a, b in folds:
-        name = f"FOLD_{a}_VS_FOLD_{b}"
-        role = F.when(c(fold) == a, "ref").when(c(fold) == b, "tgt")
+    sides = [(f"FOLD_{a}_VS_FOLD_{b}", c(fold) == a, c(fold) == b) for a, b in folds]
+    if check is not None:
+        sides.append(("DEVELOPMENT_VS_CHECK", c(fold) < check, c(fold) == check))
+    for name, ref, tgt in sides:
+        role = F.when(ref, "ref").when(tgt, "tgt")
         parts.append(F.when(role.isNotNull(), F.struct(F.lit(name).alias("comparison"), role.alias("role"))))
     return df.withColumn("_c", F.explode(F.array_compact(F.array(*parts)))).select("*", "_c.comparison", "_c.role").drop("_c")
 
 
-def regime_shift(df: DataFrame, features, folds: list[tuple[int, int]]) -> DataFrame:
-    """Numeric drift of every feature between consecutive folds."""
-    rows = comparisons(df, folds)
+def regime_shift(df: DataFrame, features, folds: list[tuple[int, int]], check: int | None = None) -> DataFrame:
+    """Numeric drift of every feature between consecutive folds, and of development against the check fold."""
+    rows = comparisons(df, folds, check=check)
     return drift_numeric(melt(rows, ["comparison", "role"], features), ["comparison", "feature"])
 
 
+def categorical_shift(df: DataFrame, features, folds: list[tuple[int, int]], check: int | None = None) -> DataFrame:
+    """The same for categories."""
+    rows = comparisons(df, folds, check=check)
+    return drift_categorical(melt_text(rows, ["comparison", "role"], features), ["comparison", "feature"])
+
+
+def fold_means(df: DataFrame, features, fold: str = "fold") -> DataFrame:
+    """Rows, mean and deviation of every feature per fold."""
+    return melt(df, [fold], features).groupBy(fold, "feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"))
+
+
 def candidate_anatomy(pred: DataFrame, candidate: Column, role: str, values) -> DataFrame:
     rows = pred.filter(candidate)
     return rows.groupBy(role).agg(F.count(F.lit(1)).alias("candidates"), *[F.avg(v).alias(f"mean_{v}") for v in values])
@@ -408,15 +421,21 @@ def mutual_information(long: DataFrame, keys, tie: str, bins: int = 10, least: i
     return out.select(*keys, "n", F.when(c("n") >= least, c("mi")).alias("mutual_information"))
 
 
-def monotonic_bins(long: DataFrame, keys, tie: str, k: int = 5) -> DataFrame:
-    """Equal-count groups of x with the mean of y, and the rank correlation of the group means."""
+def bin_table(long: DataFrame, keys, tie: str, k: int = 5) -> DataFrame:
+    """Equal-count groups of x with the mean of x and of y."""
     keys = list(keys)
     rows = R.equal_count_bins(long.filter(c("y").isNotNull()), keys, "x", tie, k, "group")
-    means = rows.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_feature"), F.avg("y").alias("mean_target"))
+    return rows.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_feature"), F.avg("y").alias("mean_target"))
+
+
+def monotonic_bins(long: DataFrame, keys, tie: str, k: int = 5) -> DataFrame:
+    """Rank correlation of the group means of ``bin_table``, and the groups themselves as an array."""
+    keys = list(keys)
+    means = bin_table(long, keys, tie, k)
     w = Window.partitionBy(*keys).orderBy("mean_target")  # k rows per key
     ranked = means.withColumn("_r", F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "mean_target")) - 1) / 2)
-    rho = ranked.groupBy(*keys).agg(F.corr("group", "_r").alias("bin_rho"), F.sum("n").alias("n"))
-    return rho
+    groups = F.array_sort(F.collect_list(F.struct("group", "n", "mean_feature", "mean_target")))  # k per key
+    return ranked.groupBy(*keys).agg(F.corr("group", "_r").alias("bin_rho"), F.sum("n").alias("n"), groups.alias("bins"))
 
 
 def within_block_spearman_ci(long: DataFrame, keys, block: str, replications: int = 500, seed: int = 1) -> DataFrame:
@@ -474,17 +493,29 @@ def _beta_tail(a: float, b: float, x: float) -> float:
     return min(1.0, const * float((weights * density).sum()) * (hi - lo) / 2)
 
 
-def univariate_matrix(events: DataFrame, features, targets: dict[str, str], tie: str, families: dict[str, str], replications: int = 200) -> DataFrame:
-    """Evidence of every feature against every target: effect, p, q, information, bins, folds, day interval, status.
+# fixed values of the published evidence: bootstrap draws, the fold that is frozen, regimes, and what a candidate must reach
+MATRIX_DRAWS, FREEZE_FOLD = 500, 4
+REGIMES = {"volatility_regime": ("LOW", "MEDIUM", "HIGH"), "trend_regime": ("RANGE", "TREND")}
+CANDIDATE = {"rows": 5000, "effect": 0.03, "folds": 3, "fold_effect": 0.005, "bins": 0.70, "session": 0.60, "winsorized": 0.5, "q": 0.10, "unstable": 0.02}
+
+
+def univariate_matrix(
+    events: DataFrame, features, targets: dict, tie: str, families: dict[str, str], replications: int = MATRIX_DRAWS, freeze: int = FREEZE_FOLD
+) -> DataFrame:
+    """Evidence of every feature against every target at every horizon: effect, p, q, information, bins, folds, regimes, day and week intervals, status.
 
-    One long table keyed by (feature, target); every statistic is one keyed job over it. Needs fold, day, session.
+    ``targets`` maps (target, horizon), or a target alone, to its column. One long table keyed by (feature, target, horizon) holds the rows
+    of folds above 0; every statistic is one keyed job over it. Needs fold, day, session; week and the columns of ``REGIMES`` are used where present.
     """
-    pairs = F.array(*[F.struct(F.lit(n).alias("target"), c(t).cast("double").alias("y")) for n, t in targets.items()])
-    slim = events.select("fold", "day", "session", tie, *[f for f in features if f != tie], F.explode(pairs).alias("_t"))
-    base = melt(slim.select("*", "_t.target", "_t.y").drop("_t"), ["target", "y", "fold", "day", "session", tie], features)
+    named = {(n if isinstance(n, tuple) else (n, "")): t for n, t in targets.items()}
+    pairs = F.array(*[F.struct(F.lit(n).alias("target"), F.lit(str(h)).alias("horizon"), c(t).cast("double").alias("y")) for (n, h), t in named.items()])
+    regimes = [r for r in REGIMES if r in events.columns]
+    kept = [*dict.fromkeys(["fold", "day", "session", *(["week"] if "week" in events.columns else []), *regimes, tie])]
+    slim = events.filter("fold > 0").select(*kept, *[f for f in features if f not in kept], F.explode(pairs).alias("_t"))
+    base = melt(slim.select("*", "_t.target", "_t.horizon", "_t.y").drop("_t"), ["target", "horizon", "y", *kept], features)
     # every statistic below reads the long table, so it is written once
     long = durable(base.filter(c("x").isNotNull() & c("y").isNotNull()))
-    keys = ["feature", "target"]
+    keys = ["feature", "target", "horizon"]
     effect = durable(R.spearman_long(long, keys).withColumn("p_value", spearman_p_value()))
     folds = R.spearman_long(long, [*keys, "fold"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("fold", "rho"))).alias("fold_effects"))
     limits = R.exact_quantiles(long, keys, "x", {"_p01": 0.01, "_p10": 0.10, "_p90": 0.90, "_p99": 0.99})
@@ -495,28 +526,46 @@ def univariate_matrix(events: DataFrame, features, targets: dict[str, str], tie:
     clipped = marked.withColumns({"x": F.least(F.greatest("x", "_p01"), c("_p99")), "y": F.least(F.greatest("y", "_y01"), c("_y99"))})
     wins = R.spearman_long(clipped.select(*keys, "x", "y"), keys).select(*keys, c("rho").alias("winsorized"))
     info = mutual_information(long, keys, tie).select(*keys, "mutual_information")
-    mono = monotonic_bins(long, keys, tie).select(*keys, "bin_rho")
-    ci = within_block_spearman_ci(long.select(*keys, "day", "x", "y"), keys, "day", replications)
+    mono = monotonic_bins(long, keys, tie).select(*keys, "bin_rho", "bins")
+    parts = [folds, share, wins, info, mono, within_block_spearman_ci(long.select(*keys, "day", "x", "y"), keys, "day", replications)]
+    if "week" in kept:
+        weekly = within_block_spearman_ci(long.select(*keys, "week", "x", "y"), keys, "week", replications, seed=2)
+        parts.append(weekly.select(*keys, *[c(f"rho_{e}").alias(f"week_{e}") for e in ("estimate", "lower", "upper")]))
+    if regimes:
+        cells = F.explode(F.array(*[F.struct(F.lit(r).alias("kind"), c(r).cast("string").alias("regime")) for r in regimes]))
+        listed = F.lit(False)
+        for r in regimes:
+            listed = listed | ((c("_g.kind") == r) & c("_g.regime").isin(*REGIMES[r]))
+        by = long.select(*keys, "x", "y", cells.alias("_g")).filter(listed).select(*keys, "x", "y", "_g.kind", "_g.regime")
+        effects = R.spearman_long(by, [*keys, "kind", "regime"])
+        parts.append(effects.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("kind", "regime", "n", "rho"))).alias("regime_effects")))  # five per key
     rows = effect
-    for part in (folds, share, wins, info, mono, ci):
+    for part in parts:
         rows = rows.join(part, keys, "left")
     rows = benjamini_hochberg(rows, "p_value", keys)
     sign = F.signum("rho")
-    same = F.size(F.filter("fold_effects", lambda f: (F.abs(f["rho"]) >= 0.005) & (F.signum(f["rho"]) == sign)))
-    last = F.element_at("fold_effects", -1)["rho"]
+    same = F.size(F.filter("fold_effects", lambda f: (F.abs(f["rho"]) >= CANDIDATE["fold_effect"]) & (F.signum(f["rho"]) == sign)))
+    frozen = F.filter("fold_effects", lambda f: f["fold"] == freeze)[0]["rho"]
     day_ok = ((c("rho_lower") > 0) | (c("rho_upper") < 0)) & (F.signum("rho_estimate") == sign)
     checks = (
-        c("n") >= 5000, F.abs("rho") >= 0.03, same >= 3, last.isNull() | (F.abs(last) < 0.005) | (F.signum(last) == sign),
-        (F.abs("bin_rho") >= 0.70) & (F.signum("bin_rho") == sign), c("largest_session_share") <= 0.60,
-        (F.signum("winsorized") == sign) & (F.abs("winsorized") >= 0.5 * F.abs("rho")), day_ok, c("q") <= 0.10,
+        c("n") >= CANDIDATE["rows"],
+        F.abs("rho") >= CANDIDATE["effect"],
+        same >= CANDIDATE["folds"],
+        frozen.isNull() | (F.abs(frozen) < CANDIDATE["fold_effect"]) | (F.signum(frozen) == sign),
+        (F.abs("bin_rho") >= CANDIDATE["bins"]) & (F.signum("bin_rho") == sign),
+        c("largest_session_share") <= CANDIDATE["session"],
+        (F.signum("winsorized") == sign) & (F.abs("winsorized") >= CANDIDATE["winsorized"] * F.abs("rho")),
+        day_ok,
+        c("q") <= CANDIDATE["q"],
     )
     strong = checks[0]
     for k in checks[1:]:
         strong = strong & F.coalesce(k, F.lit(False))
-    weak = (F.abs("rho") >= 0.02) & ((same >= 3) | F.coalesce(c("q") <= 0.10, F.lit(False)) | F.coalesce(day_ok, F.lit(False)))
+    backed = (same >= CANDIDATE["folds"]) | F.coalesce(c("q") <= CANDIDATE["q"], F.lit(False)) | F.coalesce(day_ok, F.lit(False))
+    weak = (F.abs("rho") >= CANDIDATE["unstable"]) & backed
     status = F.when(strong, "FEATURE_RESEARCH_CANDIDATE").when(F.coalesce(weak, F.lit(False)), "FEATURE_UNSTABLE").otherwise("FEATURE_NO_SIGNAL")
     family = F.element_at(F.create_map(*[x for f, g in families.items() for x in (F.lit(f), F.lit(g))]), c("feature"))
-    return rows.withColumns({"same_sign_folds": same, "status": status, "family": family})
+    return rows.withColumns({"same_sign_folds": same, "freeze_effect": frozen, "status": status, "family": family})
 
 
 def sampling_summary(events: DataFrame, horizons, schemes: str = "schemes") -> DataFrame:
@@ -720,8 +769,8 @@ def edge_stages(oof: DataFrame, slippage: float = 1.0) -> DataFrame:
     return rows.groupBy("s.stage").agg(F.count(F.lit(1)).alias("n"), F.avg("s.v").alias("expectancy"))
 
 
-def gate_grid(oof: DataFrame, costs: dict[str, str], ratios, scopes: dict[str, Column]) -> DataFrame:
-    """Selected counts and expectancies over cost scenario, move-to-cost ratio and scope."""
+def gate_grid(oof: DataFrame, costs: dict[str, str], ratios, scopes: dict[str, Column], keys=()) -> DataFrame:
+    """Selected counts and expectancies over cost scenario, move-to-cost ratio and scope, and over ``keys`` such as the horizon."""
     cells = F.array(*[F.struct(F.lit(n).alias("scenario"), c(k).cast("double").alias("_cost"), F.lit(float(r)).alias("ratio")) for (n, k), r in product(costs.items(), ratios)])
     rows = oof.withColumn("scope", F.explode(F.array_compact(F.array(*[F.when(m, n) for n, m in scopes.items()]))))
     rows = rows.withColumn("_g", F.explode(cells)).select("*", "_g.*")
@@ -729,7 +778,7 @@ def gate_grid(oof: DataFrame, costs: dict[str, str], ratios, scopes: dict[str, C
     gross = F.when(side, c("pred")).otherwise(-c("pred"))
     ok = (c("prob") >= 0.5) & (F.greatest(c("dir_prob"), 1 - c("dir_prob")) >= 0.55) & (gross > c("_cost")) & (F.try_divide("pred_mfe", "_cost") > c("ratio"))
     pnl = F.when(ok, _sided(side, "long_exec", "short_exec"))
-    return rows.groupBy("scope", "scenario", "ratio").agg(
+    return rows.groupBy(*keys, "scope", "scenario", "ratio").agg(
         F.count(pnl).alias("candidates"), F.avg(pnl).alias("executable"), F.avg(pnl - c("_cost")).alias("net"), F.avg(F.when(pnl.isNotNull(), (pnl - c("_cost") > 0).cast("double"))).alias("profitable")
     )
 

@@ -92,7 +92,7 @@ class CellSums:
         v = np.nan_to_num(values)
         n = len(v)
         sums = v.copy()
-        for k in range(1, group):
+        for k in range(1, min(group, n)):
             sums[: n - k] += v[k:]
         square = sums * sums  # right where a whole group stands
         upto, onward = np.zeros(n), np.zeros(n)

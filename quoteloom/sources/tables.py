@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quoteloom.functions.timing import DAY, MINUTE, cell, day_text
+from quoteloom.session import durable
+from quoteloom.sources.commits import Store, append_new, replace_parts
 
 TICK_IDENTITY = ("symbol", "us", "bid", "ask", "last", "volume", "volume_real", "flags")
 CANDLE_INTERVALS = ("1m", "5m", "15m", "1h")
@@ -109,29 +111,31 @@ def merge_ticks(df: DataFrame, path: str, identity=TICK_IDENTITY) -> None:
 
 
 def write_bars(df: DataFrame, path: str, replace: bool = True, period: str = "day") -> None:
-    """Store bars by frame and open day (or month, year); merge keeps the new copy of an existing bar."""
-    parts = ("frame", "date")
+    """Store bars by frame and open day (or month, year); merge keeps the new copy of an existing bar. One commit: readers see all of it or nothing."""
     rows = df.withColumn("date", F.to_date(F.date_trunc(period, F.timestamp_micros("us"))))
-    if not replace and exists(df.sparkSession, path):
-        touched = rows.select(*parts).distinct()
-        stored = df.sparkSession.read.parquet(path).join(touched, list(parts), "left_semi")
-        rows = last_wins(
-            stored.withColumn("_v", F.lit(0)).unionByName(rows.withColumn("_v", F.lit(1))),
-            ["frame", "symbol", "us"],
-            "_v",
-        ).drop("_v")
-    overwrite_days(rows, path, parts)
+
+    def merge(stored: DataFrame, new: DataFrame) -> DataFrame:
+        both = stored.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
+        return last_wins(both, ["frame", "symbol", "us"], "_v").drop("_v").select(*new.columns)
+
+    replace_parts(rows, path, ["symbol", "us"], ["frame", "date"], None if replace else merge)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """A committed table as of now."""
+    found = Store(spark, path).read()
+    if found is None:
+        raise ValueError(f"nothing was committed to {path}")
+    return found
 
 
 def append_unique(df: DataFrame, path: str, keys, order: str) -> dict[str, int]:
-    """First row per key of the batch, minus the keys already stored, appended; says how many were written and repeated."""
-    came, wrote = Observation(), Observation()
+    """First row per key of the batch, minus the keys already stored, appended; says how many were written and repeated, and
+    how many stored files had to be opened. Only files whose key range and Bloom filter admit a key of the batch are."""
+    came = Observation()
     fresh = first_wins(df.observe(came, F.count(F.lit(1)).alias("n")), list(keys), F.col(order))
-    if exists(df.sparkSession, path):
-        stored = df.sparkSession.read.parquet(path).select(*keys)
-        fresh = fresh.join(stored, list(keys), "left_anti")
-    fresh.observe(wrote, F.count(F.lit(1)).alias("n")).write.mode("append").option("compression", "zstd").parquet(path)
-    return {"written": wrote.get["n"], "duplicates": came.get["n"] - wrote.get["n"]}
+    done = append_new(fresh.select(*df.columns), path, list(keys))
+    return {"written": done["written"], "duplicates": came.get["n"] - done["written"], "opened": done["opened"]}
 
 
 # -- raw payloads --------------------------------------------------------------------------------
@@ -250,6 +254,28 @@ def ingest_days(chunks: DataFrame, manifest: DataFrame, landing: DataFrame) -> t
     return rows.drop("_day", "start_us", "end_us"), status
 
 
+def load_days(chunks: DataFrame, landing: DataFrame, path: str, keys=("symbol", "us", "seq")) -> DataFrame:
+    """Load the chunks that are not complete, and return the status of every chunk.
+
+    The completion records stand in the same commit as the rows, so a chunk is complete exactly if its rows are there: a run that
+    breaks before its commit is repeated whole, one that breaks after it changes nothing.
+    """
+    spark = chunks.sparkSession
+    store = Store(spark, path)
+    while True:
+        version, log = store._next(), store.log()
+        records = [tuple(r) for line in log for r in line.get("note", {}).get("chunks", [])]  # days
+        manifest = spark.createDataFrame(records, "start_us long, end_us long, accepted long")
+        rows, status = ingest_days(chunks, manifest, landing)
+        status = durable(status)
+        loaded = status.filter("status = 'LOADED'").select("start_us", "end_us", "accepted").collect()  # days
+        if not loaded:
+            return status
+        line = store.stage(rows, list(keys))
+        if store.commit(version, {**line, "note": {"chunks": [list(r) for r in loaded]}}):
+            return status
+
+
 def validate_ticks(df: DataFrame, start_us: int, end_us: int, identity) -> DataFrame:
     """Classify every tick: invalid, out_of_range, duplicate (not the first of its identity), accepted."""
     good = (

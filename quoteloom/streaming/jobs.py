@@ -21,7 +21,7 @@ from quoteloom.functions.timing import DAY, as_timestamp, cell, cell_start
 from quoteloom.operators import signals as G
 from quoteloom.operators.bars import fetch_pages
 from quoteloom.operators.signals import _LONG, _SHORT, _UNINIT, _advance
-from quoteloom.sources.tables import append_unique, exists, normalize_events
+from quoteloom.sources.tables import append_unique, exists, normalize_events, read_store
 
 c = F.col
 
@@ -269,6 +269,6 @@ def apply_repair(requests: DataFrame, source: DataFrame, store: str, step: int)
     """
     wanted = source.join(requests.select("symbol", "start_us", "end_us").distinct(), "symbol").filter("us >= start_us AND us < end_us")
     append_unique(wanted.select(*source.columns), store, ["symbol", "us"], "us")
-    stored = source.sparkSession.read.parquet(store).select("symbol", cell_start("us", step).alias("us")).distinct()
+    stored = read_store(source.sparkSession, store).select("symbol", cell_start("us", step).alias("us")).distinct()
     found = stored.groupBy("symbol").agg(F.count(F.lit(1)).alias("present"), ((F.max("us") - F.min("us")) / step + 1).cast("long").alias("expected"))
     return found.select("symbol", "expected", "present", (c("present") * 100.0 / c("expected")).alias("coverage_pct"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quoteloom.operators import paths as P
 from quoteloom.operators.sliding import Runs, SerialMoments
+from quoteloom.operators.tape import Arrivals, Changes, Flow, LocalExtremes
 
 
 @pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 700])
@@ -167,3 +168,31 @@ def test_serial_moments_of_windows(spark, ticks, span, group):
         groups = sum(d[i : i + group].sum() ** 2 for i in range(0, len(d), group))
         want = [len(d), d.sum(), (d * d).sum(), x.sum(), (x * x).sum(), y.sum(), (y * y).sum(), (x * y).sum(), groups]
         assert got.loc[r.seq, ["_n", "_s", "_ss", "_x", "_xx", "_y", "_yy", "_xy", "_gg"]].tolist() == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("span", [4, 60, 250])
+def test_tape_of_windows(spark, ticks, span):
+    rng = np.random.default_rng(12)
+    pdf = ticks.assign(mid=rng.integers(0, 4, len(ticks)) / 4, spread=rng.integers(0, 2, len(ticks)) / 10)
+    path = spark.createDataFrame(pdf).repartition(3)
+    questions = [
+        Flow("mid", (("a", span), ("b", 2 * span))), Changes("mid_rate", "mid", span), Changes("spread_rate", "spread", span), Arrivals("gap", "us", span, 10), LocalExtremes("mid", span, 10),
+    ]
+    got = P.along_path(path, path, ["symbol"], questions, width=600, back=2 * span).toPandas().set_index("seq")
+    for r in pdf.itertuples():
+        mine = pdf[(pdf.symbol == r.symbol) & ((pdf.us < r.us) | ((pdf.us == r.us) & (pdf.seq <= r.seq)))]
+        g = got.loc[r.seq]
+        for name, w in (("a", span), ("b", 2 * span)):
+            change = np.diff(mine[mine.us >= r.us - w].mid.to_numpy())
+            up, down = (change > 0).sum(), (change < 0).sum()
+            assert (g[f"rate_{name}"], g[f"imbalance_{name}"]) == (len(change) + 1, (up - down) / max(up + down, 1))
+        own = mine[mine.us >= r.us - span]
+        gaps = np.diff(own.us.to_numpy()) / 10
+        assert g.gap_mean == pytest.approx(gaps.mean() if len(gaps) else span / 10)
+        assert g.gap_cv == pytest.approx(gaps.std() / gaps.mean() if len(gaps) and gaps.mean() > 0 else 0, abs=1e-6)
+        for name, column in (("mid_rate", "mid"), ("spread_rate", "spread")):
+            moved = np.diff(own[column].to_numpy()) != 0
+            assert g[name] == pytest.approx(moved.mean() if len(moved) else 0)
+        mids, us = own.mid.to_numpy(), own.us.to_numpy()
+        want = [mids.max(), mids.min(), (r.us - us[mids.argmax()]) / 10, (r.us - us[mids.argmin()]) / 10]
+        assert [g.local_high, g.local_low, g.since_high, g.since_low] == pytest.approx(want)

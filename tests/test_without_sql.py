@@ -15,7 +15,7 @@ from quoteloom.operators import bars as B
 from quoteloom.operators import evidence as V
 from quoteloom.operators import models as M
 from quoteloom.operators import signals as G
-from quoteloom.plans.events import COOLDOWNS, EventSettings, event_rows, second_context
+from quoteloom.plans.events import COOLDOWNS, FEATURE_GROUPS, EventSettings, event_rows, second_context
 from quoteloom.sources.views import quotes
 
 load()
@@ -141,6 +141,17 @@ def test_out_of_fold_rows_are_the_validation_rows(spark, sf):
     assert out["prediction"].between(0, 1).all()
 
 
+def test_event_table_has_every_feature(spark, sf):
+    out = QUERIES["g20_event_dataset"](spark, sf)
+    assert len(FEATURE_GROUPS) == 88 and set(FEATURE_GROUPS) <= set(out.columns)
+    rows = out.toPandas()
+    assert len(rows) > 20 and not rows.duplicated(["symbol", "us"]).any()
+    always = [n for n in FEATURE_GROUPS if n.split("_")[0] not in ("asian", "opening", "x") and "percentile" not in n and n not in ("atr_normalised", "range_expansion", "range_compression")]
+    early = {f"return_{w}" for w in (5, 15, 30, 60)} | {"displacement_per_tick", "breakout_velocity"}
+    assert rows[[n for n in always if n not in early]].notna().all().all()
+    assert rows["day_position"].between(0, 1).all() and rows["uptick_ratio"].between(0, 1).all()
+
+
 def test_dealing_keeps_values_and_breaks_order(spark, sf):
     base = oof(spark, sf).select("event_id", "side", "pred")
     dealt = M.dealt_again(base, ["side"], {"a": "pred"}, "event_id", 2).toPandas()
