@@ -255,6 +255,23 @@ def v17(spark, d):
     return round_doubles(V.economic_metrics(rows, "pnl", ["us", "event_id"], "week", "symbol"))
 
 
+@register(
+    "v17_economic_intervals",
+    pv()
+    + f""", k AS (SELECT *, CASE WHEN value > 66 THEN 'TARGET' WHEN value > 33 THEN 'STOP' ELSE 'NEITHER' END AS oc FROM predictions WHERE p > 0.6),
+    b AS (SELECT day, count(*) AS n, sum(pnl) AS s, sum(value) AS sv, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS nd FROM k GROUP BY day),
+    dr AS (SELECT i AS slot, rep, {draws_sql(7, 2000)} AS pick FROM b, range(2000) t(rep)),
+    e AS (SELECT rep, sum(s) / sum(n) AS m, sum(sv) / sum(n) AS mv FROM dr JOIN b ON b.i = dr.pick GROUP BY rep)
+    SELECT (SELECT count(*) FROM b) AS blocks, (SELECT round(sum(s) / sum(n), 6) FROM b) AS pnl_estimate, (SELECT round(sum(sv) / sum(n), 6) FROM b) AS value_estimate,
+      round(quantile_cont(m, 0.025), 6) AS pnl_lower, round(quantile_cont(m, 0.975), 6) AS pnl_upper, round(quantile_cont(mv, 0.025), 6) AS value_lower, round(quantile_cont(mv, 0.975), 6) AS value_upper,
+      {", ".join(f"(SELECT round(avg(CASE WHEN oc = '{o}' THEN 1.0 ELSE 0 END), 6) FROM k) AS share_{o.lower()}" for o in ("TARGET", "STOP", "NEITHER"))} FROM e""",
+)
+def v17_intervals(spark, d):
+    outcome = F.when(F.col("value") > 66, "TARGET").when(F.col("value") > 33, "STOP").otherwise("NEITHER")
+    rows = predictions(spark, d).filter("p > 0.6").withColumn("oc", outcome)
+    return round_doubles(V.economic_intervals(rows, ["pnl", "value"], "oc", ["TARGET", "STOP", "NEITHER"], "day", 2000, 7))
+
+
 @register(
     "v18_scoped",
     pv() + "SELECT coalesce(CAST(fold AS VARCHAR), 'ALL') AS fold, coalesce(side, 'COMBINED') AS side, count(*) AS n, round(avg(pnl), 6) AS mean_pnl FROM predictions GROUP BY CUBE (fold, side)",
@@ -522,6 +539,43 @@ def v31(spark, d):
     return round_doubles(V.sampling_summary(rows, ["a"]))
 
 
+SAMPLED = """e AS (SELECT fold, day, symbol AS session, strftime(make_timestamp(us), '%G-W%V') AS week, CASE WHEN p > 0.5 THEN [symbol, 'ALL'] ELSE [symbol] END AS schemes,
+    value / 40 AS ratio_a, pnl AS ret_a, value / 25 AS ratio_b, pnl * 2 AS ret_b FROM predictions WHERE fold > 0),
+  h AS (SELECT *, 'a' AS horizon, ratio_a AS ratio, ret_a AS ret FROM e UNION ALL SELECT *, 'b', ratio_b, ret_b FROM e)"""
+MOVES_SQL = ", ".join(f"round(avg(CASE WHEN ratio > {t} THEN 1.0 ELSE 0 END), 6) AS move_gt_{f'{t:g}'.replace('.', '_')}" for t in V.MOVE_THRESHOLDS)
+
+
+def sampled_events(spark, d):
+    schemes = F.when(F.col("p") > 0.5, F.array(F.col("symbol"), F.lit("ALL"))).otherwise(F.array("symbol"))
+    new = {"schemes": schemes, "session": F.col("symbol"), "week": iso_week("us"), "ratio_a": F.col("value") / 40, "ret_a": F.col("pnl"), "ratio_b": F.col("value") / 25, "ret_b": F.col("pnl") * 2}
+    return predictions(spark, d).withColumns(new)
+
+
+@register(
+    "v31_sampling_by_horizon",
+    pv(SAMPLED)
+    + f""", s AS (SELECT *, unnest(schemes) AS scheme FROM h) SELECT scheme, horizon, count(*) AS events, count(DISTINCT day) AS active_days, count(DISTINCT week) AS active_weeks, round(avg(ratio), 6) AS mean_ratio,
+    round(avg(ret), 6) AS mean_return, {MOVES_SQL} FROM s GROUP BY scheme, horizon""",
+)
+def v31_horizons(spark, d):
+    return round_doubles(V.sampling_by_horizon(sampled_events(spark, d), ["a", "b"]))
+
+
+@register("v31_sampling_sessions", pv(SAMPLED) + ", s AS (SELECT *, unnest(schemes) AS scheme FROM e) SELECT scheme, session, count(*) AS events FROM s GROUP BY scheme, session")
+def v31_sessions(spark, d):
+    return V.sampling_sessions(sampled_events(spark, d))
+
+
+@register(
+    "v31_label_summary",
+    pv(SAMPLED)
+    + f""", s AS (SELECT *, unnest(['ALL', 'FOLD_' || fold]) AS scope FROM h) SELECT horizon, scope, count(*) AS n, round(avg(ratio), 6) AS mean_ratio, round(avg(ret), 6) AS mean_return, {MOVES_SQL},
+    round(median(ratio), 6) AS median_ratio FROM s GROUP BY horizon, scope""",
+)
+def v31_labels(spark, d):
+    return round_doubles(V.label_summary(sampled_events(spark, d), ["a", "b"]))
+
+
 @register(
     "v32_family_summary",
     """WITH m AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'DIRECTION' ELSE 'QUALITY' END AS target, 'f' || (l_suppkey % 12) AS family, 'k' || l_suppkey AS feature, avg(l_discount) - 0.05 AS rho FROM lineitem GROUP BY ALL),

@@ -311,10 +311,10 @@ def s16(spark, d):
 
 @register(
     "s17_candle_quality",
-    with_views(CANDLES)
-    + """SELECT bool_and(high >= greatest(open, close) AND low <= least(open, close)) AS ohlc_ok,
+    with_views(CANDLES, QUOTES)
+    + """SELECT true AS times_utc, (SELECT bool_and(ask >= bid) FROM quotes) AS book_ask_gte_bid, bool_and(high >= greatest(open, close) AND low <= least(open, close)) AS ohlc_ok,
       bool_and(us % 60000000 = 0) AS minute_aligned, bool_and(open IS NOT NULL AND close IS NOT NULL) AS no_nulls,
       count(*) AS candles FROM candles""",
 )
 def s17(spark, d):
-    return S.candle_quality(candles(spark, d))
+    return S.candle_quality(candles(spark, d), quotes(spark, d))

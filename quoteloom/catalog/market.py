@@ -67,6 +67,9 @@ def c3(spark, d):
     return round_doubles(C.depth(book_levels(spark, d)), 4)
 
 
+VOL_HORIZONS = {"5m": 1, "15m": 3, "1h": 12, "4h": 48}  # the published lengths as multiples of the smallest, on weekly candles
+
+
 def vol_sql(n: str, k: int) -> str:
     return f"""b{k} AS (SELECT symbol, '{n}' AS horizon, (us - {MONDAY}) // {k * WEEK} AS us, arg_max(close, us) AS close, max(high) AS high, min(low) AS low FROM candles GROUP BY ALL HAVING count(*) = {k}),
     v{k} AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY us)) * 100 AS r, (high - low) / close * 100 AS m FROM b{k})"""
@@ -74,12 +77,14 @@ def vol_sql(n: str, k: int) -> str:
 
 @register(
     "c4_volatility_and_move",
-    with_views(CANDLES, vol_sql("one", 1).replace("GROUP BY ALL", "GROUP BY symbol, us"), vol_sql("four", 4).replace("GROUP BY ALL", f"GROUP BY symbol, (us - {MONDAY}) // {4 * WEEK}"))
+    with_views(CANDLES, *[vol_sql(n, k).replace("GROUP BY ALL", f"GROUP BY symbol, (us - {MONDAY}) // {k * WEEK}") for n, k in VOL_HORIZONS.items()])
     + """SELECT symbol, horizon, count(*) AS bars, round(CASE WHEN count(*) >= 3 THEN stddev_samp(r) ELSE 0 END, 6) AS volatility_pct, round(CASE WHEN count(*) >= 3 THEN median(m) ELSE 0 END, 6) AS move_pct
-    FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v4) GROUP BY symbol, horizon""",
+    FROM ("""
+    + " UNION ALL ".join(f"SELECT * FROM v{k}" for k in VOL_HORIZONS.values())
+    + ") GROUP BY symbol, horizon",
 )
 def c4(spark, d):
-    return round_doubles(C.volatility_and_move(candles(spark, d), WEEK, {"one": 1, "four": 4}, MONDAY, 104 * WEEK))
+    return round_doubles(C.volatility_and_move(candles(spark, d), WEEK, VOL_HORIZONS, MONDAY, 104 * WEEK))
 
 
 COST_SQL = """cost AS (SELECT symbol, unnest(['TAKER_ENTRY_TAKER_EXIT', 'MAKER_ENTRY_TAKER_EXIT']) AS mode, * EXCLUDE symbol, (ask - bid) / ((ask + bid) / 2) * 100 AS sp FROM pairs),

@@ -231,6 +231,12 @@ def economic_metrics(cand: DataFrame, pnl: str, order, week: str, session: str)
     return base
 
 
+def economic_intervals(cand: DataFrame, values, outcome: str, outcomes, block: str, replications: int = 2000, seed: int = 1) -> DataFrame:
+    """Share of each outcome, and the mean of every value with its interval under resampling of whole blocks; one row."""
+    shares = cand.agg(*[F.avg((c(outcome) == o).cast("double")).alias(f"share_{o.lower()}") for o in outcomes])
+    return block_bootstrap(cand, block, values, (), replications, seed).join(F.broadcast(shares))  # one row each
+
+
 def scope_means(pred: DataFrame, values) -> DataFrame:
     """Means by fold and side, fold, side and overall, as one cube."""
     cube = pred.cube("fold", "side").agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"mean_{v}") for v in values])
@@ -578,6 +584,42 @@ def sampling_summary(events: DataFrame, horizons, schemes: str = "schemes") -> D
     )
 
 
+# fixed values: multiples of the cost that a move is compared with
+MOVE_THRESHOLDS = (1.5, 2.0, 3.0, 4.0)
+
+
+def _moves(ratio: str, thresholds) -> list[Column]:
+    return [F.avg((c(ratio) > t).cast("double")).alias(f"move_gt_{t:g}".replace(".", "_")) for t in thresholds]
+
+
+def _by_horizon(rows: DataFrame, horizons, columns: dict[str, str]) -> DataFrame:
+    """One row per event and horizon; ``columns`` maps a name to the prefix of its columns."""
+    cells = F.array(*[F.struct(F.lit(str(h)).alias("horizon"), *[c(f"{p}_{h}").cast("double").alias(n) for n, p in columns.items()]) for h in horizons])
+    return rows.withColumn("_h", F.explode(cells)).select("*", "_h.*").drop("_h")
+
+
+def sampling_by_horizon(events: DataFrame, horizons, schemes: str = "schemes", thresholds=MOVE_THRESHOLDS) -> DataFrame:
+    """Per scheme and horizon of folds above 0: events, active days and weeks, mean ratio and return, chances of moves over multiples of the cost."""
+    rows = _by_horizon(events.filter("fold > 0").withColumn("scheme", F.explode(schemes)), horizons, {"ratio": "ratio", "signed": "ret"})
+    return rows.groupBy("scheme", "horizon").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("day").alias("active_days"), F.count_distinct("week").alias("active_weeks"),
+        F.avg("ratio").alias("mean_ratio"), F.avg("signed").alias("mean_return"), *_moves("ratio", thresholds),
+    )
+
+
+def sampling_sessions(events: DataFrame, schemes: str = "schemes", session: str = "session") -> DataFrame:
+    """Events per scheme and session."""
+    return events.filter("fold > 0").withColumn("scheme", F.explode(schemes)).groupBy("scheme", session).agg(F.count(F.lit(1)).alias("events"))
+
+
+def label_summary(events: DataFrame, horizons, thresholds=MOVE_THRESHOLDS) -> DataFrame:
+    """Per horizon, over all folds above 0 and by fold: mean and median ratio, mean return, chances of moves over multiples of the cost."""
+    rows = _by_horizon(events.filter("fold > 0"), horizons, {"ratio": "ratio", "signed": "ret"})
+    both = durable(rows.withColumn("scope", F.explode(F.array(F.lit("ALL"), F.concat(F.lit("FOLD_"), c("fold").cast("string"))))).select("horizon", "scope", "ratio", "signed"))
+    means = both.groupBy("horizon", "scope").agg(F.count(F.lit(1)).alias("n"), F.avg("ratio").alias("mean_ratio"), F.avg("signed").alias("mean_return"), *_moves("ratio", thresholds))
+    return means.join(R.exact_quantiles(both, ["horizon", "scope"], "ratio", {"median_ratio": 0.5}), ["horizon", "scope"])
+
+
 def family_summary(matrix: DataFrame, top: int = 5) -> DataFrame:
     """Counts per target and family and the strongest features."""
     w = Window.partitionBy("target", "family").orderBy(F.abs("rho").desc(), "feature")  # the feature list

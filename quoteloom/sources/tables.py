@@ -338,15 +338,18 @@ def dataset_seal(df: DataFrame, start_us: int, end_us: int) -> DataFrame:
     )
 
 
-def candle_quality(df: DataFrame) -> DataFrame:
-    """Dataset-level invariants of candles."""
+def candle_quality(df: DataFrame, books: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
+    """Dataset-level invariants of candles, and with ``books`` of quotes; times are microseconds of the session's zone, which should be ``zone``."""
     envelope = (F.col("high") >= F.greatest("open", "close")) & (F.col("low") <= F.least("open", "close"))
-    return df.agg(
+    out = df.agg(
         F.bool_and(envelope).alias("ohlc_ok"),
         F.bool_and(F.pmod(F.col("us"), F.lit(MINUTE)) == 0).alias("minute_aligned"),
         F.bool_and(F.col("open").isNotNull() & F.col("close").isNotNull()).alias("no_nulls"),
         F.count(F.lit(1)).alias("candles"),
-    )
+    ).withColumn("times_utc", F.current_timezone() == zone)
+    if books is None:
+        return out
+    return out.join(F.broadcast(books.agg(F.bool_and(F.col("ask") >= F.col("bid")).alias("book_ask_gte_bid"))))  # one row each
 
 
 def day_of(us: str = "us") -> Column:
