@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.llm.text import row_key
+from quoteloom.llm.text import row_key, sheltered
 from quoteloom.session import durable
 
 SAMPLE_ROWS = 20_000
@@ -256,8 +256,12 @@ def of_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     return identify(pages, fit(labelled), ["page_id"], visible, declared, F.substring_index(host, ".", -1), host)
 
 
+@sheltered("doc_id", "text", "lang", "source")
 def keep_accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is known."""
+    """The rows of ``docs`` whose language is known, with all their columns, whatever their names.
+
+    Null, empty and letterless texts go; rows equal in id, text, language and source stay or go together; an empty table stays empty.
+    """
     keyed = docs.select("*", *row_key("doc_id", "text", "lang", "source"))
     bad = of_documents(keyed, ("_k1", "_k2")).filter(~F.col("accepted")).select("_k1", "_k2").distinct()
     return keyed.join(durable(bad), ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")

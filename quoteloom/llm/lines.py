@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.llm.text import row_key
+from quoteloom.llm.text import free_name, row_key, sheltered
 from quoteloom.session import durable
 
 WINDOW = 3
@@ -49,9 +49,15 @@ def later_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated windows removed from ``text``, and ``n_lines`` and ``n_removed``."""
+    """``docs`` with repeated windows removed from ``text``, and ``n_lines`` and ``n_removed`` (underscores stand before them where the input has columns of these names)."""
+    names = {n: free_name(n, docs.columns) for n in ("n_lines", "n_removed")}
+    return _dedup_lines(docs, size, names)
+
+
+@sheltered("doc_id", "text")
+def _dedup_lines(docs: DataFrame, size: int, names: dict[str, str]) -> DataFrame:
     later = later_windows(docs, size).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("at")).alias("_at"))
-    keyed = docs.drop("n_lines", "n_removed").select("*", *row_key("doc_id", "text"))
+    keyed = docs.select("*", *row_key("doc_id", "text"))
     joined = keyed.join(later, ["_k1", "_k2"], "left").withColumn("_lines", F.split("text", "\n"))
     at, n, m = F.col("_at"), F.size("_lines"), F.size("_at")
 
@@ -64,8 +70,8 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     out = marked.withColumns(
         {
             "text": F.when(at.isNull(), F.col("text")).otherwise(F.array_join("_stay", "\n")),
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"),
-            "n_removed": F.when(F.col("text").isNull(), 0).otherwise(n - F.size("_stay")).cast("long"),
+            names["n_lines"]: F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"),
+            names["n_removed"]: F.when(F.col("text").isNull(), 0).otherwise(n - F.size("_stay")).cast("long"),
         }
     )
     return out.drop("_k1", "_k2", "_at", "_lines", "_stay")

@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoteloom.llm.text import NOT_SPACES, positions, row_key
+from quoteloom.llm.text import NOT_SPACES, positions, row_key, sheltered
 from quoteloom.session import durable
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -100,6 +100,7 @@ def plan(
     )
 
 
+@sheltered("doc_id", "text", "source")
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus in training order: a row of ``docs`` for each pass that takes it, sorted by position.
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.llm.components import components
-from quoteloom.llm.text import masks_of, row_key
+from quoteloom.llm.text import masks_of, row_key, sheltered
 from quoteloom.session import durable
 
 BUCKET = 256
@@ -143,6 +143,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4
     return narrow.join(of, "fp")
 
 
+@sheltered("doc_id", "text")
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` without all but one of each group: the one with the least doc_id stays.
 

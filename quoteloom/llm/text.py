@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,29 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(seen, *parts).alias("_k1"), F.xxhash64(F.lit(7), *reversed(parts), seen).alias("_k2")]
 
 
+def sheltered(*needed: str):
+    """For operators that return rows of their first argument: columns other than ``needed`` pass under names of their own,
+    so that no name of the input can meet one that the operator uses inside."""
+
+    def wrap(fn):
+        @wraps(fn)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            hidden = {c: f"_pass{i}" for i, c in enumerate(docs.columns) if c not in needed}
+            out = fn(docs.withColumnsRenamed(hidden), *args, **kwargs)
+            return out.withColumnsRenamed({v: k for k, v in hidden.items()})
+
+        return run
+
+    return wrap
+
+
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, with underscores before it as long as the input has a column of that name."""
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Rows numbered from 0 in a global order: numbered inside range partitions, plus the sizes of earlier ones."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

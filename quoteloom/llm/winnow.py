@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.llm.text import BETWEEN_ALNUM, ascii_lower, row_key
+from quoteloom.llm.text import BETWEEN_ALNUM, ascii_lower, row_key, sheltered
 from quoteloom.session import durable
 
 SPAN, GRAM = 10, 5
@@ -140,8 +140,12 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     return found.select("doc_id", "_k1", "_k2", "n_words", covered(F.col("ranges")).alias("n_hit"), ids.alias("item_ids"))
 
 
+@sheltered("doc_id", "text")
 def without_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """The rows of ``docs`` that hold no window of any item."""
+    """The rows of ``docs`` that hold no window of any item, with all their columns, whatever their names.
+
+    Null and wordless texts hold none and stay; without items every row stays; rows equal in id and text stay or go together.
+    """
     bad = contamination(docs, items, span, gram).filter("n_hit > 0").select("_k1", "_k2").distinct()
     return docs.select("*", *row_key("doc_id", "text")).join(durable(bad), ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
 

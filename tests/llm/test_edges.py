@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm.test_pipeline import split_words
 
-from quoteloom.llm import langid, lines, mixing, shards, urls, winnow
+from quoteloom.llm import langid, lines, mixing, shards, simhash, urls, winnow
 
 CLASH = "doc_id long, text string, lang string, source string, size int, shard int, at int, n long, host string, _unused int"
 TEXTS = [None, "", "one", "a b c d e f g h i j k", "X" * 50_000, "w " * 30_000, "l1\nl2\nl3\nl4", "l1\nl2\nl3", "\n\n\n\n", "same", "same"]
@@ -276,3 +276,27 @@ def test_evidence_beside_the_text_decides_short_texts(spark, sf):
     model = langid.fit(documents)
     got = langid.identify(long.union(short), model, ["said", "k"], F.col("text"), F.col("said"), F.substring_index("host", ".", 1), F.col("host"))
     assert all(r.predicted == r.said for r in got.filter("k = 1").collect())
+
+
+# --- names of the input -----------------------------------------------------------------------------------------------
+
+
+INSIDE = ["_k1", "_k2", "_size", "_at", "_lines", "_p", "_passes", "n_lines", "n_removed", "at", "root", "fp", "accepted", "n_hit", "item_ids", "_pass0", "_unit", "h1"]
+
+
+def test_columns_that_are_called_like_inner_ones_pass_through(spark):
+    texts = ["a b c d e f g h i j k l", "l1\nl2\nl3\nl4", "l1\nl2\nl3", None, "a b c d e f g h i j k l"]
+    rows = [(i, t, "en", "s", *[f"{n}{i}" for n in INSIDE]) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in INSIDE))
+    bench = spark.createDataFrame([(1, "c d e f g h i j k l")], "item_id long, text string")
+    outs = {
+        "language": langid.keep_accepted(table), "mixing": mixing.mix(table), "near copies": simhash.keep_one(table), "contamination": winnow.without_contaminated(table, bench),
+    }
+    for name, out in outs.items():
+        assert out.columns == table.columns, name
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in INSIDE), name
+    assert {r.doc_id for r in outs["contamination"].collect()} == {1, 2, 3}
+    cleaned = lines.dedup_lines(table)
+    assert cleaned.columns == [*table.columns, "_n_lines", "_n_removed"]
+    assert {(r.doc_id, r.n_lines, r._n_removed) for r in cleaned.collect()} == {(i, f"n_lines{i}", 3 if i == 2 else 0) for i in range(5)}
