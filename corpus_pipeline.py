@@ -31,31 +31,46 @@ def _stage(fn):
 
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known stay."""
+    """Documents whose language is known stay.
+
+    Null, empty and letterless texts go; repeated rows stay or go together; an empty table stays empty.
+    """
     return langid.keep_accepted(docs)
 
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one with the least doc_id (null last).
+
+    Null, empty and wordless texts form one group; of rows equal in id and text one stays; an empty table stays empty.
+    """
     return simhash.keep_one(docs)
 
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and wordless texts hold none and stay; without items every row stays; repeated rows stay or go together.
+    """
     return winnow.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 @_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources meet their target weights; documents come in training order, once per pass that takes them."""
+    """Sources meet their target weights; documents come in training order, once per pass that takes them.
+
+    Null and wordless texts have no words to take and go; a null source is a source of its own; repeated rows are documents of their own.
+    """
     return mixing.mix(docs)
 
 
 @_stage
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in binary records; returns what the files hold: doc_id, start, n_tokens, ids_crc32."""
+    """Token ids in binary records; returns what the files hold: doc_id, start, n_tokens, ids_crc32.
+
+    A null text is an empty one and holds its end id; rows stand by doc_id (null first), repeated rows side by side; an empty table gives none.
+    """
     return records.round_trip(spark, docs, records.default_tokenizer())
 
 
