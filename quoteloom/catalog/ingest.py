@@ -10,6 +10,7 @@ from quoteloom.catalog.registry import CANDLES, QUOTES, register, with_views
 from quoteloom.functions.output import rounded
 from quoteloom.functions.timing import DAY, HOUR, WEEK, cell, day_text
 from quoteloom.operators import bars as B
+from quoteloom.plans.quality import quality_report
 from quoteloom.session import checkpoint_dir
 from quoteloom.sources import tables as S
 from quoteloom.sources.views import candles, quotes, table
@@ -309,6 +310,31 @@ def s16(spark, d):
     return one.join(F.broadcast(g)).join(F.broadcast(b))
 
 
+QUALITY_FRAMES = {"h1": HOUR, "d1": DAY}
+
+
+@register(
+    "s16_symbol_quality",
+    with_views(QUOTES)
+    + f""", r AS (SELECT * FROM quotes UNION ALL SELECT seq, symbol, us, CASE WHEN volume > 80 THEN ask + 1 ELSE bid END, ask, volume, mid, spread FROM quotes),
+    k AS (SELECT symbol, us, bid, ask, min(seq) AS seq, count(*) AS n, CASE WHEN ask < bid OR bid <= 0 THEN 'invalid' WHEN us < {START + DAY} OR us >= {END - DAY} THEN 'out_of_range' ELSE 'candidate' END AS st FROM r GROUP BY symbol, us, bid, ask),
+    a AS (SELECT * FROM k WHERE st = 'candidate'), g AS (SELECT symbol, us - lag(us) OVER (PARTITION BY symbol ORDER BY us, seq) AS gap FROM a),
+    s AS (SELECT *, (ask - bid) / 0.01 AS sp, row_number() OVER (PARTITION BY symbol ORDER BY (ask - bid) / 0.01) AS rn, count(*) OVER (PARTITION BY symbol) AS t FROM a)
+    SELECT k.symbol, CAST({START + DAY} AS BIGINT) AS requested_start_us, CAST({END - DAY} AS BIGINT) AS requested_end_us, sum(n) AS source_rows, count(CASE WHEN st = 'candidate' THEN 1 END) AS accepted, sum(CASE WHEN st = 'candidate' THEN n - 1 ELSE 0 END) AS duplicate,
+      sum(CASE WHEN st = 'invalid' THEN n ELSE 0 END) AS invalid, sum(CASE WHEN st = 'out_of_range' THEN n ELSE 0 END) AS out_of_range, min(CASE WHEN st = 'candidate' THEN us END) AS covered_start_us, max(CASE WHEN st = 'candidate' THEN us END) AS covered_end_us,
+      (SELECT count(*) FROM g WHERE g.symbol = k.symbol AND gap > {6 * HOUR}) AS gaps, (SELECT max(gap) FROM g WHERE g.symbol = k.symbol AND gap > {6 * HOUR}) AS widest_gap_us,
+      (SELECT round(min(sp), 6) FROM s WHERE s.symbol = k.symbol) AS spread_minimum, (SELECT round(median(sp), 6) FROM s WHERE s.symbol = k.symbol) AS spread_median,
+      (SELECT round(min(sp), 6) FROM s WHERE s.symbol = k.symbol AND rn >= greatest(ceil(t * 0.95), 1)) AS spread_p95, (SELECT round(max(sp), 6) FROM s WHERE s.symbol = k.symbol) AS spread_maximum,
+      (SELECT count(DISTINCT us // {HOUR}) FROM a WHERE a.symbol = k.symbol) AS bars_h1, (SELECT count(DISTINCT us // {DAY}) FROM a WHERE a.symbol = k.symbol) AS bars_d1 FROM k GROUP BY k.symbol""",
+)
+def s16_symbols(spark, d):
+    q = quotes(spark, d)
+    doubled = q.unionByName(q.withColumn("bid", F.when(F.col("volume") > 80, F.col("ask") + 1).otherwise(F.col("bid"))))
+    out = quality_report(doubled, START + DAY, END - DAY, ["symbol", "us", "bid", "ask"], 6 * HOUR, 0.01, QUALITY_FRAMES)
+    names = ["minimum", "median", "p95", "maximum"]
+    return out.select(*[c for c in out.columns if not c.startswith("spread_")], *[R6(f"spread_{n}").alias(f"spread_{n}") for n in names])
+
+
 @register(
     "s17_candle_quality",
     with_views(CANDLES, QUOTES)

@@ -101,16 +101,21 @@ def p6(spark, d):
 
 @register(
     "p7_ledger_status",
-    with_views(LEDGER, CURVE)
+    with_views(LEDGER, CURVE, CANDLES, "hp AS (SELECT symbol, (arg_max(close, us) / arg_min(open, us) - 1) * 100 AS g FROM candles GROUP BY symbol)")
     + f""", w AS (SELECT strftime(make_timestamp(us), '%G-W%V') AS w, sum(net) AS n FROM ledger GROUP BY 1), k AS (SELECT count(*) AS active_weeks, count(CASE WHEN n > 0 THEN 1 END) AS positive_weeks FROM w),
     m AS (SELECT {SUMS}, sum(net) AS nn, sum(market_pnl) AS gg, max((pk - eq) / pk * 100) AS dd, sum(market_pnl) - sum(commission) * 1.5 - sum(spread_cost) * 2 - sum(slippage_cost) * 3 AS st FROM cur2)
     SELECT trades, net_pnl, active_weeks, positive_weeks, round(positive_weeks / active_weeks, 6) AS positive_week_ratio, round(st / trades, 4) AS stress_expectancy,
-      CASE WHEN trades < 60 THEN 'INSUFFICIENT_EVIDENCE' WHEN nn > 0 AND gg > 0 AND profit_factor >= 1.2 AND dd <= 10 AND positive_weeks / active_weeks >= 0.6 AND st >= 0 THEN 'PASSED' ELSE 'FAILED' END AS verdict FROM m, k""",
+      CASE WHEN trades < 60 THEN 'INSUFFICIENT_EVIDENCE' WHEN nn > 0 AND gg > 0 AND profit_factor >= 1.2 AND dd <= 10 AND positive_weeks / active_weeks >= 0.6 AND st >= 0 THEN 'PASSED' ELSE 'FAILED' END AS verdict,
+      (SELECT round(max(CASE WHEN symbol = 1 THEN g END), 6) FROM hp) AS hold_first_pct, (SELECT round(avg(g), 6) FROM hp) AS hold_equal_weight_pct, CAST(0 AS DOUBLE) AS cash_pct, round(nn / {CAP} * 100, 4) AS net_return_pct FROM m, k""",
 )
 def p7(spark, d):
-    out = P.ledger_status(ledger(spark, d), ORD, CAP, 2557)
-    out = out.select("trades", "net_pnl", "active_weeks", "positive_weeks", "positive_week_ratio", "stress_expectancy", "verdict")
-    return round_columns(round_columns(round_columns(out, "net_pnl", digits=2), "stress_expectancy", digits=4), "positive_week_ratio")
+    prices = candles(spark, d).groupBy("symbol").agg(F.min_by("open", "us").alias("started"), F.max_by("close", "us").alias("latest"))
+    out = P.ledger_status(ledger(spark, d), ORD, CAP, 2557, prices, 1)
+    out = out.select(
+        "trades", "net_pnl", "active_weeks", "positive_weeks", "positive_week_ratio", "stress_expectancy", "verdict", "hold_first_pct", "hold_equal_weight_pct", "cash_pct", "net_return_pct",
+    )
+    out = round_columns(round_columns(out, "net_pnl", digits=2), "stress_expectancy", "net_return_pct", digits=4)
+    return round_columns(out, "positive_week_ratio", "hold_first_pct", "hold_equal_weight_pct")
 
 
 INDAY = f"""di AS (SELECT l.*, us // {DAY} AS day, se, se + sum(net) OVER (PARTITION BY us // {DAY} ORDER BY n) AS e FROM ledger l JOIN dz ON dz.day = l.us // {DAY}),

@@ -182,8 +182,9 @@ def concentration(trades: DataFrame) -> DataFrame:
     )
 
 
-def ledger_status(trades: DataFrame, order, capital: float, calendar_days: int) -> DataFrame:
-    """Rolling status with the stressed expectancy and the evidence gate."""
+def ledger_status(trades: DataFrame, order, capital: float, calendar_days: int, prices: DataFrame | None = None, first: object = None) -> DataFrame:
+    """Rolling status with the stressed expectancy and the evidence gate; with ``prices`` (symbol, started, latest) also what cash, holding ``first``
+    and holding all symbols in equal parts would have returned, in percent."""
     base = ledger_metrics(trades, order, capital)
     weeks = trades.groupBy(iso_week("us").alias("w")).agg(F.sum("net").alias("n"))
     weekly = weeks.agg(F.count(F.lit(1)).alias("active_weeks"), F.sum((c("n") > 0).cast("long")).alias("positive_weeks"))
@@ -196,7 +197,12 @@ def ledger_status(trades: DataFrame, order, capital: float, calendar_days: int)
         & (ratio >= 0.60) & (stress >= 0)
     )
     verdict = F.when(~enough, "INSUFFICIENT_EVIDENCE").when(passes, "PASSED").otherwise("FAILED")
-    return out.withColumns({"stress_expectancy": stress / c("trades"), "positive_week_ratio": ratio, "verdict": verdict})
+    out = out.withColumns({"stress_expectancy": stress / c("trades"), "positive_week_ratio": ratio, "verdict": verdict})
+    if prices is None:
+        return out
+    held = F.when(c("started") > 0, (c("latest") / c("started") - 1) * 100)
+    one = prices.agg(F.coalesce(F.max(F.when(c("symbol") == first, held)), F.lit(0.0)).alias("hold_first_pct"), F.coalesce(F.avg(held), F.lit(0.0)).alias("hold_equal_weight_pct"))
+    return out.join(F.broadcast(one)).withColumns({"cash_pct": F.lit(0.0), "net_return_pct": c("net_pnl") / capital * 100})  # one row each
 
 
 def daily_report(trades: DataFrame, order, capital: float) -> DataFrame:

@@ -13,6 +13,8 @@ from quoteloom.operators.evidence import verdict
 
 c = F.col
 
+# fixed values: the names of checks and conclusions, the thresholds and the order of the rules below are the published ones
+
 
 def _holds(*checks: str) -> Column:
     out = F.lit(True)

@@ -276,8 +276,8 @@ def load_days(chunks: DataFrame, landing: DataFrame, path: str, keys=("symbol",
             return status
 
 
-def validate_ticks(df: DataFrame, start_us: int, end_us: int, identity) -> DataFrame:
-    """Classify every tick: invalid, out_of_range, duplicate (not the first of its identity), accepted."""
+def tick_status(start_us: int, end_us: int) -> Column:
+    """invalid, out_of_range or candidate."""
     good = (
         F.col("bid").isNotNull()
         & F.col("ask").isNotNull()
@@ -288,9 +288,12 @@ def validate_ticks(df: DataFrame, start_us: int, end_us: int, identity) -> DataF
         & (F.col("ask") >= F.col("bid"))
     )
     inside = (F.col("us") >= start_us) & (F.col("us") < end_us)
-    marked = df.withColumn(
-        "status", F.when(~good, "invalid").when(~inside, "out_of_range").otherwise("candidate")
-    )
+    return F.when(~good, "invalid").when(~inside, "out_of_range").otherwise("candidate")
+
+
+def validate_ticks(df: DataFrame, start_us: int, end_us: int, identity) -> DataFrame:
+    """Classify every tick: invalid, out_of_range, duplicate (not the first of its identity), accepted."""
+    marked = df.withColumn("status", tick_status(start_us, end_us))
     candidate = F.col("status") == "candidate"
     counted = marked.groupBy(*identity, "status").agg(F.count(F.lit(1)).alias("_n"))
     return counted.groupBy().agg(
