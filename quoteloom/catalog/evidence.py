@@ -446,7 +446,7 @@ def v26(spark, d):
     SELECT feature, round(corr(g, rk), 6) AS bin_rho, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY feature""",
 )
 def v27(spark, d):
-    return round_doubles(V.monotonic_bins(long(spark, d), ["feature"], "event_id"))
+    return round_doubles(V.monotonic_bins(long(spark, d), ["feature"], "event_id").drop("bins"))
 
 
 @register(
