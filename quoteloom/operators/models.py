@@ -12,11 +12,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.functions.draws import hash_uniform
@@ -157,6 +157,23 @@ def logistic(n: int, label: str, strength: float = 1.0, classes: int = 2) -> Log
     )
 
 
+def class_probabilities(model: LogisticRegressionModel, columns: list[str]) -> list[Column]:
+    """Probability of each class by the fitted coefficients.
+
+    The model itself stays on the driver: it carries its training summary and so the session, which cannot be sent to tasks once a
+    query of the session was observed.
+    """
+    weights, starts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    margins = [sum((c(x) * float(b) for x, b in zip(columns, row, strict=True)), F.lit(float(a))) for row, a in zip(weights, starts, strict=True)]
+    if len(margins) == 1:
+        p = 1 / (1 + F.exp(-margins[0]))
+        return [1 - p, p]
+    top = F.greatest(*margins)
+    shares = [F.exp(F.when(m == top, 0.0).otherwise(m - top)) for m in margins]  # the only class of a fold has an infinite margin
+    total = sum(shares[1:], shares[0])
+    return [s / total for s in shares]
+
+
 def boosted(label: str, classifier: bool, rounds: int = 50, depth: int = 3, rate: float = 0.08):
     kind = GBTClassifier if classifier else GBTRegressor
     return kind(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=7)
@@ -318,11 +335,17 @@ def oof_predictions(
             "boosted": lambda: boosted(label, True, settings.rounds, settings.depth, settings.rate),
             "boosted_regressor": lambda: boosted(label, False, settings.rounds, settings.depth, settings.rate),
         }[model]()
-        scored = estimator.fit(t).transform(v)
-        if model in ("logistic", "boosted"):
-            scored = scored.withColumn("prediction", vector_to_array("probability")[1])
+        fitted = estimator.fit(t)
+        if model == "logistic":
+            scored = v.withColumn("prediction", class_probabilities(fitted, columns)[1])
         elif model == "multinomial":
-            scored = scored.withColumn("probabilities", vector_to_array("probability"))
+            scored = v.withColumn("probabilities", F.array(*class_probabilities(fitted, columns)))
+            likeliest = F.array_position("probabilities", F.array_max("probabilities")) - 1
+            scored = scored.withColumn("prediction", likeliest.cast("double"))
+        elif model == "boosted":
+            scored = fitted.transform(v).withColumn("prediction", vector_to_array("probability")[1])
+        else:
+            scored = fitted.transform(v)
         parts.append(durable(scored.drop("features", "rawPrediction", "probability", "role", "validation_us", *z)))
     if not parts:
         empty = valid.drop("role", "validation_us", *z).withColumn("prediction", F.lit(None).cast("double"))

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from quoteloom.catalog import load
@@ -216,3 +217,18 @@ def test_matrix_effects(spark):
     assert got.loc["a", "status"] == "FEATURE_UNSTABLE"  # strong, but fewer rows than a candidate needs
     assert got.loc["a", "q"] <= 2 * got.loc["a", "p_value"] + 1e-15
     assert DAY == 86_400_000_000
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_logistic_after_an_observed_query(spark, sf, classes):
+    """Once a query was observed the session cannot be sent to tasks, so a scored table must not hold the fitted model."""
+    spark.range(9).observe(Observation("seen"), F.count(F.lit(1))).collect()
+    rows = oof(spark, sf).drop("fold").withColumn("label", F.col("event_id") % classes).withColumn("label", F.col("label").cast("double"))
+    z, model = ["pred", "pred_mfe"], "logistic" if classes == 2 else "multinomial"
+    out = M.oof_predictions(rows, z, "label", START, END, M.FOLD_CUTS["three"], 1, model, classes=classes).toPandas()
+    assert len(out)
+    whole = rows.fillna(0.0, z)
+    fitted = M.logistic(100, "label", classes=classes).fit(M.assembled(whole, z))
+    mine = F.array(*M.class_probabilities(fitted, z))
+    both = [fitted.predictProbability(r["features"]).toArray() - np.array(r["mine"]) for r in M.assembled(whole, z).withColumn("mine", mine).limit(50).collect()]
+    assert np.abs(both).max() < 1e-12
