@@ -232,3 +232,13 @@ def test_logistic_after_an_observed_query(spark, sf, classes):
     mine = F.array(*M.class_probabilities(fitted, z))
     both = [fitted.predictProbability(r["features"]).toArray() - np.array(r["mine"]) for r in M.assembled(whole, z).withColumn("mine", mine).limit(50).collect()]
     assert np.abs(both).max() < 1e-12
+
+
+def test_rounding_dust_decides_no_rank(spark):
+    """Components that differ only in their last bits are ties; a score ends at 12 digits."""
+    dust = [0.1 + 0.2, 0.3, 0.3, 0.1 + 0.2, 0.3, 0.3, 0.3]
+    rows = [(i + 1, 0, v, v, v, 1.0, 1.0) for i, v in enumerate(dust)]
+    frame = spark.createDataFrame(rows, "symbol int, us long, return_1h double, return_4h double, return_24h double, volume_relative double, trend_efficiency double")
+    got = G.rank_cross_section(frame, 1, 2).toPandas().sort_values("symbol")
+    assert got["rank"].tolist() == [7, 6, 5, 4, 3, 2, 1]
+    assert got["score"].tolist() == [round(s, 12) for s in got["score"]] and got["score"].iloc[-1] == 1.0
