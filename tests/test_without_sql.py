@@ -242,3 +242,9 @@ def test_rounding_dust_decides_no_rank(spark):
     got = G.rank_cross_section(frame, 1, 2).toPandas().sort_values("symbol")
     assert got["rank"].tolist() == [7, 6, 5, 4, 3, 2, 1]
     assert got["score"].tolist() == [round(s, 12) for s in got["score"]] and got["score"].iloc[-1] == 1.0
+
+
+def test_family_summary_ties_go_by_name(spark):
+    rows = [("D", "f", "b", 0.3, "FEATURE_UNSTABLE"), ("D", "f", "c", -(0.1 + 0.2), "FEATURE_UNSTABLE"), ("D", "f", "a", 0.1, "FEATURE_NO_SIGNAL")]
+    got = V.family_summary(spark.createDataFrame(rows, "target string, family string, feature string, rho double, status string")).first()
+    assert got["top_features"] == "b,c,a" and (got["tests"], got["signals"]) == (3, 2)
