@@ -248,3 +248,27 @@ def test_family_summary_ties_go_by_name(spark):
     rows = [("D", "f", "b", 0.3, "FEATURE_UNSTABLE"), ("D", "f", "c", -(0.1 + 0.2), "FEATURE_UNSTABLE"), ("D", "f", "a", 0.1, "FEATURE_NO_SIGNAL")]
     got = V.family_summary(spark.createDataFrame(rows, "target string, family string, feature string, rho double, status string")).first()
     assert got["top_features"] == "b,c,a" and (got["tests"], got["signals"]) == (3, 2)
+
+
+def test_matrix_ranks_columns_once_and_keeps_its_plan_small(spark):
+    """Pairs with and without holes against pandas, in all groups; the result reads written statistics, not twenty scans at once."""
+    rng = np.random.default_rng(8)
+    n = 400
+    x = rng.integers(0, 30, n).astype(float)
+    pdf = pd.DataFrame({"id": np.arange(n), "fold": np.arange(n) % 3, "day": np.arange(n) % 7, "session": "S", "a": x, "flat": 2.0, "part": np.where(np.arange(n) % 4, x + rng.normal(size=n) * 9, np.nan)})
+    pdf["trend_regime"] = np.where(np.arange(n) % 5, "RANGE", "TREND")
+    pdf["y"] = x + rng.normal(size=n) * 20
+    rows = spark.createDataFrame(pdf).withColumn("part", F.nanvl("part", F.lit(None)))
+    kept = pdf[pdf.fold > 0]
+    got = V.matrix_effects(rows, ["a", "flat", "part"], {"Y": "y"}).toPandas().set_index(["feature", "kind", "scope"])
+    assert len(got) == 3 * (1 + 2 + 2)
+    groups = {("ALL", "ALL"): kept} | {("FOLD", str(k)): g for k, g in kept.groupby("fold")} | {("trend_regime", k): g for k, g in kept.groupby("trend_regime")}
+    for (kind, scope), g in groups.items():
+        for f in ("a", "part"):
+            both = g[[f, "y"]].dropna()
+            row = got.loc[(f, kind, scope)]
+            assert row["n"] == len(both) and abs(row["rho"] - both.rank().corr().iloc[0, 1]) < 1e-12
+        assert np.isnan(got.loc[("flat", kind, scope), "rho"])
+    out = V.univariate_matrix(rows, ["a", "flat", "part"], {"Y": "y"}, "id", {"a": "f", "flat": "f", "part": "f"}, replications=20)
+    assert len(out.toPandas()) == 3
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") < 60
