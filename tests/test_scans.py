@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quoteloom.operators.scans import balanced_tile
 from quoteloom.operators import features as X
 from quoteloom.operators import joins as J
 from quoteloom.operators import ranks as R
@@ -119,3 +120,10 @@ def test_averages_count_the_whole_history(spark, rows, block, fan):
     for name, c, span in (("e9", "x", 9), ("e21", "y", 21), ("e1", "y", 1), ("e200", "x", 200)):
         want = pdf.groupby("symbol")[c].transform(lambda v, s=span: v.ewm(span=s, adjust=False).mean())
         assert np.allclose(got[name].to_numpy(), want.to_numpy(), rtol=1e-9, atol=0)
+
+
+def test_cuts_meet_their_rows_without_a_shuffle_by_series(spark):
+    """The optimizer must know how small the cuts are; else all rows of a series go to one task."""
+    rows = spark.range(3_000_000).withColumn("k", F.col("id") % 2)
+    plan = balanced_tile(rows, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
