@@ -11,6 +11,7 @@ from quoteloom.functions.output import round_doubles
 from quoteloom.functions.timing import DAY, HOUR, WEEK
 from quoteloom.operators import bars as B
 from quoteloom.operators import labels as L
+from quoteloom.session import durable
 from quoteloom.sources.views import candles, quotes
 
 POINT = 0.01
@@ -252,7 +253,7 @@ def l10(spark, d):
       round(CASE reason WHEN 'STOP' THEN stop WHEN 'TARGET' THEN target ELSE tc END, 6) AS exit_price FROM r""",
 )
 def l12(spark, d):
-    c = candles(spark, d)
+    c = durable(candles(spark, d))  # signals, entries and the path read it
     entries = c.select("symbol", "us", F.col("open").alias("entry"))
     sig = c.filter("close > open").select("symbol", (F.col("us") + WEEK).alias("us")).join(entries, ["symbol", "us"])
     sig = sig.withColumns({"stop": F.col("entry") * 0.6, "target": F.col("entry") * 1.8, "half_spread": F.lit(0.001)})

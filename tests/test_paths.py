@@ -196,3 +196,45 @@ def test_tape_of_windows(spark, ticks, span):
         mids, us = own.mid.to_numpy(), own.us.to_numpy()
         want = [mids.max(), mids.min(), (r.us - us[mids.argmax()]) / 10, (r.us - us[mids.argmin()]) / 10]
         assert [g.local_high, g.local_low, g.since_high, g.since_low] == pytest.approx(want)
+
+
+class Together(P.Ranged):
+    """How many observations are answered in one call."""
+
+    column = "bid"
+
+    def answers(self):
+        return {"together": "long"}
+
+    def ask(self, path, now, known):
+        return {"together": np.full(len(now), len(now))}
+
+
+@pytest.mark.parametrize("keys", [["symbol"], ["symbol", "side"]])
+def test_short_series_are_answered_together(spark, monkeypatch, keys):
+    """Groups follow the rows, not the series, and no answer comes from another series."""
+    rng = np.random.default_rng(8)
+    n = 900
+    rows = pd.DataFrame({"symbol": rng.integers(0, 60, n), "side": np.where(rng.random(n) < 0.5, "x", None), "us": rng.integers(-2000, 2000, n), "seq": np.arange(n), "bid": rng.integers(0, 40, n) / 4})
+    rows["x"] = np.where(rng.random(n) < 0.9, rows["bid"], np.nan)
+    path = spark.createDataFrame(rows[rows["symbol"] > 5]).withColumn("side", F.col("side").cast("string"))  # six series have no path
+    obs = spark.createDataFrame(rows[["symbol", "side", "us", "seq", "bid"]]).sample(0.4, seed=1)
+    obs = obs.withColumns({"level": F.col("bid") + 2, "due": F.when(F.col("seq") % 7 > 0, F.col("us") + 200), "end": F.col("us") + 290})
+    questions = [
+        P.Neighbour("due", {"next_us": "us", "next_bid": "bid"}, 80, times=("next_us",)),
+        P.Neighbour("due", {"last_bid": "bid"}, 150, ahead=False),
+        P.Extreme("high", "max", "x", "end"),
+        P.Extreme("low", "min", "x", "next_us", inclusive=False),
+        P.Touch("up", "bid", ">=", "level", "next_us", ("us", "bid"), otherwise="end"),
+        P.TrailingRank("rank", "x", "bid", 250, own=True),
+        P.TrailingQuantile("mid", "x", 0.4, 250),
+    ]
+
+    def rows_of(fewest):
+        monkeypatch.setattr(P, "FEWEST", fewest)
+        got = P.along_path(obs, path, keys, [*questions, Together()], 290, back=250, width=540)
+        return got.toPandas().sort_values("seq").reset_index(drop=True)
+
+    many, one = rows_of(P.FEWEST), rows_of(1 << 40)
+    pd.testing.assert_frame_equal(one.drop(columns="together"), many.drop(columns="together"))
+    assert many["together"].max() > 5 * one["together"].max()
