@@ -272,3 +272,21 @@ def test_matrix_ranks_columns_once_and_keeps_its_plan_small(spark):
     out = V.univariate_matrix(rows, ["a", "flat", "part"], {"Y": "y"}, "id", {"a": "f", "flat": "f", "part": "f"}, replications=20)
     assert len(out.toPandas()) == 3
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") < 60
+
+
+def testnumbered_range_and_ranking_read_their_input_once(spark):
+    """Row number and true range come from one scan as from two; the regime of a time does not compute the features again."""
+    from quoteloom.operators import features as X
+    from quoteloom.operators import signals as G
+    from quoteloom.operators.scans import row_index, with_tile
+
+    rows = [(s, t * 7, 10.0 + t % 5, 12.0 + (s * t) % 7, 9.0 - t % 3, None if t == 4 else 10.0 + (t * s) % 4) for s in range(4) for t in range(12)]
+    bars = spark.createDataFrame(rows, "symbol long, us long, open double, high double, low double, close double")
+    want = X.true_range(row_index(with_tile(bars, width=20), ["symbol"], ["us"]).drop("_tile").withColumnRenamed("rn", "n"), "r", tile=20)
+    got = X.numbered_range(bars, ["symbol"], 20)
+    assert sorted(got.select("symbol", "us", "rn", "_tr").collect()) == sorted(want.select("symbol", "us", "n", "r").collect())
+    feats = spark.range(40).selectExpr("id % 8 AS symbol", "id div 8 AS us", "double(id % 11) - 4 AS return_4h", *[f"double(id % 7) AS {n}" for n in G.RANK_WEIGHTS if n not in ("return_4h", "vs_first", "vs_second", "vs_universe")])
+    ranked = G.rank_cross_section(feats, 1, 2)
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    regimes = {r["us"]: r["regime"] for r in G.market_regime(feats, 1, 2).collect()}
+    assert {r["us"]: r["regime"] for r in ranked.collect()} == regimes
