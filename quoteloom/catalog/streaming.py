@@ -101,12 +101,12 @@ EXPECTED = 5  # symbols of a complete cross-section
 
 @register("st6_stream_decisions")
 def st6(spark, d):
-    feats = strength(spark, d).select(
+    bars = durable(candles(spark, d))  # the features and every batch read it
+    feats = strength(spark, d, bars).select(
         "symbol", "us", "return_1h", "return_4h", "return_24h", "volume_relative", "trend_efficiency", "expected_move_pct", (F.col("us") + F.pmod(F.col("us") / WEEK, F.lit(7)).cast("long") * HOUR).alias("arrived_us")
     )
     prof = table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"), (F.col("s_acctbal") > 0).alias("liquidity_sufficient"), (F.col("s_acctbal") / 1000).alias("max_ratio"))
     root, stream = landed(spark, feats, "us")
-    bars = candles(spark, d)
     J.stream_decisions(stream, prof, bars, 1, 2, 3, EXPECTED, f"{root}/out", f"{root}/cp", 4 * HOUR, 4 * WEEK)
     out = spark.read.parquet(f"{root}/out")
     return out.select("us", "symbols", "regime", "signal", "rejection", "complete", "latency_us", "status")
