@@ -290,3 +290,17 @@ def testnumbered_range_and_ranking_read_their_input_once(spark):
     assert ranked._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
     regimes = {r["us"]: r["regime"] for r in G.market_regime(feats, 1, 2).collect()}
     assert {r["us"]: r["regime"] for r in ranked.collect()} == regimes
+
+
+def test_fast_frame_numbers_its_bars_once(spark, monkeypatch):
+    from quoteloom.operators import features as X
+    from quoteloom.operators import scans as S
+    from quoteloom.operators import signals as G
+
+    calls = []
+    for module in (S, X):
+        real = module.prefix_scan
+        monkeypatch.setattr(module, "prefix_scan", lambda *a, real=real, **k: calls.append(1) or real(*a, **k))
+    bars = spark.createDataFrame([(1, t, 1.0 + t % 3, 4.0, 0.5, 2.0, 5.0) for t in range(30)], "symbol long, us long, open double, high double, low double, close double, volume double")
+    rows = G._fast_frame(bars, 10).orderBy("us").collect()
+    assert [r["rn"] for r in rows] == list(range(1, 31)) and len(calls) == 1
