@@ -9,6 +9,7 @@ from quoteloom.catalog.registry import BOOKS, CANDLES, QUOTES, register, with_vi
 from quoteloom.functions.output import round_columns, round_doubles
 from quoteloom.functions.timing import WEEK
 from quoteloom.operators import market as C
+from quoteloom.session import durable
 from quoteloom.sources.views import book_levels, candles, quotes, table
 
 PAIRS = """pairs AS (SELECT c_custkey AS symbol, 'B' || c_nationkey AS base, c_mktsegment AS quote, CASE WHEN c_custkey % 11 = 0 THEN 'HALT' ELSE 'TRADING' END AS status,
@@ -84,7 +85,7 @@ def vol_sql(n: str, k: int) -> str:
     + ") GROUP BY symbol, horizon",
 )
 def c4(spark, d):
-    return round_doubles(C.volatility_and_move(candles(spark, d), WEEK, VOL_HORIZONS, MONDAY, 104 * WEEK))
+    return round_doubles(C.volatility_and_move(durable(candles(spark, d)), WEEK, VOL_HORIZONS, MONDAY, 104 * WEEK))
 
 
 COST_SQL = """cost AS (SELECT symbol, unnest(['TAKER_ENTRY_TAKER_EXIT', 'MAKER_ENTRY_TAKER_EXIT']) AS mode, * EXCLUDE symbol, (ask - bid) / ((ask + bid) / 2) * 100 AS sp FROM pairs),

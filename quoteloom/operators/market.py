@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteloom.operators.bars import rollup_closed
-from quoteloom.operators.ranks import exact_quantiles, global_index
+from quoteloom.operators.ranks import exact_quantiles, global_index, quantiles_of_many_keys
 from quoteloom.operators.scans import previous, with_tile
 
 c = F.col
@@ -91,7 +91,7 @@ def volatility_and_move(candles: DataFrame, step: int, horizons: dict[str, int],
         one = rows.select("symbol", F.lit(name).alias("horizon"), "_ret", "_move")
         parts = one if parts is None else parts.unionByName(one)
     stats = parts.groupBy("symbol", "horizon").agg(F.count(F.lit(1)).alias("bars"), F.stddev_samp("_ret").alias("_v"))
-    both = stats.join(exact_quantiles(parts, ["symbol", "horizon"], "_move", {"_m": 0.5}), ["symbol", "horizon"])
+    both = stats.join(quantiles_of_many_keys(parts, ["symbol", "horizon"], "_move", {"_m": 0.5}), ["symbol", "horizon"])
     enough = c("bars") >= 3
     return both.select(
         "symbol", "horizon", "bars", F.when(enough, c("_v")).otherwise(0.0).alias("volatility_pct"), F.when(enough, c("_m")).otherwise(0.0).alias("move_pct")

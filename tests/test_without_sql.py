@@ -304,3 +304,17 @@ def test_fast_frame_numbers_its_bars_once(spark, monkeypatch):
     bars = spark.createDataFrame([(1, t, 1.0 + t % 3, 4.0, 0.5, 2.0, 5.0) for t in range(30)], "symbol long, us long, open double, high double, low double, close double, volume double")
     rows = G._fast_frame(bars, 10).orderBy("us").collect()
     assert [r["rn"] for r in rows] == list(range(1, 31)) and len(calls) == 1
+
+
+def test_quantiles_of_short_keys_need_no_tiles(spark, monkeypatch):
+    from quoteloom.operators import ranks as R
+
+    tiled, real = [], R.balanced_tile
+    monkeypatch.setattr(R, "balanced_tile", lambda *a, **k: tiled.append(1) or real(*a, **k))
+    rows = spark.range(900).selectExpr("id % 7 AS k", "double(id * 37 % 101) AS x").unionByName(spark.range(300).selectExpr("99L AS k", "double(id * id % 83) AS x"))
+    want = {r["k"]: r["m"] for r in rows.groupBy("k").agg(F.median("x").alias("m")).collect()}
+    got = {r["k"]: r["m"] for r in R.quantiles_of_many_keys(rows, ["k"], "x", {"m": 0.5}).collect()}
+    assert got == want and not tiled
+    monkeypatch.setattr(R, "SHORT", 200)
+    both = {r["k"]: r["m"] for r in R.quantiles_of_many_keys(rows, ["k"], "x", {"m": 0.5}).collect()}
+    assert both == want and tiled
