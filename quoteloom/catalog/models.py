@@ -98,7 +98,8 @@ def m5(spark, d):
 
 
 def modelled(spark, d):
-    return oof(spark, d).drop("fold").withColumn("label", F.col("regime").cast("double"))
+    """What the models read; the folds are written once per row and fold they serve."""
+    return oof(spark, d).select("us", *FEATURES, "market", "value", F.col("regime").cast("double").alias("label"))
 
 
 @register("m6_logistic_oof")

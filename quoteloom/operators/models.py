@@ -109,15 +109,17 @@ class RobustPrep:
 
     @classmethod
     def table(cls, train: DataFrame, features: list[str], low: float = 0.005, high: float = 0.995, keys=()) -> DataFrame:
-        """Parameters per key and feature, from exact quantiles of the long table; all keys in one job."""
-        by = [*keys, "feature"]
-        long = durable(melt(train, keys, features))
-        med = R.exact_quantiles(long, by, "x", {"median": 0.5})
-        filled = durable(long.join(F.broadcast(med), by).withColumn("x", F.coalesce("x", "median")))  # one row per key and feature
-        q = R.exact_quantiles(filled, by, "x", {"lower": low, "upper": high})
+        """Parameters per key and feature, from exact quantiles; all keys in one job. Equal values are counted first, all else reads the counts."""
+        by, n = [*keys, "feature"], c("_n")
+        counts = durable(melt(train, keys, features).groupBy(*by, "x").agg(F.count(F.lit(1)).alias("_n")))
+        med = R.exact_quantiles(counts, by, "x", {"median": 0.5}, n)
+        filled = durable(counts.join(F.broadcast(med), by).withColumn("x", F.coalesce("x", "median")))  # one row per key and feature
+        q = R.exact_quantiles(filled, by, "x", {"lower": low, "upper": high}, n)
         clipped = filled.join(F.broadcast(q), by).withColumn("x", F.least(F.greatest("x", "lower"), c("upper")))
-        return clipped.groupBy(*by).agg(
-            F.first("median").alias("median"), F.first("lower").alias("lower"), F.first("upper").alias("upper"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale")
+        mean = clipped.groupBy(*by).agg((F.sum(n * c("x")) / F.sum(n)).alias("mean"))
+        off = c("x") - c("mean")
+        return clipped.join(F.broadcast(mean), by).groupBy(*by).agg(
+            F.first("median").alias("median"), F.first("lower").alias("lower"), F.first("upper").alias("upper"), F.first("mean").alias("mean"), F.sqrt(F.sum(n * off * off) / F.sum(n)).alias("scale")
         )
 
     @classmethod
@@ -175,8 +177,14 @@ def class_probabilities(model: LogisticRegressionModel, columns: list[str]) -> l
 
 
 def boosted(label: str, classifier: bool, rounds: int = 50, depth: int = 3, rate: float = 0.08):
+    """Boosted trees on ``counted_rows``."""
     kind = GBTClassifier if classifier else GBTRegressor
-    return kind(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=7)
+    return kind(labelCol=label, weightCol="_weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=7)
+
+
+def counted_rows(train: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """Train rows that agree in all features and the label as one, with their number as ``_weight``: a tree's sums are the same, its rounds read each kind once."""
+    return durable(train.groupBy(*columns, label).agg(F.count(F.lit(1)).cast("double").alias("_weight")))
 
 
 def elastic_net(label: str, alpha: float, l1: float) -> LinearRegression:
@@ -310,7 +318,7 @@ def oof_predictions(
 
     Folds are prepared in one job. Ridge takes all folds from one Gram table; of the other models each fold's predictions are
     written before the next is fitted, so no result holds a fitted model. Boosted trees see the unscaled features, as
-    published; ``multinomial`` adds ``probabilities``, and its prediction is the likeliest class.
+    published, and equal train rows as one with a weight; ``multinomial`` adds ``probabilities``, and its prediction is the likeliest class.
     """
     if model not in MODELS:
         raise ValueError(f"model must be one of {MODELS}")
@@ -327,7 +335,8 @@ def oof_predictions(
         used = prep.active(k)
         columns = used if model.startswith("boosted") else [f"z_{f}" for f in used]
         fill = {f: prep.parameters[k][f][0] for f in used}
-        t, v = (assembled(x.filter(c("fold") == k).fillna(fill), columns) for x in (train, valid))
+        t, v = (x.filter(c("fold") == k).fillna(fill) for x in (train, valid))
+        t, v = (assembled(x, columns) for x in (counted_rows(t, columns, label) if model.startswith("boosted") else t, v))
         estimator = {
             "logistic": lambda n=counts[k]: logistic(n, label, settings.strength),
             "multinomial": lambda n=counts[k]: logistic(n, label, settings.strength, max(classes, 3)),

@@ -197,6 +197,42 @@ def test_models_learn_from_the_past(spark, model):
         assert np.allclose([sum(p) for p in out["probabilities"]], 1)
 
 
+@pytest.mark.parametrize("model", ["boosted", "boosted_regressor"])
+def test_boosted_rounds_read_equal_rows_once(spark, monkeypatch, model):
+    """Copies of the same rows make the train table of the trees no longer, and the predictions are those of rows without a weight."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"us": np.arange(600) * 1000, "a": rng.integers(0, 12, 600), "b": rng.integers(0, 5, 600)})
+    pdf["label"] = ((pdf["a"] + pdf["b"] + rng.integers(0, 4, 600)) > 9) * 1.0
+    pdf = pd.concat([pdf] * 6, ignore_index=True)
+    made, counted_rows = [], M.counted_rows
+
+    def watched(train, columns, label):
+        made.append((train.count(), counted_rows(train, columns, label)))
+        return made[-1][1]
+
+    monkeypatch.setattr(M, "counted_rows", watched)
+    settings = M.ModelSettings(rounds=4, rate=0.5)
+    args = (["a", "b"], "label", 0, 600_000, (0.7, 1.0), 0, model, settings)
+    got = M.oof_predictions(spark.createDataFrame(pdf), *args).toPandas()
+    (rows, table), = made
+    assert rows == 6 * 420 and table.count() <= 12 * 5 * 2 and table.agg(F.sum("_weight")).first()[0] == rows
+    monkeypatch.setattr(M, "counted_rows", lambda train, columns, label: train.withColumn("_weight", F.lit(1.0)))
+    want = M.oof_predictions(spark.createDataFrame(pdf), *args).toPandas()
+    by = ["us", "prediction"]
+    assert np.allclose(got[by].sort_values(by), want[by].sort_values(by), atol=1e-9)
+
+
+def test_robust_preparation_from_counts(spark):
+    """Median, limits, mean and deviation of a column with copies and holes, as over the rows."""
+    x = np.array([1.0, 1.0, 1.0, 5.0, np.nan, 9.0, 2.0, 2.0, np.nan, 400.0])
+    rows = spark.createDataFrame(pd.DataFrame({"x": x})).withColumn("x", F.nanvl("x", F.lit(None)))
+    got = M.RobustPrep.table(rows, ["x"], 0.1, 0.9).first()
+    filled = np.where(np.isnan(x), np.nanmedian(x), x)
+    low, high = np.quantile(filled, [0.1, 0.9])
+    inside = np.clip(filled, low, high)
+    assert [got[k] for k in ("median", "lower", "upper", "mean", "scale")] == pytest.approx([np.nanmedian(x), low, high, inside.mean(), inside.std()])
+
+
 def test_one_hot_keeps_unknown_categories(spark):
     train = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, "a")], "x double, k string")
     fitted = M.prep_scale_onehot(["x"], ["k"]).fit(train)
