@@ -67,7 +67,7 @@ def feature_snapshot(ticks: DataFrame, s: EdgeSettings) -> DataFrame:
     # bars and samples are far smaller than the ticks and are referred to several times
     m1 = durable(B.bars_from_ticks(ticks, s.frames[0]))
     m5, m15 = (B.rollup_bars(m1, w).filter("complete") for w in s.frames[1:])
-    obs = B.sample_first(tick_block(ticks, s), s.every)
+    obs = durable(B.sample_first(tick_block(ticks, s), s.every))
     med = M.spread_context(obs.select("symbol", "us", "seq", "spread"), ticks, s.window).select("symbol", "us", "seq", "median_spread")
     obs = obs.join(med, ["symbol", "us", "seq"])
     obs = obs.withColumns(

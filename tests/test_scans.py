@@ -127,3 +127,12 @@ def test_cuts_meet_their_rows_without_a_shuffle_by_series(spark):
     rows = spark.range(3_000_000).withColumn("k", F.col("id") % 2)
     plan = balanced_tile(rows, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_trailing_sums_of_windows_longer_than_their_tile(rows, df):
+    """Windows of many tiles: what entered long ago comes as sums, so no row is copied into later tiles."""
+    got = S.trailing_sums(df, ["symbol"], {"a": (F.col("x"), 2_500), "b": (F.lit(1), 700)}, width=100).toPandas().set_index("seq")
+    for r in rows.itertuples():
+        seen = rows[(rows.symbol == r.symbol) & ((rows.us < r.us) | ((rows.us == r.us) & (rows.seq <= r.seq)))]
+        assert np.isclose(got.loc[r.seq, "a"], seen[seen.us >= r.us - 2_500].x.sum(), atol=1e-9)
+        assert got.loc[r.seq, "b"] == (seen.us >= r.us - 700).sum()
