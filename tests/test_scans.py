@@ -136,3 +136,19 @@ def test_trailing_sums_of_windows_longer_than_their_tile(rows, df):
         seen = rows[(rows.symbol == r.symbol) & ((rows.us < r.us) | ((rows.us == r.us) & (rows.seq <= r.seq)))]
         assert np.isclose(got.loc[r.seq, "a"], seen[seen.us >= r.us - 2_500].x.sum(), atol=1e-9)
         assert got.loc[r.seq, "b"] == (seen.us >= r.us - 700).sum()
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_bins_send_no_rows_through_a_shuffle(spark, monkeypatch, unique):
+    """Bins of a column with common values equal those by row number; rows are numbered only if the tie leaves some equal."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": np.arange(700) % 2, "x": rng.integers(0, 6, 700) * 1.0, "t": np.arange(700) if unique else rng.integers(0, 3, 700)})
+    numbered, indexed = [], R.ordered_index
+    monkeypatch.setattr(R, "ordered_index", lambda *a: numbered.append(1) or indexed(*a))
+    got = R.floor_bins(R.equal_count_bins(spark.createDataFrame(pdf), ["k"], "x", "t", 4, "g"), ["k"], "x", "t", 10).toPandas()
+    assert bool(numbered) is not unique
+    for _, own in got.groupby("k"):
+        assert own.groupby("g").size().tolist() == [88, 88, 87, 87] and own.groupby("bin").size().tolist() == [35] * 10
+        if unique:
+            own = own.sort_values(["x", "t"])
+            assert own["bin"].tolist() == [i * 10 // 350 for i in range(350)] and own["g"].is_monotonic_increasing
