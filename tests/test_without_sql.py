@@ -240,6 +240,21 @@ def test_one_hot_keeps_unknown_categories(spark):
     assert abs(out[0]) < 1e-9 and len(out) >= 3
 
 
+def test_redundancy_without_information_orders_no_rows(spark, monkeypatch):
+    """Rank correlations alone need no bins; they are those found beside the mutual information."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 9, 300) * 1.0
+    rows = spark.createDataFrame(pd.DataFrame({"a": x, "b": x + rng.integers(0, 5, 300), "c": rng.integers(0, 4, 300) * 1.0}))
+    binned, floor_bins = [], V.R.floor_bins
+    monkeypatch.setattr(V.R, "floor_bins", lambda *a: binned.append(1) or floor_bins(*a))
+    got = V.redundancy_pairs(rows, ["a", "b", "c"], information=False).toPandas()
+    assert not binned and "mutual_information" not in got
+    want = rows.toPandas().rank().corr()
+    assert got["spearman"].tolist() == pytest.approx([want.loc[r.feature_a, r.feature_b] for r in got.itertuples()])
+    both = V.redundancy_pairs(rows, ["a", "b", "c"]).toPandas().sort_values("_i")
+    assert len(binned) == 3 and both["spearman"].tolist() == pytest.approx(got["spearman"].tolist()) and both["mutual_information"].iloc[0] > 0.3
+
+
 def test_matrix_effects(spark):
     rng = np.random.default_rng(4)
     n = 600
