@@ -369,3 +369,20 @@ def test_quantiles_of_short_keys_need_no_tiles(spark, monkeypatch):
     monkeypatch.setattr(R, "SHORT", 200)
     both = {r["k"]: r["m"] for r in R.quantiles_of_many_keys(rows, ["k"], "x", {"m": 0.5}).collect()}
     assert both == want and tiled
+
+
+def test_drift_sends_no_rows_to_the_tasks(spark):
+    """The result reads written counts only, so that no small estimate of the rows makes a join broadcast them; figures as by hand."""
+    rows = spark.range(600).selectExpr("concat('C', id % 2) AS comparison", "IF(id % 3 = 0, 'tgt', 'ref') AS role", "double(id * id % 37) + IF(id % 3 = 0, 4, 0) AS x")
+    out = V.drift_numeric(rows, ["comparison"])
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    pdf, got = rows.toPandas(), out.toPandas().set_index("comparison")
+    assert len(got) == 2
+    for k, g in pdf.groupby("comparison"):
+        a, b = (np.sort(g.x[g.role == r].to_numpy()) for r in ("ref", "tgt"))
+        edges = np.unique(np.quantile(a, np.arange(1, 10) / 10))
+        p, q = (np.maximum(np.bincount(np.searchsorted(edges, v, "right"), minlength=len(edges) + 1) / len(v), 1e-6) for v in (a, b))
+        grid = np.unique(g.x)
+        gap = np.abs(np.searchsorted(a, grid, "right") / len(a) - np.searchsorted(b, grid, "right") / len(b))[:-1]
+        want = {"ref_mean": a.mean(), "tgt_mean": b.mean(), "smd": (b.mean() - a.mean()) / np.sqrt((a.var() + b.var()) / 2), "psi": ((q - p) * np.log(q / p)).sum(), "wasserstein": (gap * np.diff(grid)).sum()}
+        assert all(abs(got.loc[k, n] - v) < 1e-9 for n, v in want.items())
