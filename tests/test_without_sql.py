@@ -386,3 +386,25 @@ def test_drift_sends_no_rows_to_the_tasks(spark):
         gap = np.abs(np.searchsorted(a, grid, "right") / len(a) - np.searchsorted(b, grid, "right") / len(b))[:-1]
         want = {"ref_mean": a.mean(), "tgt_mean": b.mean(), "smd": (b.mean() - a.mean()) / np.sqrt((a.var() + b.var()) / 2), "psi": ((q - p) * np.log(q / p)).sum(), "wasserstein": (gap * np.diff(grid)).sum()}
         assert all(abs(got.loc[k, n] - v) < 1e-9 for n, v in want.items())
+
+
+def test_equal_sums_of_ranks_are_equal_scores(spark):
+    """Of 2,049 symbols every second sum of ranks lies halfway between two scores of 12 digits; equal sums still go by symbol."""
+    rng = np.random.default_rng(5)
+    n, own = 2049, ["return_1h", "return_4h", "return_24h", "volume_relative", "trend_efficiency"]
+    pdf = pd.DataFrame({"symbol": np.arange(1, n + 1), "us": 0} | {f: rng.permutation(n) / 64 for f in own})
+    place = {f: pdf[f].rank().astype(int) - 1 for f in own}
+    points = 50 * place["return_4h"] + 25 * place["return_1h"] + 15 * place["return_24h"] + 5 * place["volume_relative"] + 5 * place["trend_efficiency"]
+    assert points.duplicated().sum() > 20
+    want = pdf.assign(points=points).sort_values(["points", "symbol"], ascending=[False, True])["symbol"].tolist()
+    got = G.rank_cross_section(spark.createDataFrame(pdf), 1, 2).toPandas().sort_values("rank")
+    assert got["symbol"].tolist() == want
+    assert (got["score"] - np.sort(points)[::-1] / (100 * (n - 1))).abs().max() <= 1e-12
+
+
+def test_the_mean_of_a_time_decides_no_tie(spark):
+    """Returns that are equal at 12 digits are equal for their differences from the universe too, wherever the mean lies."""
+    rows = [(i + 1, t, 1.0, r, 1.0, 1.0, 1.0) for t in range(10) for i, r in enumerate([0.3, 0.3 - 4e-13, 0.3 + 4e-13, 0.3 - 2e-13, 0.3 + 2e-13, 0.1 + 5e-13 * t])]
+    frame = spark.createDataFrame(rows, "symbol int, us long, return_1h double, return_4h double, return_24h double, volume_relative double, trend_efficiency double")
+    got = G.rank_cross_section(frame, 1, 2).toPandas().sort_values("symbol")
+    assert got.groupby("us")["score"].agg(list).tolist() == [[0.1, 0.3, 0.5, 0.7, 0.9, 0.5]] * 10
